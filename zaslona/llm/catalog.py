@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, lines, pieces, quality, simhash, topk
 from .common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     g = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return g.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -17,7 +21,31 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_benchmark_decontamination)}
+def op5_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_score(docs, table(spark, sf_dir, "labels"), columns=["doc_id"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    out = pieces.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    same = (pieces.decoder()(F.col("ids")) == F.col("text")) | F.col("text").isNull()
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+def op10_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (
+    op1_line_dedup,
+    op3_simhash_near_dedup,
+    op4_benchmark_decontamination,
+    op5_quality_classifier,
+    op9_sentencepiece,
+    op10_exact_top_k,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 SQL: dict[str, str] = {}
 
@@ -39,3 +67,13 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as b
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join pos using (r) left join its using (r)
 """
+
+SQL["op10_exact_top_k"] = """
+with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+e as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from v),
+s as (select q.vec_id as query_id, e.vec_id, cast(sum(q.x * e.x) as bigint) as score
+      from e as q join e on q.i = e.i where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
