@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, pieces, quality, simhash, topk
+from . import decontaminate, lines, pieces, quality, simhash, substrings, topk
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return substrings.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     out = pieces.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
     same = (pieces.decoder()(F.col("ids")) == F.col("text")) | F.col("text").isNull()
@@ -42,6 +46,7 @@ _OPERATORS = (
     op3_simhash_near_dedup,
     op4_benchmark_decontamination,
     op5_quality_classifier,
+    op6_suffix_array_dedup,
     op9_sentencepiece,
     op10_exact_top_k,
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,11 @@ class Stash:
         out._zaslona_path = path
         return out
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are over."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Forget a table that no later plan reads."""
         if path := getattr(df, "_zaslona_path", None):
