@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, pieces, quality, simhash, substrings, topk
+from . import decontaminate, licences, lines, pieces, quality, simhash, substrings, topk
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op6_suffix_array_dedup(spark, sf_dir):
     return substrings.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_license_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op9_sentencepiece(spark, sf_dir):
     out = pieces.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
     same = (pieces.decoder()(F.col("ids")) == F.col("text")) | F.col("text").isNull()
@@ -47,6 +51,7 @@ _OPERATORS = (
     op4_benchmark_decontamination,
     op5_quality_classifier,
     op6_suffix_array_dedup,
+    op8_license_scan,
     op9_sentencepiece,
     op10_exact_top_k,
 )
