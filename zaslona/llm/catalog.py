@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lines, pieces, quality, simhash, substrings, topk
+from . import decontaminate, licences, lines, pieces, quality, simhash, substrings, topk, wrappers
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op1_line_dedup(spark, sf_dir):
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_html_extraction(spark, sf_dir):
+    out = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     g = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return g.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,6 +52,7 @@ def op10_exact_top_k(spark, sf_dir):
 
 _OPERATORS = (
     op1_line_dedup,
+    op2_html_extraction,
     op3_simhash_near_dedup,
     op4_benchmark_decontamination,
     op5_quality_classifier,
