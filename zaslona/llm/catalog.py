@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lines, pieces, quality, simhash, substrings, topk, wrappers
+from . import decontaminate, licences, lines, mixing, pieces, quality, simhash, substrings, topk, wrappers
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_suffix_array_dedup(spark, sf_dir):
     return substrings.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_language_model_score(spark, sf_dir):
+    return mixing.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -57,6 +61,7 @@ _OPERATORS = (
     op4_benchmark_decontamination,
     op5_quality_classifier,
     op6_suffix_array_dedup,
+    op7_language_model_score,
     op8_license_scan,
     op9_sentencepiece,
     op10_exact_top_k,
