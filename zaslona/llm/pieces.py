@@ -52,31 +52,31 @@ class Pieces:
                 self.score[p], self.id[p] = sp.get_score(i), i
                 self.bytes[i] = p.replace(MARK, " ").encode()
         self.width = max(map(len, self.score))
+        #: Scores of pieces, and None for what only begins one.
+        self.begun: dict[str, float | None] = {p[:i]: None for p in self.score for i in range(1, len(p))} | self.score
         self.unknown = min(self.score.values()) - 10.0
         self.has_cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
         self.units: dict[str, tuple] = {}
 
     def paths(self, text: str, start: int, end: int) -> tuple[list[float], list[int]]:
-        """Best scores and last pieces' starts for all ends from ``start``; pieces may end up to ``end``, at most len(text)."""
+        """Best scores and last pieces' starts for all ends from ``start`` to ``end``."""
         best, back = [-np.inf] * (end + 1), [-1] * (end + 1)
         best[start] = 0.0
-        get, width, unknown = self.score.get, self.width, self.unknown
-        for i in range(start + 1, end + 1):
-            top, at = -np.inf, -1
-            for j in range(max(start, i - width), i):
-                s = get(text[j:i])
-                if s is None:
-                    if j < i - 1:
-                        continue
-                    s = unknown
-                s += best[j]
-                if s > top:
-                    top, at = s, j
-            best[i], back[i] = top, at
+        get, unknown = self.begun.get, self.unknown
+        for i in range(start, end):
+            so_far = best[i]
+            for e in range(i + 1, min(end, i + self.width) + 1):
+                s = get(text[i:e], False)
+                if s is None or s is False:  # only the beginning of pieces, or not even that
+                    if e == i + 1 and so_far + unknown > best[e]:
+                        best[e], back[e] = so_far + unknown, i
+                    if s is False:
+                        break
+                elif so_far + s > best[e]:
+                    best[e], back[e] = so_far + s, i
         return best, back
 
-    def trace(self, text: str, start: int, end: int) -> list[int]:
-        _, back = self.paths(text, start, end)
+    def ids(self, text: str, start: int, end: int, back: list[int]) -> list[int]:
         spans = []
         while end > start:
             spans.append(text[back[end] : end])
@@ -89,13 +89,16 @@ class Pieces:
                 out += [self.byte_id[b] for b in (MARK if p == _LITERAL else p).encode()]
         return out
 
+    def trace(self, text: str, start: int, end: int) -> list[int]:
+        return self.ids(text, start, end, self.paths(text, start, end)[1])
+
     def unit(self, u: str) -> tuple:
         """A unit's ids and score."""
         if (hit := self.units.get(u)) is None:
             if len(self.units) >= _CACHE:
                 self.units.clear()
-            best, _ = self.paths(u, 0, len(u))
-            hit = (self.trace(u, 0, len(u)), best[len(u)])
+            best, back = self.paths(u, 0, len(u))
+            hit = (self.ids(u, 0, len(u), back), best[len(u)])
             if len(u) < 64:
                 self.units[u] = hit
         return hit
