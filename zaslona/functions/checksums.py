@@ -99,10 +99,10 @@ def _chars(c: Column, n: Column) -> Column:
 def weighted_column(kind: str, c: Column) -> Column:
     length, weights, base, at_ten = WEIGHTED[kind]
     d = _only_digits(c)
-    total = sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+    total = sum((F.substring(d, i + 1, 1).try_cast("int") * w for i, w in enumerate(weights)), F.lit(0))
     rest = total % base
-    want = (10 - rest) % 10 if base == 10 else F.when(rest == 10, F.lit(at_ten).cast("int")).otherwise(rest)
-    return F.coalesce(F.when(F.length(d) == length, want == F.substring(d, length, 1).cast("int")), F.lit(False))
+    want = (10 - rest) % 10 if base == 10 else F.when(rest == 10, F.lit(at_ten).try_cast("int")).otherwise(rest)
+    return F.coalesce(F.when(F.length(d) == length, want == F.substring(d, length, 1).try_cast("int")), F.lit(False))
 
 
 def iban_column(c: Column) -> Column:
@@ -127,7 +127,7 @@ def luhn_column(c: Column) -> Column:
 
 def card_column(c: Column) -> Column:
     d = _only_digits(c)
-    lead = F.substring(d, 1, 4).cast("int")
+    lead = F.substring(d, 1, 4).try_cast("int")
     known = F.lit(False)
     for a, b in CARD_RANGES:
         known = known | lead.between(a, b)

@@ -21,6 +21,11 @@ def tied(html: str | None) -> str | None:
     return "".join(parts)
 
 
-@F.pandas_udf("string")
-def tie_words(html: pd.Series) -> pd.Series:
-    return pd.Series([tied(h) for h in html], dtype=object)
+def tie_words(html):
+    """A column of HTML with its words tied."""
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([tied(h) for h in pages], dtype=object)
+
+    return run(html)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +23,13 @@ def accepted(text: Column, candidates: Column) -> Column:
 
 def mask_candidates(df: DataFrame, text_col: str = "text", candidates_col: str = "candidates", mask: str = MASKS["IMIE"]) -> DataFrame:
     """Rows with redacted and hits; redacted is null where nothing was replaced. Longer candidates go first."""
+    text = F.col(text_col)
+    longest = F.array_sort(accepted(text, F.col(candidates_col)), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
+    zero = F.struct(text.alias("t"), F.lit(0).alias("n"))
 
-    @F.pandas_udf("struct<redacted string, hits int>")
-    def run(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, every in zip(texts, found):
-            n = 0
-            for c in sorted([] if every is None or text is None else list(every), key=len, reverse=True):
-                n += text.count(c)
-                text = text.replace(c, mask)
-            rows.append((text if n else None, n))
-        return pd.DataFrame(rows, columns=["redacted", "hits"])
-
-    return df.withColumn("__r", run(F.col(text_col), accepted(F.col(text_col), F.col(candidates_col)))).select(*df.columns, "__r.redacted", "__r.hits")
+    def step(acc, c):
+        gone = F.length(acc["t"]) - F.length(F.replace(acc["t"], c, F.lit("")))
+        return F.struct(F.replace(acc["t"], c, F.lit(mask)).alias("t"), (acc["n"] + gone / F.length(c)).cast("int").alias("n"))
+
+    done = df.withColumn("__r", F.aggregate(F.coalesce(longest, F.array().cast("array<string>")), zero, step))
+    return done.select(*df.columns, F.when(F.col("__r.n") > 0, F.col("__r.t")).alias("redacted"), F.col("__r.n").alias("hits"))

@@ -2,5 +2,372 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checksums
+from ..functions.lexicon import INSTITUTION, LABEL_WORDS
+from ..functions.typography import tie_words
+from ..operators import candidates, evaluate, findings, spans, traffic, views
+from ..operators.redact import labels_of, native, redact
+from ..operators.rules import KIND_OF_KEY, LABELS, MASKS, STRUCT_TYPES
+from . import fixtures as fx
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace(f"from {name}", f"from {{{name}}}"), **{name: table(spark, sf_dir, name)})
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _total(found) -> F.Column:
+    return F.aggregate(F.coalesce(found, F.array().cast("array<struct<type:string,count:int>>")), F.lit(0), lambda a, f: a + f["count"])
+
+
+# Checksums over numbers made from keys
+
+_CHECKS = {
+    "v_pesel": ("pesel", lambda c: checksums.weighted_column("pesel", c)),
+    "v_nip": ("nip", lambda c: checksums.weighted_column("nip", c)),
+    "v_regon9": ("regon9", lambda c: checksums.weighted_column("regon9", c)),
+    "v_regon14": ("regon14", lambda c: checksums.weighted_column("regon14", c)),
+    "v_iban": ("nrb", lambda c: checksums.iban_column(F.concat(F.lit("PL"), c))),
+    "v_dowod": ("dowod", checksums.dowod_column),
+    "v_luhn": ("card", checksums.luhn_column),
+    "v_card": ("card", checksums.card_column),
+}
+for _name, (_values, _check) in _CHECKS.items():
+
+    def _validated(spark, sf_dir, values=_values, check=_check):
+        return _over(spark, sf_dir, "orders", fx.VALUES[values]).select("o_orderkey", "value", check(F.col("value")).alias("valid"))
+
+    query(_name, f"select o_orderkey, value, o_orderkey % 2 = 0 as valid from ({fx.VALUES[_values]}) v")(_validated)
+
+# Rules over texts made from keys
+
+for _name, (_values, _kinds, _text, _expected, _n) in fx.TEXTS.items():
+    _source = fx.PLAIN if _values == "plain" else fx.VALUES[_values]
+
+    def _redacted(spark, sf_dir, source=_source, text=_text, kinds=_kinds):
+        df = _over(spark, sf_dir, "orders", source).selectExpr("o_orderkey", f"{text} as text")
+        return redact(df, types=kinds).select("o_orderkey", "redacted", _total(F.col("found")).alias("n"))
+
+    query(_name, f"select o_orderkey, {_expected} as redacted, cast({_n} as integer) as n from ({_source}) v")(_redacted)
+
+for _name, (_text, _expected, _n, _apart) in fx.PERSONS.items():
+
+    def _named(spark, sf_dir, text=_text, apart=_apart):
+        df = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{text} as text")
+        return redact(df, types=["IMIE"], pseudonyms=apart).select("c_custkey", "redacted", _total(F.col("found")).alias("n"))
+
+    query(_name, f"select c_custkey, {_expected} as redacted, cast({_n} as integer) as n from customer")(_named)
+
+
+@query("r_masks_override", f"select o_orderkey, 'PESEL: <usunięto>' as redacted from ({fx.VALUES['pesel']}) v")
+def r_masks_override(spark, sf_dir):
+    df = _over(spark, sf_dir, "orders", fx.VALUES["pesel"]).selectExpr("o_orderkey", "'PESEL: ' || value as text")
+    return redact(df, types=["PESEL"], masks={"PESEL": "<usunięto>"}).select("o_orderkey", "redacted")
+
+
+@query("r_idempotent", f"select count(*) as n, cast(0 as bigint) as changed from ({fx.VALUES['pesel']}) v")
+def r_idempotent(spark, sf_dir):
+    """Redacting what is redacted changes nothing, with all kinds on."""
+    text = "'PESEL: ' || value || ', Jan Kowalski, ul. Długa 5, 00-950 Warszawa, tel. 600 700 800'"
+    once = redact(_over(spark, sf_dir, "orders", fx.VALUES["pesel"]).selectExpr(f"{text} as text")).select("redacted")
+    twice = redact(once.withColumnRenamed("redacted", "text"))
+    return twice.agg(F.count("*").alias("n"), F.count_if(F.col("text") != F.col("redacted")).alias("changed"))
+
+
+# Findings in documents
+
+_EMAIL = r"[A-Za-z0-9ąćęłńóśźżĄĆĘŁŃÓŚŹŻ._%+-]+@[A-Za-z0-9ąćęłńóśźżĄĆĘŁŃÓŚŹŻ.-]+\.[A-Za-z]{2,}"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_FOUND_SQL = f"""(
+  select doc_id, lang, source, 'EMAIL' as type, len(regexp_extract_all(text, '{_EMAIL}')) as n from documents
+  union all
+  select doc_id, lang, source, 'IP', len(list_filter(string_split_regex(text, '[^0-9.]+'), lambda x: regexp_full_match(x, '({_OCTET}\\.){{3}}{_OCTET}'))) from documents
+)"""
+
+
+def _documents(spark, sf_dir, *columns: str) -> DataFrame:
+    """Documents with findings of the kinds that they hold in every language."""
+    return redact(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), types=["EMAIL", "IP"])
+
+
+@query("r_email", f"select doc_id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') as redacted, cast(len(regexp_extract_all(text, '{_EMAIL}')) as integer) as n from documents")
+def r_email(spark, sf_dir):
+    r = redact(table(spark, sf_dir, "documents").select("doc_id", "text"), types=["EMAIL"])
+    return r.select("doc_id", "redacted", _total(F.col("found")).alias("n"))
+
+
+@query("r_email_native", SQL["r_email"])
+def r_email_native(spark, sf_dir):
+    """The same without Python."""
+    text, n = native(F.col("text"), "EMAIL")
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("redacted"), n.cast("int").alias("n"))
+
+
+@query("r_ipv4", f"select doc_id, cast(n as integer) as n from {_FOUND_SQL} where type = 'IP'")
+def r_ipv4(spark, sf_dir):
+    return redact(table(spark, sf_dir, "documents").select("doc_id", "text"), types=["IP"]).select("doc_id", _total(F.col("found")).alias("n"))
+
+
+@query("f_by_type", f"select type, cast(sum(n) as bigint) as total, count(*) as docs from {_FOUND_SQL} where n > 0 group by type")
+def f_by_type(spark, sf_dir):
+    return findings.by_type(_documents(spark, sf_dir))
+
+
+@query("f_by_lang_rollup", f"select lang, type, cast(sum(n) as bigint) as total from {_FOUND_SQL} where n > 0 group by rollup (lang, type)")
+def f_by_lang_rollup(spark, sf_dir):
+    return findings.rollup(_documents(spark, sf_dir, "lang"), "lang")
+
+
+@query("f_cube", f"select source, type, cast(sum(n) as bigint) as total from {_FOUND_SQL} where n > 0 group by cube (source, type)")
+def f_cube(spark, sf_dir):
+    return findings.cube(_documents(spark, sf_dir, "source"), "source")
+
+
+@query("f_top_sources", f"select source, cast(sum(n) as bigint) as total from {_FOUND_SQL} where n > 0 group by source order by total desc, source limit 5")
+def f_top_sources(spark, sf_dir):
+    return findings.top(_documents(spark, sf_dir, "source"), "source", 5)
+
+
+@query("f_has_pii", f"select doc_id from {_FOUND_SQL} group by doc_id having sum(n) > 0")
+def f_has_pii(spark, sf_dir):
+    return _documents(spark, sf_dir).where(F.size("found") > 0).select("doc_id")
+
+
+@query("f_summary", f"select cast(sum(n) as bigint) as total, count(distinct type) as labels, count(distinct doc_id) as docs from {_FOUND_SQL} where n > 0")
+def f_summary(spark, sf_dir):
+    return findings.summary(_documents(spark, sf_dir))
+
+
+@query("f_describe", f"select doc_id, case when e > 0 and i > 0 then 'adres e-mail,adres IP' when e > 0 then 'adres e-mail' else 'adres IP' end as labels from (select doc_id, sum(n) filter (type = 'EMAIL') as e, sum(n) filter (type = 'IP') as i from {_FOUND_SQL} group by doc_id) where e + i > 0")
+def f_describe(spark, sf_dir):
+    return _documents(spark, sf_dir).where(F.size("found") > 0).select("doc_id", F.array_join(labels_of(F.col("found")), ",").alias("labels"))
+
+
+@query("f_merge", f"select doc_id, cast(2 * e + i as integer) as n from (select doc_id, sum(n) filter (type = 'EMAIL') as e, sum(n) filter (type = 'IP') as i from {_FOUND_SQL} group by doc_id) where e + i > 0")
+def f_merge(spark, sf_dir):
+    """Findings of two runs as one."""
+    both = _documents(spark, sf_dir)
+    mails = redact(both.drop("redacted").withColumnRenamed("found", "first"), types=["EMAIL"])
+    return mails.withColumn("m", findings.merged(F.col("first"), F.col("found"))).where(F.size("m") > 0).select("doc_id", _total(F.col("m")).alias("n"))
+
+
+# Evaluation over cases made from keys: odd keys leak, every fifth loses a word that should stay
+
+_CASE = "case o_orderkey % 3 when 0 then 'basic' when 1 then 'structural' else 'negative' end"
+_CASES_SQL = f"(select o_orderkey, {_CASE} as category, o_orderkey % 2 = 1 as leaks, o_orderkey % 5 = 0 as eats from orders)"
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"{_CASE} as category",
+        "array('tajne' || o_orderkey) as must_mask", "array('jawne', 'stale') as must_keep",
+        "(case when o_orderkey % 2 = 1 then 'tajne' || o_orderkey else '[X]' end) || ' stale ' || (case when o_orderkey % 5 = 0 then '' else 'jawne' end) as redacted",
+    )
+    return evaluate.evaluated(df)
+
+
+_RATES_SQL = f"""select category, count(*) as mask_total, count(*) filter (not leaks) as mask_hit, 2 * count(*) as keep_total, 2 * count(*) - count(*) filter (eats) as keep_hit
+from {_CASES_SQL} group by rollup (category)"""
+
+
+@query("e_metrics", f"""with m as ({_RATES_SQL}), r as (select *, mask_hit / mask_total as recall, keep_hit / keep_total as precision from m)
+select *, 2 * recall * precision / (recall + precision) as f1 from r""")
+def e_metrics(spark, sf_dir):
+    return evaluate.metrics(_cases(spark, sf_dir))
+
+
+@query("e_failures", f"select o_orderkey, category, cast(leaks as integer) as n_leaked, cast(eats as integer) as n_eaten from {_CASES_SQL} where leaks or eats")
+def e_failures(spark, sf_dir):
+    return evaluate.failures(_cases(spark, sf_dir)).select("o_orderkey", "category", F.size("leaked").alias("n_leaked"), F.size("eaten").alias("n_eaten"))
+
+
+@query("e_pivot", f"""select max(case category when 'basic' then h end) as basic, max(case category when 'structural' then h end) as structural, max(case category when 'negative' then h end) as negative
+from (select category, mask_hit as h from ({_RATES_SQL}))""")
+def e_pivot(spark, sf_dir):
+    return evaluate.pivoted(evaluate.metrics(_cases(spark, sf_dir)), ["basic", "structural", "negative"], "mask_hit")
+
+
+# Tokens and intervals from order lines
+
+_TOKENS_SQL = "(select l_orderkey as doc_id, l_linenumber as ord, l_returnflag <> 'N' as person from lineitem)"
+
+
+@query("n_group_tokens", f"""select doc_id, grp, count(*) as n, min(ord) as first_ord from (
+select *, cast(sum(case when person then 0 else 1 end) over (partition by doc_id order by ord) as bigint) as grp from {_TOKENS_SQL}) where person group by doc_id, grp""")
+def n_group_tokens(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "l_linenumber as ord", "l_returnflag <> 'N' as person")
+    return spans.token_groups(df, "doc_id", "ord", "person")
+
+
+_SPANS_SQL = "(select l_orderkey as doc_id, cast(l_partkey % 200 as bigint) as start, cast(l_partkey % 200 + 1 + l_quantity as bigint) as \"end\" from lineitem)"
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "l_partkey % 200 as start", "cast(l_partkey % 200 + 1 + l_quantity as bigint) as end")
+
+
+@query("n_merge_spans", f"""with s as (select *, max("end") over (partition by doc_id order by start, "end" rows between unbounded preceding and 1 preceding) as reach from {_SPANS_SQL}),
+i as (select *, sum(case when start <= reach then 0 else 1 end) over (partition by doc_id order by start, "end" rows unbounded preceding) as island from s)
+select doc_id, min(start) as start, max("end") as "end" from i group by doc_id, island""")
+def n_merge_spans(spark, sf_dir):
+    return spans.merge_intervals(_spans(spark, sf_dir), "doc_id")
+
+
+@query("n_overlap", f"""select a.doc_id, a.start as left_start, a."end" as left_end, b.start as right_start, b."end" as right_end
+from {_SPANS_SQL} a join (select l_orderkey as doc_id, cast(l_suppkey % 200 as bigint) as start, cast(l_suppkey % 200 + 5 as bigint) as "end" from lineitem) b
+on a.doc_id = b.doc_id and a.start < b."end" and b.start < a."end\"""")
+def n_overlap(spark, sf_dir):
+    right = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "l_suppkey % 200 as start", "l_suppkey % 200 + 5 as end")
+    return spans.overlapping(_spans(spark, sf_dir), right, "doc_id")
+
+
+_NER_TEXT = f"'Wczoraj ' || {fx._pick(fx._LAST)} || ' był w sądzie, mówił Smith.'"
+
+
+@query("n_persons", "select c_custkey, 'Wczoraj [IMIĘ I NAZWISKO] był w sądzie, mówił ' || case when c_custkey % 2 = 0 then '[IMIĘ I NAZWISKO]' else 'Smith' end || '.' as redacted from customer")
+def n_persons(spark, sf_dir):
+    """The second token's score is too low for odd keys."""
+    token = "struct('B-PER' as entity, {} as word, cast({} as double) as score, cast(null as int) as index, cast(null as int) as start, cast(null as int) as end)"
+    gap = "struct('O' as entity, 'x' as word, cast(1 as double) as score, cast(null as int) as index, cast(null as int) as start, cast(null as int) as end)"
+    tokens = f"array({token.format(fx._pick(fx._LAST), '0.9')}, {gap}, {token.format(repr('Smith'), 'case when c_custkey % 2 = 0 then 0.8 else 0.3 end')})"
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_NER_TEXT} as text", f"{tokens} as tokens")
+    return spans.redact_persons(df).select("c_custkey", "redacted")
+
+
+_CANDIDATES = "['Ala' || c_custkey, 'x', 'PESEL', '[NIP]', 'nie ma', 'Ala' || c_custkey, c_mktsegment]"
+
+
+@query("l_validate", "select c_custkey, 'Ala' || c_custkey || ',' || c_mktsegment as accepted from customer")
+def l_validate(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'Tu Ala' || c_custkey || ' z ' || c_mktsegment as text", f"array{_CANDIDATES.replace('[', '(', 1)[:-1]}) as candidates")
+    return df.select("c_custkey", F.array_join(candidates.accepted(F.col("text"), F.col("candidates")), ",").alias("accepted"))
+
+
+@query("l_mask", "select c_custkey, 'Tu [IMIĘ I NAZWISKO] z [IMIĘ I NAZWISKO]' as redacted, cast(2 as integer) as hits from customer")
+def l_mask(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'Tu Ala' || c_custkey || ' z ' || c_mktsegment as text", "array('Ala' || c_custkey, c_mktsegment) as candidates")
+    return candidates.mask_candidates(df).select("c_custkey", "redacted", "hits")
+
+
+# Lexicons as dimensions
+
+
+def _words_sql(words) -> str:
+    return "(values " + ", ".join(f"('{w}')" for w in sorted(words)) + ") as l(word)"
+
+
+def _words(spark, words) -> DataFrame:
+    """A word list as a dimension; its size is fixed, so it may be broadcast."""
+    return F.broadcast(spark.createDataFrame([(w,) for w in sorted(words)], "word string"))
+
+
+_PART_WORDS = "(select p_partkey, unnest(string_split(lower(p_name), ' ')) as word from part)"
+_COLOURS = ["almond", "blue", "green", "red", "small", "large", "steel", "widget"]
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+
+
+@query("j_lexicon_semi", f"select p_partkey, word from {_PART_WORDS} where word in (select word from {_words_sql(_COLOURS)})")
+def j_lexicon_semi(spark, sf_dir):
+    return _parts(spark, sf_dir).join(_words(spark, _COLOURS), "word", "left_semi").select("p_partkey", "word")
+
+
+@query("j_stoplist_anti", f"select p_partkey, word from {_PART_WORDS} where word not in (select word from {_words_sql(sorted(INSTITUTION | LABEL_WORDS | set(_COLOURS)))})")
+def j_stoplist_anti(spark, sf_dir):
+    return _parts(spark, sf_dir).join(_words(spark, INSTITUTION | LABEL_WORDS | set(_COLOURS)), "word", "left_anti").select("p_partkey", "word")
+
+
+_KEYS = sorted(KIND_OF_KEY)
+_KEY_OF_ROW = "case " + " ".join(f"when c_custkey % {len(_KEYS) + 3} = {i} then '{k[:2].upper() + '_' + k[2:] if len(k) > 3 else k}'" for i, k in enumerate(_KEYS)) + " else 'other' end"
+
+
+@query("j_struct_key", f"""select c_custkey, kind, type from (select c_custkey, replace(replace(replace(lower({_KEY_OF_ROW}), '.', ''), '_', ''), '-', '') as key from customer) c
+join (values {', '.join(f"('{k}', '{v}', '{STRUCT_TYPES[v]}')" for k, v in KIND_OF_KEY.items())}) as d(key, kind, type) using (key)""")
+def j_struct_key(spark, sf_dir):
+    keys = F.broadcast(spark.createDataFrame([(k, v, STRUCT_TYPES[v]) for k, v in KIND_OF_KEY.items()], "key string, kind string, type string"))
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"translate(lower({_KEY_OF_ROW}), '._-', '') as key")
+    return rows.join(keys, "key").select("c_custkey", "kind", "type")
+
+
+# Traffic
+
+
+@query("t_summary", "select count(*) as events, round(sum(value), 4) as total from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-02-01'")
+def t_summary(spark, sf_dir):
+    e = traffic.between(table(spark, sf_dir, "events"), "2024-01-01", "2024-02-01")
+    return traffic.summary(e).select("events", F.round("total", 4).alias("total"))
+
+
+@query("t_daily", "select date_trunc('day', ts) as period, count(*) as events, round(sum(value), 4) as total from events group by 1 order by 1 limit 200")
+def t_daily(spark, sf_dir):
+    return traffic.trend(table(spark, sf_dir, "events")).select(F.col("period").cast("timestamp_ntz").alias("period"), "events", F.round("total", 4).alias("total"))
+
+
+@query("t_hourly", "select date_trunc('hour', ts) as period, count(*) as events, round(sum(value), 4) as total from events group by 1 order by 1 limit 200")
+def t_hourly(spark, sf_dir):
+    return traffic.trend(table(spark, sf_dir, "events"), "hour").select(F.col("period").cast("timestamp_ntz").alias("period"), "events", F.round("total", 4).alias("total"))
+
+
+@query("t_top_dim", "select event_type as dimension, count(*) as events, round(sum(value), 4) as total from events group by 1 order by events desc, dimension limit 10")
+def t_top_dim(spark, sf_dir):
+    return traffic.breakdown(table(spark, sf_dir, "events"), "event_type", 10).select("dimension", "events", F.round("total", 4).alias("total"))
+
+
+# Views
+
+
+@query("x_lines", "select doc_id, cast(line as integer) as line, value from (select doc_id, unnest(string_split(text, chr(10))) as value, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)")
+def x_lines(spark, sf_dir):
+    return views.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("x_measures", "select doc_id, cast(len(string_split(text, chr(10))) as integer) as n_lines, cast(length(text) as integer) as n_chars from documents where text <> ''")
+def x_measures(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", *views.measures(F.col("text")))
+
+
+@query("x_mask_tokens", "select '[' || type || ']' as mask, cast(sum(n) as bigint) as total from " + _FOUND_SQL + " where n > 0 group by type")
+def x_mask_tokens(spark, sf_dir):
+    return _documents(spark, sf_dir).select(F.explode(views.masks_in(F.col("redacted"))).alias("mask")).groupBy("mask").agg(F.count("*").alias("total"))
+
+
+@query("x_compare", f"select o_orderkey, cast(0 as integer) as ord, '[PESEL]' as mask, value as original from ({fx.VALUES['pesel']}) v")
+def x_compare(spark, sf_dir):
+    df = _over(spark, sf_dir, "orders", fx.VALUES["pesel"]).selectExpr("o_orderkey", "'PESEL: ' || value || ' w aktach' as text")
+    return views.compare(redact(df, types=["PESEL"]), "o_orderkey", "text", "redacted")
+
+
+@query("x_escape", "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as safe from pages")
+def x_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", views.escaped_html(F.col("html")).alias("safe"))
+
+
+@query("x_nbsp", "select c_custkey, '<p title=\"a b\">Ala i' || chr(160) || 'kot z' || chr(160) || 'o' || chr(160) || 'domu ' || c_custkey || '</p>' as html from customer")
+def x_nbsp(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tie_words(F.expr("""'<p title="a b">Ala i kot z o domu ' || c_custkey || '</p>'""")).alias("html"))
+
+
+@query("x_tokens_dim", "select * from (values " + ", ".join(f"('{m}', '{t}', '{LABELS[t]}')" for t, m in MASKS.items()) + ") as t(token, type, label)")
+def x_tokens_dim(spark, sf_dir):
+    return findings.mask_tokens(spark).drop("category")

@@ -1,7 +1,7 @@
 """Redaction and counts over streams.
 
 Redaction keeps no state, so a stream is redacted by the same plan as a table. Counts of findings are kept per window
-of event time and closed by a watermark.
+of event time and closed by a watermark, which rows with findings move on.
 """
 
 from __future__ import annotations
