@@ -169,7 +169,7 @@ def held_out(id_col: str):
 
 
 def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, columns: list[str] | None = None) -> DataFrame:
-    """The documents (or their ``columns``) with held_out and score."""
+    """The documents (or their ``columns``) with held_out and score, in place of columns of these names."""
     import pandas as pd
 
     spark = docs.sparkSession
@@ -181,7 +181,7 @@ def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def features(texts):
         return pd.Series([pooled(t, table.value).tobytes() for t in tokens(list(texts))], dtype=object)
 
-    keep = columns if columns is not None else docs.columns
+    keep = [c for c in (columns if columns is not None else docs.columns) if c not in ("held_out", "score", "__pool")]
     pools = stash(docs.select(*keep, features(F.col(text_col)).alias("__pool")))
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("y")).where("__id is not null and y is not null").groupBy("__id").agg(F.max("y").cast("double").alias("y"))
     chosen = known.where(~held_out("__id")).orderBy(F.xxhash64("__id"), "__id").limit(max_train)
