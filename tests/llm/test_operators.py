@@ -181,8 +181,21 @@ def test_ball_hashing_loses_no_link(spark, run_max):
     assert len(set(want)) == len(set(got)) == len(set(zip(want, got)))
 
 
+@pytest.mark.parametrize("run_max", [1 << 20, 2])
+def test_near_duplicates(spark, run_max):
+    rng = random.Random(4)
+    texts = [prose(rng, 200, 5000) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts[:10])]
+    rows += [(200 + i, " ".join(t.split()[:-2])) for i, t in enumerate(texts[:20])] + [(300, None), (301, ""), (None, texts[0]), (0, texts[0])]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, component_id string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar(df, run_max=run_max).collect())
+    want = Counter((i, 300 if not t else next(j for j, x in enumerate(texts) if x.startswith(t))) for i, t in rows)
+    assert got == want
+
+
 def test_simhash_empty(empty):
     assert simhash.groups(empty).count() == 0
+    assert simhash.similar(empty).count() == 0
 
 
 # 4

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, components, small_batches
+from .runs import mixed
 
 #: Members of one variant that a task links in memory. Larger ones are dealt anew by balls over the other half.
 RUN_MAX = 1 << 20
@@ -150,3 +151,129 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
     named = owned.join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp", "left").select(*marked.columns, "component_id")
+
+
+# Near duplicates by similarity. At a Jaccard similarity of 0.8 two texts' fingerprints differ in about an eighth of
+# their bits, far beyond a radius of five. The same balls then work on pieces: of six 24-bit pieces of a fingerprint
+# of 128 bits, one mostly differs in at most two bits, so linked fingerprints meet in a variant of a piece with at most
+# one bit flipped. What meets is verified on all 128 bits.
+
+WIDE_RADIUS = 22
+_PIECES = ((0, 0), (0, 20), (0, 40), (1, 0), (1, 20), (1, 40))
+_WIDTH = 24
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
+    """Two unsigned SimHashes of a text's word shingles, the second of the hashes mixed anew."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0
+    flat = b" ".join(words)
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    starts, k = [0, *ends[:-1]], min(shingle, len(words))
+    ends, n, digest = ends[k - 1 :], len(words) - k + 1, xxhash.xxh64_digest
+    ones = np.zeros((2, 64), np.int64)
+    for i in range(0, n, _BLOCK):
+        first = np.frombuffer(b"".join([digest(flat[a : b - 1], 42) for a, b in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK])]), np.uint64)
+        for j, h in enumerate((first, mixed(first ^ np.uint64(0x5851F42D4C957F2D)))):
+            ones[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return tuple(int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones)
+
+
+def wide_forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among rows (two words each): pairs of places (member, root)."""
+    out, left = [], np.arange(len(x))
+    while left.size > 1:
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and left.size:
+            near = np.bitwise_count(x[left] ^ x[todo.pop()]).sum(axis=1) <= radius
+            if near.any():
+                found, left = left[near], left[~near]
+                out += [(y, root) for y in found]
+                todo += list(found)
+    return out
+
+
+def wide_linker(radius: int, run_max: int):
+    """A map over (key, a, b) sorted by key: edges (0, a, b, ra, rb); rows (1, key, a, b, 0) of runs too large to hold."""
+    names = ["kind", "p", "q", "r", "s"]
+
+    def rows(kind, *cols):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
+
+    def run(batches):
+        key, held, size, over = None, [], 0, False
+
+        def close():
+            if size > 1 and not over:
+                x = np.unique(np.concatenate(held), axis=0)
+                pairs = np.array(wide_forest(x, radius), np.int64).reshape(-1, 2)
+                if len(pairs):
+                    x = x.view(np.int64)
+                    yield rows(0, x[pairs[:, 0], 0], x[pairs[:, 0], 1], x[pairs[:, 1], 0], x[pairs[:, 1], 1])
+
+        for batch in batches:
+            k, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(k):
+                continue
+            x = np.stack([a, b], axis=1).view(np.uint64)
+            cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+            for j in sorted({0, len(cuts) - 2, *np.flatnonzero(np.diff(cuts) > 1).tolist()}):
+                i, e = cuts[j], cuts[j + 1]
+                if k[i] != key:
+                    yield from close()
+                    key, held, size, over = k[i], [], 0, False
+                size += e - i
+                part = x[i:e].copy()
+                if not over:
+                    held.append(part)
+                    if size <= run_max:
+                        continue
+                    over, part, held = True, np.concatenate(held), []
+                part = part.view(np.int64)
+                yield rows(1, np.full(len(part), key, np.int64), part[:, 0], part[:, 1], np.zeros(len(part), np.int64))
+        yield from close()
+
+    return run
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS, run_max: int = RUN_MAX) -> DataFrame:
+    """One row per document: the id, text_hash and component_id, the smallest id among its near duplicates' chain."""
+    spark = docs.sparkSession
+    stash = Stash(spark)
+    small_batches(spark)
+
+    @F.pandas_udf("struct<a long, b long>")
+    def wide(texts):
+        import pandas as pd
+
+        return pd.DataFrame(np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = stash(docs.select(F.col(id_col).alias("id"), text_hash.alias("text_hash"), wide(F.col(text_col)).alias("f")).select("id", "text_hash", "f.a", "f.b"))
+    nodes = stash(marked.groupBy("a", "b").agg(F.min("id").alias("low")))
+    small_batches(spark, 65536)
+    flips = [0, *(1 << i for i in range(_WIDTH))]
+    cut = lambda w, at: F.shiftrightunsigned("ab"[w], at).bitwiseAND(F.lit((1 << _WIDTH) - 1))
+    keys = [cut(w, at).bitwiseXOR(F.lit(m).cast("long")) + F.lit(i << _WIDTH) for i, (w, at) in enumerate(_PIECES) for m in flips]
+    schema = "kind int, p long, q long, r long, s long"
+
+    def linked(df: DataFrame, by: list[str], most: int) -> DataFrame:
+        return stash(df.repartition(*by).sortWithinPartitions(*by).select(F.xxhash64(*by).alias("k") if len(by) > 1 else F.col(by[0]).alias("k"), "a", "b").mapInArrow(wide_linker(radius, most), schema))
+
+    met = linked(nodes.select(F.explode(F.array(*keys)).alias("key"), "a", "b"), ["key"], run_max)
+    stash.free()
+    edge = lambda df: df.where("kind = 0").select(F.struct(F.col("p").alias("a"), F.col("q").alias("b")).alias("u"), F.struct(F.col("r").alias("a"), F.col("s").alias("b")).alias("v"))
+    found, crowd = edge(met), met.where("kind = 1").select(F.col("p").alias("key"), F.col("q").alias("a"), F.col("r").alias("b"))
+    if not crowd.isEmpty():
+        # A crowded variant is dealt out by pairs of blocks: any two members share a pair, and no task holds more than two blocks.
+        n = crowd.groupBy("key").agg(F.ceil(F.count("*") / run_max).cast("int").alias("n"))
+        block = crowd.join(n, "key").withColumn("i", F.pmod(F.xxhash64("a", "b"), F.col("n")).cast("int"))
+        dealt = block.select("key", "a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("p"))
+        found = found.unionAll(edge(linked(dealt.select("key", "p.x", "p.y", "a", "b"), ["key", "x", "y"], 1 << 62)))
+    roots = components(found, stash)
+    owned = nodes.join(roots, F.struct("a", "b") == roots.u, "left").select("a", "b", "low", F.coalesce("root", F.struct("a", "b")).alias("root"))
+    lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = owned.join(lowest, "root").select("a", "b", "component_id")
+    return marked.join(named, ["a", "b"], "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
