@@ -97,6 +97,9 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 def test_main_text():
     assert wrappers.main_text(wrappers.parse(PAGE)) == "T & x\na b c\nd e\none\ntwo\nx < y"
     assert wrappers.main_text(wrappers.parse(None)) == "" == wrappers.main_text(wrappers.parse("<p"))
+    page = "<header>Site</header><div class='site-header'>x</div>{}<div class=sidebar>s</div>"
+    for part in ("<article><div class=entry-header><h1>T</h1></div><p>a</p></article>", "<div id=content><header><h1>T</h1></header><p>a</p></div>", "<h1>T</h1><p>a</p>"):
+        assert wrappers.main_text(wrappers.parse(page.format(part))) == "T\na"
     assert wrappers.main_text(wrappers.parse("<div>" * 5000 + "deep")) == "deep"
     assert wrappers.main_text(wrappers.parse("<table><tr><td>a<td>b<tr><td>c</table>")) == "a b\nc"
 

@@ -46,20 +46,24 @@ _PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Words of class names and ids that mark a part as something else than the article.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|rail|widget|"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|sidebar|aside|rail|widget|"
     r"ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|"
     r"comments?|commentlist|respond|replies|reply|discussion|disqus|"
     r"share|sharing|social|related|recommended|pagination|pager|toolbar|tags|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+# Page headers go; within an article the same names mark its own head, which stays.
+_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+# Parts that hold the article of a page without <article> and <main>.
+_CONTENT = re.compile(r"(?:^|\s)(?:main|article|post|entry|story|content)(?:[_-](?:body|content|text|main))?(?:$|\s)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "label", "skip", "kids", "main")
+    __slots__ = ("tag", "label", "skip", "kids", "main", "header", "content")
 
-    def __init__(self, tag: str, label: str, skip: bool, main: bool):
-        self.tag, self.label, self.skip, self.main, self.kids = tag, label, skip, main, []
+    def __init__(self, tag: str, label: str, skip: bool, main: bool, header: bool = False, content: bool = False):
+        self.tag, self.label, self.skip, self.main, self.header, self.content, self.kids = tag, label, skip, main, header, content, []
 
 
 def _opened(tag: str, rest: str) -> Node:
@@ -68,7 +72,8 @@ def _opened(tag: str, rest: str) -> Node:
     role = attrs.get("role", "").lower()
     marked = tag in _SKIP or role in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (tag not in ("body", "html", "main") and bool(_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named))))
     key = " ".join(x for x in (tag, attrs.get("class", ""), attrs.get("id", ""), role) if x)
-    return Node(tag, key, marked, (tag in ("article", "main") or role in ("main", "article")) and not marked)
+    main = (tag in ("article", "main") or role in ("main", "article")) and not marked
+    return Node(tag, key, marked, main, tag == "header" or bool(_HEADER.search(named)), not marked and tag in ("div", "section", "td") and bool(_CONTENT.search(named)))
 
 
 def parse(html: str | None) -> Node:
@@ -216,35 +221,41 @@ def main_text(root: Node, known: list | None = None, pages: int = 0) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
-    def has_main(node: Node) -> bool:
-        return any(not isinstance(k, str) and not k.skip and (k.main or has_main(k)) for k in node.kids)
+    def has(node: Node, kind: str) -> bool:
+        return any(not isinstance(k, str) and not k.skip and (getattr(k, kind) or has(k, kind)) for k in node.kids)
 
     def end() -> None:
         if text := " ".join(entities.unescape("".join(line)).split()):
             blocks.append(text)
         line.clear()
 
-    limited = has_main(root)
+    kind = next((x for x in ("main", "content") if has(root, x)), None)
+    limited = kind is not None
     furniture = not limited and known is not None and pages >= FURNITURE_PAGES
 
-    def walk(node: Node, inside: bool, part: list | None) -> None:
+    def walk(node: Node, inside: bool, part: list | None, article: bool = False) -> None:
         parts = _fixed(part[3]) if furniture and part else {}
+
+        def down(k: Node) -> None:
+            starts = limited and getattr(k, kind)
+            walk(k, inside or starts, parts.get(k.label), article or starts)
+
         for k in node.kids:
             if isinstance(k, str):
                 slot = parts.get("#")
                 if inside and not (slot and slot[2] and "+" not in slot[1] and slot[2] == xxhash.xxh64_hexdigest(" ".join(k.split()).encode("utf-8", "surrogatepass"))):
                     line.append(k)
-            elif k.skip or (k.tag == "header" and not inside):
+            elif k.skip or (k.header and not article):
                 if k.tag in _BLOCK:
                     end()
             elif k.tag == "br" or k.tag in ("td", "th", "img"):
                 line.append(" ")
-                walk(k, inside or k.main, parts.get(k.label))
+                down(k)
                 line.append(" ")
             else:
                 if k.tag in _BLOCK:
                     end()
-                walk(k, inside or k.main, parts.get(k.label))
+                down(k)
                 if k.tag in _BLOCK:
                     end()
 
