@@ -26,6 +26,18 @@ class State:
         self.counts: dict[str, int] = {}
         self.labels: dict[str, str] | None = {} if pseudonyms else None
         self.urls: list[str] = []
+        self._seen, self._low, self._digit = None, "", False
+
+    def may_match(self, gate: tuple[str, ...], text: str | None = None) -> bool:
+        """A cheap test before a rule's pattern: whether the text holds what each of its matches holds."""
+        text = self.text if text is None else text
+        if text is not self._seen:
+            self._seen, self._low, self._digit = text, text.lower(), bool(rx(r"\d").search(text))
+        if gate[:1] == ("#",):
+            gate = gate[1:]
+            if not self._digit:
+                return False
+        return not gate or any(g in self._low for g in gate)
 
     def on(self, kind: str) -> bool:
         return self.types is None or kind in self.types
@@ -45,7 +57,7 @@ class State:
     def apply(self, rule: R.Rule, text: str | None = None) -> str:
         """The text (by default the state's) after a rule."""
         before = self.text if text is None else text
-        if not self.on(rule.type) or (rule.needs and not rule.needs(self.raw)):
+        if not self.on(rule.type) or not self.may_match(rule.gate, before) or (rule.needs and not rule.needs(self.raw)):
             return before
 
         def one(m):
@@ -81,7 +93,8 @@ def hide_urls(s: State) -> None:
         s.urls.append(url)
         return f"{_OPEN}{letters(len(s.urls) - 1)}{_CLOSE}{tail}"
 
-    s.text = rx(R.URL).sub(one, s.text)
+    if s.may_match(("http", "www.")):
+        s.text = rx(R.URL).sub(one, s.text)
 
 
 def show_urls(s: State) -> None:
@@ -196,13 +209,15 @@ def structured(s: State) -> None:
         mask = kind and struct_mask(s, kind, m[3])
         return f"{m[1]}{mask}{m[4]}" if mask else m.group()
 
+    if not s.may_match(("</", '"')):
+        return
     s.text = rx(r"(<([A-Za-z_][\w.-]{0,40})(?:\s[^<>]*)?>)([^<>\r\n]{1,70})(</\s*\2\s*>)").sub(one, s.text)
     s.text = rx(r'("([A-Za-z_][\w.-]{0,40})"\s*:\s*")([^"\r\n]{1,70})(")').sub(one, s.text)
 
 
 def logins(s: State) -> None:
     """Values after a login's label, then the same values wherever else they stand."""
-    if not s.on("LOGIN"):
+    if not s.on("LOGIN") or not s.may_match(("login", "user", "użytkownik")):
         return
     seen: dict[str, None] = {}
     before = s.text
@@ -245,13 +260,13 @@ def phone_lists(s: State) -> None:
         spaced = lambda n: n.group()[: len(n.group()) - len(n.group().lstrip())] + s.mask("TELEFON")
         return m[1] + m[2] + rx(R.PHONE_DIGITS).sub(spaced, m[3])
 
-    if s.on("TELEFON"):
+    if s.on("TELEFON") and s.may_match(("#",)):
         s.text = rx(R.PHONE_LISTS, True).sub(one, s.text)
 
 
 def plate_lists(s: State) -> None:
     """Number plates listed after a masked one."""
-    if not s.on("NR-REJESTRACYJNY"):
+    if not s.on("NR-REJESTRACYJNY") or s.masks["NR-REJESTRACYJNY"] not in s.text:
         return
     mask = s.masks["NR-REJESTRACYJNY"]
 
@@ -284,8 +299,12 @@ def redact_text(text, types: Iterable[str] | None = None, masks: Mapping[str, st
     for rule in R.NUMBERS_2:
         s.apply(rule)
     plate_lists(s)
-    for rule in (*R.POSTAL, *R.DATES, *R.ADDRESSES, R.untyped_address(s.masks["KOD-POCZTOWY"]), R.bare_postal(s.masks["ADRES"])):
+    for rule in (*R.POSTAL, *R.DATES, *R.ADDRESSES):
         s.apply(rule)
+    if s.masks["KOD-POCZTOWY"] in s.text:
+        s.apply(R.untyped_address(s.masks["KOD-POCZTOWY"]))
+    if s.masks["ADRES"] in s.text:
+        s.apply(R.bare_postal(s.masks["ADRES"]))
     if s.on("MIEJSCOWOSC"):
         Places(s).run()
     persons = Persons(s)
