@@ -180,50 +180,60 @@ def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
     return tuple(int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones)
 
 
-def wide_forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among rows (two words each): pairs of places (member, root)."""
+def wide_forest(x: np.ndarray, flip: np.ndarray, variant: int, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among rows (two words each) that are this variant's to find: pairs of places (member, root).
+
+    flip is the bit by which a row's piece differs from the variant, 0 if none. Pieces meet in up to 25 variants; the
+    least one (for equal pieces, their own) finds the link, so that a group of copies does not yield its links again
+    in every variant.
+    """
     out, left = [], np.arange(len(x))
     while left.size > 1:
         root, left = left[0], left[1:]
         todo = [root]
         while todo and left.size:
-            near = np.bitwise_count(x[left] ^ x[todo.pop()]).sum(axis=1) <= radius
+            y = todo.pop()
+            other = variant ^ flip[left] ^ flip[y]
+            near = (np.bitwise_count(x[left] ^ x[y]).sum(axis=1) <= radius) & np.where(flip[left] == flip[y], flip[left] == 0, variant < other)
             if near.any():
                 found, left = left[near], left[~near]
-                out += [(y, root) for y in found]
+                out += [(z, root) for z in found]
                 todo += list(found)
     return out
 
 
 def wide_linker(radius: int, run_max: int):
-    """A map over (key, a, b) sorted by key: edges (0, a, b, ra, rb); rows (1, key, a, b, 0) of runs too large to hold."""
+    """A map over (k, key, a, b) sorted by k: edges (0, a, b, ra, rb); rows (1, key, a, b, 0) of runs of k too large to hold."""
     names = ["kind", "p", "q", "r", "s"]
 
     def rows(kind, *cols):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
 
     def run(batches):
-        key, held, size, over = None, [], 0, False
+        now, key, held, size, over = None, 0, [], 0, False
 
         def close():
             if size > 1 and not over:
                 x = np.unique(np.concatenate(held), axis=0)
-                pairs = np.array(wide_forest(x, radius), np.int64).reshape(-1, 2)
+                word, at = _PIECES[key >> _WIDTH]
+                variant = key & ((1 << _WIDTH) - 1)
+                piece = ((x[:, word] >> np.uint64(at)) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
+                pairs = np.array(wide_forest(x, piece ^ variant, variant, radius), np.int64).reshape(-1, 2)
                 if len(pairs):
                     x = x.view(np.int64)
                     yield rows(0, x[pairs[:, 0], 0], x[pairs[:, 0], 1], x[pairs[:, 1], 0], x[pairs[:, 1], 1])
 
         for batch in batches:
-            k, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            k, keys, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(k):
                 continue
             x = np.stack([a, b], axis=1).view(np.uint64)
             cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
             for j in sorted({0, len(cuts) - 2, *np.flatnonzero(np.diff(cuts) > 1).tolist()}):
                 i, e = cuts[j], cuts[j + 1]
-                if k[i] != key:
+                if k[i] != now:
                     yield from close()
-                    key, held, size, over = k[i], [], 0, False
+                    now, key, held, size, over = k[i], int(keys[i]), [], 0, False
                 size += e - i
                 part = x[i:e].copy()
                 if not over:
@@ -260,7 +270,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     schema = "kind int, p long, q long, r long, s long"
 
     def linked(df: DataFrame, by: list[str], most: int) -> DataFrame:
-        return stash(df.repartition(*by).sortWithinPartitions(*by).select(F.xxhash64(*by).alias("k") if len(by) > 1 else F.col(by[0]).alias("k"), "a", "b").mapInArrow(wide_linker(radius, most), schema))
+        return stash(df.repartition(*by).sortWithinPartitions(*by).select(F.xxhash64(*by).alias("k") if len(by) > 1 else F.col(by[0]).alias("k"), "key", "a", "b").mapInArrow(wide_linker(radius, most), schema))
 
     met = linked(nodes.select(F.explode(F.array(*keys)).alias("key"), "a", "b"), ["key"], run_max)
     stash.free()
