@@ -148,3 +148,31 @@ def test_flagship(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test data")
     assert set(entry.entry(spark).columns) == {"lang", "type", "total"}
+
+
+def test_synthetic(spark):
+    from zaslona.sources import synthetic as S
+
+    g = S.mulberry32(1)
+    assert [round(next(g), 6) for _ in range(2)] == [0.627074, 0.002736]
+    tests = {"pesel": C.is_pesel, "nip": C.is_nip, "regon9": C.is_regon9, "regon14": C.is_regon14, "card": C.is_card, "dowod": C.is_dowod, "nrb": lambda v: C.is_iban("PL" + v)}
+    for kind, right in tests.items():
+        for r in S.numbers(spark.range(1, 40), "id", kind).collect():
+            assert right(r["value"]) == (r["id"] % 2 == 0), (kind, r)
+    assert S.flip_last_digit("19") == "10" and S.in_fours("123456") == "1234 56"
+
+
+def test_layers(spark):
+    from zaslona.operators.layers import redact_layers
+
+    df = spark.createDataFrame([(1, "PESEL 44051401359 Smith i Stone")], "id long, text string")
+    send = lambda url, body, *a: {"redacted": body["text"].replace("Smith", "[IMIĘ I NAZWISKO]")}
+    r = redact_layers(df, ner_url="http://x", ask=lambda t: ["Stone", "PESEL"], send=send).first()
+    assert r["redacted"] == "PESEL [PESEL] [IMIĘ I NAZWISKO] i [IMIĘ I NAZWISKO]"
+    assert [tuple(f) for f in r["found"]] == [("PESEL", 1), ("IMIE", 2)]
+
+    def broken(*a):
+        raise OSError
+
+    r = redact_layers(df, ner_url="http://y", ask=broken, send=broken).first()
+    assert r["redacted"] == "PESEL [PESEL] Smith i Stone"
