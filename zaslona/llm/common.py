@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,10 @@ class Stash:
 
     def free(self) -> None:
         """Let Spark delete the shuffle files of jobs that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first finds what is unused, the second what only that held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, df: DataFrame) -> None:
         """Forget a table that no later plan reads."""

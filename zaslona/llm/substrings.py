@@ -1,12 +1,14 @@
 """Exact removal of repeated 50-byte strings, by ranks of growing length over sampled positions.
 
 Prefix doubling ranks positions by strings of growing length and drops a position once its rank is unique. One row
-for each byte and round would be forty times the text, so three things keep it small, none of which changes a result:
+for each byte and round would be forty times the text, so four things keep it small, none of which changes a result:
 
 * Positions are sampled by content: of the 35 strings of 16 bytes within a string of 50, the one of least hash is its
   anchor. Equal strings have equal anchors, so only about one position in eighteen is ranked.
+* A text that a smaller id holds word for word loses all of it, if it has 50 bytes; only one document of each text goes
+  through the rounds.
 * Round 1 ranks anchors by their 16 bytes. Documents send these ranks to partitions of the rank space, packed by batch;
-  each partition sorts its ranks and sends back those that two documents share. All other anchors leave.
+  each partition sorts its ranks and sends back those that two texts share. All other anchors leave.
 * Round 2 ranks what is left by the pair of that rank and the rank of the 84 bytes around it, which hold every string
   of 50 with this anchor. An anchor whose pair a smaller document has is settled for all its strings. Of each other
   pair one representative goes, sorted by rank, to round 3, where its strings are ranked by the pair of their ranks of
@@ -115,7 +117,7 @@ def _pack(buckets: int):
 
 
 def _shared(batches):
-    """Of one partition's packed ranks those that two ids share: rows (id, text_hash, bucket, ranks)."""
+    """Of one partition's packed ranks those that two texts share: rows (id, text_hash, ranks)."""
     by_bucket: dict[int, list] = {}
     for batch in batches:
         for b, ids, hashes, counts, ranks in zip(*(c.to_pylist() for c in batch.columns)):
@@ -129,9 +131,9 @@ def _shared(batches):
         rank = (packed["f0"].astype(np.uint64) << np.uint64(32)) | packed["f1"]
         doc = np.repeat(np.arange(len(ids)), counts)
         order = np.argsort(rank, kind="stable")
-        sorted_rank, sorted_id = rank[order], ids[doc[order]]
+        sorted_rank, text = rank[order], hashes[doc[order]]
         start = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
-        many = np.minimum.reduceat(sorted_id, start) != np.maximum.reduceat(sorted_id, start)
+        many = np.minimum.reduceat(text, start) != np.maximum.reduceat(text, start)
         keep = np.zeros(len(rank), bool)
         keep[order] = np.repeat(many, np.diff(np.concatenate([start, [len(rank)]])))
         doc, packed = doc[keep], packed[keep]
@@ -257,8 +259,8 @@ def removed(raw: bytes, spots) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """Per document that loses bytes: id, text_hash, spots (array of struct<at, mask>)."""
+def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Per document that loses bytes: id, text_hash, spots (array of struct<at, mask>); and per text that several hold: text_hash, sha, low (the smallest id)."""
     spark = docs.sparkSession
     stash = Stash(spark)
     small_batches(spark)
@@ -268,7 +270,8 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd
     packed = src.mapInArrow(_pack(buckets), "bucket int, ids binary, hashes binary, counts binary, ranks binary")
     shared = stash(packed.repartition(buckets, "bucket").mapInArrow(_shared, "id long, text_hash long, ranks binary"))
     stash.free()
-    wanted = shared.groupBy("id", "text_hash").agg(F.collect_set("ranks").alias("ranks"))
+    first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
+    wanted = shared.join(first.select("id", "text_hash"), ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set("ranks").alias("ranks"))
     found = stash(src.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "text", "ranks").mapInArrow(_contexts, "id long, text_hash long, at long, rank long, around long, left int, right int, context binary"))
     stash.free()
     pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("context").alias("context")))
@@ -288,7 +291,8 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd
     own = masks.select("rank", "around", F.col("low").alias("least"), "mask")
     both = settled.join(own, ["rank", "around", "least"], "full_outer").select("rank", "around", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
     hit = found.select("id", "text_hash", "at", "rank", "around").join(both, ["rank", "around"]).select("id", "text_hash", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
-    return stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots")))
+    copies = first.where("high > id").select("text_hash", "sha", F.col("id").alias("low"))
+    return stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots"))), copies
 
 
 def digest(text: str | None, found) -> tuple[int, int, int, str]:
@@ -303,7 +307,7 @@ def digest(text: str | None, found) -> tuple[int, int, int, str]:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per document: the id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = spots(docs, id_col, text_col, crowd)
+    found, copies = spots(docs, id_col, text_col, crowd)
     small_batches(docs.sparkSession)
 
     def measure(batches):
@@ -313,5 +317,22 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crow
             got = list(zip(*[digest(t, s) for t, s in zip(texts, places)])) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(g, pa.int64()) for g in got[:3]), pa.array(got[3], pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
+    schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return src.join(found, ["id", "text_hash"], "left").select("id", "text", "spots").mapInArrow(measure, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own = src.join(found, ["id", "text_hash"], "left").select("id", "text", "spots", "text_hash").mapInArrow(_with_hashes(measure), schema + ", text_hash long, sha string")
+    # A copy of a smaller id's text loses all of it; this join moves no text.
+    whole = own.join(copies, ["text_hash", "sha"], "left").withColumn("all", F.coalesce(F.col(id_col) > F.col("low"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
+    pick = lambda c, other: F.when(F.col("all"), other).otherwise(F.col(c)).alias(c)
+    return whole.select(id_col, "n_bytes", pick("n_removed", F.col("n_bytes")), pick("n_spans", F.lit(1).cast("long")), pick("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
+
+
+def _with_hashes(measure):
+    """The measure's rows with the text's hashes."""
+
+    def run(batches):
+        for batch in batches:
+            sha = pa.array([None if t is None else hashlib.sha256(_bytes(t)).hexdigest() for t in batch.column(1).to_pylist()], pa.string())
+            for out in measure([batch]):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3), sha], names=[*out.schema.names, "text_hash", "sha"])
+
+    return run
