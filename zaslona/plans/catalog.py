@@ -208,13 +208,15 @@ def e_pivot(spark, sf_dir):
 
 # Tokens and intervals from order lines
 
-_TOKENS_SQL = "(select l_orderkey as doc_id, l_linenumber as ord, l_returnflag <> 'N' as person from lineitem)"
+# Line numbers repeat within an order here, so the order is made of more columns.
+_ORD = "cast(l_linenumber as bigint) * 1000000000000 + cast(l_partkey as bigint) * 100000 + l_suppkey"
+_TOKENS_SQL = f"(select l_orderkey as doc_id, {_ORD} as ord, l_returnflag <> 'N' as person from lineitem)"
 
 
 @query("n_group_tokens", f"""select doc_id, grp, count(*) as n, min(ord) as first_ord from (
-select *, cast(sum(case when person then 0 else 1 end) over (partition by doc_id order by ord) as bigint) as grp from {_TOKENS_SQL}) where person group by doc_id, grp""")
+select *, cast(sum(case when person then 0 else 1 end) over (partition by doc_id order by ord rows unbounded preceding) as bigint) as grp from {_TOKENS_SQL}) where person group by doc_id, grp""")
 def n_group_tokens(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "l_linenumber as ord", "l_returnflag <> 'N' as person")
+    df = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", f"{_ORD} as ord", "l_returnflag <> 'N' as person")
     return spans.token_groups(df, "doc_id", "ord", "person")
 
 
