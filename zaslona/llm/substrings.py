@@ -39,6 +39,8 @@ _SPAN = LENGTH - GRAM + 1  # places of the anchor in a string
 _LEFT, _RIGHT = _SPAN - 1, LENGTH  # what a context holds before the anchor, and from it on
 #: Representatives of one rank from which it is dealt out by string.
 CROWD = 4096
+#: So many crowded ranks are broadcast (8 bytes each); more are joined by a shuffle.
+CROWDS_SENT = 100_000
 _PIECE = 1 << 20
 _ROWS = 16384
 
@@ -89,7 +91,7 @@ _SHORT = np.dtype("u1,<u4")  # 40 bits of a rank
 
 
 def _pack(buckets: int):
-    """Batches of (id, hash, text) to rows (bucket, ids, hashes, counts, ranks): per bucket the packed short ranks of each document."""
+    """Batches of (doc, hash, text) to rows (bucket, docs, hashes, counts, ranks): per bucket the packed short ranks of each document."""
 
     def run(batches):
         for batch in batches:
@@ -111,13 +113,13 @@ def _pack(buckets: int):
                 docs, counts = np.unique(row[a:b], return_counts=True)
                 out.append((int(bucket[a]), ids[docs].astype(np.int64).tobytes(), hashes[docs].astype(np.int64).tobytes(), counts.astype(np.uint32).tobytes(), packed[a:b].tobytes()))
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ids", "hashes", "counts", "ranks"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "hashes", "counts", "ranks"])
 
     return run
 
 
 def _shared(batches):
-    """Of one partition's packed ranks those that two texts share: rows (id, text_hash, ranks)."""
+    """Of one partition's packed ranks those that two texts share: rows (doc, ranks)."""
     by_bucket: dict[int, list] = {}
     for batch in batches:
         for b, ids, hashes, counts, ranks in zip(*(c.to_pylist() for c in batch.columns)):
@@ -141,7 +143,7 @@ def _shared(batches):
             cuts = np.flatnonzero(np.diff(doc)) + 1
             firsts = np.concatenate([[0], cuts])
             blobs = [packed[x:y].tobytes() for x, y in zip(firsts, [*cuts, len(doc)])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[firsts]]), pa.array(hashes[doc[firsts]]), pa.array(blobs, pa.binary())], names=["id", "text_hash", "ranks"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[firsts]]), pa.array(blobs, pa.binary())], names=["doc", "ranks"])
 
 
 def _contexts(batches):
@@ -267,16 +269,20 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
 
-    packed = src.mapInArrow(_pack(buckets), "bucket int, ids binary, hashes binary, counts binary, ranks binary")
-    shared = stash(packed.repartition(buckets, "bucket").mapInArrow(_shared, "id long, text_hash long, ranks binary"))
+    # Round 1 names a document by one hash; two that share it would only rank more than they need.
+    doc = F.xxhash64("id", "text_hash").alias("doc")
+    packed = src.select(doc, "text_hash", "text").mapInArrow(_pack(buckets), "bucket int, docs binary, hashes binary, counts binary, ranks binary")
+    shared = stash(packed.repartition(buckets, "bucket").mapInArrow(_shared, "doc long, ranks binary"))
     stash.free()
     first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
-    wanted = shared.join(first.select("id", "text_hash"), ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set("ranks").alias("ranks"))
-    found = stash(src.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "text", "ranks").mapInArrow(_contexts, "id long, text_hash long, at long, rank long, around long, left int, right int, context binary"))
+    wanted = shared.groupBy("doc").agg(F.collect_set("ranks").alias("ranks")).join(first.select(doc), "doc", "left_semi")
+    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(_contexts, "id long, text_hash long, at long, rank long, around long, left int, right int, context binary"))
     stash.free()
     pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("context").alias("context")))
     stash.free()
-    crowds = pairs.groupBy("rank").count().where(F.col("count") > crowd).select("rank")
+    crowds = stash(pairs.groupBy("rank").count().where(F.col("count") > crowd).select("rank"))
+    if crowds.count() <= CROWDS_SENT:  # few as a rule; then contexts need no shuffle to be told apart
+        crowds = F.broadcast(crowds)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
     columns = ["rank", "around", "low", "left", "right", "context"]
     # A rank of one pair has nothing to compare with.
