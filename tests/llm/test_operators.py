@@ -196,6 +196,27 @@ def test_near_duplicates(spark, run_max):
     assert got == want
 
 
+@pytest.mark.parametrize("run_max", [1 << 20, 2])
+def test_near_duplicates_are_all_of_similarity_08(spark, run_max):
+    rng = random.Random(8)
+    texts = []
+    for n in (12, 40, 150, 300):
+        for _ in range(5):
+            words = prose(rng, n, 5000).split()
+            texts.append(" ".join(words))
+            for share in (0.02, 0.03, 0.04, 0.05, 0.06):
+                away = set(rng.sample(range(n), max(1, round(share * n))))
+                texts.append(" ".join(f"new{rng.randrange(10**6)}" if i in away else w for i, w in enumerate(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    close = lambda a, b: len(a & b) / len(a | b)
+    values = [close(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.75 <= x < 0.8 for x in values) > 5 < sum(0.8 <= x <= 0.85 for x in values)
+    want = roots(sets, lambda a, b: close(a, b) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df, run_max=run_max).collect()}
+    assert [got[i] for i in range(len(texts))] == [min(j for j, y in enumerate(want) if y == x) for x in want]
+
+
 def test_simhash_empty(empty):
     assert simhash.groups(empty).count() == 0
     assert simhash.similar(empty).count() == 0

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, components, small_batches
-from .runs import mixed
 
 #: Members of one variant that a task links in memory. Larger ones are dealt anew by balls over the other half.
 RUN_MAX = 1 << 20
@@ -153,137 +152,209 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return marked.join(named, "fp", "left").select(*marked.columns, "component_id")
 
 
-# Near duplicates by similarity. At a Jaccard similarity of 0.8 two texts' fingerprints differ in about an eighth of
-# their bits, far beyond a radius of five. The same balls then work on pieces: of six 24-bit pieces of a fingerprint
-# of 128 bits, one mostly differs in at most two bits, so linked fingerprints meet in a variant of a piece with at most
-# one bit flipped. What meets is verified on all 128 bits.
+# Near duplicates by exact similarity: the sets of word shingles of two texts have a Jaccard similarity of 0.8 or more.
+# Shingles have one total order, those rare in a sample of the documents first. Of two such sets the beginnings (a
+# fifth of each, and one more) share a shingle in any order, so only beginnings are shuffled. What meets at a shingle
+# and can still reach 0.8 by size and place is a pair; the whole sets of each chain of pairs are brought together, in
+# pairs of blocks where they are many, and linked there. So are the sets that begin with one shingle where these are
+# more than ``CROWD``, and their pairs never become rows. The sample only changes the order and so the cost, not the
+# result.
 
-WIDE_RADIUS = 22
-_PIECES = ((0, 0), (0, 20), (0, 40), (1, 0), (1, 20), (1, 40))
-_WIDTH = 24
+CROWD = 16
+SETS_MAX = 2048
+_SAMPLE, _SAMPLED = 32, 200_000
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
-    """Two unsigned SimHashes of a text's word shingles, the second of the hashes mixed anew."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, in order; a text shorter than a shingle is one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words)))
     starts, k = [0, *ends[:-1]], min(shingle, len(words))
-    ends, n, digest = ends[k - 1 :], len(words) - k + 1, xxhash.xxh64_digest
-    ones = np.zeros((2, 64), np.int64)
-    for i in range(0, n, _BLOCK):
-        first = np.frombuffer(b"".join([digest(flat[a : b - 1], 42) for a, b in zip(starts[i : i + _BLOCK], ends[i : i + _BLOCK])]), np.uint64)
-        for j, h in enumerate((first, mixed(first ^ np.uint64(0x5851F42D4C957F2D)))):
-            ones[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return tuple(int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones)
-
-
-def wide_forest(x: np.ndarray, flip: np.ndarray, variant: int, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among rows (two words each) that are this variant's to find: pairs of places (member, root).
-
-    flip is the bit by which a row's piece differs from the variant, 0 if none. Pieces meet in up to 25 variants; the
-    least one (for equal pieces, their own) finds the link, so that a group of copies does not yield its links again
-    in every variant.
-    """
-    out, left = [], np.arange(len(x))
-    while left.size > 1:
-        root, left = left[0], left[1:]
-        todo = [root]
-        while todo and left.size:
-            y = todo.pop()
-            other = variant ^ flip[left] ^ flip[y]
-            near = (np.bitwise_count(x[left] ^ x[y]).sum(axis=1) <= radius) & np.where(flip[left] == flip[y], flip[left] == 0, variant < other)
-            if near.any():
-                found, left = left[near], left[~near]
-                out += [(z, root) for z in found]
-                todo += list(found)
+    ends, digest = ends[k - 1 :], xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(flat[a : b - 1], 42) for a, b in zip(starts, ends)]), np.uint64))
+
+
+def enough(shared, n, m):
+    """Whether sets of n and m members that share so many have a similarity of 0.8 or more."""
+    return 9 * shared >= 4 * (n + m)
+
+
+def beginning(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first members of a set that a set as like as 0.8 cannot all lack; common is sorted and has counts."""
+    n = len(s)
+    if not n:
+        return s
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rank = np.where(common[at] == s, counts[at], 0)
+    return s[np.lexsort((s, rank))][: n - (4 * n + 4) // 5 + 1]
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the links among sets: pairs of places (member, root)."""
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    cuts = np.cumsum(size)[:-1]
+    own = np.split(flat, cuts)
+    out, left, todo, root = [], np.arange(len(sets)), [], -1
+    mark = np.zeros(len(words), np.int32)
+    while left.size:
+        if not todo:
+            root, left = left[0], left[1:]
+            todo, starts = [root], None
+            if not left.size:
+                break
+        if starts is None:
+            rows = np.concatenate([own[i] for i in left])
+            starts = np.concatenate([[0], np.cumsum(size[left])[:-1]])
+        y = todo.pop()
+        mark[own[y]] = 1
+        near = enough(np.add.reduceat(mark[rows], starts), size[left], size[y])
+        mark[own[y]] = 0
+        if near.any():
+            found, left, starts = left[near], left[~near], None
+            out += [(z, root) for z in found]
+            todo += list(found)
     return out
 
 
-def wide_linker(radius: int, run_max: int):
-    """A map over (k, key, a, b) sorted by k: edges (0, a, b, ra, rb); rows (1, key, a, b, 0) of runs of k too large to hold."""
-    names = ["kind", "p", "q", "r", "s"]
+def _links(kind: int, a: np.ndarray, b: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["kind", "a", "b"])
 
-    def rows(kind, *cols):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=names)
+
+def meet(crowd: int):
+    """A map over (key, node, n, at) sorted by key: pairs (0, node, node) that may link; rows (1, key, node) of keys with more than crowd nodes."""
 
     def run(batches):
-        now, key, held, size, over = None, 0, [], 0, False
+        held, over = np.zeros((4, 0), np.int64), None
 
-        def close():
-            if size > 1 and not over:
-                x = np.unique(np.concatenate(held), axis=0)
-                word, at = _PIECES[key >> _WIDTH]
-                variant = key & ((1 << _WIDTH) - 1)
-                piece = ((x[:, word] >> np.uint64(at)) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
-                pairs = np.array(wide_forest(x, piece ^ variant, variant, radius), np.int64).reshape(-1, 2)
-                if len(pairs):
-                    x = x.view(np.int64)
-                    yield rows(0, x[pairs[:, 0], 0], x[pairs[:, 0], 1], x[pairs[:, 1], 0], x[pairs[:, 1], 1])
+        def pairs(x):
+            for s in range(1, crowd):
+                p, q = x[:, :-s], x[:, s:]
+                bound = np.minimum(p[2] - p[3], q[2] - q[3])
+                ok = (p[0] == q[0]) & enough(bound, p[2], q[2])
+                if ok.any():
+                    yield _links(0, np.maximum(p[1], q[1])[ok], np.minimum(p[1], q[1])[ok])
 
         for batch in batches:
-            k, keys, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(k):
+            if not batch.num_rows:
                 continue
-            x = np.stack([a, b], axis=1).view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-            for j in sorted({0, len(cuts) - 2, *np.flatnonzero(np.diff(cuts) > 1).tolist()}):
-                i, e = cuts[j], cuts[j + 1]
-                if k[i] != now:
-                    yield from close()
-                    now, key, held, size, over = k[i], int(keys[i]), [], 0, False
-                size += e - i
-                part = x[i:e].copy()
-                if not over:
-                    held.append(part)
-                    if size <= run_max:
-                        continue
-                    over, part, held = True, np.concatenate(held), []
-                part = part.view(np.int64)
-                yield rows(1, np.full(len(part), key, np.int64), part[:, 0], part[:, 1], np.zeros(len(part), np.int64))
-        yield from close()
+            x = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            if over is not None:
+                more = x[0] == over
+                if more.any():
+                    yield _links(1, x[0, more], x[1, more])
+                    x = x[:, ~more]
+                if x.shape[1]:
+                    over = None
+                else:
+                    held = x
+                    continue
+            cuts = np.flatnonzero(np.diff(x[0])) + 1
+            sizes = np.diff(np.concatenate([[0], cuts, [x.shape[1]]]))
+            each = np.repeat(sizes, sizes)
+            full = each > crowd
+            if full.any():
+                yield _links(1, x[0, full], x[1, full])
+            last = x.shape[1] - sizes[-1]
+            held = x[:, :0]
+            if sizes[-1] > crowd:
+                over = x[0, -1]
+            else:
+                held = x[:, last:].copy()
+                full[last:] = True
+            few = ~full & (each > 1)
+            yield from pairs(x[:, few])
+        yield from pairs(held)
 
     return run
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS, run_max: int = RUN_MAX) -> DataFrame:
+def gathered(batches):
+    """A map over (key, x, y, node, tokens) sorted by the first three: links (0, member, root) among the sets of each."""
+    now, nodes, sets = None, [], []
+
+    def close():
+        if len(nodes) > 1:
+            p = np.array(alike(sets), np.int64).reshape(-1, 2)
+            if len(p):
+                at = np.array(nodes, np.int64)
+                yield _links(0, at[p[:, 0]], at[p[:, 1]])
+
+    for batch in batches:
+        keys, nums, tokens = list(zip(*(c.to_pylist() for c in batch.columns[:3]))), batch.column(3).to_pylist(), batch.column(4)
+        for i, k in enumerate(keys):
+            if k != now:
+                yield from close()
+                now, nodes, sets = k, [], []
+            nodes.append(nums[i])
+            sets.append(tokens[i].values.to_numpy().view(np.uint64))
+    yield from close()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, run_max: int = SETS_MAX) -> DataFrame:
     """One row per document: the id, text_hash and component_id, the smallest id among its near duplicates' chain."""
     spark = docs.sparkSession
     stash = Stash(spark)
     small_batches(spark)
+    import pandas as pd
 
-    @F.pandas_udf("struct<a long, b long>")
-    def wide(texts):
-        import pandas as pd
-
-        return pd.DataFrame(np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
 
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = stash(docs.select(F.col(id_col).alias("id"), text_hash.alias("text_hash"), wide(F.col(text_col)).alias("f")).select("id", "text_hash", "f.a", "f.b"))
-    nodes = stash(marked.groupBy("a", "b").agg(F.min("id").alias("low")))
-    small_batches(spark, 65536)
-    flips = [0, *(1 << i for i in range(_WIDTH))]
-    cut = lambda w, at: F.shiftrightunsigned("ab"[w], at).bitwiseAND(F.lit((1 << _WIDTH) - 1))
-    keys = [cut(w, at).bitwiseXOR(F.lit(m).cast("long")) + F.lit(i << _WIDTH) for i, (w, at) in enumerate(_PIECES) for m in flips]
-    schema = "kind int, p long, q long, r long, s long"
+    @F.pandas_udf("array<long>")
+    def tokens(texts):
+        return pd.Series([shingles(t, shingle).view(np.int64) for t in texts], dtype=object)
 
-    def linked(df: DataFrame, by: list[str], most: int) -> DataFrame:
-        return stash(df.repartition(*by).sortWithinPartitions(*by).select(F.xxhash64(*by).alias("k") if len(by) > 1 else F.col(by[0]).alias("k"), "key", "a", "b").mapInArrow(wide_linker(radius, most), schema))
+    seen = src.where(F.pmod("text_hash", F.lit(_SAMPLE)) == 0).dropDuplicates(["text_hash"]).select(F.explode(tokens("text")).alias("t")).groupBy("t").count().where("count > 1")
+    often = seen.orderBy(F.desc("count"), "t").limit(_SAMPLED).collect()
+    common = np.array([r[0] for r in often], np.int64).view(np.uint64)
+    counts = np.array([r[1] for r in often], np.int64)
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
 
-    met = linked(nodes.select(F.explode(F.array(*keys)).alias("key"), "a", "b"), ["key"], run_max)
+    def begun(batches):
+        for batch in batches:
+            every = [shingles(t, shingle) for t in batch.column(2).to_pylist()]
+            first = [beginning(s, common, counts).view(np.int64) for s in every]
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in every], np.uint64).view(np.int64)
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *first]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in every], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "text_hash", "node", "n", "first"])
+
+    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(begun, "id long, text_hash long, node long, n long, first array<long>"))
+    # Sets are told apart by a 64-bit hash; the one with the smallest id stands for its copies.
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
+    nodes = stash(marked.groupBy("node").agg(best, F.first("n").alias("n"), F.first("first").alias("first")).select("node", "best.id", "best.text_hash", "n", "first"))
+    small_batches(spark, 65536)
+    schema = "kind int, a long, b long"
+    begins = nodes.select(F.posexplode("first").alias("at", "key"), "node", "n").select("key", "node", "n", F.col("at").cast("long").alias("at"))
+    met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), schema))
+    stash.free()
+    pairs = stash(met.where("kind = 0").select("a", "b").distinct())
+    crowd = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    small_batches(spark)
+    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(crowd.select("node")).distinct()
+    who = nodes.join(need, "node").select("node", F.col("id").alias("who_id"), F.col("text_hash").alias("who_hash"))
+    held = src.join(who, F.col("id").cast("long").eqNullSafe(F.col("who_id")) & (F.col("text_hash") == F.col("who_hash")))
+    sets = stash(held.dropDuplicates(["node"]).select("node", tokens("text").alias("tokens")))
+    # The sets of a chain of pairs are brought together once, not for every pair.
+    chains = components(pairs.toDF("u", "v"), stash)
+    group = chains.select(F.col("root").alias("key"), F.col("u").alias("node")).unionAll(chains.select("root", "root").distinct()).unionAll(crowd)
+    # Blocks of a large group are dealt out in pairs: any two sets share a pair, and no task holds more than two blocks.
+    n = group.groupBy("key").agg(F.ceil(F.count("*") / run_max).cast("int").alias("n"))
+    block = group.join(n, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = block.select("key", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("p"))
+    by = ["key", "x", "y"]
+    stash.free()
+    full = dealt.select("key", "p.x", "p.y", "node").join(sets, "node").select(*by, "node", "tokens")
+    found = stash(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(gathered, schema).select(F.col("a").alias("u"), F.col("b").alias("v")))
     stash.free()
-    edge = lambda df: df.where("kind = 0").select(F.struct(F.col("p").alias("a"), F.col("q").alias("b")).alias("u"), F.struct(F.col("r").alias("a"), F.col("s").alias("b")).alias("v"))
-    found, crowd = edge(met), met.where("kind = 1").select(F.col("p").alias("key"), F.col("q").alias("a"), F.col("r").alias("b"))
-    if not crowd.isEmpty():
-        # A crowded variant is dealt out by pairs of blocks: any two members share a pair, and no task holds more than two blocks.
-        n = crowd.groupBy("key").agg(F.ceil(F.count("*") / run_max).cast("int").alias("n"))
-        block = crowd.join(n, "key").withColumn("i", F.pmod(F.xxhash64("a", "b"), F.col("n")).cast("int"))
-        dealt = block.select("key", "a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("p"))
-        found = found.unionAll(edge(linked(dealt.select("key", "p.x", "p.y", "a", "b"), ["key", "x", "y"], 1 << 62)))
     roots = components(found, stash)
-    owned = nodes.join(roots, F.struct("a", "b") == roots.u, "left").select("a", "b", "low", F.coalesce("root", F.struct("a", "b")).alias("root"))
-    lowest = owned.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = owned.join(lowest, "root").select("a", "b", "component_id")
-    return marked.join(named, ["a", "b"], "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    owned = nodes.join(roots, nodes.node == roots.u, "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    lowest = owned.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = owned.join(lowest, "root").select("node", "component_id")
+    return marked.join(named, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
