@@ -398,6 +398,24 @@ def test_licenses(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_licenses_are_named(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = {
+        "Released under the Apache License": "apache",
+        "a film released under the title of the book": "",
+        "so it was Released under the MIT License. And more": "mit",
+        cc.format(""): "cc-by",
+        cc.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        cc.format("-ShareAlike"): "cc-by-sa",
+        cc.format("-NonCommercial"): "cc-by-nc",
+        "Licensed under CC BY-NC-ND 4.0.": "cc-by,cc-by-nc-nd",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+    }
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == list(texts.values())
+
+
 # 9
 
 

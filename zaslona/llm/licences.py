@@ -3,7 +3,8 @@
 Every run of ``k`` words of every text is hashed and joined with the positions of the same runs in the license
 templates. A hit votes for its diagonal, the offset between document and template. Diagonals are aggregated, those
 within ``slack`` of each other and overlapping in the document are merged into a span, and a span is verified by
-aligning its words with the template's: it counts if the aligned share of the template reaches ``least``.
+aligning its words with the template's: it counts if the aligned share of the template reaches ``least`` (0.8 for
+templates of fewer than 12 words), its naming words are aligned and it names no restriction that the label lacks.
 
 The base labels are phrases that stand in the text word for word. The templates are a fixed library of a few hundred
 words, so their positions are broadcast.
@@ -50,8 +51,31 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("reserved", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
 ]
 
+# Words without which a notice is not that license's, where its template has them.
+NAMING = {
+    "apache": (b"apache",),
+    "cc": (b"creative", b"commons", b"attribution", b"by"),
+    "gpl": (b"gnu", b"general"),
+    "lgpl": (b"gnu", b"lesser"),
+    "mit": (b"mit",),
+    "mpl": (b"mozilla",),
+}
+# Words of the restricting parts of Creative Commons names.
+RESTRICTING = {"nc": (b"nc", b"noncommercial"), "nd": (b"nd", b"noderivatives", b"noderivs"), "sa": (b"sa", b"sharealike")}
+RESTRICTIONS = frozenset(w for words in RESTRICTING.values() for w in words)
+#: Templates of fewer words must stand in a higher share.
+SHORT, LEAST_SHORT = 12, 0.8
+
 _WORD = bytes([*range(48, 58), *range(97, 123), *range(128, 256)])
 _KINDS = classes(words=_WORD)
 _TO_WORDS = bytes(b if b in _WORD else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -116,10 +140,22 @@ def template_words() -> list[list[bytes]]:
     return [flat(text).split() for _, text in TEMPLATES]
 
 
-def aligned(words: list[bytes], template: list[bytes]) -> float:
-    """The share of a template whose words stand in order in a span."""
+def naming(label: str, template: list[bytes]) -> set[bytes]:
+    """The words of a template that tell its license from others."""
+    return {*NAMING.get(label.split("-")[0], ()), *RESTRICTIONS} & set(template)
+
+
+def aligned(words: list[bytes], template: list[bytes], needed: set[bytes] = frozenset()) -> float:
+    """The share of a template whose words stand in order in a span; 0 where a needed one does not."""
     blocks = SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks) / len(template)
+    met = {w for b in blocks for w in template[b.b : b.b + b.size]}
+    return sum(b.size for b in blocks) / len(template) if met >= needed else 0.0
+
+
+def foreign(label: str, words: list[bytes]) -> bool:
+    """Whether words name a restriction that a Creative Commons label lacks."""
+    own = {w for x in label.split("-") for w in RESTRICTING.get(x, ())}
+    return label.startswith("cc-by") and not RESTRICTIONS.isdisjoint(set(words) - own)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, slack: int = 3, least: float = 0.6) -> DataFrame:
@@ -166,9 +202,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
                 words, good = flat(text).split(), []
                 for c in claim:
                     t = templates[c["template"]]
-                    share = aligned(words[c["first"] : c["last"]], t)
-                    if share >= least:
-                        good.append({"label": TEMPLATES[c["template"]][0], "first": c["first"], "last": c["last"], "share": share})
+                    label = TEMPLATES[c["template"]][0]
+                    share = aligned(words[c["first"] : c["last"]], t, naming(label, t))
+                    if share >= (max(least, LEAST_SHORT) if len(t) < SHORT else least) and not foreign(label, words[c["first"] : c["last"] + 1]):
+                        good.append({"label": label, "first": c["first"], "last": c["last"], "share": share})
                 out.append(sorted(good, key=lambda s: (s["first"], s["last"], s["label"], s["share"])))
             kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(out, kind)], names=["id", "text_hash", "spans"])
