@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Documents average a few kB but may be megabytes, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes that a step takes at once. Documents average a few kB but may be megabytes, so both stay small.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         named = _fallback.setdefault("dir", tempfile.mkdtemp(prefix="zaslona-"))
     return named.rstrip("/")
 
@@ -63,8 +67,19 @@ class Stash:
             _remove(self.spark, path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(run: Callable, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Callable:
+    """A map over Arrow batches that gets them in slices of at most so many rows, and of about so many bytes where rows are long.
+
+    Spark's own batches follow the session's settings, which stay as the caller has them.
+    """
+
+    def slices(batches):
+        for b in batches:
+            step = max(1, min(rows, size * b.num_rows // max(b.nbytes, 1)))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+
+    return lambda batches: run(slices(batches))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

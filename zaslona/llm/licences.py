@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches
+from .common import Stash, sliced
 from .runs import classes, hashes, mixed
 
 # The phrases of the base labels.
@@ -161,10 +161,9 @@ def foreign(label: str, words: list[bytes]) -> bool:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, slack: int = 3, least: float = 0.6) -> DataFrame:
     """One row per document: the id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans (array of struct<label, first, last, share>)."""
     spark = docs.sparkSession
-    small_batches(spark)
     stash = Stash(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    hashed = src.mapInArrow(_hashed(k), "id long, text_hash long, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<long>")
+    hashed = src.mapInArrow(sliced(_hashed(k)), "id long, text_hash long, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<long>")
 
     rows = []
     for t, words in enumerate(template_words()):
@@ -212,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     same = F.expr("id <=> claim_id and text_hash = claim_hash")
     named = claims.select(F.col("id").alias("claim_id"), F.col("text_hash").alias("claim_hash"), "claims")
-    checked = src.join(named, same).select("id", "text_hash", "text", "claims").mapInArrow(verify, "id long, text_hash long, spans array<struct<label string, first long, last long, share double>>").groupBy("id", "text_hash").agg(F.first("spans").alias("spans"))
+    checked = src.join(named, same).select("id", "text_hash", "text", "claims").mapInArrow(sliced(verify), "id long, text_hash long, spans array<struct<label string, first long, last long, share double>>").groupBy("id", "text_hash").agg(F.first("spans").alias("spans"))
     checked = checked.select(F.col("id").alias("claim_id"), F.col("text_hash").alias("claim_hash"), "spans")
     full = facts.join(checked, same, "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<label string, first long, last long, share double>>)")))
     best = F.coalesce(F.array_max(F.col("spans.share")), F.lit(0.0))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches
+from .common import Stash, sliced
 
 _DIGIT = re.compile(r"[0-9]")
 #: Lines from this many tokens on have generalised templates; the fields of shorter ones would be no wider than a word.
@@ -70,10 +70,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """The documents with recurring lines dropped, and n_lines and n_dropped (long)."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    small_batches(spark)
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
-    parsed = stash(src.where("text is not null and id is not null").mapInArrow(_parse(depth, min_tokens), "id long, text_hash long, line_no int, key long"))
+    parsed = stash(src.where("text is not null and id is not null").mapInArrow(sliced(_parse(depth, min_tokens)), "id long, text_hash long, line_no int, key long"))
     recurring = parsed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
     dropped = parsed.join(recurring, "key").where("id > low").groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("__gone"))
 

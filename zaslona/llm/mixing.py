@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches
+from .common import Stash, sliced
 
 #: Slots of each predictor's table; powers of two.
 SLOTS = (1 << 14, 1 << 17, 1 << 20, 1 << 21, 1 << 22)
@@ -338,8 +338,7 @@ def fit(model: Model, counts: DataFrame, passes: int = PASSES) -> None:
                 flat = total.ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "x"])
 
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_AT_ONCE))
-        rows = counts.select("unit", "n").mapInArrow(slopes, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        rows = counts.select("unit", "n").mapInArrow(sliced(slopes, _AT_ONCE), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         if rows:
             flat = np.zeros(GATES * len(SLOTS) * (len(SLOTS) + 1))
             for r in rows:
@@ -426,10 +425,9 @@ def _reader(shared, model_name: str):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    small_batches(spark)
     stash = Stash(spark)
     src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    seen_units = stash(src.where("not held_out").select("text").mapInArrow(_count, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    seen_units = stash(src.where("not held_out").select("text").mapInArrow(sliced(_count), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     stash.free()
     n_train = src.where("not held_out").count()
     white = F.hex(F.substring("unit", -1, 1)).isin("20", "09", "0A", "0B", "0C", "0D")
@@ -439,15 +437,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     n_all, n_kinds = words + n_train, kinds + (n_train > 0)
     common = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()}
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_AT_ONCE))
-    model = Model(summed(seen_units.mapInArrow(_tabulate, "segment int, salt int, sums binary")))
+    model = Model(summed(seen_units.mapInArrow(sliced(_tabulate, _AT_ONCE), "segment int, salt int, sums binary")))
     fit(model, seen_units)
     model.tables = []
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((common, model))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, nats double, rare array<struct<word: binary, m: bigint>>"
-    done = stash(src.mapInArrow(_reader(shared, uuid.uuid4().hex), schema).withColumn("row", F.monotonically_increasing_id()))
+    done = stash(src.mapInArrow(sliced(_reader(shared, uuid.uuid4().hex)), schema).withColumn("row", F.monotonically_increasing_id()))
     stash.free()
     asked = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m")
     met = asked.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_rare"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_part"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches
+from .common import BATCH_ROWS, Stash, sliced
 from .runs import classes, hashes
 
 BUCKETS, DIM = 1 << 14, 32
@@ -93,7 +93,7 @@ def _add(batches):
 def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
     """The table of word vectors (BUCKETS x DIM, 2 MB): centred, of unit length."""
     schema = "segment int, salt int, sums binary"
-    part = docs.select(text_col).mapInArrow(_count, schema)
+    part = docs.select(text_col).mapInArrow(sliced(_count), schema)
     salted = part.repartition("segment", "salt").mapInArrow(_add, schema)
     rows = salted.withColumn("salt", F.lit(0)).repartition(_SEGMENTS, "segment").mapInArrow(_add, schema).collect()
     table = np.zeros((_SEGMENTS, BUCKETS // _SEGMENTS * DIM))
@@ -173,13 +173,12 @@ def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     import pandas as pd
 
     spark = docs.sparkSession
-    small_batches(spark)
     stash = Stash(spark)
     table = spark.sparkContext.broadcast(word_vectors(docs, text_col))
 
     @F.pandas_udf("binary")
     def features(texts):
-        return pd.Series([pooled(t, table.value).tobytes() for t in tokens(list(texts))], dtype=object)
+        return pd.Series([pooled(t, table.value).tobytes() for i in range(0, len(texts), BATCH_ROWS) for t in tokens(list(texts[i : i + BATCH_ROWS]))], dtype=object)
 
     keep = [c for c in (columns if columns is not None else docs.columns) if c not in ("held_out", "score", "__pool")]
     pools = stash(docs.select(*keep, features(F.col(text_col)).alias("__pool")))

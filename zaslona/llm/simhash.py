@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, components, small_batches
+from .common import Stash, components, sliced
 
 #: Members of one variant that a task links in memory. Larger ones are dealt anew by balls over the other half.
 RUN_MAX = 1 << 20
@@ -45,7 +45,6 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str, shingle: int, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and fp, a signed long."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts):
@@ -118,7 +117,6 @@ def edges(fps: DataFrame, stash: Stash, radius: int = 4, run_max: int = RUN_MAX)
     """Edges (u, v) among distinct fingerprints fp whose components are those of all links."""
     if not 0 <= radius <= 5:
         raise ValueError("radius must be 0 to 5")
-    small_batches(fps.sparkSession, 65536)
     hi, lo = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     flips = [0, *(1 << i for i in range(32))]
     keys = [hi.bitwiseXOR(F.lit(m).cast("long")) for m in flips] + [lo.bitwiseXOR(F.lit(m).cast("long")) + F.lit(1 << 32) for m in flips]
@@ -300,7 +298,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """One row per document: the id, text_hash and component_id, the smallest id among its near duplicates' chain."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    small_batches(spark)
     import pandas as pd
 
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
@@ -325,18 +322,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *first]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in every], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "text_hash", "node", "n", "first"])
 
-    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(begun, "id long, text_hash long, node long, n long, first array<long>"))
+    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(sliced(begun), "id long, text_hash long, node long, n long, first array<long>"))
     # Sets are told apart by a 64-bit hash; the one with the smallest id stands for its copies.
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
     nodes = stash(marked.groupBy("node").agg(best, F.first("n").alias("n"), F.first("first").alias("first")).select("node", "best.id", "best.text_hash", "n", "first"))
-    small_batches(spark, 65536)
     schema = "kind int, a long, b long"
     begins = nodes.select(F.posexplode("first").alias("at", "key"), "node", "n").select("key", "node", "n", F.col("at").cast("long").alias("at"))
     met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), schema))
     stash.free()
     pairs = stash(met.where("kind = 0").select("a", "b").distinct())
     crowd = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    small_batches(spark)
     need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(crowd.select("node")).distinct()
     who = nodes.join(need, "node").select("node", F.col("id").alias("who_id"), F.col("text_hash").alias("who_hash"))
     held = src.join(who, F.col("id").cast("long").eqNullSafe(F.col("who_id")) & (F.col("text_hash") == F.col("who_hash")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches
+from .common import Stash, sliced
 from .runs import _M, _powers, mixed
 
 LENGTH, GRAM = 50, 16
@@ -265,29 +265,27 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd
     """Per document that loses bytes: id, text_hash, spots (array of struct<at, mask>); and per text that several hold: text_hash, sha, low (the smallest id)."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    small_batches(spark)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
 
     # Round 1 names a document by one hash; two that share it would only rank more than they need.
     doc = F.xxhash64("id", "text_hash").alias("doc")
-    packed = src.select(doc, "text_hash", "text").mapInArrow(_pack(buckets), "bucket int, docs binary, hashes binary, counts binary, ranks binary")
+    packed = src.select(doc, "text_hash", "text").mapInArrow(sliced(_pack(buckets)), "bucket int, docs binary, hashes binary, counts binary, ranks binary")
     shared = stash(packed.repartition(buckets, "bucket").mapInArrow(_shared, "doc long, ranks binary"))
     stash.free()
     first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
     wanted = shared.groupBy("doc").agg(F.collect_set("ranks").alias("ranks")).join(first.select(doc), "doc", "left_semi")
-    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(_contexts, "id long, text_hash long, at long, rank long, around long, left int, right int, context binary"))
+    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_contexts), "id long, text_hash long, at long, rank long, around long, left int, right int, context binary"))
     stash.free()
     pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("context").alias("context")))
     stash.free()
     crowds = stash(pairs.groupBy("rank").count().where(F.col("count") > crowd).select("rank"))
     if crowds.count() <= CROWDS_SENT:  # few as a rule; then contexts need no shuffle to be told apart
         crowds = F.broadcast(crowds)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
     columns = ["rank", "around", "low", "left", "right", "context"]
     # A rank of one pair has nothing to compare with.
-    calm = pairs.select(columns).join(crowds, "rank", "left_anti").repartition("rank").sortWithinPartitions("rank").mapInArrow(_compare, "rank long, around long, low long, mask long")
-    strings = stash(pairs.select(columns).join(crowds, "rank", "left_semi").select(columns).mapInArrow(_apart, "rank long, around long, low long, o int, h long"))
+    calm = pairs.select(columns).join(crowds, "rank", "left_anti").repartition("rank").sortWithinPartitions("rank").mapInArrow(sliced(_compare, _ROWS), "rank long, around long, low long, mask long")
+    strings = stash(pairs.select(columns).join(crowds, "rank", "left_semi").select(columns).mapInArrow(sliced(_apart, _ROWS), "rank long, around long, low long, o int, h long"))
     least = strings.groupBy("h").agg(F.min("low").alias("least"))
     crowded = strings.join(least, "h").where("least < low").groupBy("rank", "around", "low").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
     masks = stash(calm.where("mask <> 0").unionByName(crowded))
@@ -314,7 +312,6 @@ def digest(text: str | None, found) -> tuple[int, int, int, str]:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per document: the id, n_bytes, n_removed, n_spans, kept_sha256."""
     found, copies = spots(docs, id_col, text_col, crowd)
-    small_batches(docs.sparkSession)
 
     def measure(batches):
         for batch in batches:
@@ -325,7 +322,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crow
 
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    own = src.join(found, ["id", "text_hash"], "left").select("id", "text", "spots", "text_hash").mapInArrow(_with_hashes(measure), schema + ", text_hash long, sha string")
+    own = src.join(found, ["id", "text_hash"], "left").select("id", "text", "spots", "text_hash").mapInArrow(sliced(_with_hashes(measure)), schema + ", text_hash long, sha string")
     # A copy of a smaller id's text loses all of it; this join moves no text.
     whole = own.join(copies, ["text_hash", "sha"], "left").withColumn("all", F.coalesce(F.col(id_col) > F.col("low"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
     pick = lambda c, other: F.when(F.col("all"), other).otherwise(F.col(c)).alias(c)

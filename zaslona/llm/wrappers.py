@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, small_batches
+from .common import Stash, sliced
 
 DEEP = 100
 #: Pages a host needs before text that they share counts as its furniture.
@@ -294,9 +294,8 @@ def _host_column(url):
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per host: host, wrapper (JSON), pages."""
-    small_batches(pages.sparkSession)
     schema = "host string, salt int, wrapper string, pages long"
-    first = pages.select(_host_column(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(_infer, schema)
+    first = pages.select(_host_column(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(sliced(_infer), schema)
     order = ["host", "salt", "wrapper"]
     salted = first.repartition("host", "salt").sortWithinPartitions(*order).mapInArrow(_join, schema)
     return salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host", "pages", "wrapper").mapInArrow(_join, schema).select("host", "wrapper", "pages")
