@@ -461,7 +461,7 @@ def test_pieces_equal_the_library_on_the_same_scores():
 @pytest.mark.parametrize("shard", [8192, 16])
 def test_exact_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 32)
     rng = random.Random(10)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)] if i % 7 else [0.5] * 8) for i in range(150)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (220, [0.25] * 3), (None, [1.0] * 8), (240, []), (50, rows[50][1])]
