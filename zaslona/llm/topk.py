@@ -33,7 +33,7 @@ from .common import Stash
 SHARD_ROWS, BLOCK_VALUES = 4096, 1 << 22
 #: Candidates that give the first floors. Any number gives right results.
 SAMPLE_ROWS = 2048
-_TOGETHER, _PROBE = 512, 8
+_TOGETHER, _PROBE, _FEW = 512, 8, 64
 _LEAST = {np.float32: -(2**24), np.float64: -(2**53), np.int64: -(2**62)}
 _FOUND = "query_id long, query_hash long, vec_id long, score long"
 
@@ -73,19 +73,30 @@ def competing(q: np.ndarray, x: np.ndarray, floor: np.ndarray) -> tuple[np.ndarr
     tail = np.cumsum(span[:, order[::-1]], axis=1)[:, ::-1]
     rest = np.concatenate([tail, np.zeros((len(q), 1), q.dtype)], axis=1)
     dim = len(order)
-    essential = int((least[:, None] + rest >= floor[:, None]).sum(axis=1).max())  # rest falls: the terms up to here can decide
-    lead, t = order[:essential], min(essential, dim)
+    # rest falls with t: the terms before this place are essential to some query, no later one is to any.
+    t = min(dim, int((least[:, None] + rest >= floor[:, None]).sum(axis=1).max()))
+    lead, most = order[:t], q.shape[0] * x.shape[0] // _FEW
     got = q[:, lead] @ x[:, lead].T
-    made += got.size * t
     got += (least - base[:, lead].sum(axis=1))[:, None]
-    pair_q, pair_x = np.nonzero(got + rest[:, t][:, None] >= floor[:, None])
+    made += got.size * t
+    # While most pairs compete, the next terms are cheaper for all of them together.
+    while True:
+        live = got >= (floor - rest[:, t])[:, None]
+        if t == dim or np.count_nonzero(live) <= most:
+            break
+        terms = order[t : t + _PROBE]
+        t += len(terms)
+        got += q[:, terms] @ x[:, terms].T
+        got -= base[:, terms].sum(axis=1)[:, None]
+        made += got.size * len(terms)
+    pair_q, pair_x = np.nonzero(live)
     score = got[pair_q, pair_x]
     while t < dim and len(pair_q):
         terms = order[t : t + _PROBE]
         t += len(terms)
-        score = score + np.einsum("ij,ij->i", q[pair_q][:, terms], x[pair_x][:, terms]) - base[:, terms].sum(axis=1)[pair_q]
+        score = score + np.einsum("ij,ij->i", q[:, terms][pair_q], x[:, terms][pair_x]) - base[:, terms].sum(axis=1)[pair_q]
         made += len(pair_q) * len(terms)
-        live = score + rest[pair_q, t] >= floor[pair_q]
+        live = score >= (floor - rest[:, t])[pair_q]
         pair_q, pair_x, score = pair_q[live], pair_x[live], score[live]
     return able[pair_q], pair_x, score, made
 
