@@ -316,9 +316,10 @@ def slow_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("crowd", [4096, 2])
-def test_repeated_strings(docs, empty, crowd):
-    got = Counter(tuple(r) for r in substrings.report(docs, crowd=crowd).collect())
+@pytest.mark.parametrize("block", [4096, 3])
+def test_repeated_strings(docs, empty, monkeypatch, block):
+    monkeypatch.setattr(substrings, "_ROWS", block)
+    got = Counter(tuple(r) for r in substrings.report(docs).collect())
     assert got == slow_removal(plain(docs)) and any(k[2] for k in got)
     assert substrings.report(empty).count() == 0
 

@@ -45,11 +45,18 @@ class Stash:
         self.n = 0
         atexit.register(_remove, spark, self.root)
 
-    def __call__(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def __call__(self, df: DataFrame, partition_by: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
+        """The table as written. Python steps on the way get small batches, for the time of the write only."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(batch_rows))
+        try:
+            writer = df.write.option("compression", "zstd")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._zaslona_path = path
         return out

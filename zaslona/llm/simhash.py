@@ -122,7 +122,7 @@ def edges(fps: DataFrame, stash: Stash, radius: int = 4, run_max: int = RUN_MAX)
     keys = [hi.bitwiseXOR(F.lit(m).cast("long")) for m in flips] + [lo.bitwiseXOR(F.lit(m).cast("long")) + F.lit(1 << 32) for m in flips]
 
     def linked(df: DataFrame, most: int) -> DataFrame:
-        return stash(df.repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius, most), "kind int, a long, b long"))
+        return stash(df.repartition("key").sortWithinPartitions("key").mapInArrow(linker(radius, most), "kind int, a long, b long"), batch_rows=65536)
 
     first = linked(fps.select(F.explode(F.array(*keys)).alias("key"), "fp"), run_max)
     found = first.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -328,7 +328,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     nodes = stash(marked.groupBy("node").agg(best, F.first("n").alias("n"), F.first("first").alias("first")).select("node", "best.id", "best.text_hash", "n", "first"))
     schema = "kind int, a long, b long"
     begins = nodes.select(F.posexplode("first").alias("at", "key"), "node", "n").select("key", "node", "n", F.col("at").cast("long").alias("at"))
-    met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), schema))
+    met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), schema), batch_rows=65536)
     stash.free()
     pairs = stash(met.where("kind = 0").select("a", "b").distinct())
     crowd = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))

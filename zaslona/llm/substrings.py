@@ -9,11 +9,15 @@ for each byte and round would be forty times the text, so four things keep it sm
   through the rounds.
 * Round 1 ranks anchors by their 16 bytes. Documents send these ranks to partitions of the rank space, packed by batch;
   each partition sorts its ranks and sends back those that two texts share. All other anchors leave.
-* Round 2 ranks what is left by the pair of that rank and the rank of the 84 bytes around it, which hold every string
-  of 50 with this anchor. An anchor whose pair a smaller document has is settled for all its strings. Of each other
-  pair one representative goes, sorted by rank, to round 3, where its strings are ranked by the pair of their ranks of
-  25 bytes at offsets 0 and 25 and compared with those of the same anchor. A rank with very many representatives is
-  dealt out by string instead.
+* What is left is ranked by the pair of that rank and the rank of the 84 bytes around it, which hold every string of 50
+  with this anchor. An anchor whose pair a smaller document has is settled for all its strings. Of each other pair one
+  representative goes on.
+* Round 2 doubles the length: the strings of an anchor fall into two sides, whose strings share 34 and 33 bytes, and a
+  side leaves whose longer rank no other document has.
+* Round 3 sorts what is left by longer rank and id over all tasks, and ranks the strings by the pair of their ranks of
+  25 bytes at offsets 0 and 25. Rows are taken in blocks of fixed size. Strings of a group that ends within a block are
+  settled there; those of the groups at a block's two ends are settled by an aggregate over all blocks, whatever the
+  size of the group, so none ever has to be held by one task.
 
 Ranks are 64-bit hashes (pairs: 128 bits) in place of ordinals, which would need all rows in one order.
 
@@ -37,12 +41,12 @@ LENGTH, GRAM = 50, 16
 _HALF = LENGTH // 2
 _SPAN = LENGTH - GRAM + 1  # places of the anchor in a string
 _LEFT, _RIGHT = _SPAN - 1, LENGTH  # what a context holds before the anchor, and from it on
-#: Representatives of one rank from which it is dealt out by string.
-CROWD = 4096
-#: So many crowded ranks are broadcast (8 bytes each); more are joined by a shuffle.
-CROWDS_SENT = 100_000
+#: The strings of an anchor, by where they start before it, in two halves.
+SIDES = ((0, _SPAN // 2 - 1), (_SPAN // 2, _SPAN - 1))
+#: Bytes of text for which there is one bucket of ranks, if the session has fewer shuffle partitions.
+BUCKET_BYTES = 1 << 27
 _PIECE = 1 << 20
-_ROWS = 16384
+_ROWS = 4096
 
 
 def _rolling(buf: np.ndarray, width: int) -> np.ndarray:
@@ -147,10 +151,11 @@ def _shared(batches):
 
 
 def _contexts(batches):
-    """Texts with their shared ranks to rows (id, text_hash, at, rank, around, left, right, context), one for each surviving anchor."""
+    """Texts with their shared ranks to rows (id, text_hash, at, rank, around, left, right, long0, long1, context), one for each surviving anchor;
+    long0 and long1 rank the bytes that the strings of a side share, null where the text does not hold them."""
     for batch in batches:
         ids, hashes, texts, ranks = (c.to_pylist() for c in batch.columns)
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(10)]
         for d, h, text, blobs in zip(ids, hashes, texts, ranks):
             raw = _bytes(text)
             at, rank = anchors(raw)
@@ -170,82 +175,87 @@ def _contexts(batches):
                 powers = _powers(_LEFT + _RIGHT)[0][: _LEFT + _RIGHT]
                 around = ((whole.astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64)
                 around = mixed(around * np.uint64(_M) + (left * 64 + right).astype(np.uint64))
-                for col, x in zip(cols, (np.full(len(a), d, np.int64), np.full(len(a), h, np.int64), a, rank[i : i + _ROWS].view(np.int64), around.view(np.int64), left, right)):
+                sums, longer = _prefix_sums(whole), []
+                for x, y in (common(*s) for s in SIDES):
+                    longer += [_between(sums, x, y).view(np.int64), (left < _LEFT - x) | (right < y - _LEFT)]
+                for col, x in zip(cols, (np.full(len(a), d, np.int64), np.full(len(a), h, np.int64), a, rank[i : i + _ROWS].view(np.int64), around.view(np.int64), left, right, longer[::2], longer[1::2], whole)):
                     col.append(x)
-                cols[7].append(whole)
         if cols[0]:
-            arrays = [np.concatenate(c) for c in cols]
-            flat = arrays[7].tobytes()
+            arrays = [np.concatenate(c) for c in cols[:7]]
+            longer = [pa.array(np.concatenate([x[i] for x in cols[7]]), mask=np.concatenate([x[i] for x in cols[8]])) for i in range(len(SIDES))]
+            flat = np.concatenate(cols[9]).tobytes()
             w = _LEFT + _RIGHT
             blobs = pa.Array.from_buffers(pa.binary(), len(arrays[0]), [None, pa.py_buffer((np.arange(len(arrays[0]) + 1) * w).astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:5]), *(pa.array(x.astype(np.int32)) for x in arrays[5:7]), blobs], names=["id", "text_hash", "at", "rank", "around", "left", "right", "context"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:5]), *(pa.array(x.astype(np.int32)) for x in arrays[5:7]), *longer, blobs], names=["id", "text_hash", "at", "rank", "around", "left", "right", "long0", "long1", "context"])
 
 
-def _strings(context: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the strings of each context, and which of them lie in the text. String o starts o bytes before the anchor."""
+def _prefix_sums(context: np.ndarray) -> np.ndarray:
     n, w = context.shape
-    up, down = _powers(w + 1)
     c = np.zeros((n, w + 1), np.uint64)
-    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * up[:w], axis=1, out=c[:, 1:])
-    half = mixed((c[:, _HALF:] - c[:, :-_HALF]) * down[: w - _HALF + 1])  # ranks of 25 bytes
-    start = _LEFT - np.arange(_SPAN)
-    pair = mixed(half[:, start] * np.uint64(_M) + half[:, start + _HALF])
-    o = np.arange(_SPAN)
-    return pair, (o <= left[:, None]) & (LENGTH - o <= right[:, None])
+    np.cumsum((context.astype(np.uint64) + np.uint64(1)) * _powers(w + 1)[0][:w], axis=1, out=c[:, 1:])
+    return c
 
 
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _LEFT + _RIGHT)
 
 
-def _compare(batches):
-    """Rows (rank, around, low, left, right, context) sorted by rank to (rank, around, low, mask): bit o is set if a smaller id has string o."""
-    held, key = [], None
+def _between(sums: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Hashes of bytes a to b of every context."""
+    return mixed((sums[:, b] - sums[:, a]) * _powers(b + 1)[1][a])
+
+
+def common(low: int, high: int) -> tuple[int, int]:
+    """The bytes of a context that strings ``low`` to ``high`` share."""
+    return _LEFT - low, _LEFT - high + LENGTH
+
+
+def _strings(side: int, sums: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and rank of the strings of one side of each context."""
+    rows, places, ranks = [], [], []
+    for o in range(SIDES[side][0], SIDES[side][1] + 1):
+        a, b = common(o, o)
+        there = np.flatnonzero((left >= o) & (right >= LENGTH - o))
+        # Both halves of the string, ranked apart, are the rank of the whole.
+        h = mixed(_between(sums, a, a + _HALF) * np.uint64(_M) + _between(sums, a + _HALF, b))
+        rows.append(there)
+        places.append(np.full(len(there), o, np.int64))
+        ranks.append(h[there])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(ranks)
 
-    def settle(parts):
-        rank, around, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        pair, there = _strings(np.concatenate([p[5] for p in parts]), np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]))
-        row, o = np.nonzero(there)
-        h, d = pair[row, o], low[row]
-        order = np.argsort(h, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
-        bits = np.zeros(len(rank), np.int64)
-        if len(h):
-            least = np.empty(len(h), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(d[order], start), np.diff(np.concatenate([start, [len(h)]])))
-            again = least < d
-            np.bitwise_or.at(bits, row[again], np.int64(1) << o[again].astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(rank), pa.array(around), pa.array(low), pa.array(bits)], names=["rank", "around", "low", "mask"])
 
+def _settle(batches):
+    """Rows (longer, side, low, rank, around, left, right, context) sorted by the first and third to rows (kind, rank, around, low, bits, h).
+
+    Kind 0: bit o of bits is set if a smaller id of the same batch has string o. Kind 1: a string, at place ``bits``,
+    that may also stand in another batch, because its group reaches an end of this one.
+    """
     for batch in batches:
-        if not batch.num_rows:
+        group, side, low, rank, around, left, right = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:7])
+        sums, parts = _prefix_sums(_matrix(batch.column(7))), []
+        for s in range(len(SIDES)):
+            of = np.flatnonzero(side == s)
+            r, o, h = _strings(s, sums[of], left[of], right[of])
+            parts.append((of[r], o, h))
+        row, o, h = (np.concatenate(c) for c in zip(*parts))
+        if not len(row):
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]] + [_matrix(batch.column(5))]
-        # All rows of a rank are settled together; the last of a batch may go on.
-        cut = int(np.searchsorted(cols[0], cols[0][-1])) if cols[0][0] != cols[0][-1] else 0
-        if cut or (key is not None and cols[0][0] != key):
-            head = [c[:cut] for c in cols]
-            if held and cut == 0:
-                yield settle(held)
-                held = []
-            elif cut:
-                held.append(head)
-                if sum(len(p[0]) for p in held):
-                    yield settle(held)
-                held = []
-        held.append([c[cut:] for c in cols])
-        key = cols[0][-1]
-    if held:
-        yield settle(held)
-
-
-def _apart(batches):
-    """Crowded representatives as rows of strings: (rank, around, low, o, h)."""
-    for batch in batches:
-        rank, around, low, left, right = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
-        pair, there = _strings(_matrix(batch.column(5)), left, right)
-        row, o = np.nonzero(there)
-        yield pa.RecordBatch.from_arrays([pa.array(rank[row]), pa.array(around[row]), pa.array(low[row]), pa.array(o.astype(np.int32)), pa.array(pair[row, o].view(np.int64))], names=["rank", "around", "low", "o", "h"])
+        number = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
+        key = mixed(h * np.uint64(_M) + (number[row] * 64 + o).astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        least = np.empty(len(row), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(low[row][order], start), np.diff(np.concatenate([start, [len(row)]])))
+        again = least < low[row]
+        bits = np.zeros(len(rank), np.int64)
+        np.bitwise_or.at(bits, row[again], np.int64(1) << o[again])
+        hit = np.flatnonzero(bits)
+        ends = (number[row] == 0) | (number[row] == number[-1])
+        over = np.flatnonzero(ends & ~again)
+        kind = np.concatenate([np.zeros(len(hit), np.int32), np.ones(len(over), np.int32)])
+        at = np.concatenate([hit, row[over]])
+        cols = (kind, rank[at], around[at], low[at], np.concatenate([bits[hit], o[over]]), np.concatenate([np.zeros(len(hit), np.int64), h[over].view(np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "rank", "around", "low", "bits", "h"])
 
 
 def removed(raw: bytes, spots) -> np.ndarray:
@@ -261,13 +271,14 @@ def removed(raw: bytes, spots) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per document that loses bytes: id, text_hash, spots (array of struct<at, mask>); and per text that several hold: text_hash, sha, low (the smallest id)."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH)
 
+    # A bucket of ranks is held by one task, so their number follows the bytes of text.
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), (src.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0) // BUCKET_BYTES)
     # Round 1 names a document by one hash; two that share it would only rank more than they need.
     doc = F.xxhash64("id", "text_hash").alias("doc")
     packed = src.select(doc, "text_hash", "text").mapInArrow(sliced(_pack(buckets)), "bucket int, docs binary, hashes binary, counts binary, ranks binary")
@@ -275,21 +286,26 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd
     stash.free()
     first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
     wanted = shared.groupBy("doc").agg(F.collect_set("ranks").alias("ranks")).join(first.select(doc), "doc", "left_semi")
-    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_contexts), "id long, text_hash long, at long, rank long, around long, left int, right int, context binary"))
+    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_contexts), "id long, text_hash long, at long, rank long, around long, left int, right int, long0 long, long1 long, context binary"))
+    stash.free()
+    pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), *(F.first(c).alias(c) for c in ("left", "right", "long0", "long1", "context"))))
     stash.free()
-    pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("context").alias("context")))
+    # Round 2 of the doubling: 34 and 33 bytes, those that the strings of one side of the anchor share.
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.xxhash64("rank", F.lit(i), f"long{i}").alias("longer"), F.col(f"long{i}").isNotNull().alias("there")) for i in range(len(SIDES))])
+    longer = pairs.select("rank", "around", "low", F.explode(sides).alias("s")).where("s.there").select("rank", "around", "low", "s.side", "s.longer")
+    again = longer.groupBy("longer").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("longer")
+    left_over = longer.join(again, "longer").groupBy("rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides"))
+    # Round 3: all strings, next to those that share the longer rank.
+    columns = ["low", "rank", "around", "left", "right", "context"]
+    near = stash(pairs.select(columns).join(left_over, ["rank", "around"]).select(F.explode("sides").alias("s"), *columns).select("s.longer", "s.side", *columns))
     stash.free()
-    crowds = stash(pairs.groupBy("rank").count().where(F.col("count") > crowd).select("rank"))
-    if crowds.count() <= CROWDS_SENT:  # few as a rule; then contexts need no shuffle to be told apart
-        crowds = F.broadcast(crowds)
-    columns = ["rank", "around", "low", "left", "right", "context"]
-    # A rank of one pair has nothing to compare with.
-    calm = pairs.select(columns).join(crowds, "rank", "left_anti").repartition("rank").sortWithinPartitions("rank").mapInArrow(sliced(_compare, _ROWS), "rank long, around long, low long, mask long")
-    strings = stash(pairs.select(columns).join(crowds, "rank", "left_semi").select(columns).mapInArrow(sliced(_apart, _ROWS), "rank long, around long, low long, o int, h long"))
-    least = strings.groupBy("h").agg(F.min("low").alias("least"))
-    crowded = strings.join(least, "h").where("least < low").groupBy("rank", "around", "low").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
-    masks = stash(calm.where("mask <> 0").unionByName(crowded))
+    settled = stash(near.repartitionByRange("longer", "low", "rank", "around").sortWithinPartitions("longer", "low").mapInArrow(sliced(_settle, _ROWS), "kind int, rank long, around long, low long, bits long, h long"), batch_rows=_ROWS)
     stash.free()
+    stash.drop(near)
+    strings = settled.where("kind = 1").select("rank", "around", "low", F.col("bits").alias("o"), "h")
+    least = strings.groupBy("rank", "o", "h").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").drop("most")
+    crossing = strings.join(least, ["rank", "o", "h"]).where("least < low").select("rank", "around", "low", F.expr("shiftleft(1L, cast(o as int))").alias("bits"))
+    masks = settled.where("kind = 0").select("rank", "around", "low", "bits").unionAll(crossing).groupBy("rank", "around", "low").agg(F.bit_or("bits").alias("mask"))
     every = F.lit((1 << _SPAN) - 1)
     settled = pairs.where("high > low").select("rank", "around", F.col("low").alias("least"), F.lit(1).alias("full"))
     own = masks.select("rank", "around", F.col("low").alias("least"), "mask")
@@ -309,9 +325,9 @@ def digest(text: str | None, found) -> tuple[int, int, int, str]:
     return len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found, copies = spots(docs, id_col, text_col, crowd)
+    found, copies = spots(docs, id_col, text_col)
 
     def measure(batches):
         for batch in batches:
