@@ -288,17 +288,24 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     wanted = shared.groupBy("doc").agg(F.collect_set("ranks").alias("ranks")).join(first.select(doc), "doc", "left_semi")
     found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_contexts), "id long, text_hash long, at long, rank long, around long, left int, right int, long0 long, long1 long, context binary"))
     stash.free()
+    stash.drop(shared)
     pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), *(F.first(c).alias(c) for c in ("left", "right", "long0", "long1", "context"))))
     stash.free()
+    # From here on a place is known by its ranks alone, and only representatives carry their context.
+    places = stash(found.select("id", "text_hash", "at", "rank", "around"))
+    stash.drop(found)
+    known = stash(pairs.where("high > low").select("rank", "around", F.col("low").alias("least"), F.lit(1).alias("full")))
     # Round 2 of the doubling: 34 and 33 bytes, those that the strings of one side of the anchor share.
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.xxhash64("rank", F.lit(i), f"long{i}").alias("longer"), F.col(f"long{i}").isNotNull().alias("there")) for i in range(len(SIDES))])
     longer = pairs.select("rank", "around", "low", F.explode(sides).alias("s")).where("s.there").select("rank", "around", "low", "s.side", "s.longer")
     again = longer.groupBy("longer").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("longer")
-    left_over = longer.join(again, "longer").groupBy("rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides"))
+    left_over = stash(longer.join(again, "longer").groupBy("rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides")))
+    stash.free()
     # Round 3: all strings, next to those that share the longer rank.
     columns = ["low", "rank", "around", "left", "right", "context"]
     near = stash(pairs.select(columns).join(left_over, ["rank", "around"]).select(F.explode("sides").alias("s"), *columns).select("s.longer", "s.side", *columns))
     stash.free()
+    stash.drop(pairs)
     settled = stash(near.repartitionByRange("longer", "low", "rank", "around").sortWithinPartitions("longer", "low").mapInArrow(sliced(_settle, _ROWS), "kind int, rank long, around long, low long, bits long, h long"), batch_rows=_ROWS)
     stash.free()
     stash.drop(near)
@@ -307,10 +314,9 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     crossing = strings.join(least, ["rank", "o", "h"]).where("least < low").select("rank", "around", "low", F.expr("shiftleft(1L, cast(o as int))").alias("bits"))
     masks = settled.where("kind = 0").select("rank", "around", "low", "bits").unionAll(crossing).groupBy("rank", "around", "low").agg(F.bit_or("bits").alias("mask"))
     every = F.lit((1 << _SPAN) - 1)
-    settled = pairs.where("high > low").select("rank", "around", F.col("low").alias("least"), F.lit(1).alias("full"))
     own = masks.select("rank", "around", F.col("low").alias("least"), "mask")
-    both = settled.join(own, ["rank", "around", "least"], "full_outer").select("rank", "around", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
-    hit = found.select("id", "text_hash", "at", "rank", "around").join(both, ["rank", "around"]).select("id", "text_hash", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    both = known.join(own, ["rank", "around", "least"], "full_outer").select("rank", "around", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
+    hit = places.join(both, ["rank", "around"]).select("id", "text_hash", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     copies = first.where("high > id").select("text_hash", "sha", F.col("id").alias("low"))
     return stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots"))), copies
 
