@@ -150,43 +150,77 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[doc[firsts]]), pa.array(blobs, pa.binary())], names=["doc", "ranks"])
 
 
-def _contexts(batches):
-    """Texts with their shared ranks to rows (id, text_hash, at, rank, around, left, right, long0, long1, context), one for each surviving anchor;
-    long0 and long1 rank the bytes that the strings of a side share, null where the text does not hold them."""
+def _survivors(batches):
+    """Texts with their shared ranks to rows (id, text_hash, at, rank, around, long0, long1), one for each surviving anchor.
+
+    around ranks the bytes of its context and how many of them lie in the text; long0 and long1 rank the bytes that the
+    strings of a side share, null where the text does not hold them.
+    """
     for batch in batches:
         ids, hashes, texts, ranks = (c.to_pylist() for c in batch.columns)
-        cols: list[list] = [[] for _ in range(10)]
+        cols: list[list] = [[] for _ in range(9)]
         for d, h, text, blobs in zip(ids, hashes, texts, ranks):
             raw = _bytes(text)
-            at, rank = anchors(raw)
+            every, rank = anchors(raw)
             packed = np.frombuffer(b"".join(blobs), _SHORT)
             wanted = (packed["f0"].astype(np.uint64) << np.uint64(32)) | packed["f1"]
             keep = np.isin(rank >> np.uint64(24), wanted)
-            at, rank = at[keep], rank[keep]
-            for i in range(0, len(at), _ROWS):
-                a = at[i : i + _ROWS]
-                # A context may reach beyond the text: what it lacks is zero and counted in left and right.
-                begin, end = max(0, int(a[0]) - _LEFT), min(len(raw), int(a[-1]) + _RIGHT)
-                buf = np.concatenate([np.zeros(_LEFT, np.uint8), np.frombuffer(raw, np.uint8, end - begin, begin), np.zeros(_RIGHT, np.uint8)])
-                whole = np.lib.stride_tricks.sliding_window_view(buf, _LEFT + _RIGHT)[a - begin]
-                left, right = np.minimum(a, _LEFT), np.minimum(len(raw) - a, _RIGHT)
-                mask = np.arange(_LEFT + _RIGHT)
-                whole = np.where((mask >= (_LEFT - left)[:, None]) & (mask < (_LEFT + right)[:, None]), whole, 0).astype(np.uint8)
-                powers = _powers(_LEFT + _RIGHT)[0][: _LEFT + _RIGHT]
-                around = ((whole.astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64)
-                around = mixed(around * np.uint64(_M) + (left * 64 + right).astype(np.uint64))
-                sums, longer = _prefix_sums(whole), []
-                for x, y in (common(*s) for s in SIDES):
-                    longer += [_between(sums, x, y).view(np.int64), (left < _LEFT - x) | (right < y - _LEFT)]
-                for col, x in zip(cols, (np.full(len(a), d, np.int64), np.full(len(a), h, np.int64), a, rank[i : i + _ROWS].view(np.int64), around.view(np.int64), left, right, longer[::2], longer[1::2], whole)):
+            every, rank = every[keep], rank[keep]
+            for i in range(0, len(raw), _PIECE):
+                of = slice(*np.searchsorted(every, (i, i + _PIECE)))
+                at = every[of]
+                if not len(at):
+                    continue
+                begin = max(0, i - _LEFT)
+                buf = np.frombuffer(raw, np.uint8, min(len(raw), i + _PIECE + _RIGHT) - begin, begin)
+                up, down = _powers(len(buf) + 1)
+                c = np.zeros(len(buf) + 1, np.uint64)
+                np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=c[1:])
+                left, right = np.minimum(at, _LEFT), np.minimum(len(raw) - at, _RIGHT)
+
+                def ranked(back, ahead):
+                    s, e = at - back - begin, at + ahead - begin
+                    there = (s >= 0) & (e < len(c))
+                    s, e = np.where(there, s, 0), np.where(there, e, 0)
+                    return mixed((c[e] - c[s]) * down[s]), there
+
+                around = mixed(ranked(left, right)[0] * np.uint64(_M) + (left * 64 + right).astype(np.uint64))
+                for col, x in zip(cols, (np.full(len(at), d, np.int64), np.full(len(at), h, np.int64), at, rank[of].view(np.int64), around.view(np.int64))):
                     col.append(x)
+                for k, (first, last) in enumerate(SIDES):
+                    value, there = ranked(first, LENGTH - last)
+                    cols[5 + 2 * k].append(value.view(np.int64))
+                    cols[6 + 2 * k].append(~there)
         if cols[0]:
-            arrays = [np.concatenate(c) for c in cols[:7]]
-            longer = [pa.array(np.concatenate([x[i] for x in cols[7]]), mask=np.concatenate([x[i] for x in cols[8]])) for i in range(len(SIDES))]
-            flat = np.concatenate(cols[9]).tobytes()
-            w = _LEFT + _RIGHT
-            blobs = pa.Array.from_buffers(pa.binary(), len(arrays[0]), [None, pa.py_buffer((np.arange(len(arrays[0]) + 1) * w).astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:5]), *(pa.array(x.astype(np.int32)) for x in arrays[5:7]), *longer, blobs], names=["id", "text_hash", "at", "rank", "around", "left", "right", "long0", "long1", "context"])
+            arrays = [np.concatenate(c) for c in cols]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in arrays[:5]), pa.array(arrays[5], mask=arrays[6]), pa.array(arrays[7], mask=arrays[8])], names=["id", "text_hash", "at", "rank", "around", "long0", "long1"])
+
+
+def _contexts(batches):
+    """Texts with places (at, rank, around, sides) to rows (longer, side, low, rank, around, left, right, context)."""
+    width, mask = _LEFT + _RIGHT, np.arange(_LEFT + _RIGHT)
+    for batch in batches:
+        ids, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        for r, (d, text) in enumerate(zip(ids, texts)):
+            raw, own = _bytes(text), places[r].values
+            at, rank, around, sides = (own.field(n) for n in ("at", "rank", "around", "sides"))
+            size = np.array([len(x) for x in sides])
+            row, at = np.repeat(np.arange(len(size)), size), at.to_numpy()
+            flat = sides.flatten()
+            side, longer = flat.field("side").to_numpy(), flat.field("longer").to_numpy()
+            for i in range(0, len(row), _ROWS):
+                of = row[i : i + _ROWS]
+                a = at[of]
+                # A context may reach beyond the text: what it lacks is zero and counted in left and right.
+                begin, end = max(0, int(a.min()) - _LEFT), min(len(raw), int(a.max()) + _RIGHT)
+                whole = np.zeros((len(a), width), np.uint8)
+                buf = np.frombuffer(raw, np.uint8, end - begin, begin)
+                left, right = np.minimum(a, _LEFT), np.minimum(len(raw) - a, _RIGHT)
+                inside = (mask >= (_LEFT - left)[:, None]) & (mask < (_LEFT + right)[:, None])
+                whole[inside] = buf[((a - _LEFT - begin)[:, None] + mask)[inside]]
+                blobs = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * width).astype(np.int32)), pa.py_buffer(whole.tobytes())])
+                take = pa.array(of)
+                yield pa.RecordBatch.from_arrays([pa.array(longer[i : i + _ROWS]), pa.array(side[i : i + _ROWS]), pa.array(np.full(len(a), d, np.int64)), rank.take(take), around.take(take), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), blobs], names=["longer", "side", "low", "rank", "around", "left", "right", "context"])
 
 
 def _prefix_sums(context: np.ndarray) -> np.ndarray:
@@ -286,26 +320,24 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     stash.free()
     first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
     wanted = shared.groupBy("doc").agg(F.collect_set("ranks").alias("ranks")).join(first.select(doc), "doc", "left_semi")
-    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_contexts), "id long, text_hash long, at long, rank long, around long, left int, right int, long0 long, long1 long, context binary"))
+    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_survivors), "id long, text_hash long, at long, rank long, around long, long0 long, long1 long"))
     stash.free()
     stash.drop(shared)
-    pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), *(F.first(c).alias(c) for c in ("left", "right", "long0", "long1", "context"))))
+    # Of each pair the smallest id, and a place where it has it.
+    of_least = [F.min_by(c, "id").alias(c) for c in ("text_hash", "at")]
+    pairs = stash(found.groupBy("rank", "around").agg(F.min("id").alias("low"), F.max("id").alias("high"), *of_least, *(F.first(c).alias(c) for c in ("long0", "long1"))))
     stash.free()
-    # From here on a place is known by its ranks alone, and only representatives carry their context.
-    places = stash(found.select("id", "text_hash", "at", "rank", "around"))
-    stash.drop(found)
-    known = stash(pairs.where("high > low").select("rank", "around", F.col("low").alias("least"), F.lit(1).alias("full")))
     # Round 2 of the doubling: 34 and 33 bytes, those that the strings of one side of the anchor share.
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.xxhash64("rank", F.lit(i), f"long{i}").alias("longer"), F.col(f"long{i}").isNotNull().alias("there")) for i in range(len(SIDES))])
-    longer = pairs.select("rank", "around", "low", F.explode(sides).alias("s")).where("s.there").select("rank", "around", "low", "s.side", "s.longer")
+    longer = pairs.select("rank", "around", "low", "text_hash", "at", F.explode(sides).alias("s")).where("s.there").select("rank", "around", "low", "text_hash", "at", "s.side", "s.longer")
     again = longer.groupBy("longer").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("longer")
-    left_over = stash(longer.join(again, "longer").groupBy("rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides")))
+    left_over = longer.join(again, "longer").groupBy("low", "text_hash", "at", "rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides"))
+    asked = stash(left_over.groupBy(F.col("low").alias("id"), "text_hash").agg(F.collect_list(F.struct("at", "rank", "around", "sides")).alias("places")))
     stash.free()
     # Round 3: all strings, next to those that share the longer rank.
-    columns = ["low", "rank", "around", "left", "right", "context"]
-    near = stash(pairs.select(columns).join(left_over, ["rank", "around"]).select(F.explode("sides").alias("s"), *columns).select("s.longer", "s.side", *columns))
+    near = stash(src.join(asked, ["id", "text_hash"]).select("id", "text", "places").mapInArrow(sliced(_contexts), "longer long, side int, low long, rank long, around long, left int, right int, context binary"))
     stash.free()
-    stash.drop(pairs)
+    stash.drop(asked)
     settled = stash(near.repartitionByRange("longer", "low", "rank", "around").sortWithinPartitions("longer", "low").mapInArrow(sliced(_settle, _ROWS), "kind int, rank long, around long, low long, bits long, h long"), batch_rows=_ROWS)
     stash.free()
     stash.drop(near)
@@ -315,8 +347,9 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     masks = settled.where("kind = 0").select("rank", "around", "low", "bits").unionAll(crossing).groupBy("rank", "around", "low").agg(F.bit_or("bits").alias("mask"))
     every = F.lit((1 << _SPAN) - 1)
     own = masks.select("rank", "around", F.col("low").alias("least"), "mask")
+    known = pairs.where("high > low").select("rank", "around", F.col("low").alias("least"), F.lit(1).alias("full"))
     both = known.join(own, ["rank", "around", "least"], "full_outer").select("rank", "around", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
-    hit = places.join(both, ["rank", "around"]).select("id", "text_hash", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    hit = found.select("id", "text_hash", "at", "rank", "around").join(both, ["rank", "around"]).select("id", "text_hash", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     copies = first.where("high > id").select("text_hash", "sha", F.col("id").alias("low"))
     return stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots"))), copies
 
