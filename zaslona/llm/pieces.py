@@ -395,27 +395,34 @@ def scan(matrices: list[np.ndarray], enter: int | None = None, leave: int | None
     return states[::-1]
 
 
-def with_ids(docs: DataFrame, text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """The documents with the column ids (array<int>)."""
+def with_ids(docs: DataFrame, text_col: str = "text", model: str = MODEL, chunk: int = CHUNK, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """The documents' columns (or ``keep``) with ids (array<int>), and with round_trip (boolean) if ``check``: whether decoding gives the text."""
     spark = docs.sparkSession
     import pandas as pd
 
-    @F.pandas_udf("array<int>")
-    def encode(texts):
-        p, out, held, size = pieces(model), [], [], 0
-        for t in texts:
-            held.append(t)
-            size += len(t or "")
-            if size > 1 << 20:
-                out += p.encode_all(held)
-                held, size = [], 0
-        return pd.Series(out + p.encode_all(held), dtype=object)
-
-    names = [c for c in docs.columns if c != "ids"]
-    short = docs.where(F.col(text_col).isNull() | (F.length(text_col) <= chunk)).select(*names, encode(F.col(text_col)).alias("ids"))
+    made = ["ids", "round_trip"] if check else ["ids"]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
+
+    def encode(batches):
+        p = pieces(model)
+        for batch in batches:
+            texts = batch.column(len(names)).to_pylist()
+            every = p.encode_all(texts)
+            ends = np.cumsum([0, *(0 if x is None else len(x) for x in every)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int32), *(x for x in every if x is not None)])
+            void = pa.array([x is None for x in every], pa.bool_())
+            out = [*batch.columns[: len(names)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=void)]
+            if check:
+                out.append(pa.array([t is None or (p.decode(x.tolist()) if len(x) else "") == t for t, x in zip(texts, every)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, names=[*names, *made])
+
+    few = docs.select(*names, F.col(text_col).alias("__text"))
+    schema = few.drop("__text").withColumn("ids", F.lit(None).cast("array<int>"))
+    schema = (schema.withColumn("round_trip", F.lit(None).cast("boolean")) if check else schema).schema
+    short = few.where(F.col("__text").isNull() | (F.length("__text") <= chunk)).mapInArrow(sliced(encode), schema)
     stash = Stash(spark)
     # The key of a long document is its place in a written table, which stays as it is.
-    long = stash(docs.where(F.length(text_col) > chunk).select(*names, F.monotonically_increasing_id().alias("__key")))
+    long = stash(few.where(F.length("__text") > chunk).withColumn("__key", F.monotonically_increasing_id()))
 
     def raw(text: str) -> bytes:
         return text.encode("utf-8", "surrogatepass")
@@ -429,7 +436,7 @@ def with_ids(docs: DataFrame, text_col: str = "text", model: str = MODEL, chunk:
                     parts = (t[max(0, i - w) : i], t[i : i + chunk], t[i + chunk : i + chunk + w])
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([no], pa.int32()), *(pa.array([raw(x)]) for x in parts)], names=["k", "no", "behind", "body", "ahead"])
 
-    chunks = stash(long.select(F.col("__key").alias("k"), F.col(text_col).alias("t")).mapInArrow(sliced(split), "k long, no int, behind binary, body binary, ahead binary"))
+    chunks = stash(long.select(F.col("__key").alias("k"), F.col("__text").alias("t")).mapInArrow(sliced(split), "k long, no int, behind binary, body binary, ahead binary"))
 
     def measure(batches):
         p = pieces(model)
@@ -469,7 +476,9 @@ def with_ids(docs: DataFrame, text_col: str = "text", model: str = MODEL, chunk:
     states = measured.join(borders, ["k", "segment"]).groupBy("k", "segment").applyInPandas(inside, "k long, no int, enter int, leave int")
     traced = by_chunk.join(states, ["k", "no"]).mapInArrow(sliced(back), "k long, no int, ids array<int>")
     whole = traced.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts")).select(F.col("k").alias("__key"), F.flatten("parts.ids").alias("ids"))
-    return short.unionByName(long.join(whole, "__key").select(*names, "ids"))
+    both = long.join(whole, "__key")
+    same = [(decoder(model)(F.col("ids")) == F.col("__text")).alias("round_trip")] if check else []
+    return short.unionByName(both.select(*names, "ids", *same))
 
 
 def decoder(model: str = MODEL):
