@@ -8,7 +8,8 @@ for each byte and round would be forty times the text, so four things keep it sm
 * A text that a smaller id holds word for word loses all of it, if it has 50 bytes; only one document of each text goes
   through the rounds.
 * Round 1 ranks anchors by their 16 bytes. Documents send these ranks to partitions of the rank space, packed by batch;
-  each partition sorts its ranks and sends back those that two texts share. All other anchors leave.
+  each partition sorts its ranks and sends back those that two texts share, packed by shard of documents. All other
+  anchors leave.
 * What is left is ranked by the pair of that rank and the rank of the 84 bytes around it, which hold every string of 50
   with this anchor. An anchor whose pair a smaller document has is settled for all its strings. Of each other pair one
   representative goes on.
@@ -122,32 +123,65 @@ def _pack(buckets: int):
     return run
 
 
-def _shared(batches):
-    """Of one partition's packed ranks those that two texts share: rows (doc, ranks)."""
-    by_bucket: dict[int, list] = {}
+def _shared(shards: int):
+    """Of one partition's packed ranks those that two texts share: rows (shard, docs, counts, ranks), at most one for each shard of documents."""
+
+    def run(batches):
+        by_bucket: dict[int, list] = {}
+        for batch in batches:
+            for b, ids, hashes, counts, ranks in zip(*(c.to_pylist() for c in batch.columns)):
+                by_bucket.setdefault(b, []).append((ids, hashes, counts, ranks))
+        for b in sorted(by_bucket):
+            parts = by_bucket.pop(b)
+            ids = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])
+            hashes = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
+            counts = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]).astype(np.int64)
+            packed = np.concatenate([np.frombuffer(p[3], _SHORT) for p in parts])
+            rank = (packed["f0"].astype(np.uint64) << np.uint64(32)) | packed["f1"]
+            doc = np.repeat(np.arange(len(ids)), counts)
+            order = np.argsort(rank, kind="stable")
+            sorted_rank, text = rank[order], hashes[doc[order]]
+            start = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
+            many = np.minimum.reduceat(text, start) != np.maximum.reduceat(text, start)
+            keep = np.zeros(len(rank), bool)
+            keep[order] = np.repeat(many, np.diff(np.concatenate([start, [len(rank)]])))
+            doc, packed = doc[keep], packed[keep]
+            if not len(doc):
+                continue
+            shard = (ids.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard[doc], kind="stable")
+            doc, packed = doc[order], packed[order]
+            cuts = np.flatnonzero(np.diff(shard[doc])) + 1
+            out = []
+            for x, y in zip([0, *cuts], [*cuts, len(doc)]):
+                first = np.flatnonzero(np.concatenate([[True], doc[x + 1 : y] != doc[x : y - 1]])) + x
+                out.append((int(shard[doc[x]]), ids[doc[first]].tobytes(), np.diff(np.concatenate([first, [y]])).astype(np.uint32).tobytes(), packed[x:y].tobytes()))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["shard", "docs", "counts", "ranks"])
+
+    return run
+
+
+def _by_document(batches):
+    """One partition's rows (shard, docs, counts, ranks) to rows (doc, ranks), one for each document."""
+    by_shard: dict[int, list] = {}
     for batch in batches:
-        for b, ids, hashes, counts, ranks in zip(*(c.to_pylist() for c in batch.columns)):
-            by_bucket.setdefault(b, []).append((ids, hashes, counts, ranks))
-    for b in sorted(by_bucket):
-        parts = by_bucket.pop(b)
+        for s, ids, counts, ranks in zip(*(c.to_pylist() for c in batch.columns)):
+            by_shard.setdefault(s, []).append((ids, counts, ranks))
+    for s in sorted(by_shard):
+        parts = by_shard.pop(s)
         ids = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])
-        hashes = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
-        counts = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]).astype(np.int64)
-        packed = np.concatenate([np.frombuffer(p[3], _SHORT) for p in parts])
-        rank = (packed["f0"].astype(np.uint64) << np.uint64(32)) | packed["f1"]
-        doc = np.repeat(np.arange(len(ids)), counts)
-        order = np.argsort(rank, kind="stable")
-        sorted_rank, text = rank[order], hashes[doc[order]]
-        start = np.flatnonzero(np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]]))
-        many = np.minimum.reduceat(text, start) != np.maximum.reduceat(text, start)
-        keep = np.zeros(len(rank), bool)
-        keep[order] = np.repeat(many, np.diff(np.concatenate([start, [len(rank)]])))
-        doc, packed = doc[keep], packed[keep]
-        if len(doc):
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            firsts = np.concatenate([[0], cuts])
-            blobs = [packed[x:y].tobytes() for x, y in zip(firsts, [*cuts, len(doc)])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[firsts]]), pa.array(blobs, pa.binary())], names=["doc", "ranks"])
+        counts = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts]).astype(np.int64)
+        packed = np.concatenate([np.frombuffer(p[2], _SHORT) for p in parts])
+        doc = np.repeat(ids, counts)
+        order = np.argsort(doc, kind="stable")
+        doc, packed = doc[order], packed[order]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        ends = np.concatenate([first, [len(doc)]]).astype(np.int64) * _SHORT.itemsize
+        for i in range(0, len(first), _ROWS):
+            part = ends[i : i + _ROWS + 1]
+            blobs = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((part - part[0]).astype(np.int32)), pa.py_buffer(packed[part[0] // _SHORT.itemsize : part[-1] // _SHORT.itemsize].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first[i : i + _ROWS]]), blobs], names=["doc", "ranks"])
 
 
 def _survivors(batches):
@@ -162,7 +196,7 @@ def _survivors(batches):
         for d, h, text, blobs in zip(ids, hashes, texts, ranks):
             raw = _bytes(text)
             every, rank = anchors(raw)
-            packed = np.frombuffer(b"".join(blobs), _SHORT)
+            packed = np.frombuffer(blobs, _SHORT)
             wanted = (packed["f0"].astype(np.uint64) << np.uint64(32)) | packed["f1"]
             keep = np.isin(rank >> np.uint64(24), wanted)
             every, rank = every[keep], rank[keep]
@@ -198,29 +232,26 @@ def _survivors(batches):
 
 def _contexts(batches):
     """Texts with places (at, rank, around, sides) to rows (longer, side, low, rank, around, left, right, context)."""
-    width, mask = _LEFT + _RIGHT, np.arange(_LEFT + _RIGHT)
+    width, pad = _LEFT + _RIGHT, bytes(_LEFT + _RIGHT)
     for batch in batches:
-        ids, texts, places = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        for r, (d, text) in enumerate(zip(ids, texts)):
-            raw, own = _bytes(text), places[r].values
-            at, rank, around, sides = (own.field(n) for n in ("at", "rank", "around", "sides"))
-            size = np.array([len(x) for x in sides])
-            row, at = np.repeat(np.arange(len(size)), size), at.to_numpy()
-            flat = sides.flatten()
-            side, longer = flat.field("side").to_numpy(), flat.field("longer").to_numpy()
-            for i in range(0, len(row), _ROWS):
-                of = row[i : i + _ROWS]
-                a = at[of]
-                # A context may reach beyond the text: what it lacks is zero and counted in left and right.
-                begin, end = max(0, int(a.min()) - _LEFT), min(len(raw), int(a.max()) + _RIGHT)
-                whole = np.zeros((len(a), width), np.uint8)
-                buf = np.frombuffer(raw, np.uint8, end - begin, begin)
-                left, right = np.minimum(a, _LEFT), np.minimum(len(raw) - a, _RIGHT)
-                inside = (mask >= (_LEFT - left)[:, None]) & (mask < (_LEFT + right)[:, None])
-                whole[inside] = buf[((a - _LEFT - begin)[:, None] + mask)[inside]]
-                blobs = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * width).astype(np.int32)), pa.py_buffer(whole.tobytes())])
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(longer[i : i + _ROWS]), pa.array(side[i : i + _ROWS]), pa.array(np.full(len(a), d, np.int64)), rank.take(take), around.take(take), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), blobs], names=["longer", "side", "low", "rank", "around", "left", "right", "context"])
+        raws = [_bytes(t) for t in batch.column(1).to_pylist()]
+        size = np.array([len(r) for r in raws])
+        # A context may reach beyond the text: what it lacks is zero and counted in left and right.
+        buf = np.frombuffer(pad + pad.join(raws) + pad, np.uint8)
+        begin = width + np.cumsum(size + width) - size - width
+        places = batch.column(2)
+        own, text = places.flatten(), np.repeat(np.arange(len(raws)), places.value_lengths().to_numpy())
+        at, sides = own.field("at").to_numpy(), own.field("sides")
+        row, flat = np.repeat(np.arange(len(at)), sides.value_lengths().to_numpy()), sides.flatten()
+        windows, low = np.lib.stride_tricks.sliding_window_view(buf, width), batch.column(0).to_numpy()
+        for i in range(0, len(row), _ROWS):
+            of = row[i : i + _ROWS]
+            a, t = at[of], text[of]
+            whole = windows[begin[t] + a - _LEFT]
+            blobs = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * width).astype(np.int32)), pa.py_buffer(whole.tobytes())])
+            take, part = pa.array(of), flat.slice(i, _ROWS)
+            left, right = np.minimum(a, _LEFT).astype(np.int32), np.minimum(size[t] - a, _RIGHT).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.field("longer"), part.field("side"), pa.array(low[t]), own.field("rank").take(take), own.field("around").take(take), pa.array(left), pa.array(right), blobs], names=["longer", "side", "low", "rank", "around", "left", "right", "context"])
 
 
 def _prefix_sums(context: np.ndarray) -> np.ndarray:
@@ -292,17 +323,12 @@ def _settle(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "rank", "around", "low", "bits", "h"])
 
 
-def removed(raw: bytes, spots) -> np.ndarray:
-    """Which bytes go. spots: (at, mask) of anchors; bit o of a mask stands for the string that starts o bytes before at."""
-    delta = np.zeros(len(raw) + 1, np.int64)
-    if len(spots):
-        at, mask = (np.array([s[i] for s in spots], np.int64) for i in (0, 1))
-        for o in range(_SPAN):
-            start = at[(mask >> o) & 1 == 1] - o
-            start = start[(start >= 0) & (start + LENGTH <= len(raw))]
-            np.add.at(delta, start, 1)
-            np.add.at(delta, start + LENGTH, -1)
-    return np.cumsum(delta[:-1]) > 0
+def removed(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which of n bytes go. Bit o of an anchor's mask stands for the string that starts o bytes before the anchor."""
+    row, o = np.nonzero((mask[:, None] >> np.arange(_SPAN)) & 1)
+    start = at[row] - o
+    start = start[(start >= 0) & (start + LENGTH <= n)]
+    return np.cumsum(np.bincount(start, minlength=n + 1)[:n] - np.bincount(start + LENGTH, minlength=n + 1)[:n]) > 0
 
 
 def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -316,10 +342,11 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     # Round 1 names a document by one hash; two that share it would only rank more than they need.
     doc = F.xxhash64("id", "text_hash").alias("doc")
     packed = src.select(doc, "text_hash", "text").mapInArrow(sliced(_pack(buckets)), "bucket int, docs binary, hashes binary, counts binary, ranks binary")
-    shared = stash(packed.repartition(buckets, "bucket").mapInArrow(_shared, "doc long, ranks binary"))
+    sent = packed.repartition(buckets, "bucket").mapInArrow(_shared(buckets), "shard int, docs binary, counts binary, ranks binary")
+    shared = stash(sent.repartition(buckets, "shard").mapInArrow(_by_document, "doc long, ranks binary"))
     stash.free()
     first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
-    wanted = shared.groupBy("doc").agg(F.collect_set("ranks").alias("ranks")).join(first.select(doc), "doc", "left_semi")
+    wanted = shared.join(first.select(doc), "doc", "left_semi")
     found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_survivors), "id long, text_hash long, at long, rank long, around long, long0 long, long1 long"))
     stash.free()
     stash.drop(shared)
@@ -354,12 +381,9 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     return stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots"))), copies
 
 
-def digest(text: str | None, found) -> tuple[int, int, int, str]:
+def digest(raw: bytes, at: np.ndarray, mask: np.ndarray) -> tuple[int, int, int, str]:
     """n_bytes, n_removed, n_spans and the hash of what is left."""
-    raw = _bytes(text)
-    if found is None or not len(found):
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-    gone = removed(raw, found)
+    gone = removed(len(raw), at, mask)
     spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
     return len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
@@ -370,27 +394,19 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def measure(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            places = [None if s is None else [(x["at"], x["mask"]) for x in s] for s in batch.column(2).to_pylist()]
-            got = list(zip(*[digest(t, s) for t, s in zip(texts, places)])) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(g, pa.int64()) for g in got[:3]), pa.array(got[3], pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            raws, found = [_bytes(t) for t in batch.column(1).to_pylist()], batch.column(2)
+            sha = [hashlib.sha256(r).hexdigest() for r in raws]
+            many = found.value_lengths().fill_null(0).to_numpy()
+            ends, own = np.cumsum(many), found.flatten()
+            at, mask = own.field("at").to_numpy(), own.field("mask").to_numpy()
+            got = [digest(r, at[e - n : e], mask[e - n : e]) if n else (len(r), 0, 0, h) for r, n, e, h in zip(raws, many.tolist(), ends.tolist(), sha)]
+            cols = list(zip(*got)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), batch.column(3), pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_hash", "sha"])
 
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    own = src.join(found, ["id", "text_hash"], "left").select("id", "text", "spots", "text_hash").mapInArrow(sliced(_with_hashes(measure)), schema + ", text_hash long, sha string")
+    own = src.join(found, ["id", "text_hash"], "left").select("id", "text", "spots", "text_hash").mapInArrow(sliced(measure), schema + ", text_hash long, sha string")
     # A copy of a smaller id's text loses all of it; this join moves no text.
     whole = own.join(copies, ["text_hash", "sha"], "left").withColumn("all", F.coalesce(F.col(id_col) > F.col("low"), F.lit(False)) & (F.col("n_bytes") >= LENGTH))
     pick = lambda c, other: F.when(F.col("all"), other).otherwise(F.col(c)).alias(c)
     return whole.select(id_col, "n_bytes", pick("n_removed", F.col("n_bytes")), pick("n_spans", F.lit(1).cast("long")), pick("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest())))
-
-
-def _with_hashes(measure):
-    """The measure's rows with the text's hashes."""
-
-    def run(batches):
-        for batch in batches:
-            sha = pa.array([None if t is None else hashlib.sha256(_bytes(t)).hexdigest() for t in batch.column(1).to_pylist()], pa.string())
-            for out in measure([batch]):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(3), sha], names=[*out.schema.names, "text_hash", "sha"])
-
-    return run
