@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -400,25 +401,75 @@ def test_language_model(docs, empty, frequent):
     assert mixing.score(empty).count() == 0
 
 
-def test_code_is_a_distribution():
-    c = mixing.code()
-    assert abs(sum(2.0 ** -int(x) for x in c.length) - 1) < 1e-12
-    tables = mixing.empty_tables()
-    mixing.add_units({b"ab ": 3, b"b": 1}, tables)
-    model = mixing.Model(tables)
-    # One-byte units with all their ends: the symbols after the empty context share all probability.
-    unit, bit, x, g = model.inputs([bytes([b]) + b" " for b in (97, 98)])
-    assert len(unit) == len(bit) == len(x[0]) == len(g)
+def test_codes_are_distributions():
+    for c in (mixing.code(), mixing.Code([5.0, 1.0, 1.0, 9.0, 2.0])):
+        assert abs(sum(2.0 ** -int(x) for x in c.length) - 1) < 1e-12
+        owner, place = c.bits(np.arange(len(c.length)))
+        assert len({tuple(zip(c.node[place[owner == k]].tolist(), c.bit[place[owner == k]].tolist())) for k in range(len(c.length))}) == len(c.length)
     assert mixing.units(b"a b\n") == [b"a ", b"b\n", b""] and mixing.units(b"") == [b""] and mixing.units(b"x") == [b"x"]
     assert b"".join(mixing.units(b" q  w ")) == b" q  w "
 
 
-def test_more_training_lowers_the_cost():
-    text = b"the cat sat on the mat " * 50
-    none, some = mixing.empty_tables(), mixing.empty_tables()
-    mixing.add_units(Counter(mixing.units(text)), some)
-    cost = lambda t: mixing.mixed_nats(mixing.Model(t).costs(mixing.units(text)))
-    assert cost(some) < 0.5 * cost(none)
+def path_model(texts):
+    count = Counter(u for t in texts for u in mixing.units(t))
+    top = [u for u, _ in count.most_common(300)]
+    path = mixing.Path(top, [count[u] for u in top], 5, 1 << 14)
+    tables = np.zeros(2 * sum(path.sizes), np.uint32)
+    parts = list(mixing.trained(path, lambda parts: parts)([pa.record_batch([pa.array([t.decode() for t in texts])], names=["t"])]))
+    for part in parts:
+        path.add(tables, *part)
+    model = mixing.PathModel(path, tables)
+    mixing.stepped(model.weights, sum(model.slope(*part) for part in parts))
+    model.close()
+    return model
+
+
+def read(model, raws):
+    reader = mixing.Reader({}, model, mixing.Model(mixing.spelling(np.zeros(2 * sum(mixing.SLOTS), np.uint32))))
+    return [sum(x["nats"] for x in r[4]) for r in reader.read(raws)]
+
+
+def test_paths_are_a_distribution_after_any_context():
+    rng = random.Random(7)
+    model = path_model([prose(rng, 200, 30).encode() for _ in range(20)])
+    every = np.arange(model.path.escape + 1)
+    for before in (0, 3):
+        symbol = np.stack([np.full(len(every), before), every], axis=1).ravel()
+        name = model.path.names[np.minimum(symbol, len(model.path.names) - 1)]
+        nats = model.nats(symbol, name, [2] * len(every)).reshape(-1, 2)[:, 1]
+        assert abs(np.exp(-nats).sum() - 1) < 1e-4
+
+
+def test_a_text_costs_the_same_in_any_company(monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, n, 60).encode() for n in (3, 700, 90, 0, 2500)] + [b"a\nb\n\nc"]
+    model = path_model(texts)
+    alone = [read(model, [t])[0] for t in texts]
+    assert np.allclose(read(model, texts), alone, rtol=1e-5)
+    monkeypatch.setattr(mixing, "TOGETHER", 512)  # long texts in parts
+    assert np.allclose([read(model, [t])[0] for t in texts], alone, rtol=0.02)
+
+
+def test_word_order_is_learnt(spark):
+    rng = random.Random(13)
+    after = {w: [rng.randrange(200) for _ in range(4)] for w in range(200)}
+
+    def text(n):
+        w, out = rng.randrange(200), []
+        for _ in range(n):
+            out.append(f"word{w}")
+            w = rng.choice(after[w])
+        return " ".join(out)
+
+    rows = [(i, text(rng.randrange(30, 300))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    got = mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r["held_out"]]
+    score, base = (sum(r[c] for r in held) for c in ("score", "base_score"))
+    assert len(held) > 20 and score > 0.5 * base  # the order of words saves most of a word's cost
+    one = {r["doc_id"]: r for r in got}
+    twice = [one[i] for i in range(40) if not one[i]["held_out"] and not one[1000 + i]["held_out"]]
+    assert twice and all(r["bits_per_byte"] < 0.5 * min(x["bits_per_byte"] for x in held if x["doc_id"] >= 40 and x["doc_id"] < 1000) for r in twice)
 
 
 # 8

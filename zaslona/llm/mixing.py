@@ -1,17 +1,26 @@
 """Language-model scoring by online logistic context mixing, and a smoothed unigram base.
 
 A text is a string of lower-cased bytes and an end mark, cut into units: a word with the white space byte after it, or
-such a byte alone. Every symbol is a path in one fixed prefix code, so a text is a string of bits and the
-probabilities of all texts sum to one. For each bit several predictors look up a hashed context (the last 1, 2, 3 and
-5 bytes of the unit, and all of it so far) together with the node of the code; what they have counted in all training
-documents gives each a logit. The logits are added with weights from a set that a gate chooses: by how often the
-longest context was seen and how long it is. The weights follow the gradient of the coding cost in a few passes over
-all training words. While a text is read they are refined: a few scalings of the weights each predict it, and by
-Bayes' rule each unit shifts the mixture to those that have coded the text so far with fewer bits.
-
-All counts cover all training documents. The predictors' go into tables of fixed size, summed over all tasks in two
-levels; words are counted by a shuffle. The most frequent words (a table of fixed size) are counted where the text is
-read; all other words of a document are joined with their counts, so the base is exact for any vocabulary.
+such a byte alone. A unit is coded as bits in two steps.
+
+* The path: a prefix code of the most frequent units and an escape, from their counts. For each bit several predictors
+  look up what training texts did at this node of the code: without context, after the last of the very commonest
+  units (which tells the language and the construction), after the unit before, and after the two units before; the
+  last two in hashed tables. Each gives a logit. The logits are added with weights from a set that a gate chooses: by
+  how often the longer contexts were seen and how deep the node is. The weights come from a Newton step over all
+  training texts, each text without its own counts, and are refined online while a text is read: after every block of
+  units the text's own weights take a step down the gradient of their coding cost.
+* The spelling of what is not frequent, in the same way over the bits of a fixed prefix code of bytes, with the last 1,
+  2, 3 and 5 bytes of the unit and all of it so far as contexts. Its weights are the same for all texts, so the cost of
+  a unit is worked out once for a process.
+
+A memory of all training lines is mixed in last: a line may also be drawn from those that other training texts hold,
+by their counts in a shuffled table. A few shares of such lines each predict the text; by Bayes' rule the text shifts
+the mixture to those that code it with fewer bits. All experts are distributions, so the probabilities of all texts
+sum to at most one.
+
+All counts cover all training documents. The predictors' go into tables whose size follows the number of training
+units up to ``MOST_SLOTS``, so that a task can hold them; counts of words and lines are shuffled tables without bound.
 
 Defined results: a null text counts as empty, that is, the end mark alone; repeated rows each get a row and each count
 as training; rows with a null id count as training. Without training documents all counts are zero.
@@ -25,6 +34,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +44,26 @@ from pyspark.sql import functions as F
 
 from .common import Stash, sliced
 
-#: Slots of each predictor's table; powers of two.
+#: Slots of each spelling predictor's table; powers of two.
 SLOTS = (1 << 14, 1 << 17, 1 << 20, 1 << 21, 1 << 22)
 ORDERS = (1, 2, 3, 5, 0)  # bytes of context; 0: the unit so far
 GATES = 12
-PASSES = 1
-SCALES = (0.8, 1.0, 1.25)
 #: Words whose counts are carried to the texts; all others are joined.
 FREQUENT = 50_000
+#: Units that the path codes, and the commonest of them that serve as a context.
+PATHS, COMMONEST = 32_768, 64
+#: Slots of the tables after one and two units, at most.
+MOST_SLOTS = 1 << 22
+PATH_GATES, PREDICTORS = 27, 4
+#: Units between two steps of a text's weights, the step, and units that are taken together.
+BLOCK, RATE, TOGETHER = 64, 0.004, 1 << 17
+#: Shares of remembered lines.
+SHARES = (0.001, 0.05, 0.5, 0.95)
 _SEGMENTS, _SALTS = 64, 16
 _END = 256
 _FLUSH = 200_000  # distinct units a task holds before it passes their counts on
 _LONG = 63  # bytes of a unit that are coded together
 _AT_ONCE = 2048
-_HELD = 1 << 17  # units of the texts that are scored together
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _W1 = np.uint32(pow(0x9E3779B1, -1, 1 << 32))
 _WHITE = b" \t\n\r\x0b\x0c"
@@ -63,23 +79,13 @@ def folded(text: str | None) -> bytes:
 
 
 class Code:
-    """A prefix code of the 256 bytes and the end mark. Its frequencies are fixed: a rough picture of prose in UTF-8."""
-
-    def __init__(self):
-        weight = {b: 1.0 for b in range(256)}
-        weight[_END] = 2.0
-        for i, c in enumerate(b" etaonirshldu"):  # commonest signs first
-            weight[c] = 4000.0 / (i + 1)
-        for c in b"cmfpgwybvkxjqz":
-            weight[c] = 150.0
-        for c in b"\n.,":
-            weight[c] = 120.0
-        for c in [*range(0x80, 0xC0), 0xC3]:
-            weight[c] = 12.0
-        weight[0xC3] = 400.0
-        heap = [(w, s, s) for s, w in weight.items()]
+    """A prefix code of symbols by their weights: for each the nodes on its path and the bit taken there."""
+
+    def __init__(self, weight: list[float]):
+        n = first = len(weight)
+        heap = [(w, s, s) for s, w in enumerate(weight)]
         heapq.heapify(heap)
-        kids, n = {}, 257
+        kids = {}
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             kids[n] = (a[2], b[2])
@@ -88,19 +94,40 @@ class Code:
         paths: dict[int, tuple] = {heap[0][2]: ()}
         for node in sorted(kids, reverse=True):
             for bit, kid in enumerate(kids[node]):
-                paths[kid] = (*paths[node], (node - 257, bit))
-        self.length = np.array([len(paths[s]) for s in range(257)], np.int64)
+                paths[kid] = (*paths[node], (node - first, bit))
+        self.length = np.array([len(paths[s]) for s in range(first)], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        flat = [x for s in range(257) for x in paths[s]]
+        flat = [x for s in range(first) for x in paths[s]]
         self.node, self.bit = np.array([x[0] for x in flat], np.uint32), np.array([x[1] for x in flat], bool)
 
+    def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For symbols in turn: whose each bit is, and where it stands in node and bit."""
+        length = self.length[symbols]
+        owner = np.repeat(np.arange(len(symbols)), length)
+        return owner, np.arange(len(owner)) - np.repeat(np.cumsum(length) - length - self.start[symbols], length)
+
+
+def byte_weights() -> list[float]:
+    """Of the 256 bytes and the end mark: a rough picture of prose in UTF-8."""
+    weight = [1.0] * 256 + [2.0]
+    for i, c in enumerate(b" etaonirshldu"):  # commonest signs first
+        weight[c] = 4000.0 / (i + 1)
+    for c in b"cmfpgwybvkxjqz":
+        weight[c] = 150.0
+    for c in b"\n.,":
+        weight[c] = 120.0
+    for c in range(0x80, 0xC0):
+        weight[c] = 12.0
+    weight[0xC3] = 400.0
+    return weight
+
 
 _code: list[Code] = []
 
 
 def code() -> Code:
     if not _code:
-        _code.append(Code())
+        _code.append(Code(byte_weights()))
     return _code[0]
 
 
@@ -154,10 +181,7 @@ def bits(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], n
     sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum(value * up[:n], dtype=np.uint32)])
     first = start[part]
     by_order[0] = (sums[np.arange(n)] - sums[first]) * down[first] + at.astype(np.uint32)
-    length = c.length[symbols]
-    total = int(length.sum())
-    owner = np.repeat(np.arange(n), length)
-    place = np.arange(total) - np.repeat(np.cumsum(length) - length, length) + c.start[symbols][owner]
+    owner, place = c.bits(symbols)
     node = ((c.node + np.uint32(1)) * _M2) >> np.uint32(7)
     slots = []
     for k, m in zip(ORDERS, SLOTS):
@@ -204,43 +228,177 @@ class Model:
         return z
 
     def costs(self, some: list[bytes]) -> np.ndarray:
-        """The nats of each unit under each scaling of the weights."""
+        """The nats of each unit."""
         unit, bit, x, g = self.inputs(some)
         z = self._sum(x, g)
         z = np.clip(np.where(bit, -z, z), -24, 24)  # single precision carries a cost of 1e-7 nats
-        one = np.float32(1)
-        return np.stack([np.bincount(unit, np.log(one + np.exp(z * np.float32(s))), len(some)) for s in SCALES], axis=1)
+        return np.bincount(unit, np.log(np.float32(1) + np.exp(z)), len(some))
 
     def slope(self, some: list[bytes], count: np.ndarray) -> np.ndarray:
         """Gradient and curvature of the cost by the weights, for units that stand ``count`` times: (gates, j, j + 1)."""
         unit, bit, x, g = self.inputs_without(some)
         p = 1 / (1 + np.exp(-np.clip(self._sum(x, g), -30, 30)))
-        order = np.argsort(g.astype(np.uint8), kind="stable")
-        ends = np.searchsorted(g[order], np.arange(GATES + 1))
-        c = count[unit].astype(np.float32)
-        first, second = ((p - bit) * c)[order], (p * (1 - p) * c)[order]
-        rows = np.stack(x, axis=1)[order].astype(np.float64)
-        j = len(x)
-        out = np.zeros((GATES, j, j + 1))
-        for k in range(GATES):
-            of = slice(ends[k], ends[k + 1])
-            out[k, :, :j] = (rows[of] * second[of, None]).T @ rows[of]
-            out[k, :, j] = rows[of].T @ first[of]
-        return out
+        return slopes(x, g, p, bit, count[unit].astype(np.float32), GATES)
 
     def step(self, slope: np.ndarray) -> None:
-        j = self.weights.shape[1]
-        for g in range(GATES):
-            ridge = np.eye(j) * (1.0 + 1e-3 * np.trace(slope[g, :, :j]) / j)
-            move = np.linalg.solve(slope[g, :, :j] + ridge, slope[g, :, j])
-            self.weights[g] -= np.clip(move, -0.5, 0.5).astype(np.float32)
+        stepped(self.weights, slope)
+
+
+def slopes(x: list[np.ndarray], g: np.ndarray, p: np.ndarray, bit: np.ndarray, count, gates: int) -> np.ndarray:
+    """Gradient and curvature of the cost by the weights of each gate: (gates, j, j + 1)."""
+    order = np.argsort(g.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(g[order], np.arange(gates + 1))
+    first, second = ((p - bit) * count)[order], (p * (1 - p) * count)[order]
+    rows = np.stack(x, axis=1)[order]
+    j = len(x)
+    out = np.zeros((gates, j, j + 1))
+    for k in range(gates):
+        of = slice(ends[k], ends[k + 1])
+        out[k, :, :j] = (rows[of] * second[of, None]).T @ rows[of]
+        out[k, :, j] = rows[of].T @ first[of]
+    return out
 
 
-def mixed_nats(costs: np.ndarray) -> float:
-    """The nats of a text whose units cost so much under each scaling, when the mixture follows them from unit to unit."""
-    total = -costs.sum(axis=0)
-    top = total.max()
-    return float(-(top + np.log(np.exp(total - top).mean())))
+def stepped(weights: np.ndarray, slope: np.ndarray) -> None:
+    """Moves the weights down the cost by a Newton step of bounded length."""
+    j = weights.shape[1]
+    for g in range(len(weights)):
+        ridge = np.eye(j) * (1.0 + 1e-3 * np.trace(slope[g, :, :j]) / j)
+        move = np.linalg.solve(slope[g, :, :j] + ridge, slope[g, :, j])
+        weights[g] -= np.clip(move, -0.5, 0.5).astype(np.float32)
+
+
+class Path:
+    """The code of the frequent units and the contexts of its bits."""
+
+    def __init__(self, frequent: list[bytes], counts: list[int], others: int, slots: int):
+        self.id = {u: i for i, u in enumerate(frequent)}
+        self.escape, self.slots = len(frequent), slots
+        self.code = Code([*map(float, counts), float(max(others, 1))]) if frequent else Code([1.0, 1.0])
+        if not frequent:
+            self.escape = 1
+        self.nodes = max(1, self.escape)
+        # One table after another: after the commonest unit and without context (exact), after one unit, after two.
+        self.sizes = ((COMMONEST + 2) * self.nodes, slots, slots)
+        self.names = np.array([xxhash.xxh32_intdigest(u) for u in frequent] or [0], np.uint32)
+
+    def events(self, symbol: np.ndarray, name: np.ndarray, first: np.ndarray):
+        """Of units in turn, with their hashes and the places of their texts' first units: the owner of each bit, the bit, its slot in each predictor's table, and how deep it is."""
+        n = len(symbol)
+        at = np.arange(n)
+        w1, w2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        w1[1:], w2[2:] = name[:-1], name[:-2]
+        w1[at == first], w2[at <= first + 1] = 0, 0
+        last = np.maximum.accumulate(np.where(symbol < min(COMMONEST, self.escape), at, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        common = np.where(last >= first, symbol[np.maximum(last, 0)], COMMONEST)
+        owner, place = self.code.bits(symbol)
+        node = self.code.node[place]
+        h1 = w1 * _M1 + np.uint32(0x51ED27)
+        h2 = (h1 ^ (h1 >> np.uint32(15))) * _M2 + w2 * _M1
+        spread = (node + np.uint32(1)) * _M2
+        slots = [common[owner] * self.nodes + node.astype(np.int64)]
+        slots.append((COMMONEST + 1) * self.nodes + node.astype(np.int64))
+        for h in (h1, h2):
+            x = (h[owner] ^ spread) * _M1
+            slots.append(((x ^ (x >> np.uint32(16))) & np.uint32(self.slots - 1)).astype(np.int64))
+        slots[2] += self.sizes[0]
+        slots[3] += self.sizes[0] + self.slots
+        return owner, self.code.bit[place], slots, place - self.code.start[symbol][owner]
+
+    def add(self, tables: np.ndarray, symbol, name, first) -> None:
+        _, bit, slots, _ = self.events(symbol, name, first)
+        one = bit.astype(np.int64)
+        for s in slots:
+            np.add.at(tables, 2 * s + one, 1)
+
+
+def path_gates(seen2: np.ndarray, seen1: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The set of weights: by the classes of how often both longer contexts were seen, and by the node's depth."""
+    return ((seen2 > 0).astype(np.int64) + (seen2 > 2)) * 9 + ((seen1 > 0).astype(np.int64) + (seen1 > 8)) * 3 + (depth > 2) + (depth > 7)
+
+
+class PathModel:
+    """Logits and counts of all slots, and the first weights."""
+
+    def __init__(self, path: Path, tables: np.ndarray):
+        self.path = path
+        self.tables = tables.reshape(-1, 2)
+        self.weights = np.tile(np.array([0.2, 0.4, 0.3, 0.3], np.float32), (PATH_GATES, 1))
+        self.logit = self.seen = None
+
+    def close(self) -> None:
+        """From counts to what scoring needs."""
+        n = self.tables
+        self.logit = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
+        self.seen = np.minimum(n[self.path.sizes[0] :].sum(axis=1), 255).astype(np.uint8)
+        self.tables = None
+
+    def inputs(self, symbol, name, first):
+        owner, bit, slots, depth = self.path.events(symbol, name, first)
+        off = self.path.sizes[0]
+        return owner, bit, [self.logit[s] for s in slots], path_gates(self.seen[slots[3] - off], self.seen[slots[2] - off], depth)
+
+    def slope(self, symbol, name, first) -> np.ndarray:
+        """As if each bit had been counted once less, as for a text that was not learnt."""
+        _, bit, slots, depth = self.path.events(symbol, name, first)
+        x, seen = [], []
+        for s in slots:
+            n = self.tables[s].astype(np.float32)
+            n1, n0 = np.maximum(n[:, 1] - bit, 0), np.maximum(n[:, 0] - ~bit, 0)
+            x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
+            seen.append(n0 + n1)
+        g = path_gates(seen[3], seen[2], depth)
+        w = self.weights.T
+        z = sum(x[j] * w[j][g] for j in range(PREDICTORS))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return slopes(x, g, p, bit, np.float32(1), PATH_GATES)
+
+    def nats(self, symbol: np.ndarray, name: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """The nats of each unit's path, for texts of so many units one after another."""
+        sizes = np.array(sizes, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        weights = np.tile(self.weights.reshape(1, -1), (len(sizes), 1)).reshape(-1, PREDICTORS)
+        out = np.zeros(len(symbol))
+        if len(symbol) <= TOGETHER:
+            self._read(symbol, name, begin[text], np.arange(len(symbol)) - begin[text], text, weights, out, slice(0, len(symbol)))
+            return out
+        # One long text: its weights and its last two units go on from part to part.
+        for i in range(0, len(symbol), TOGETHER):
+            a = max(0, i - 256)  # enough to know the units before, and the last common one as a rule
+            part = slice(a, min(len(symbol), i + TOGETHER))
+            at = np.arange(a, part.stop)
+            self._read(symbol[part], name[part], np.zeros(len(at), np.int64) - a, at, np.zeros(len(at), np.int64), weights, out[part], slice(i - a, len(at)))
+        return out
+
+    def _read(self, symbol, name, first, at, text, weights, out, of) -> None:
+        owner, bit, x, g = self.inputs(symbol, name, first)
+        if of.start:
+            keep = owner >= of.start
+            owner, bit, g, x = owner[keep], bit[keep], g[keep], [y[keep] for y in x]
+        block = (at // BLOCK)[owner]
+        order = np.argsort(block, kind="stable")
+        ends = np.flatnonzero(np.diff(block[order])) + 1
+        key = text[owner] * PATH_GATES + g
+        for i, (a, b) in enumerate(zip([0, *ends], [*ends, len(order)])):
+            rows = order[a:b] if len(ends) else slice(None)
+            k, y, own = key[rows], bit[rows], owner[rows]
+            xs = [v[rows] for v in x]
+            w = weights[k]
+            z = xs[0] * w[:, 0]
+            for j in range(1, PREDICTORS):
+                z += xs[j] * w[:, j]
+            z = np.clip(z, -24, 24)
+            e = np.exp(np.where(y, -z, z))
+            out += np.bincount(own, np.log1p(e), len(out)) if a == 0 or len(own) * 8 > len(out) else 0
+            if not (a == 0 or len(own) * 8 > len(out)):
+                np.add.at(out, own, np.log1p(e))
+            if b < len(order):
+                wrong = np.where(y, np.float32(1), np.float32(-1)) * (e / (1 + e)).astype(np.float32) * np.float32(RATE)
+                used, place = np.unique(k, return_inverse=True)
+                for j in range(PREDICTORS):
+                    weights[used, j] += np.bincount(place, xs[j] * wrong, len(used)).astype(np.float32)
 
 
 def empty_tables() -> list[np.ndarray]:
@@ -275,23 +433,24 @@ def _count(batches):
     yield passed()
 
 
+def _segments(flat: np.ndarray):
+    """A task's counts as rows (segment, salt, sums)."""
+    if flat.any():
+        salt = xxhash.xxh32_intdigest(flat[:: max(1, len(flat) // 4096)].tobytes()) % _SALTS
+        blobs = [_packed(p) for p in np.array_split(flat, _SEGMENTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([salt] * _SEGMENTS, pa.int32()), pa.array(blobs, pa.binary())], names=["segment", "salt", "sums"])
+
+
 def _tabulate(batches):
     """Units and their counts to the segments of one set of tables."""
     tables = empty_tables()
     for batch in batches:
         add_units(dict(zip(*(c.to_pylist() for c in batch.columns))), tables)
-    flat = np.concatenate([t.ravel() for t in tables])
-    if flat.any():
-        salt = xxhash.xxh32_intdigest(flat[:: len(flat) // 4096].tobytes()) % _SALTS
-        blobs = [_packed(p) for p in np.split(flat, _SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([salt] * _SEGMENTS, pa.int32()), pa.array(blobs, pa.binary())], names=["segment", "salt", "sums"])
-
-
-_WIDTH = 2 * sum(SLOTS) // _SEGMENTS
+    yield from _segments(np.concatenate([t.ravel() for t in tables]))
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    top = counts.max()
+    top = counts.max(initial=0)
     kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
     return bytes([np.dtype(kind).itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
 
@@ -310,124 +469,226 @@ def _add(batches):
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([_packed(sums[k]) for k in keys], pa.binary())], names=["segment", "salt", "sums"])
 
 
-def summed(parts: DataFrame) -> list[np.ndarray]:
-    """The tables (of fixed size) from all tasks' segments, added in two levels."""
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sums of all tasks' segments (of a fixed size), added in two levels."""
     schema = "segment int, salt int, sums binary"
     salted = parts.repartition("segment", "salt").mapInArrow(_add, schema)
-    flat = np.zeros((_SEGMENTS, _WIDTH), np.int64)
+    out = np.zeros(size, np.uint32)
+    segments = np.array_split(out, _SEGMENTS)
     for r in salted.withColumn("salt", F.lit(0)).repartition("segment").mapInArrow(_add, schema).toLocalIterator():
-        flat[r["segment"]] = _counts(r["sums"])
-    flat, out, i = flat.ravel(), [], 0
+        segments[r["segment"]][:] = np.minimum(_counts(r["sums"]), 0xFFFFFFFF)
+    return out
+
+
+def spelling(flat: np.ndarray) -> list[np.ndarray]:
+    """The spelling predictors' tables from their joint counts."""
+    out, i = [], 0
     for m in SLOTS:
         out.append(flat[i : i + 2 * m].reshape(2, m))
         i += 2 * m
     return out
 
 
-def fit(model: Model, counts: DataFrame, passes: int = PASSES) -> None:
-    """Moves the weights down the cost of all training units, by Newton steps."""
-    spark = counts.sparkSession
-    for _ in range(passes):
-        now = spark.sparkContext.broadcast(model)
+def total_slope(parts: DataFrame, shape: tuple) -> np.ndarray | None:
+    """The sum of rows (i, x) as an array; None if there are none."""
+    rows = parts.groupBy("i").agg(F.sum("x").alias("x")).collect()
+    flat = np.zeros(math.prod(shape))
+    for r in rows:
+        flat[r["i"]] = r["x"]
+    return flat.reshape(shape) if rows else None
+
+
+def _sum_rows(total):
+    if not isinstance(total, float):
+        flat = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "x"])
+
+
+def fit(model: Model, counts: DataFrame) -> None:
+    """Moves the spelling weights down the cost of all training units that are spelled."""
+    now = counts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        total = 0.0
+        for batch in batches:
+            total = total + now.value.slope(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+        yield from _sum_rows(total)
+
+    found = total_slope(counts.select("unit", "n").mapInArrow(sliced(run, _AT_ONCE), "i int, x double"), (GATES, len(SLOTS), len(SLOTS) + 1))
+    if found is not None:
+        model.step(found)
+    now.unpersist()
+
+
+def _named(path: Path, flat: list[bytes], symbol: np.ndarray) -> np.ndarray:
+    name = path.names[np.minimum(symbol, len(path.names) - 1)]
+    rare = np.flatnonzero(symbol == path.escape)
+    name[rare] = [xxhash.xxh32_intdigest(flat[i]) for i in rare.tolist()]
+    return name
 
-        def slopes(batches):
-            total = 0.0
-            for batch in batches:
-                total = total + now.value.slope(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
-            if not isinstance(total, float):
-                flat = total.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["i", "x"])
 
-        rows = counts.select("unit", "n").mapInArrow(sliced(slopes, _AT_ONCE), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        if rows:
-            flat = np.zeros(GATES * len(SLOTS) * (len(SLOTS) + 1))
-            for r in rows:
-                flat[r["i"]] = r["x"]
-            model.step(flat.reshape(GATES, len(SLOTS), len(SLOTS) + 1))
-        now.unpersist()
+def _pieces_of(path: Path, texts: list[str | None]):
+    """(symbol, name, first) of texts, in parts of bounded size; a part of a text knows nothing before it."""
+    for text in texts:
+        raw = folded(text)
+        every = units(raw)
+        for i in range(0, len(every), TOGETHER):
+            yield every[i : i + TOGETHER]
 
 
-_KNOWN = 600_000
+def trained(path: Path, work):
+    """A map over texts that hands them to work in parts of bounded size, as (symbol, name, first)."""
+
+    def parts(batches):
+        held: list[list[bytes]] = []
+        size = 0
+
+        def joined():
+            flat = [u for x in held for u in x]
+            symbol = np.fromiter(map(path.id.get, flat, repeat(path.escape)), np.int64, len(flat))
+            n = np.array([len(x) for x in held], np.int64)
+            return symbol, _named(path, flat, symbol), np.repeat(np.cumsum(n) - n, n)
+
+        for batch in batches:
+            for part in _pieces_of(path, batch.column(0).to_pylist()):
+                held.append(part)
+                size += len(part)
+                if size >= TOGETHER:
+                    yield joined()
+                    held, size = [], 0
+        if held:
+            yield joined()
+
+    return lambda batches: work(parts(batches))
+
+
+_KNOWN = 400_000
 
 
 _memory: dict = {}  # what this process has worked out for units of the model it last used
 
 
+class Reader:
+    """Scores texts; remembers what it has worked out for units that are spelled."""
+
+    def __init__(self, common: dict[bytes, int], path_model: PathModel, model: Model):
+        self.path, self.paths, self.model = path_model.path, path_model, model
+        self.logs = {w: math.log10(c + 0.1) for w, c in common.items()}
+        self.own = self._facts(list(self.path.id))
+        self._forget()
+
+    def _facts(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each unit's word count (0 for white space, nan for a word that is not common), and whether it is a word."""
+        words = [u.rstrip(_WHITE) for u in some]
+        return np.array([self.logs.get(w, math.nan) if w else 0.0 for w in words] or [0.0]), np.array([bool(w) for w in words] or [False])
+
+    def _forget(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.cost, self.part = np.zeros(_KNOWN), np.zeros(_KNOWN)
+        self.worded, self.name = np.zeros(_KNOWN, bool), np.zeros(_KNOWN, np.uint32)
+
+    def spelled(self, some: list[bytes]) -> np.ndarray:
+        """Rows of units that are not frequent; new ones are worked out together."""
+        new = [u for u in dict.fromkeys(some) if u not in self.row]
+        if len(self.row) + len(new) > _KNOWN:
+            self._forget()
+            new = list(dict.fromkeys(some))
+        for i in range(0, len(new), _AT_ONCE):
+            block, k = new[i : i + _AT_ONCE], len(self.row)
+            at = slice(k, k + len(block))
+            self.cost[at] = self.model.costs(block)
+            self.part[at], self.worded[at] = self._facts(block)
+            self.name[at] = [xxhash.xxh32_intdigest(u) for u in block]
+            self.row.update(zip(block, range(k, k + len(block))))
+        return np.fromiter(map(self.row.__getitem__, some), np.int64, len(some))
+
+    def read(self, raws: list[bytes]) -> list[tuple]:
+        """For each text: n_tokens, n_common, common_part, n_bytes, lines (hash, nats) and rare words (word, m)."""
+        every = [units(r) for r in raws]
+        sizes = [len(x) for x in every]
+        flat = [u for x in every for u in x]
+        n = len(flat)
+        symbol = np.fromiter(map(self.path.id.get, flat, repeat(self.path.escape)), np.int64, n)
+        known = symbol < self.path.escape
+        at = np.minimum(symbol, len(self.own[0]) - 1)
+        part, worded, name = self.own[0][at], self.own[1][at], self.path.names[np.minimum(symbol, len(self.path.names) - 1)]
+        cost, rare = np.zeros(n), np.flatnonzero(~known)
+        for i in range(0, len(rare), TOGETHER):
+            k = rare[i : i + TOGETHER]
+            row = self.spelled([flat[j] for j in k.tolist()])
+            cost[k], part[k], worded[k], name[k] = self.cost[row], self.part[row], self.worded[row], self.name[row]
+        cost += self.paths.nats(symbol, name, sizes)
+        odd, out, begin = np.isnan(part), [], 0
+        closing = np.fromiter((u[-1:] == b"\n" for u in flat), bool, n)
+        for raw, size in zip(raws, sizes):
+            of = slice(begin, begin + size)
+            words = Counter(flat[begin + j].rstrip(_WHITE) for j in np.flatnonzero(odd[of]).tolist())
+            n_words = int(worded[of].sum())
+            # A line is what ends with a line feed or with the text.
+            cuts = np.concatenate([[0], np.flatnonzero(closing[of]) + 1])
+            nats = np.add.reduceat(cost[of], cuts[cuts < size])
+            lines = raw.split(b"\n")
+            keys = [xxhash.xxh64_intdigest(x, seed=int(i == len(lines) - 1)) for i, x in enumerate(lines)]
+            out.append((n_words + 1, n_words - sum(words.values()), math.fsum(part[of][~odd[of]]), len(raw), [{"h": h - (1 << 64) if h >> 63 else h, "nats": float(x)} for h, x in zip(keys, nats)], [{"word": w, "m": m} for w, m in words.items()]))
+            begin += size
+        return out
+
+
+_LINES = pa.list_(pa.struct([("h", pa.int64()), ("nats", pa.float64())]))
+_RARE = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
+
+
 def _reader(shared, model_name: str):
     def read(batches):
-        common, model = shared.value
         if _memory.get("model") != model_name:
             _memory.clear()
-            _memory.update(model=model_name, logs={w: math.log10(c + 0.1) for w, c in common.items()}, row={}, costs=np.zeros((_KNOWN, len(SCALES))), parts=np.zeros(_KNOWN), worded=np.zeros(_KNOWN, bool))
-        logs, row, costs, parts, worded = (_memory[k] for k in ("logs", "row", "costs", "parts", "worded"))
-
-        def meet(some: list[bytes]) -> None:
-            """Rows for units not met before. A part is the logarithm of a word's count, 0 for white space, nan for a word that is not common."""
-            new = [u for u in dict.fromkeys(some) if u not in row]
-            if len(row) + len(new) > _KNOWN:
-                row.clear()
-                new = list(dict.fromkeys(some))
-            for i in range(0, len(new), _AT_ONCE):
-                block, k = new[i : i + _AT_ONCE], len(row)
-                costs[k : k + len(block)] = model.costs(block)
-                words = [u.rstrip(_WHITE) for u in block]
-                parts[k : k + len(block)] = [logs.get(w, math.nan) if w else 0.0 for w in words]
-                worded[k : k + len(block)] = [bool(w) for w in words]
-                row.update(zip(block, range(k, k + len(block))))
-
-        def measured(raw: bytes, every: list[bytes], met: bool) -> tuple:
-            n_words, common_part, cost, rare = 0, 0.0, np.zeros(len(SCALES)), Counter()
-            for i in range(0, len(every), _HELD):
-                some = every[i : i + _HELD]
-                if not met:
-                    meet(some)
-                at = np.fromiter(map(row.__getitem__, some), np.int64, len(some))
-                part = parts[at]
-                odd = np.isnan(part)
-                rare.update(some[j].rstrip(_WHITE) for j in np.flatnonzero(odd))
-                n_words += int(worded[at].sum())
-                common_part += math.fsum(part[~odd])
-                cost += costs[at].sum(axis=0)
-            n_common = n_words - sum(rare.values())
-            return n_words + 1, n_common, common_part, len(raw), -mixed_nats(cost[None, :]), [{"word": w, "m": m} for w, m in rare.items()]
-
+            _memory.update(model=model_name, reader=Reader(*shared.value))
+        reader = _memory["reader"]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), _LINES, _RARE]
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            held: list[tuple[bytes, list[bytes]]] = []
-
-            def settle() -> None:
-                """New units of many texts are worked out together; a text with very many is taken in pieces."""
-                together = sum(len(u) for _, u in held) <= _HELD
-                if together:
-                    meet([u for _, every in held for u in every])
-                for raw, every in held:
-                    for col, x in zip(cols, measured(raw, every, together)):
-                        col.append(x)
-                held.clear()
-
-            size = 0
+            rows, held, size = [], [], 0
             for text in batch.column(2).to_pylist():
                 raw = folded(text)
-                every = units(raw)
-                if held and size + len(every) > _HELD:
-                    settle()
-                    size = 0
-                held.append((raw, every))
-                size += len(every)
-            settle()
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), kind]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "held_out", "n_tokens", "n_common", "common_part", "n_bytes", "nats", "rare"])
+                if held and size + len(raw) > 4 * TOGETHER:
+                    rows += reader.read(held)
+                    held, size = [], 0
+                held.append(raw)
+                size += len(raw)
+            rows += reader.read(held) if held else []
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "held_out", "n_tokens", "n_common", "common_part", "n_bytes", "lines", "rare"])
 
     return read
 
 
+def with_memory(done: DataFrame) -> DataFrame:
+    """(row, nats): the logarithm of each text's probability when its lines may also come from other training texts."""
+    lines = done.select("row", "held_out", F.explode("lines").alias("l")).select("row", "held_out", "l.h", "l.nats")
+    counted = lines.where("not held_out").groupBy("h").agg(F.count("*").alias("c"))
+    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
+    # A line that one text alone holds once has no part in the memory.
+    met = lines.join(counted, "h", "left")
+    others = F.greatest(F.coalesce("c", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(1), F.lit(0)) / F.lit(max(total, 1))
+    plain = -F.col("nats")
+    cost = []
+    for i, s in enumerate(SHARES):
+        remembered, own = F.log(others * s), plain + math.log1p(-s)
+        both = F.greatest(own, remembered) + F.log1p(F.exp(-F.abs(own - remembered)))
+        cost.append(F.sum(F.when(others > 0, both).otherwise(own)).alias(f"share{i}"))
+    sums = met.groupBy("row").agg(*cost)
+    every = F.array(*[F.col(f"share{i}") for i in range(len(SHARES))])
+    top = F.array_max(every)
+    mean = F.aggregate(every, F.lit(0.0), lambda a, x: a + F.exp(x - top)) / len(SHARES)
+    return sums.select("row", (top + F.log(mean)).alias("nats"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per document: the id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     stash = Stash(spark)
     src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    seen_units = stash(src.where("not held_out").select("text").mapInArrow(sliced(_count), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    learnt = src.where("not held_out").select("text")
+    seen_units = stash(learnt.mapInArrow(sliced(_count), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     stash.free()
     n_train = src.where("not held_out").count()
     white = F.hex(F.substring("unit", -1, 1)).isin("20", "09", "0A", "0B", "0C", "0D")
@@ -437,17 +698,52 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     n_all, n_kinds = words + n_train, kinds + (n_train > 0)
     common = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()}
-    model = Model(summed(seen_units.mapInArrow(sliced(_tabulate, _AT_ONCE), "segment int, salt int, sums binary")))
-    fit(model, seen_units)
+
+    n_units = seen_units.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    top = seen_units.where("n > 1").orderBy(F.desc("n"), "unit").limit(PATHS).collect()
+    slots = min(MOST_SLOTS, 1 << max(10, (4 * n_units).bit_length()))
+    path = Path([bytes(r["unit"]) for r in top], [r["n"] for r in top], n_units - sum(r["n"] for r in top), slots)
+    sent = spark.sparkContext.broadcast(path)
+
+    def bits_of(parts):
+        tables = np.zeros(2 * sum(sent.value.sizes), np.uint32)
+        for part in parts:
+            sent.value.add(tables, *part)
+        yield from _segments(tables)
+
+    places = "segment int, salt int, sums binary"
+    path_model = PathModel(path, summed(learnt.mapInArrow(_with_path(sent, bits_of), places), 2 * sum(path.sizes)))
+    stash.free()
+    known = spark.sparkContext.broadcast(path_model)
+
+    def path_slopes(parts):
+        total = 0.0
+        for part in parts:
+            total = total + known.value.slope(*part)
+        yield from _sum_rows(total)
+
+    slope = total_slope(learnt.mapInArrow(_with_path(sent, path_slopes), "i int, x double"), (PATH_GATES, PREDICTORS, PREDICTORS + 1))
+    if slope is not None:
+        stepped(path_model.weights, slope)
+    path_model.close()
+    known.unpersist()
+
+    def unspelled(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([u not in sent.value.id for u in batch.column(0).to_pylist()], pa.bool_()))
+
+    rest = stash(seen_units.mapInArrow(sliced(unspelled, _AT_ONCE), "unit binary, n long"))
+    model = Model(spelling(summed(rest.mapInArrow(sliced(_tabulate, _AT_ONCE), places), 2 * sum(SLOTS))))
+    fit(model, rest)
     model.tables = []
-    shared = spark.sparkContext.broadcast((common, model))
+    shared = spark.sparkContext.broadcast((common, path_model, model))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, nats double, rare array<struct<word: binary, m: bigint>>"
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, lines array<struct<h: bigint, nats: double>>, rare array<struct<word: binary, m: bigint>>"
     done = stash(src.mapInArrow(sliced(_reader(shared, uuid.uuid4().hex)), schema).withColumn("row", F.monotonically_increasing_id()))
     stash.free()
     asked = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m")
     met = asked.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_rare"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_part"))
-    both = done.drop("rare").join(met, "row", "left")
+    both = done.drop("rare", "lines").join(met, "row", "left").join(with_memory(done), "row", "left")
     whole = math.log10(n_all + 0.1 * (n_kinds + 1))
     base = F.col("common_part") + F.coalesce("rare_part", F.lit(0.0)) + F.lit(math.log10(n_train + 0.1)) - F.col("n_tokens") * F.lit(whole)
     return both.select(
@@ -460,3 +756,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
         (F.col("nats") / F.lit(math.log(10))).alias("score"),
         (-F.col("nats") / F.lit(math.log(2)) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
+
+
+def _with_path(sent, work):
+    """The map of ``trained``, with a path that is read where the task runs."""
+    return sliced(lambda batches: trained(sent.value, work)(batches))
