@@ -66,6 +66,8 @@ def test_templates_share_a_key_by_quarter():
     assert not set(lines.templates(a)) & set(lines.templates(a.replace("beta", "gamma")))
     assert lines.templates("user 12 logged in") == lines.templates("user 99 logged in")
     assert lines.templates("two words") == [] and lines.templates("") == []
+    assert lines.templates("12.5 30.1 44.9") != lines.templates("2019 7 0.3") and lines.templates("1 2 3") == lines.templates("1  2 3")
+    assert not set(lines.templates("row 1 2 3 4 5 6 7 8")) & set(lines.templates("row 1 2 3 4 5 6 7 9"))
 
 
 def test_line_dedup(docs, empty):

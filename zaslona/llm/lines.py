@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree.
 
 A line descends by its token count, then by its leading tokens, to a leaf; tokens that hold a digit are variable from
-the start. Below the leaf the remaining tokens are four fields of equal width. A template is a leaf with all fields
+the start, unless most of a line's are: a row of numbers says nothing but its numbers and is compared as it stands. Below the leaf the remaining tokens are four fields of equal width. A template is a leaf with all fields
 fixed, or with one of them generalised to a wildcard; so two lines share a template exactly if they have the same
 length and leading tokens and differ within one quarter of the rest. A template that documents share is recurring:
 its lines stay in the document with the smallest id and are dropped from all others.
@@ -9,6 +9,9 @@ its lines stay in the document with the smallest id and are dropped from all oth
 The tree is flat: every line emits the keys of its five templates, which are pre-aggregated to smallest and largest
 document id before the shuffle. No lines are compared in pairs and no leaf gathers anywhere.
 
+Lines of fewer than ``GENERAL_FROM`` tokens have the ungeneralised template only, as a field of them would be no more
+than a word and what differs is as a rule what they say.
+
 Defined results: a null text stays null with no lines; lines of fewer than ``min_tokens`` tokens have no template;
 rows with a null id lose no lines; rows with one id and one text lose the same lines; documents are never dropped, a
 text may become empty; other columns pass through.
@@ -38,7 +41,11 @@ def templates(line: str, depth: int = 2, min_tokens: int = 3) -> list[int]:
     if n < min_tokens:
         return []
     if _DIGIT.search(line):
-        tokens = ["<*>" if _DIGIT.search(t) else t for t in tokens]
+        masked = ["<*>" if _DIGIT.search(t) else t for t in tokens]
+        if masked.count("<*>") * 2 > n:  # a row of numbers: one template, the line itself
+            key = xxhash.xxh64_intdigest("\x1e".join(tokens).encode("utf-8", "surrogatepass"))
+            return [key - (1 << 64) if key >> 63 else key]
+        tokens = masked
     leaf, rest = f"{n}\x1f{' '.join(tokens[:depth])}\x1f", tokens[depth:]
     names = [leaf + " ".join(rest)]
     if n >= GENERAL_FROM:
