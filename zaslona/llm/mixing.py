@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import Stash, sliced
 
-#: Slots of each spelling predictor's table; powers of two.
+#: Slots of each spelling predictor's table, at most; powers of two.
 SLOTS = (1 << 14, 1 << 17, 1 << 20, 1 << 21, 1 << 22)
 ORDERS = (1, 2, 3, 5, 0)  # bytes of context; 0: the unit so far
 GATES = 12
@@ -140,7 +140,12 @@ def units(raw: bytes) -> list[bytes]:
 _WHITE_BYTES = {bytes([b]) for b in _WHITE}
 
 
-def bits(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+def slots_for(n_units: int) -> tuple[int, ...]:
+    """The slots of the spelling predictors' tables for so many training units."""
+    return tuple(min(m, 1 << max(10, n_units.bit_length() + 1)) for m in SLOTS)
+
+
+def bits(some: list[bytes], sizes: tuple[int, ...] = SLOTS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """For units: the number of each bit's unit, the bit, its slot for each predictor, the length of the context."""
     c = code()
     parts, owner_of = [], []
@@ -184,7 +189,7 @@ def bits(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], n
     owner, place = c.bits(symbols)
     node = ((c.node + np.uint32(1)) * _M2) >> np.uint32(7)
     slots = []
-    for k, m in zip(ORDERS, SLOTS):
+    for k, m in zip(ORDERS, sizes):
         x = by_order[k] * _M2
         x = ((x ^ (x >> np.uint32(15))) & np.uint32(m - 1)).astype(np.int64)
         slots.append(x[owner] ^ (node & np.uint32(m - 1)).astype(np.int64)[place])
@@ -205,17 +210,18 @@ class Model:
 
     def __init__(self, tables: list[np.ndarray]):
         self.tables = [t.astype(np.float32) for t in tables]  # for the weights only
+        self.sizes = tuple(t.shape[1] for t in tables)
         self.logits = [(np.log((t[1] + 0.4) / (t[0] + 0.4))).astype(np.float32) for t in tables]
         self.seen = seen(tables[-1].sum(axis=0))
         self.weights = np.full((GATES, len(tables)), 0.25, np.float32)
 
     def inputs(self, some: list[bytes]):
-        unit, bit, slots, at = bits(some)
+        unit, bit, slots, at = bits(some, self.sizes)
         return unit, bit, [t[s] for t, s in zip(self.logits, slots)], gates(self.seen[slots[-1]], at)
 
     def inputs_without(self, some: list[bytes]):
         """As if each unit had been counted once less, as for a text that was not learnt."""
-        unit, bit, slots, at = bits(some)
+        unit, bit, slots, at = bits(some, self.sizes)
         one, zero = bit.astype(np.float32), (~bit).astype(np.float32)
         n = [(np.maximum(t[0][s] - zero, 0), np.maximum(t[1][s] - one, 0)) for t, s in zip(self.tables, slots)]
         return unit, bit, [np.log((b + 0.4) / (a + 0.4)) for a, b in n], gates(seen(n[-1][0] + n[-1][1]), at)
@@ -323,21 +329,24 @@ class PathModel:
 
     def __init__(self, path: Path, tables: np.ndarray):
         self.path = path
-        self.tables = tables.reshape(-1, 2)
+        # Large counts are halved together until both fit into 16 bits, so that their ratio stays.
+        top = tables.reshape(-1, 2).max(axis=1)
+        shift = np.maximum(np.ceil(np.log2(np.maximum(top, 1) + 1.0)) - 16, 0).astype(np.uint32)
+        self.tables = (tables.reshape(-1, 2) >> shift[:, None]).astype(np.uint16)
         self.weights = np.tile(np.array([0.2, 0.4, 0.3, 0.3], np.float32), (PATH_GATES, 1))
         self.logit = self.seen = None
 
     def close(self) -> None:
         """From counts to what scoring needs."""
-        n = self.tables
-        self.logit = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
+        n = self.tables.astype(np.float32)
+        self.logit = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4))).astype(np.float16)
         self.seen = np.minimum(n[self.path.sizes[0] :].sum(axis=1), 255).astype(np.uint8)
         self.tables = None
 
     def inputs(self, symbol, name, first):
         owner, bit, slots, depth = self.path.events(symbol, name, first)
         off = self.path.sizes[0]
-        return owner, bit, [self.logit[s] for s in slots], path_gates(self.seen[slots[3] - off], self.seen[slots[2] - off], depth)
+        return owner, bit, [self.logit[s].astype(np.float32) for s in slots], path_gates(self.seen[slots[3] - off], self.seen[slots[2] - off], depth)
 
     def slope(self, symbol, name, first) -> np.ndarray:
         """As if each bit had been counted once less, as for a text that was not learnt."""
@@ -401,8 +410,8 @@ class PathModel:
                     weights[used, j] += np.bincount(place, xs[j] * wrong, len(used)).astype(np.float32)
 
 
-def empty_tables() -> list[np.ndarray]:
-    return [np.zeros((2, m), np.int64) for m in SLOTS]
+def empty_tables(sizes: tuple[int, ...] = SLOTS) -> list[np.ndarray]:
+    return [np.zeros((2, m), np.int64) for m in sizes]
 
 
 def add_units(count: dict[bytes, int], tables: list[np.ndarray]) -> None:
@@ -410,7 +419,7 @@ def add_units(count: dict[bytes, int], tables: list[np.ndarray]) -> None:
     for i in range(0, len(every), _AT_ONCE):
         some = every[i : i + _AT_ONCE]
         n = np.array([count[u] for u in some], np.int64)
-        unit, bit, slots, _ = bits(some)
+        unit, bit, slots, _ = bits(some, tuple(t.shape[1] for t in tables))
         times = n[unit]
         for t, s in zip(tables, slots):
             np.add.at(t[1], s[bit], times[bit])
@@ -441,12 +450,16 @@ def _segments(flat: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([salt] * _SEGMENTS, pa.int32()), pa.array(blobs, pa.binary())], names=["segment", "salt", "sums"])
 
 
-def _tabulate(batches):
-    """Units and their counts to the segments of one set of tables."""
-    tables = empty_tables()
-    for batch in batches:
-        add_units(dict(zip(*(c.to_pylist() for c in batch.columns))), tables)
-    yield from _segments(np.concatenate([t.ravel() for t in tables]))
+def _tabulate(sizes: tuple[int, ...]):
+    """A map of units and their counts to the segments of one set of tables."""
+
+    def run(batches):
+        tables = empty_tables(sizes)
+        for batch in batches:
+            add_units(dict(zip(*(c.to_pylist() for c in batch.columns))), tables)
+        yield from _segments(np.concatenate([t.ravel() for t in tables]))
+
+    return run
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -480,10 +493,10 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def spelling(flat: np.ndarray) -> list[np.ndarray]:
+def spelling(flat: np.ndarray, sizes: tuple[int, ...] = SLOTS) -> list[np.ndarray]:
     """The spelling predictors' tables from their joint counts."""
     out, i = [], 0
-    for m in SLOTS:
+    for m in sizes:
         out.append(flat[i : i + 2 * m].reshape(2, m))
         i += 2 * m
     return out
@@ -517,7 +530,7 @@ def fit(model: Model, counts: DataFrame) -> None:
     found = total_slope(counts.select("unit", "n").mapInArrow(sliced(run, _AT_ONCE), "i int, x double"), (GATES, len(SLOTS), len(SLOTS) + 1))
     if found is not None:
         model.step(found)
-    now.unpersist()
+    now.destroy()
 
 
 def _named(path: Path, flat: list[bytes], symbol: np.ndarray) -> np.ndarray:
@@ -701,7 +714,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
 
     n_units = seen_units.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     top = seen_units.where("n > 1").orderBy(F.desc("n"), "unit").limit(PATHS).collect()
-    slots = min(MOST_SLOTS, 1 << max(10, (4 * n_units).bit_length()))
+    slots = min(MOST_SLOTS, 1 << max(10, n_units.bit_length()))
     path = Path([bytes(r["unit"]) for r in top], [r["n"] for r in top], n_units - sum(r["n"] for r in top), slots)
     sent = spark.sparkContext.broadcast(path)
 
@@ -726,14 +739,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     if slope is not None:
         stepped(path_model.weights, slope)
     path_model.close()
-    known.unpersist()
+    known.destroy()
 
     def unspelled(batches):
         for batch in batches:
             yield batch.filter(pa.array([u not in sent.value.id for u in batch.column(0).to_pylist()], pa.bool_()))
 
     rest = stash(seen_units.mapInArrow(sliced(unspelled, _AT_ONCE), "unit binary, n long"))
-    model = Model(spelling(summed(rest.mapInArrow(sliced(_tabulate, _AT_ONCE), places), 2 * sum(SLOTS))))
+    sizes = slots_for(n_units)
+    model = Model(spelling(summed(rest.mapInArrow(sliced(_tabulate(sizes), _AT_ONCE), places), 2 * sum(sizes)), sizes))
     fit(model, rest)
     model.tables = []
     shared = spark.sparkContext.broadcast((common, path_model, model))
