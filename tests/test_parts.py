@@ -11,7 +11,8 @@ from zaslona.functions import checksums as C
 from zaslona.functions.lexicon import DEFAULT
 from zaslona.functions.morphology import Names, index_of, letters
 from zaslona.functions.typography import tied
-from zaslona.operators import candidates, evaluate, findings, spans, traffic, views
+from zaslona.operators import candidates, evaluate, findings, relations, spans, traffic, views
+from zaslona.operators.fold import redact_text
 from zaslona.sources import documents, remote
 from zaslona.streaming.redaction import sessions, windowed_findings
 
@@ -105,6 +106,34 @@ def test_breaker_and_layers(spark):
     assert remote.llm_layer(df, lambda t: [t, 1]).first()["candidates"] == ["abc"]
 
 
+def test_masks_are_located():
+    text = "KRS nr 0000123456, Jan  Kowalski, ul. Długa 5"
+    red = redact_text(text)[0]
+    got = views.located(text, red)
+    assert [text[a:b] for _, _, a, b in got] == [o for _, o, _, _ in got] and got[0][1:] == ("0000123456", 7, 17)
+    # Parts that are written otherwise afterwards do not hide the masks behind them.
+    assert [m for m, *_ in views.located("krs nr 0000123456 x 44051401359 y", "KRS nr [KRS] x [PESEL] y")] == ["[KRS]", "[PESEL]"]
+    assert [r[:2] for r in views.located("a b c", "a [PESEL] ZZ [NIP] c")] == [("[PESEL]", "b"), ("[NIP]", "b")]
+
+
+def test_relations(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 2, 2), ("b", 9, 3), ("c", 1, 4), (None, 1, 5), ("a", None, 6)], "k string, at int, id int")
+    right = spark.createDataFrame([("a", 2, 20), ("a", 4, 40), ("a", 4, 41), ("b", 10, 90), (None, 0, 7)], "k string, at int, v int")
+    assert {r["id"]: r["v"] for r in relations.as_of(left, right, "k", "at", ["v"]).collect()} == {1: 41, 2: 20, 3: None, 4: None, 5: None, 6: None}
+    assert relations.as_of(left.limit(0), right, "k", "at", ["v"]).count() == 0
+    texts = spark.createDataFrame([(1, "abc"), (2, None), (3, "xyz")], "id int, t string")
+    assert sorted((r["id"], r["rule"]) for r in relations.matching(texts, "t", {"a": "^a", "c": "c$", "x": "q"}).collect()) == [(1, "a"), (1, "c")]
+    assert relations.matching(texts, "t", {}).count() == 0
+    with pytest.raises(ValueError):
+        relations.matching(texts, "t", {str(i): "x" for i in range(2000)})
+
+
+def test_many_texts_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(documents, "JOIN_LIMIT", 4)
+    with pytest.raises(ValueError):
+        documents.joined(spark.createDataFrame([("a", "xyz"), ("b", "xyz")], "path string, text string"))
+
+
 def test_traffic(spark):
     e = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-02 10:00:00", "a", 2.0), ("2024-01-02 11:00:00", "b", 3.0)], "ts string, kind string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert [r["events"] for r in traffic.trend(e).collect()] == [1, 2]

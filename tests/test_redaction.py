@@ -103,7 +103,7 @@ def test_columns(spark):
         redact(df, types=["NO"])
     text, n = native(F.col("text"), "EMAIL")
     assert df.where("doc_id = 1").select(text.alias("t"), n.alias("n")).first() == ("[EMAIL]", 1)
-    assert [tuple(r) for r in spans(df.where("doc_id = 1").limit(1)).collect()] == [(1, 0, "[EMAIL]", "a@b.pl")]
+    assert [tuple(r) for r in spans(df.where("doc_id = 1").limit(1)).collect()] == [(1, 0, "[EMAIL]", "a@b.pl", 0, 6)]
 
 
 def test_one_python_step(spark):

@@ -92,10 +92,6 @@ def _only_digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def _chars(c: Column, n: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(1)))
-
-
 def weighted_column(kind: str, c: Column) -> Column:
     length, weights, base, at_ten = WEIGHTED[kind]
     d = _only_digits(c)
@@ -105,13 +101,27 @@ def weighted_column(kind: str, c: Column) -> Column:
     return F.coalesce(F.when(F.length(d) == length, want == F.substring(d, length, 1).try_cast("int")), F.lit(False))
 
 
+def _bound(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def iban_column(c: Column) -> Column:
-    s = F.upper(F.regexp_replace(c, r"[\s ]", ""))
-    turned = F.concat(F.substring(s, F.lit(5), F.greatest(F.length(s) - 4, F.lit(0))), F.substring(s, 1, 4))
-    value = lambda ch: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ch) - 1
-    step = lambda r, ch: F.when(value(ch) < 10, (r * 10 + value(ch)) % 97).otherwise((r * 100 + value(ch)) % 97)
-    shaped = s.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+\z") & F.length(s).between(15, 34)
-    return F.coalesce(F.when(shaped, F.aggregate(_chars(turned, F.length(turned)), F.lit(0), step) == 1), F.lit(False))
+    def remainder(number):
+        # 34 signs are at most 68 digits; the remainder follows nine digits at a time.
+        rest = F.lit(0).cast("long")
+        for i in range(0, 72, 9):
+            rest = (rest * 10**9 + F.substring(number, i + 1, 9).try_cast("long")) % 97
+        return rest
+
+    def valid(s):
+        number = F.concat(F.substring(s, F.lit(5), F.length(s) - 4), F.substring(s, 1, 4))
+        for i, letter in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            number = F.replace(number, F.lit(letter), F.lit(str(10 + i)))
+        shaped = F.length(s).between(15, 34) & s.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]+\z")
+        return F.when(shaped, _bound(F.lpad(number, 72, "0"), remainder) == 1).otherwise(False)
+
+    return F.coalesce(_bound(F.upper(F.regexp_replace(c, r"[\s\u00a0]", "")), valid), F.lit(False))
 
 
 def dowod_column(c: Column) -> Column:

@@ -6,7 +6,7 @@ must_keep that stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What the gate asks for.
@@ -56,6 +56,13 @@ def pivoted(rates: DataFrame, categories: list[str], value: str = "recall") -> D
     return rates.where("category is not null").groupBy().pivot("category", categories).agg(F.first(value))
 
 
+def category_order(cases: DataFrame, order_col: str) -> DataFrame:
+    """Categories by their first case: category, place (from 1)."""
+    first = cases.groupBy("category").agg(F.min(order_col).alias("first"))
+    before = F.row_number().over(Window.orderBy("first"))  # as many rows as there are categories
+    return first.select("category", before.alias("place"))
+
+
 def gate(rates: DataFrame) -> list[str]:
     """What falls short of the gate; empty if all is well. The metric table has a row per category."""
     out = []
@@ -68,8 +75,9 @@ def gate(rates: DataFrame) -> list[str]:
     return out
 
 
-def report(rates: DataFrame) -> str:
-    """The metric table as Markdown."""
+def report(rates: DataFrame, order: list[str] | None = None) -> str:
+    """The metric table as Markdown; categories in the given order (as first seen), else by name."""
+    place = {c: i for i, c in enumerate(order or ())}
     shown = lambda x: "–" if x is None else f"{100 * x:.1f} %"
-    rows = sorted(rates.collect(), key=lambda r: (r["category"] is None, r["category"] or ""))
+    rows = sorted(rates.collect(), key=lambda r: (r["category"] is None, place.get(r["category"], len(place)), r["category"] or ""))
     return "\n".join(["| category | recall | precision | F1 |", "|---|---|---|---|", *(f"| {r['category'] or 'all'} | {shown(r['recall'])} | {shown(r['precision'])} | {shown(r['f1'])} |" for r in rows)])

@@ -10,6 +10,11 @@ def between(events: DataFrame, since: str, until: str, ts: str = "ts") -> DataFr
     return events.where((F.col(ts) >= F.lit(since).cast("timestamp")) & (F.col(ts) < F.lit(until).cast("timestamp")))
 
 
+def only(events: DataFrame, dimension: str, *values: str) -> DataFrame:
+    """Events of some values of a dimension, as of one host."""
+    return events.where(F.col(dimension).isin(*values))
+
+
 def summary(events: DataFrame, value: str = "value") -> DataFrame:
     return events.agg(F.count("*").alias("events"), F.sum(value).alias("total"))
 

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {name}", f"from {{{name}}}"), **{name: table(spark, sf_dir, name)})
+    """Rows made from keys. The table is one small file, so they are dealt out to all cores."""
+    return spark.sql(sql.replace(f"from {name}", f"from {{{name}}}"), **{name: table(spark, sf_dir, name).select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)})
 
 
 def query(name: str, sql: str | None = None):
@@ -357,7 +358,7 @@ def x_mask_tokens(spark, sf_dir):
 @query("x_compare", f"select o_orderkey, cast(0 as integer) as ord, '[PESEL]' as mask, value as original from ({fx.VALUES['pesel']}) v")
 def x_compare(spark, sf_dir):
     df = _over(spark, sf_dir, "orders", fx.VALUES["pesel"]).selectExpr("o_orderkey", "'PESEL: ' || value || ' w aktach' as text")
-    return views.compare(redact(df, types=["PESEL"]), "o_orderkey", "text", "redacted")
+    return views.compare(redact(df, types=["PESEL"]), "o_orderkey", "text", "redacted").drop("start", "end")
 
 
 @query("x_escape", "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as safe from pages")
@@ -373,3 +374,9 @@ def x_nbsp(spark, sf_dir):
 @query("x_tokens_dim", "select * from (values " + ", ".join(f"('{m}', '{t}', '{LABELS[t]}')" for t, m in MASKS.items()) + ") as t(token, type, label)")
 def x_tokens_dim(spark, sf_dir):
     return findings.mask_tokens(spark).drop("category")
+
+
+from . import more  # noqa: E402
+
+QUERIES.update(more.QUERIES)
+SQL.update(more.SQL)

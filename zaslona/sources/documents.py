@@ -51,11 +51,15 @@ def plain_text(content: bytes) -> str:
     return content.decode("utf-8", "replace").removeprefix("\ufeff")
 
 
-def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """Files as rows (path, text, error), by extension: .docx, .pdf, else text."""
+#: Characters that ``joined`` puts into one text at most.
+JOIN_LIMIT = 64 << 20
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """Rows (path, content, ...) with text and error in place of content, by extension: .docx, .pdf, else text."""
 
     @F.pandas_udf("struct<text string, error string>")
-    def extracted(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+    def read(path: pd.Series, content: pd.Series) -> pd.DataFrame:
         rows = []
         for p, c in zip(path, content):
             name = p.lower()
@@ -64,10 +68,16 @@ def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
                 rows.append((reader(c), None))
             except NotReadable as e:
                 rows.append((None, str(e)))
+            except Exception as e:  # a reader's own errors on broken files
+                rows.append((None, f"unreadable {name.rpartition('.')[2].upper()}: {e}"))
         return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.withColumn("__x", extracted("path", "content")).select("path", "__x.text", "__x.error")
+    return files.withColumn("__x", read("path", "content")).select(*[c for c in files.columns if c not in ("content", "text", "error")], "__x.text", "__x.error")
+
+
+def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
+    """Files as rows (path, text, error)."""
+    return extracted(spark.read.format("binaryFile").load(list(paths)).select("path", "content"))
 
 
 def read_text(spark: SparkSession, *paths: str) -> DataFrame:
@@ -76,7 +86,10 @@ def read_text(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """Documents of one small set as a single text, in the order of their paths."""
+    """Documents of one small set as a single text, in the order of their paths. A set beyond ``JOIN_LIMIT`` is refused."""
+    size = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).head()[0]
+    if size > JOIN_LIMIT:
+        raise ValueError(f"{size} characters are too many for one text; redact the documents each on its own")
     return docs.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda d: d["text"]), "\n").alias("text"))
 
 
