@@ -272,6 +272,20 @@ def meet(crowd: int):
     return run
 
 
+_TOKEN = np.dtype("u1,<u4")  # 40 bits of a shingle's hash, for comparing sets
+
+
+def packed(s: np.ndarray) -> bytes:
+    out = np.empty(len(s), _TOKEN)
+    out["f0"], out["f1"] = (s >> np.uint64(56)).astype(np.uint8), ((s >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, _TOKEN)
+    return (x["f0"].astype(np.uint64) << np.uint64(32)) | x["f1"]
+
+
 def gathered(batches):
     """A map over (key, x, y, node, tokens) sorted by the first three: links (0, member, root) among the sets of each."""
     now, nodes, sets = None, [], []
@@ -284,13 +298,13 @@ def gathered(batches):
                 yield _links(0, at[p[:, 0]], at[p[:, 1]])
 
     for batch in batches:
-        keys, nums, tokens = list(zip(*(c.to_pylist() for c in batch.columns[:3]))), batch.column(3).to_pylist(), batch.column(4)
-        for i, k in enumerate(keys):
+        keys, nums, tokens = list(zip(*(c.to_pylist() for c in batch.columns[:3]))), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        for k, node, t in zip(keys, nums, tokens):
             if k != now:
                 yield from close()
                 now, nodes, sets = k, [], []
-            nodes.append(nums[i])
-            sets.append(tokens[i].values.to_numpy().view(np.uint64))
+            nodes.append(node)
+            sets.append(unpacked(t))
     yield from close()
 
 
@@ -320,36 +334,50 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in every], np.uint64).view(np.int64)
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *first]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in every], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "text_hash", "node", "n", "first"])
+            cols = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in every], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array([packed(s) for s in every], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "node", "n", "first", "tokens"])
 
-    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(sliced(begun), "id long, text_hash long, node long, n long, first array<long>"))
-    # Sets are told apart by a 64-bit hash; the one with the smallest id stands for its copies.
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
-    nodes = stash(marked.groupBy("node").agg(best, F.first("n").alias("n"), F.first("first").alias("first")).select("node", "best.id", "best.text_hash", "n", "first"))
-    schema = "kind int, a long, b long"
+    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(sliced(begun), "id long, text_hash long, node long, n long, first array<long>, tokens binary"))
+    # Sets are told apart by a 64-bit hash; the smallest id stands for its copies.
+    nodes = stash(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
     begins = nodes.select(F.posexplode("first").alias("at", "key"), "node", "n").select("key", "node", "n", F.col("at").cast("long").alias("at"))
-    met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), schema), batch_rows=65536)
+    met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), "kind int, a long, b long"), batch_rows=65536)
     stash.free()
     pairs = stash(met.where("kind = 0").select("a", "b").distinct())
     crowd = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
     need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(crowd.select("node")).distinct()
-    who = nodes.join(need, "node").select("node", F.col("id").alias("who_id"), F.col("text_hash").alias("who_hash"))
-    held = src.join(who, F.col("id").cast("long").eqNullSafe(F.col("who_id")) & (F.col("text_hash") == F.col("who_hash")))
-    sets = stash(held.dropDuplicates(["node"]).select("node", tokens("text").alias("tokens")))
-    # The sets of a chain of pairs are brought together once, not for every pair.
+    sets = stash(marked.select("node", "tokens").join(need, "node", "left_semi").dropDuplicates(["node"]))
+    stash.free()
+    # The sets of a chain of pairs are brought together once, not for every pair. Of the shingles that many sets begin
+    # with, each set first goes to the one that most have: copies with small changes meet there. What is left are
+    # shingles whose sets are then not yet all linked; all of these are brought together for each.
     chains = components(pairs.toDF("u", "v"), stash)
-    group = chains.select(F.col("root").alias("key"), F.col("u").alias("node")).unionAll(chains.select("root", "root").distinct()).unionAll(crowd)
-    # Blocks of a large group are dealt out in pairs: any two sets share a pair, and no task holds more than two blocks.
+    together = chains.select(F.col("root").alias("key"), F.col("u").alias("node")).unionAll(chains.select("root", "root").distinct())
+    many = crowd.groupBy("key").agg(F.count("*").alias("c"))
+    most = crowd.join(many, "key").groupBy("node").agg(F.max(F.struct("c", "key")).alias("m")).select("m.key", "node")
+    found = linked(together.unionAll(most), sets, run_max, stash)
+    roots = components(found, stash)
+    whose = crowd.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = whose.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = stash(crowd.join(apart, "key", "left_semi"))
+    if not rest.isEmpty():
+        roots = components(found.unionAll(linked(rest, sets, run_max, stash)), stash)
+    owned = nodes.join(roots, nodes.node == roots.u, "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    lowest = owned.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = owned.join(lowest, "root").select("node", "component_id")
+    return marked.join(named, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
+
+
+def linked(group: DataFrame, sets: DataFrame, run_max: int, stash: Stash) -> DataFrame:
+    """Links (u, v) among the sets (node, tokens) of each group (key, node).
+
+    Blocks of a large group are dealt out in pairs: any two sets share a pair, and no task holds more than two blocks.
+    """
     n = group.groupBy("key").agg(F.ceil(F.count("*") / run_max).cast("int").alias("n"))
     block = group.join(n, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = block.select("key", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("p"))
     by = ["key", "x", "y"]
-    stash.free()
     full = dealt.select("key", "p.x", "p.y", "node").join(sets, "node").select(*by, "node", "tokens")
-    found = stash(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(gathered, schema).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = stash(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(gathered, "kind int, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
     stash.free()
-    roots = components(found, stash)
-    owned = nodes.join(roots, nodes.node == roots.u, "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    lowest = owned.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = owned.join(lowest, "root").select("node", "component_id")
-    return marked.join(named, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    return found
