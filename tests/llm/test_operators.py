@@ -262,6 +262,25 @@ def test_near_duplicates_are_all_of_similarity_08(spark, run_max):
     assert [got[i] for i in range(len(texts))] == [min(j for j, y in enumerate(want) if y == x) for x in want]
 
 
+def test_fingerprints_of_like_sets_are_close():
+    rng = np.random.default_rng(15)
+    for n in (6, 20, 100, 1000):
+        for _ in range(60):
+            both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            keep = int(np.ceil(0.8 * n))  # a part of a set, or two parts that share four fifths of all
+            cut = n - (n - keep) // 2
+            a, b = (both[:keep], both) if rng.random() < 0.5 else (both[:cut], both[cut - keep :])
+            assert len(np.intersect1d(a, b)) >= 0.59 * n
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                x, y = (np.frombuffer(simhash.wide(s), np.uint64) for s in (a, b))
+                assert np.bitwise_count(x ^ y).sum() <= simhash.APART
+    other = [np.frombuffer(simhash.wide(rng.integers(0, 1 << 63, 300).astype(np.uint64)), np.uint64) for _ in range(40)]
+    assert simhash.kin(np.stack(other), np.full(40, 300)) == []
+    assert len(simhash.kin(np.stack([other[0]] * 5), np.array([100, 100, 100, 100, 126]))) == 3
+    s = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    assert np.array_equal(simhash.unpacked(simhash.packed(s)), s >> np.uint64(24))
+
+
 def test_simhash_empty(empty):
     assert simhash.groups(empty).count() == 0
     assert simhash.similar(empty).count() == 0

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Stash, components, sliced
 
-#: Members of one variant that a task links in memory. Larger ones are dealt anew by balls over the other half.
-RUN_MAX = 1 << 20
+#: Members of one variant that a task links in memory, at a cost of their square. Larger ones are dealt anew by balls over the other half.
+RUN_MAX = 1 << 13
 _BLOCK = 1 << 15
 
 
@@ -152,12 +152,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 # Near duplicates by exact similarity: the sets of word shingles of two texts have a Jaccard similarity of 0.8 or more.
 # Shingles have one total order, those rare in a sample of the documents first. Of two such sets the beginnings (a
-# fifth of each, and one more) share a shingle in any order, so only beginnings are shuffled. What meets at a shingle
-# and can still reach 0.8 by size and place is a pair; the whole sets of each chain of pairs are brought together, in
-# pairs of blocks where they are many, and linked there. So are the sets that begin with one shingle where these are
-# more than ``CROWD``, and their pairs never become rows. The sample only changes the order and so the cost, not the
-# result.
-
+# fifth of each, and one more) share a shingle in any order, so only beginnings are shuffled. The sample only changes
+# the order and so the cost, not the result. What meets at a shingle and can still reach 0.8 by size and place is a
+# pair, if the sets' fingerprints agree: SimHashes of 256 bits, of which such sets differ in 39 to 48 on average and
+# hardly ever in more than ``APART``, and unrelated ones in 128. At a shingle where more than ``CROWD`` sets meet, these
+# are dealt into bands of size and linked by fingerprint alone, so that their pairs never become rows. The whole sets
+# of each chain of candidates are then brought together once and linked by their similarity.
+
+#: Bits in which the fingerprints of like sets may differ. At 0.8 their number has a mean of at most 48 and a standard
+#: deviation below 6.5, so a pair is missed with a chance below one in a thousand million.
+APART = 90
 CROWD = 16
 SETS_MAX = 2048
 _SAMPLE, _SAMPLED = 32, 200_000
@@ -220,8 +224,8 @@ def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _links(kind: int, a: np.ndarray, b: np.ndarray):
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["kind", "a", "b"])
+def _links(kind: int, *columns: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["kind", *"abcd"[: len(columns)]])
 
 
 def meet(crowd: int):
@@ -286,6 +290,60 @@ def unpacked(raw: bytes) -> np.ndarray:
     return (x["f0"].astype(np.uint64) << np.uint64(32)) | x["f1"]
 
 
+def wide(s: np.ndarray) -> bytes:
+    """The SimHash of 256 bits of a set of 64-bit hashes."""
+    ones = np.zeros(256, np.int64)
+    for i in range(0, len(s), _BLOCK // 4):
+        part = s[i : i + _BLOCK // 4]
+        mixed = np.stack([(part ^ (part >> np.uint64(29))) * np.uint64(m) for m in _MULTIPLIERS], axis=1)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_MULTIPLIERS[0])
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s)).tobytes()
+
+
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+
+def kin(fps: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of the sets whose fingerprints (rows of four words) and sizes let them be alike: pairs of places."""
+    out, left = [], np.arange(len(size))
+    while left.size > 1:
+        root, left = left[0], left[1:]
+        todo = [root]
+        while todo and left.size:
+            y = todo.pop()
+            near = np.bitwise_count(fps[left] ^ fps[y]).sum(axis=1, dtype=np.int64) <= APART
+            near &= (5 * size[left] >= 4 * size[y]) & (5 * size[y] >= 4 * size[left])
+            if near.any():
+                found, left = left[near], left[~near]
+                out += [(z, root) for z in found]
+                todo += list(found)
+    return out
+
+
+def crowded(batches):
+    """A map over (key, x, y, node, n, fp) sorted by the first three: links (0, member, root) that chain each group's kin."""
+    now, held = None, []
+
+    def close():
+        if len(held) > 1:
+            node, n = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+            fps = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, 4)
+            node, first = np.unique(node, return_index=True)
+            p = np.array(kin(fps[first], n[first]), np.int64).reshape(-1, 2)
+            if len(p):
+                yield _links(0, node[p[:, 0]], node[p[:, 1]])
+
+    for batch in batches:
+        for *k, node, n, fp in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != now:
+                yield from close()
+                now, held = k, []
+            held.append((node, n, fp))
+    yield from close()
+
+
 def gathered(batches):
     """A map over (key, x, y, node, tokens) sorted by the first three: links (0, member, root) among the sets of each."""
     now, nodes, sets = None, [], []
@@ -334,50 +392,49 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in every], np.uint64).view(np.int64)
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *first]))
-            cols = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in every], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array([packed(s) for s in every], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "node", "n", "first", "tokens"])
+            cols = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in every], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array([wide(s) for s in every], pa.binary()), pa.array([packed(s) for s in every], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "node", "n", "first", "fp", "tokens"])
 
-    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(sliced(begun), "id long, text_hash long, node long, n long, first array<long>, tokens binary"))
+    marked = stash(src.select(F.col("id").cast("long").alias("id"), "text_hash", "text").mapInArrow(sliced(begun), "id long, text_hash long, node long, n long, first array<long>, fp binary, tokens binary"))
     # Sets are told apart by a 64-bit hash; the smallest id stands for its copies.
-    nodes = stash(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
+    nodes = stash(marked.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "first", "fp"))))
     begins = nodes.select(F.posexplode("first").alias("at", "key"), "node", "n").select("key", "node", "n", F.col("at").cast("long").alias("at"))
     met = stash(begins.repartition("key").sortWithinPartitions("key").mapInArrow(meet(min(CROWD, run_max)), "kind int, a long, b long"), batch_rows=65536)
     stash.free()
-    pairs = stash(met.where("kind = 0").select("a", "b").distinct())
-    crowd = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(crowd.select("node")).distinct()
-    sets = stash(marked.select("node", "tokens").join(need, "node", "left_semi").dropDuplicates(["node"]))
+    prints = nodes.select("node", "n", "fp")
+    pairs = met.where("kind = 0").select("a", "b").distinct()
+    pairs = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("p")), "a").join(prints.select(F.col("node").alias("b"), F.col("fp").alias("q")), "b")
+    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    differ = sum((F.bit_count(word("p", i).bitwiseXOR(word("q", i))) for i in range(4)), F.lit(0))
+    pairs = stash(pairs.where(differ <= APART).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # The sets that crowd at a shingle, by size: like sets are in one band or in two neighbouring ones, and each set
+    # goes to its own band and the next.
+    crowd = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")).join(prints, "node")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("long")
+    cells = crowd.select(F.explode(F.array(band, band + 1)).alias("band"), "key", "node", "n", "fp").select(F.xxhash64("key", "band").alias("key"), "node", "n", "fp")
+    near = stash(dealt(cells, run_max).mapInArrow(crowded, "kind int, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    stash.free()
+    # The sets of a chain of candidates are brought together once, not for every pair.
+    chains = components(pairs.unionAll(near), stash)
+    group = stash(chains.select(F.col("root").alias("key"), F.col("u").alias("node")).unionAll(chains.select("root", "root").distinct()))
+    sets = marked.select("node", "tokens").join(group, "node").dropDuplicates(["node"]).select("key", "node", "tokens")
+    found = stash(dealt(sets, run_max).mapInArrow(gathered, "kind int, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
     stash.free()
-    # The sets of a chain of pairs are brought together once, not for every pair. Of the shingles that many sets begin
-    # with, each set first goes to the one that most have: copies with small changes meet there. What is left are
-    # shingles whose sets are then not yet all linked; all of these are brought together for each.
-    chains = components(pairs.toDF("u", "v"), stash)
-    together = chains.select(F.col("root").alias("key"), F.col("u").alias("node")).unionAll(chains.select("root", "root").distinct())
-    many = crowd.groupBy("key").agg(F.count("*").alias("c"))
-    most = crowd.join(many, "key").groupBy("node").agg(F.max(F.struct("c", "key")).alias("m")).select("m.key", "node")
-    found = linked(together.unionAll(most), sets, run_max, stash)
     roots = components(found, stash)
-    whose = crowd.join(roots.select(F.col("u").alias("node"), "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = whose.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = stash(crowd.join(apart, "key", "left_semi"))
-    if not rest.isEmpty():
-        roots = components(found.unionAll(linked(rest, sets, run_max, stash)), stash)
     owned = nodes.join(roots, nodes.node == roots.u, "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("id").alias("component_id"))
     named = owned.join(lowest, "root").select("node", "component_id")
     return marked.join(named, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
-def linked(group: DataFrame, sets: DataFrame, run_max: int, stash: Stash) -> DataFrame:
-    """Links (u, v) among the sets (node, tokens) of each group (key, node).
+def dealt(rows: DataFrame, run_max: int) -> DataFrame:
+    """Rows (key, node, ...) as sorted groups (key, x, y, node, ...).
 
-    Blocks of a large group are dealt out in pairs: any two sets share a pair, and no task holds more than two blocks.
+    Blocks of a large group are dealt out in pairs: any two rows share a pair, and no task holds more than two blocks.
     """
-    n = group.groupBy("key").agg(F.ceil(F.count("*") / run_max).cast("int").alias("n"))
-    block = group.join(n, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = block.select("key", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))).alias("p"))
+    n = rows.groupBy("key").agg(F.ceil(F.count("*") / run_max).cast("int").alias("blocks"))
+    block = rows.join(n, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = [c for c in rows.columns if c != "key"]
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y")))
     by = ["key", "x", "y"]
-    full = dealt.select("key", "p.x", "p.y", "node").join(sets, "node").select(*by, "node", "tokens")
-    found = stash(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(gathered, "kind int, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    stash.free()
-    return found
+    return block.select("key", *rest, F.explode(pairs).alias("p")).select("key", "p.x", "p.y", *rest).repartition(*by).sortWithinPartitions(*by)
