@@ -122,6 +122,16 @@ mieczysław mikołaj mirosław norbert oskar patryk paweł piotr przemysław rad
 sławomir stanisław stefan szymon tadeusz tomasz waldemar wiesław wiktor witold władysław włodzimierz wojciech zbigniew
 zdzisław zygmunt
 """
+_MORE_MALE_NAMES = """
+bronisław czesław edmund eugeniusz fryderyk gerard gustaw ignacy ireneusz jeremi kajetan kornel krystian lech leon
+leonard ludwik marcel maksymilian mirosław oskar olaf seweryn tymoteusz wacław wincenty witalis zenon
+janek jurek darek sławek mirek romek stasiek franek kuba
+"""
+_MORE_FEMALE_NAMES = """
+aneta bernadetta blanka cecylia daria edyta eugenia felicja iza kornelia lena liliana łucja marzena milena nina nadia
+olga otylia pola regina roksana róża sabina sandra violetta żaneta
+kaśka zosia hania madzia renia krysia jola ela
+"""
 _FEMALE_NAMES = """
 agata agnieszka aleksandra alicja anna antonina barbara beata bożena celina danuta dominika dorota elżbieta emilia ewa
 ewelina gabriela genowefa grażyna halina hanna helena irena iwona izabela jadwiga janina joanna jolanta julia justyna
@@ -140,6 +150,29 @@ sobczak głowacki ziółkowski andrzejewski kaźmierczak błaszczyk czerwiński
 gołębiowski krajewski szulc baran brzeziński wojtas mróz kozieł banaś pietrzyk gawron sroka urban bielecki janik
 szczygieł konieczny marcinkowski markowski kurek stankiewicz leśniak bednarek bednarz domański lipiński
 """
+# Stems of given names and trades, and what makes family names of them.
+_FAMILY_STEMS = """
+adam andrzej antoni bart bartosz błaż dawid dom filip franc gabry ign jakub jan janus jas jędrzej józef kacper karol
+kazimier klim konrad kub lew łuk mac marc mat mich mikołaj mroz olej paw piotr roman sob stan stef szczep szym tom urban
+walent was wit wojciech zyg kowal młynar szew bedn krawc woźn piek
+"""
+_FAMILY_ENDINGS = "ak czak czyk iak icki ik owicz ewicz owski ewski iński niak"
+_MORE_SURNAMES = """
+adamus bakuła banach bielak bilski bogusz borowski buczek budzyński cebula chojnacki cichocki cybulski czapla czarnecki
+dębski dobosz drozdowski dziuba fijałkowski filipek frankowski gołębiewski górecki graczyk guzik hajduk jagiełło jaros
+kasprzak kempa kędzierski klimek kłos kopeć kosiński kot kowalewski kozioł kozak królikowski kruszewski kulesza kurowski
+leszczyński lisowski łukasik madej maliszewski matuszewski mikulski milewski molenda morawski murawski nowacki nowicki
+orłowski osiński owczarek pawelec piasecki polański przybysz rogowski rosiński różański rybicki sienkiewicz skibiński
+skrzypczak sobolewski socha stachowiak stasiak stelmach stolarczyk szostak śliwiński świątek święcicki tkaczyk
+turowski wolański wolski wrona wrzesiński zaremba zaręba zawada ziemba żak żurawski żukowski
+"""
+
+
+def families() -> frozenset[str]:
+    """Family names made from stems and endings."""
+    return frozenset(stem + ending for stem in _FAMILY_STEMS.split() for ending in _FAMILY_ENDINGS.split())
+
+
 # Stems of adjectives of countries, regions, towns and peoples; with -ski, -cki and -dzki they are no surnames.
 _PLACE_ADJECTIVES = """
 polski niemiecki francuski rosyjski angielski brytyjski amerykański włoski hiszpański czeski słowacki ukraiński
@@ -154,10 +187,15 @@ damski dziecięcy wojskowy lotniczy górniczy rycerski gospodarski rolniczy akad
 """
 
 
+def _feminine() -> frozenset[str]:
+    """Given names of women made of those of men, as Stanisława of Stanisław."""
+    return frozenset(n + "a" for n in (_MALE_NAMES + _MORE_MALE_NAMES).split() if n.endswith(("sław", "mir")))
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    first_names: frozenset[str] = field(default_factory=lambda: _words(_MALE_NAMES + _FEMALE_NAMES))
-    surnames: frozenset[str] = field(default_factory=lambda: _words(_SURNAMES) - HOMOGRAPHS)
+    first_names: frozenset[str] = field(default_factory=lambda: _words(_MALE_NAMES + _FEMALE_NAMES + _MORE_MALE_NAMES + _MORE_FEMALE_NAMES) | _feminine())
+    surnames: frozenset[str] = field(default_factory=lambda: (_words(_SURNAMES + _MORE_SURNAMES) | families()) - HOMOGRAPHS - _words(_MALE_NAMES + _MORE_MALE_NAMES))
     places: frozenset[str] = field(default_factory=lambda: _words(_PLACES) | LONG_PLACES)
     place_adjectives: frozenset[str] = field(default_factory=lambda: _words(_PLACE_ADJECTIVES))
 

@@ -18,6 +18,7 @@ from ..operators.redact import spans as masked_spans
 from ..operators.rules import escaped
 from ..sources import documents, remote, synthetic
 from ..streaming import redaction as streams
+from . import recall
 from .cases import CASES, _literal, dealt
 
 QUERIES: dict = {}
@@ -406,3 +407,9 @@ select user_id, count(*) as events from s group by user_id, n""")
 def st_sessions(spark, sf_dir):
     build = lambda s: streams.sessions(s.selectExpr("user_id", "cast(ts as timestamp) as ts"), "user_id", late="10000 days")
     return _streamed(spark, sf_dir, "events", build).select("user_id", "events")
+
+
+@query("e_recall")
+def e_recall(spark, sf_dir):
+    """What redaction finds of labelled sentences, by category."""
+    return recall.measured(spark)
