@@ -3,24 +3,24 @@
 A text is a string of lower-cased bytes and an end mark, cut into units: a word with the white space byte after it, or
 such a byte alone. A unit is coded as bits in two steps.
 
-* The path: a prefix code of the most frequent units and an escape, from their counts. For each bit several predictors
-  look up what training texts did at this node of the code: without context, after the last of the very commonest
-  units (which tells the language and the construction), after the unit before, and after the two units before; the
-  last two in hashed tables. Each gives a logit. The logits are added with weights from a set that a gate chooses: by
-  how often the longer contexts were seen and how deep the node is. The weights come from a Newton step over all
-  training texts, each text without its own counts, and are refined online while a text is read: after every block of
-  units the text's own weights take a step down the gradient of their coding cost.
+* The path: a prefix code of the most frequent units and an escape, from their counts. For each bit two predictors
+  tell what training texts did at this node of the code: in any context, and after the last of the very commonest units
+  (which tells the language and the construction). Each gives a logit; the logits are added with weights from a set
+  that a gate chooses, by how often the context was seen at the node and how deep it is. The weights come from a
+  Newton step over all training units, each without its own count.
 * The spelling of what is not frequent, in the same way over the bits of a fixed prefix code of bytes, with the last 1,
-  2, 3 and 5 bytes of the unit and all of it so far as contexts. Its weights are the same for all texts, so the cost of
-  a unit is worked out once for a process.
+  2, 3 and 5 bytes of the unit and all of it so far as hashed contexts.
 
-A memory of all training lines is mixed in last: a line may also be drawn from those that other training texts hold,
-by their counts in a shuffled table. A few shares of such lines each predict the text; by Bayes' rule the text shifts
-the mixture to those that code it with fewer bits. All experts are distributions, so the probabilities of all texts
-sum to at most one.
+While a text is read the mixture is refined online: the mixed path and each predictor's own path are experts whose
+logistic weights take a step down the gradient of the coding cost after every block of the text's units.
 
-All counts cover all training documents. The predictors' go into tables whose size follows the number of training
-units up to ``MOST_SLOTS``, so that a task can hold them; counts of words and lines are shuffled tables without bound.
+A memory of all training phrases is mixed in last. A phrase ends where a unit's hash says so, so equal passages have
+equal phrases wherever they stand; it may also be drawn from those that other training texts hold, by their counts in
+a shuffled table. A few shares of such phrases each predict the text; by Bayes' rule the text shifts the mixture to
+those that code it with fewer bits. All experts are distributions, so the probabilities of all texts sum to at most one.
+
+All counts cover all training documents. Path and spelling have tables of bounded size, so that a task can hold them;
+counts of words and phrases are shuffled tables that grow with the input.
 
 Defined results: a null text counts as empty, that is, the end mark alone; repeated rows each get a row and each count
 as training; rows with a null id count as training. Without training documents all counts are zero.
@@ -34,7 +34,6 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, sliced
+from .runs import _powers, mixed
 
 #: Slots of each spelling predictor's table, at most; powers of two.
 SLOTS = (1 << 14, 1 << 17, 1 << 20, 1 << 21, 1 << 22)
@@ -51,13 +51,12 @@ GATES = 12
 #: Words whose counts are carried to the texts; all others are joined.
 FREQUENT = 50_000
 #: Units that the path codes, and the commonest of them that serve as a context.
-PATHS, COMMONEST = 32_768, 64
-#: Slots of the tables after one and two units, at most.
-MOST_SLOTS = 1 << 22
-PATH_GATES, PREDICTORS = 27, 4
-#: Units between two steps of a text's weights, the step, and units that are taken together.
-BLOCK, RATE, TOGETHER = 64, 0.004, 1 << 17
-#: Shares of remembered lines.
+PATHS, COMMONEST = 32_768, 128
+PATH_GATES, EXPERTS = 12, 3
+#: Units between two steps of a text's weights, the step, and the bytes of texts that are taken together.
+BLOCK, RATE, TOGETHER = 64, 0.02, 1 << 19
+#: One unit in so many ends a phrase; shares of remembered phrases.
+PHRASE = 12
 SHARES = (0.001, 0.05, 0.5, 0.95)
 _SEGMENTS, _SALTS = 64, 16
 _END = 256
@@ -274,140 +273,162 @@ def stepped(weights: np.ndarray, slope: np.ndarray) -> None:
         weights[g] -= np.clip(move, -0.5, 0.5).astype(np.float32)
 
 
+def pieces(raws: list[bytes]):
+    """Texts in groups (list of (number, bytes, whether the text ends)) of about ``TOGETHER`` bytes; a longer text is cut behind white space."""
+    held, size = [], 0
+    for i, raw in enumerate(raws):
+        begin = 0
+        while True:
+            end = len(raw)
+            if end - begin > TOGETHER:
+                m = _SPACE.search(raw, begin + TOGETHER - 1)
+                end = m.end() if m else end
+            if held and size + end - begin > TOGETHER:
+                yield held
+                held, size = [], 0
+            held.append((i, raw[begin:end], end == len(raw)))
+            size += end - begin
+            if end == len(raw):
+                break
+            begin = end
+    if held:
+        yield held
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(_WHITE)] = True
+
+
+class Cut:
+    """The units of a group: starts, ends, hashes, the piece of each, and which are a text's last."""
+
+    def __init__(self, group: list[tuple[int, bytes, bool]]):
+        self.raw = b"".join(x[1] for x in group)
+        buf = np.frombuffer(self.raw, np.uint8)
+        stop = np.cumsum([len(x[1]) for x in group])
+        closes = stop[np.array([x[2] for x in group], bool)]
+        # A text's last unit, which may be empty, comes after the one that ends in white space there.
+        order = np.sort(np.concatenate([(np.flatnonzero(_IS_WHITE[buf]) + 1) * 2, closes * 2 + 1]), kind="stable")
+        self.end, self.last = order >> 1, (order & 1).astype(bool)
+        self.start = np.concatenate([[0], self.end[:-1]])
+        up, down = _powers(len(buf) + 1)
+        c = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=c[1:])
+        self.hash = mixed((c[self.end] - c[self.start]) * down[self.start])
+        # Units of each piece: those that end in it; an empty last unit belongs to the piece that it closes.
+        white = np.searchsorted(np.flatnonzero(_IS_WHITE[buf]), np.concatenate([[0], stop]))
+        self.count = count = np.diff(white) + np.array([x[2] for x in group], np.int64)
+        self.begin = np.cumsum(count) - count
+        self.piece = np.repeat(np.arange(len(group)), count)
+
+    def unit(self, i: int) -> bytes:
+        return self.raw[self.start[i] : self.end[i]]
+
+
 class Path:
-    """The code of the frequent units and the contexts of its bits."""
-
-    def __init__(self, frequent: list[bytes], counts: list[int], others: int, slots: int):
-        self.id = {u: i for i, u in enumerate(frequent)}
-        self.escape, self.slots = len(frequent), slots
-        self.code = Code([*map(float, counts), float(max(others, 1))]) if frequent else Code([1.0, 1.0])
-        if not frequent:
-            self.escape = 1
-        self.nodes = max(1, self.escape)
-        # One table after another: after the commonest unit and without context (exact), after one unit, after two.
-        self.sizes = ((COMMONEST + 2) * self.nodes, slots, slots)
-        self.names = np.array([xxhash.xxh32_intdigest(u) for u in frequent] or [0], np.uint32)
-
-    def events(self, symbol: np.ndarray, name: np.ndarray, first: np.ndarray):
-        """Of units in turn, with their hashes and the places of their texts' first units: the owner of each bit, the bit, its slot in each predictor's table, and how deep it is."""
-        n = len(symbol)
-        at = np.arange(n)
-        w1, w2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        w1[1:], w2[2:] = name[:-1], name[:-2]
-        w1[at == first], w2[at <= first + 1] = 0, 0
-        last = np.maximum.accumulate(np.where(symbol < min(COMMONEST, self.escape), at, -1))
-        last = np.concatenate([[-1], last[:-1]])
-        common = np.where(last >= first, symbol[np.maximum(last, 0)], COMMONEST)
-        owner, place = self.code.bits(symbol)
-        node = self.code.node[place]
-        h1 = w1 * _M1 + np.uint32(0x51ED27)
-        h2 = (h1 ^ (h1 >> np.uint32(15))) * _M2 + w2 * _M1
-        spread = (node + np.uint32(1)) * _M2
-        slots = [common[owner] * self.nodes + node.astype(np.int64)]
-        slots.append((COMMONEST + 1) * self.nodes + node.astype(np.int64))
-        for h in (h1, h2):
-            x = (h[owner] ^ spread) * _M1
-            slots.append(((x ^ (x >> np.uint32(16))) & np.uint32(self.slots - 1)).astype(np.int64))
-        slots[2] += self.sizes[0]
-        slots[3] += self.sizes[0] + self.slots
-        return owner, self.code.bit[place], slots, place - self.code.start[symbol][owner]
-
-    def add(self, tables: np.ndarray, symbol, name, first) -> None:
-        _, bit, slots, _ = self.events(symbol, name, first)
-        one = bit.astype(np.int64)
-        for s in slots:
-            np.add.at(tables, 2 * s + one, 1)
-
-
-def path_gates(seen2: np.ndarray, seen1: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """The set of weights: by the classes of how often both longer contexts were seen, and by the node's depth."""
-    return ((seen2 > 0).astype(np.int64) + (seen2 > 2)) * 9 + ((seen1 > 0).astype(np.int64) + (seen1 > 8)) * 3 + (depth > 2) + (depth > 7)
+    """The code of the frequent units, and how often each stood after each context."""
+
+    def __init__(self, frequent: list[bytes], counts: list[int], others: int):
+        self.units = frequent
+        self.escape = len(frequent)
+        self.code = Code([*map(float, counts), float(max(others, 1))]) if frequent else None
+        group = [(i, u, False) if u[-1:] in _WHITE_BYTES else (i, u, True) for i, u in enumerate(frequent)]
+        h = np.array([Cut([g]).hash[0] for g in group], np.uint64)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+        self.width = self.escape + 1
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        if not self.escape:
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, h), self.escape - 1)
+        return np.where(self.sorted[at] == h, self.order[at], self.escape)
+
+    def contexts(self, symbol: np.ndarray, cut: Cut, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last commonest unit before each (``COMMONEST`` if none), given those before each piece; and those after each piece."""
+        n, at = len(symbol), np.arange(len(symbol))
+        last = np.maximum.accumulate(np.where(symbol < min(COMMONEST, self.escape), at, -1)) if n else at
+        earlier = np.concatenate([[-1], last[:-1]]) if n else last
+        begin = cut.begin[cut.piece]
+        out = np.where(earlier >= begin, symbol[np.maximum(earlier, 0)], before[cut.piece])
+        end = cut.begin + cut.count - 1
+        after = before.copy()
+        some = cut.count > 0
+        tail = last[np.maximum(end, 0)] if n else end
+        met = some & (tail >= cut.begin)
+        after[met] = symbol[tail[met]]
+        return out, after
+
+
+def path_gates(seen: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The set of weights: by the class of how often the context was seen at the node, and by the node's depth."""
+    return ((seen > 0).astype(np.int64) + (seen > 3) + (seen > 30)) * 3 + (depth > 2) + (depth > 7)
+
+
+def _logit(n1, n0):
+    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
 
 
 class PathModel:
-    """Logits and counts of all slots, and the first weights."""
+    """The logarithm of each unit's probability after each context, for each expert: the mixture, no context, the context alone."""
 
-    def __init__(self, path: Path, tables: np.ndarray):
+    def __init__(self, path: Path, pairs: np.ndarray):
         self.path = path
-        # Large counts are halved together until both fit into 16 bits, so that their ratio stays.
-        top = tables.reshape(-1, 2).max(axis=1)
-        shift = np.maximum(np.ceil(np.log2(np.maximum(top, 1) + 1.0)) - 16, 0).astype(np.uint32)
-        self.tables = (tables.reshape(-1, 2) >> shift[:, None]).astype(np.uint16)
-        self.weights = np.tile(np.array([0.2, 0.4, 0.3, 0.3], np.float32), (PATH_GATES, 1))
-        self.logit = self.seen = None
-
-    def close(self) -> None:
-        """From counts to what scoring needs."""
-        n = self.tables.astype(np.float32)
-        self.logit = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4))).astype(np.float16)
-        self.seen = np.minimum(n[self.path.sizes[0] :].sum(axis=1), 255).astype(np.uint8)
-        self.tables = None
-
-    def inputs(self, symbol, name, first):
-        owner, bit, slots, depth = self.path.events(symbol, name, first)
-        off = self.path.sizes[0]
-        return owner, bit, [self.logit[s].astype(np.float32) for s in slots], path_gates(self.seen[slots[3] - off], self.seen[slots[2] - off], depth)
-
-    def slope(self, symbol, name, first) -> np.ndarray:
-        """As if each bit had been counted once less, as for a text that was not learnt."""
-        _, bit, slots, depth = self.path.events(symbol, name, first)
-        x, seen = [], []
-        for s in slots:
-            n = self.tables[s].astype(np.float32)
-            n1, n0 = np.maximum(n[:, 1] - bit, 0), np.maximum(n[:, 0] - ~bit, 0)
-            x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
-            seen.append(n0 + n1)
-        g = path_gates(seen[3], seen[2], depth)
-        w = self.weights.T
-        z = sum(x[j] * w[j][g] for j in range(PREDICTORS))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return slopes(x, g, p, bit, np.float32(1), PATH_GATES)
-
-    def nats(self, symbol: np.ndarray, name: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """The nats of each unit's path, for texts of so many units one after another."""
-        sizes = np.array(sizes, np.int64)
-        begin = np.cumsum(sizes) - sizes
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        weights = np.tile(self.weights.reshape(1, -1), (len(sizes), 1)).reshape(-1, PREDICTORS)
-        out = np.zeros(len(symbol))
-        if len(symbol) <= TOGETHER:
-            self._read(symbol, name, begin[text], np.arange(len(symbol)) - begin[text], text, weights, out, slice(0, len(symbol)))
-            return out
-        # One long text: its weights and its last two units go on from part to part.
-        for i in range(0, len(symbol), TOGETHER):
-            a = max(0, i - 256)  # enough to know the units before, and the last common one as a rule
-            part = slice(a, min(len(symbol), i + TOGETHER))
-            at = np.arange(a, part.stop)
-            self._read(symbol[part], name[part], np.zeros(len(at), np.int64) - a, at, np.zeros(len(at), np.int64), weights, out[part], slice(i - a, len(at)))
-        return out
-
-    def _read(self, symbol, name, first, at, text, weights, out, of) -> None:
-        owner, bit, x, g = self.inputs(symbol, name, first)
-        if of.start:
-            keep = owner >= of.start
-            owner, bit, g, x = owner[keep], bit[keep], g[keep], [y[keep] for y in x]
-        block = (at // BLOCK)[owner]
-        order = np.argsort(block, kind="stable")
-        ends = np.flatnonzero(np.diff(block[order])) + 1
-        key = text[owner] * PATH_GATES + g
-        for i, (a, b) in enumerate(zip([0, *ends], [*ends, len(order)])):
-            rows = order[a:b] if len(ends) else slice(None)
-            k, y, own = key[rows], bit[rows], owner[rows]
-            xs = [v[rows] for v in x]
-            w = weights[k]
-            z = xs[0] * w[:, 0]
-            for j in range(1, PREDICTORS):
-                z += xs[j] * w[:, j]
-            z = np.clip(z, -24, 24)
-            e = np.exp(np.where(y, -z, z))
-            out += np.bincount(own, np.log1p(e), len(out)) if a == 0 or len(own) * 8 > len(out) else 0
-            if not (a == 0 or len(own) * 8 > len(out)):
-                np.add.at(out, own, np.log1p(e))
-            if b < len(order):
-                wrong = np.where(y, np.float32(1), np.float32(-1)) * (e / (1 + e)).astype(np.float32) * np.float32(RATE)
-                used, place = np.unique(k, return_inverse=True)
-                for j in range(PREDICTORS):
-                    weights[used, j] += np.bincount(place, xs[j] * wrong, len(used)).astype(np.float32)
+        n, width = COMMONEST + 1, path.width
+        self.log = np.zeros((EXPERTS, n, width), np.float32)
+        if path.code is None:
+            return
+        pairs = pairs.reshape(n, width).astype(np.float32)
+        owner, place = path.code.bits(np.arange(width))
+        node, bit = path.code.node[place].astype(np.int64), path.code.bit[place]
+        depth, nodes = place - path.code.start[owner], width - 1
+        ends = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+
+        def counted(w):
+            return np.bincount(node[bit], w[owner][bit], nodes).astype(np.float32), np.bincount(node[~bit], w[owner][~bit], nodes).astype(np.float32)
+
+        every = counted(pairs.sum(axis=0))
+        own = [counted(w) for w in pairs]
+        self.weights = np.tile(np.array([0.5, 0.5], np.float32), (PATH_GATES, 1))
+        total = np.zeros((PATH_GATES, 2, 3))
+        for w, (n1, n0) in zip(pairs, own):
+            at = np.flatnonzero(w[owner] > 0)
+            y, k = bit[at], node[at]
+            x = [_logit(np.maximum(e1[k] - y, 0), np.maximum(e0[k] - ~y, 0)) for e1, e0 in (every, (n1, n0))]
+            g = path_gates(n1[k] + n0[k] - 1, depth[at])
+            z = sum(v * self.weights[g, j] for j, v in enumerate(x))
+            total += slopes(x, g, 1 / (1 + np.exp(-np.clip(z, -30, 30))), y, w[owner[at]], PATH_GATES)
+        stepped(self.weights, total)
+        alone = _logit(*every)[node]
+        for f, (n1, n0) in enumerate(own):
+            here, g = _logit(n1, n0)[node], path_gates((n1 + n0)[node], depth)
+            for k, z in enumerate((alone * self.weights[g, 0] + here * self.weights[g, 1], alone, here)):
+                z = np.clip(np.where(bit, z, -z), -24, 24)
+                self.log[k, f] = -np.add.reduceat(np.log1p(np.exp(-z)), ends)
+
+    def nats(self, symbol: np.ndarray, context: np.ndarray, extra: np.ndarray, cut: Cut, theta: np.ndarray) -> np.ndarray:
+        """The nats of each unit, ``extra`` being those of its spelling. theta: the pieces' weights of the experts, which go on."""
+        logs = self.log[:, context, symbol]
+        out = np.empty(len(symbol))
+        at = np.arange(len(symbol)) - cut.begin[cut.piece]
+        order = np.argsort(at // BLOCK, kind="stable")
+        ends = np.concatenate([[0], np.flatnonzero(np.diff(at[order] // BLOCK)) + 1, [len(order)]]) if len(order) else [0]
+        for a, b in zip(ends[:-1], ends[1:]):
+            rows = order[a:b]
+            piece, x = cut.piece[rows], logs[:, rows]
+            w = np.exp(theta - theta.max(axis=1, keepdims=True))
+            w = (w / w.sum(axis=1, keepdims=True))[piece].T
+            top = x.max(axis=0)
+            part = w * np.exp(x - top)
+            p = part.sum(axis=0)
+            out[rows] = -(np.log(p) + top)
+            for k in range(EXPERTS):
+                theta[:, k] += RATE * np.bincount(piece, part[k] / p - w[k], len(theta))
+        return out + extra
+
+
+FIRST_WEIGHTS = (1.5, 0.0, 0.0)
 
 
 def empty_tables(sizes: tuple[int, ...] = SLOTS) -> list[np.ndarray]:
@@ -533,46 +554,25 @@ def fit(model: Model, counts: DataFrame) -> None:
     now.destroy()
 
 
-def _named(path: Path, flat: list[bytes], symbol: np.ndarray) -> np.ndarray:
-    name = path.names[np.minimum(symbol, len(path.names) - 1)]
-    rare = np.flatnonzero(symbol == path.escape)
-    name[rare] = [xxhash.xxh32_intdigest(flat[i]) for i in rare.tolist()]
-    return name
-
-
-def _pieces_of(path: Path, texts: list[str | None]):
-    """(symbol, name, first) of texts, in parts of bounded size; a part of a text knows nothing before it."""
-    for text in texts:
-        raw = folded(text)
-        every = units(raw)
-        for i in range(0, len(every), TOGETHER):
-            yield every[i : i + TOGETHER]
-
-
-def trained(path: Path, work):
-    """A map over texts that hands them to work in parts of bounded size, as (symbol, name, first)."""
-
-    def parts(batches):
-        held: list[list[bytes]] = []
-        size = 0
-
-        def joined():
-            flat = [u for x in held for u in x]
-            symbol = np.fromiter(map(path.id.get, flat, repeat(path.escape)), np.int64, len(flat))
-            n = np.array([len(x) for x in held], np.int64)
-            return symbol, _named(path, flat, symbol), np.repeat(np.cumsum(n) - n, n)
+def paired(path: Path):
+    """A map over texts to the segments of the counts of (context, symbol)."""
 
+    def run(batches):
+        counts = np.zeros((COMMONEST + 1) * path.width, np.uint32)
         for batch in batches:
-            for part in _pieces_of(path, batch.column(0).to_pylist()):
-                held.append(part)
-                size += len(part)
-                if size >= TOGETHER:
-                    yield joined()
-                    held, size = [], 0
-        if held:
-            yield joined()
+            before, text = np.full(1, COMMONEST), -1
+            for group in pieces([folded(t) for t in batch.column(0).to_pylist()]):
+                cut = Cut(group)
+                symbol = path.symbols(cut.hash)
+                start = np.full(len(group), COMMONEST)
+                if group[0][0] == text:  # the text before goes on
+                    start[0] = before
+                context, after = path.contexts(symbol, cut, start)
+                np.add.at(counts, context * path.width + symbol, 1)
+                before, text = after[-1], group[-1][0] if not group[-1][2] else -1
+        yield from _segments(counts)
 
-    return lambda batches: work(parts(batches))
+    return run
 
 
 _KNOWN = 400_000
@@ -587,18 +587,19 @@ class Reader:
     def __init__(self, common: dict[bytes, int], path_model: PathModel, model: Model):
         self.path, self.paths, self.model = path_model.path, path_model, model
         self.logs = {w: math.log10(c + 0.1) for w, c in common.items()}
-        self.own = self._facts(list(self.path.id))
+        part, worded = self._facts(self.path.units)
+        # The place behind the frequent units stands for all that are spelled.
+        self.own = np.append(part, 0.0), np.append(worded, False)
         self._forget()
 
     def _facts(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The logarithm of each unit's word count (0 for white space, nan for a word that is not common), and whether it is a word."""
         words = [u.rstrip(_WHITE) for u in some]
-        return np.array([self.logs.get(w, math.nan) if w else 0.0 for w in words] or [0.0]), np.array([bool(w) for w in words] or [False])
+        return np.array([self.logs.get(w, math.nan) if w else 0.0 for w in words], float), np.array([bool(w) for w in words], bool)
 
     def _forget(self) -> None:
         self.row: dict[bytes, int] = {}
-        self.cost, self.part = np.zeros(_KNOWN), np.zeros(_KNOWN)
-        self.worded, self.name = np.zeros(_KNOWN, bool), np.zeros(_KNOWN, np.uint32)
+        self.cost, self.part, self.worded = np.zeros(_KNOWN), np.zeros(_KNOWN), np.zeros(_KNOWN, bool)
 
     def spelled(self, some: list[bytes]) -> np.ndarray:
         """Rows of units that are not frequent; new ones are worked out together."""
@@ -611,43 +612,85 @@ class Reader:
             at = slice(k, k + len(block))
             self.cost[at] = self.model.costs(block)
             self.part[at], self.worded[at] = self._facts(block)
-            self.name[at] = [xxhash.xxh32_intdigest(u) for u in block]
             self.row.update(zip(block, range(k, k + len(block))))
         return np.fromiter(map(self.row.__getitem__, some), np.int64, len(some))
 
     def read(self, raws: list[bytes]) -> list[tuple]:
-        """For each text: n_tokens, n_common, common_part, n_bytes, lines (hash, nats) and rare words (word, m)."""
-        every = [units(r) for r in raws]
-        sizes = [len(x) for x in every]
-        flat = [u for x in every for u in x]
-        n = len(flat)
-        symbol = np.fromiter(map(self.path.id.get, flat, repeat(self.path.escape)), np.int64, n)
-        known = symbol < self.path.escape
-        at = np.minimum(symbol, len(self.own[0]) - 1)
-        part, worded, name = self.own[0][at], self.own[1][at], self.path.names[np.minimum(symbol, len(self.path.names) - 1)]
-        cost, rare = np.zeros(n), np.flatnonzero(~known)
-        for i in range(0, len(rare), TOGETHER):
-            k = rare[i : i + TOGETHER]
-            row = self.spelled([flat[j] for j in k.tolist()])
-            cost[k], part[k], worded[k], name[k] = self.cost[row], self.part[row], self.worded[row], self.name[row]
-        cost += self.paths.nats(symbol, name, sizes)
-        odd, out, begin = np.isnan(part), [], 0
-        closing = np.fromiter((u[-1:] == b"\n" for u in flat), bool, n)
-        for raw, size in zip(raws, sizes):
-            of = slice(begin, begin + size)
-            words = Counter(flat[begin + j].rstrip(_WHITE) for j in np.flatnonzero(odd[of]).tolist())
-            n_words = int(worded[of].sum())
-            # A line is what ends with a line feed or with the text.
-            cuts = np.concatenate([[0], np.flatnonzero(closing[of]) + 1])
-            nats = np.add.reduceat(cost[of], cuts[cuts < size])
-            lines = raw.split(b"\n")
-            keys = [xxhash.xxh64_intdigest(x, seed=int(i == len(lines) - 1)) for i, x in enumerate(lines)]
-            out.append((n_words + 1, n_words - sum(words.values()), math.fsum(part[of][~odd[of]]), len(raw), [{"h": h - (1 << 64) if h >> 63 else h, "nats": float(x)} for h, x in zip(keys, nats)], [{"word": w, "m": m} for w, m in words.items()]))
-            begin += size
-        return out
-
-
-_LINES = pa.list_(pa.struct([("h", pa.int64()), ("nats", pa.float64())]))
+        """For each text: n_tokens, n_common, common_part, n_bytes, phrases (hashes, nats) and rare words (Counter)."""
+        n = len(raws)
+        words, known, part_sum = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        rare: list[Counter] = [Counter() for _ in range(n)]
+        keys: list[list] = [[] for _ in range(n)]
+        nats: list[list] = [[] for _ in range(n)]
+        going = None  # what a text that goes on in the next group left
+        for group in pieces(raws):
+            cut = Cut(group)
+            text = np.array([g[0] for g in group])
+            start, theta = np.full(len(group), COMMONEST), np.tile(np.array(FIRST_WEIGHTS), (len(group), 1))
+            if going is not None and going[0] == group[0][0]:
+                start[0], theta[0] = going[1], going[2]
+            symbol = self.path.symbols(cut.hash)
+            context, after = self.path.contexts(symbol, cut, start)
+            at = np.flatnonzero(symbol == self.path.escape)
+            part, worded, extra = self.own[0][symbol], self.own[1][symbol], np.zeros(len(symbol))
+            if len(at):
+                some = list(map(cut.raw.__getitem__, map(slice, cut.start[at].tolist(), cut.end[at].tolist())))
+                row = self.spelled(some) if len(at) <= _KNOWN // 2 else None
+                if row is None:  # in parts, as they may not all be held
+                    half = [self._taken(some[i : i + _KNOWN // 2]) for i in range(0, len(some), _KNOWN // 2)]
+                    extra[at], part[at], worded[at] = (np.concatenate([h[k] for h in half]) for k in range(3))
+                else:
+                    extra[at], part[at], worded[at] = self.cost[row], self.part[row], self.worded[row]
+            cost = self.paths.nats(symbol, context, extra, cut, theta)
+            owner = text[cut.piece]
+            odd = np.isnan(part)
+            words += np.bincount(owner, worded, n).astype(np.int64)
+            known += np.bincount(owner, worded & ~odd, n).astype(np.int64)
+            part_sum += np.bincount(owner, np.where(odd, 0.0, part), n)
+            for i in np.flatnonzero(odd).tolist():
+                rare[owner[i]][cut.unit(i).rstrip(_WHITE)] += 1
+            if len(symbol):
+                self._phrases(cut, cost, text, keys, nats, going)
+            going = None if group[-1][2] else (group[-1][0], after[-1], theta[-1].copy(), self._open)
+        return [(int(words[i]) + 1, int(known[i]), float(part_sum[i]), len(raws[i]), np.concatenate(keys[i]), np.concatenate(nats[i]), rare[i]) for i in range(n)]
+
+    def _taken(self, some: list[bytes]):
+        row = self.spelled(some)
+        return self.cost[row], self.part[row], self.worded[row]
+
+    def _phrases(self, cut: Cut, cost: np.ndarray, text: np.ndarray, keys: list, nats: list, going) -> None:
+        """Adds the phrases of a group to their texts; one that a piece of a long text does not end is kept open, and has a key of its own."""
+        stop = cut.last | (cut.hash % np.uint64(PHRASE) == 0)
+        shown = np.flatnonzero(cut.end > cut.start)
+        line = np.zeros(len(stop), bool)
+        line[shown] = np.frombuffer(cut.raw, np.uint8)[cut.end[shown] - 1] == 10
+        stop |= line
+        up, down = _powers(len(stop) + 1)
+        h = np.where(cut.last, cut.hash ^ np.uint64(0x5555555555555555), cut.hash)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+        total = np.concatenate([[0.0], np.cumsum(cost)])
+        end = np.flatnonzero(stop) + 1
+        if not len(end) or end[-1] < len(stop):
+            end = np.append(end, len(stop))
+            left = True
+        else:
+            left = False
+        begin = np.concatenate([[0], end[:-1]])
+        key, price = mixed((sums[end] - sums[begin]) * down[begin]), total[end] - total[begin]
+        if going is not None and going[0] == text[0] and going[3] is not None:
+            # The open phrase of the text before this group is its start.
+            key[:1] = mixed(going[3][0] * np.uint64(0x9E3779B97F4A7C15) + key[:1])
+            price[0] += going[3][1]
+        self._open = (key[-1:].copy(), price[-1]) if left else None
+        if left:
+            key, price, end = key[:-1], price[:-1], end[:-1]
+        owner = text[cut.piece[end - 1]]
+        for t in np.unique(owner).tolist():
+            of = slice(*np.searchsorted(owner, (t, t + 1)))
+            keys[t].append(key[of].view(np.int64))
+            nats[t].append(price[of])
+
+
 _RARE = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
 
 
@@ -657,30 +700,24 @@ def _reader(shared, model_name: str):
             _memory.clear()
             _memory.update(model=model_name, reader=Reader(*shared.value))
         reader = _memory["reader"]
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), _LINES, _RARE]
         for batch in batches:
-            rows, held, size = [], [], 0
-            for text in batch.column(2).to_pylist():
-                raw = folded(text)
-                if held and size + len(raw) > 4 * TOGETHER:
-                    rows += reader.read(held)
-                    held, size = [], 0
-                held.append(raw)
-                size += len(raw)
-            rows += reader.read(held) if held else []
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "held_out", "n_tokens", "n_common", "common_part", "n_bytes", "lines", "rare"])
+            rows = reader.read([folded(t) for t in batch.column(2).to_pylist()])
+            cols = list(zip(*rows)) or [[]] * 7
+            ends = pa.array(np.cumsum([0, *map(len, cols[4])]).astype(np.int32))
+            keys, nats = (np.concatenate([np.zeros(0, t), *c]) for t, c in ((np.int64, cols[4]), (np.float64, cols[5])))
+            phrases = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(keys), pa.array(nats)], names=["h", "nats"]))
+            rare = pa.array([[{"word": w, "m": m} for w, m in c.items()] for c in cols[6]], _RARE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), phrases, rare], names=["id", "held_out", "n_tokens", "n_common", "common_part", "n_bytes", "phrases", "rare"])
 
     return read
 
 
 def with_memory(done: DataFrame) -> DataFrame:
-    """(row, nats): the logarithm of each text's probability when its lines may also come from other training texts."""
-    lines = done.select("row", "held_out", F.explode("lines").alias("l")).select("row", "held_out", "l.h", "l.nats")
-    counted = lines.where("not held_out").groupBy("h").agg(F.count("*").alias("c"))
+    """(row, nats): the logarithm of each text's probability when its phrases may also come from other training texts."""
+    said = done.select("row", "held_out", F.explode("phrases").alias("p")).select("row", "held_out", "p.h", "p.nats")
+    counted = said.where("not held_out").groupBy("h").agg(F.count("*").alias("c"))
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
-    # A line that one text alone holds once has no part in the memory.
-    met = lines.join(counted, "h", "left")
+    met = said.join(counted, "h", "left")
     others = F.greatest(F.coalesce("c", F.lit(0)) - F.when(F.col("held_out"), 0).otherwise(1), F.lit(0)) / F.lit(max(total, 1))
     plain = -F.col("nats")
     cost = []
@@ -714,36 +751,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
 
     n_units = seen_units.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     top = seen_units.where("n > 1").orderBy(F.desc("n"), "unit").limit(PATHS).collect()
-    slots = min(MOST_SLOTS, 1 << max(10, n_units.bit_length()))
-    path = Path([bytes(r["unit"]) for r in top], [r["n"] for r in top], n_units - sum(r["n"] for r in top), slots)
+    path = Path([bytes(r["unit"]) for r in top], [r["n"] for r in top], n_units - sum(r["n"] for r in top))
     sent = spark.sparkContext.broadcast(path)
-
-    def bits_of(parts):
-        tables = np.zeros(2 * sum(sent.value.sizes), np.uint32)
-        for part in parts:
-            sent.value.add(tables, *part)
-        yield from _segments(tables)
-
     places = "segment int, salt int, sums binary"
-    path_model = PathModel(path, summed(learnt.mapInArrow(_with_path(sent, bits_of), places), 2 * sum(path.sizes)))
+    pairs = learnt.mapInArrow(sliced(lambda batches: paired(sent.value)(batches)), places)
+    path_model = PathModel(path, summed(pairs, (COMMONEST + 1) * path.width))
     stash.free()
-    known = spark.sparkContext.broadcast(path_model)
-
-    def path_slopes(parts):
-        total = 0.0
-        for part in parts:
-            total = total + known.value.slope(*part)
-        yield from _sum_rows(total)
-
-    slope = total_slope(learnt.mapInArrow(_with_path(sent, path_slopes), "i int, x double"), (PATH_GATES, PREDICTORS, PREDICTORS + 1))
-    if slope is not None:
-        stepped(path_model.weights, slope)
-    path_model.close()
-    known.destroy()
+    frequent_units = frozenset(path.units)
 
     def unspelled(batches):
         for batch in batches:
-            yield batch.filter(pa.array([u not in sent.value.id for u in batch.column(0).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([u not in frequent_units for u in batch.column(0).to_pylist()], pa.bool_()))
 
     rest = stash(seen_units.mapInArrow(sliced(unspelled, _AT_ONCE), "unit binary, n long"))
     sizes = slots_for(n_units)
@@ -752,12 +770,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     model.tables = []
     shared = spark.sparkContext.broadcast((common, path_model, model))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, lines array<struct<h: bigint, nats: double>>, rare array<struct<word: binary, m: bigint>>"
+    schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, phrases array<struct<h: bigint, nats: double>>, rare array<struct<word: binary, m: bigint>>"
     done = stash(src.mapInArrow(sliced(_reader(shared, uuid.uuid4().hex)), schema).withColumn("row", F.monotonically_increasing_id()))
     stash.free()
     asked = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m")
     met = asked.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_rare"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_part"))
-    both = done.drop("rare", "lines").join(met, "row", "left").join(with_memory(done), "row", "left")
+    both = done.drop("rare", "phrases").join(met, "row", "left").join(with_memory(done), "row", "left")
     whole = math.log10(n_all + 0.1 * (n_kinds + 1))
     base = F.col("common_part") + F.coalesce("rare_part", F.lit(0.0)) + F.lit(math.log10(n_train + 0.1)) - F.col("n_tokens") * F.lit(whole)
     return both.select(
@@ -770,8 +788,3 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
         (F.col("nats") / F.lit(math.log(10))).alias("score"),
         (-F.col("nats") / F.lit(math.log(2)) / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
-
-
-def _with_path(sent, work):
-    """The map of ``trained``, with a path that is read where the task runs."""
-    return sliced(lambda batches: trained(sent.value, work)(batches))
