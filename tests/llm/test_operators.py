@@ -342,6 +342,16 @@ def test_quality_learns_and_covers_edges(spark, empty):
     assert {r["score"] for r in quality.with_score(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_features_by_brute_force():
+    rng = random.Random(16)
+    table = np.random.default_rng(16).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = [prose(rng, n, 50) for n in (1, 2, 40, 5000)] + ["", None]
+    for t, ids in zip(texts, quality.tokens(texts)):
+        v, n = table[ids].astype(float), max(1, len(ids))
+        want = [v.sum(axis=0) / n, (v * v).sum(axis=0) / n, (v[:-1] * v[1:]).sum(axis=0) / n]
+        assert np.allclose(quality.pooled(ids, table), np.concatenate(want), atol=1e-4)
+
+
 def test_hashes_do_not_depend_on_company():
     rng = random.Random(6)
     texts = [prose(rng, rng.randrange(0, 50)).encode() for _ in range(30)] + [b"", b"x" * 3000, b"a b"]
@@ -356,6 +366,8 @@ def test_hashes_do_not_depend_on_company():
     assert len(set(names.values())) == len(names)
     long = b" ".join([b"word%d" % i for i in range(300_000)])
     assert len(runs.hashes([long], kind)[0]) == 300_000
+    huge = b"y" * (10 * runs.BLOCK)
+    assert [len(x) for x in runs.hashes([huge + b" a " + huge, b"a"], kind)] == [3, 1]
 
 
 # 6
@@ -538,6 +550,23 @@ def test_licenses_are_named(spark):
     assert [got[i] for i, _ in rows] == list(texts.values())
 
 
+def slow_base(text):
+    w = WORD.findall((text or "").translate(FOLD))
+    places = [(i, label) for p, label in licences.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in places]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_base_labels_by_brute_force(spark, docs):
+    rng = random.Random(14)
+    some = ["GNU", "General", "public", "license", "Apache", "License,", "CC", "BY.", "MIT", "-", "é", "mit2", "gnu-general", "\n"]
+    rows = [(i, " ".join(rng.choice(some) for _ in range(rng.randrange(0, 80)))) for i in range(120)]
+    rows += [(500, " ".join(rng.choice(some) for _ in range(300_000))), (501, "x" * 3_000_000 + " mit license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    got = Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licences.scan(df).collect())
+    assert got == Counter((i, *slow_base(t)) for i, t in plain(df))
+
+
 # 9
 
 

@@ -10,7 +10,7 @@ import numpy as np
 
 _M = 0x9E3779B97F4A7C15
 _W = pow(_M, -1, 1 << 64)
-#: Bytes hashed at once. Longer texts are cut at white space; a token of more than 8 blocks is hashed in parts.
+#: Bytes hashed at once, but for longer tokens. Longer texts are cut at white space.
 BLOCK = 1 << 20
 _tables: list[np.ndarray] = []
 
@@ -55,11 +55,12 @@ def runs(buf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _cuts(text: bytes) -> list[bytes]:
+    """A long text in parts of about a block, cut before white space only; what has none stays whole."""
     out, i = [], 0
     while len(text) - i > BLOCK:
         at = max(text.rfind(b" ", i, i + BLOCK), text.rfind(b"\n", i, i + BLOCK))
         if at <= i:
-            at = min((x for x in (text.find(b" ", i + BLOCK, i + 8 * BLOCK), text.find(b"\n", i + BLOCK, i + 8 * BLOCK)) if x > 0), default=min(len(text), i + 8 * BLOCK))
+            at = min((x for x in (text.find(b" ", i + BLOCK), text.find(b"\n", i + BLOCK)) if x > 0), default=len(text))
         out.append(text[i:at])
         i = at
     return [*out, text[i:]]
