@@ -14,6 +14,7 @@ from .lexicon import DEFAULT, Lexicon
 
 # Endings of first names in other cases than the first.
 NAME_ENDINGS = ("a", "i", "y", "ie", "ę", "ą", "o", "u", "e", "em", "owi")
+_NAME_ENDINGS, _NAME_LONGEST = frozenset(NAME_ENDINGS), max(map(len, NAME_ENDINGS))
 # What follows the stem of adjectival surnames, and stems with an ending of their own in the plural.
 ADJECTIVE_STEMS = "sk ck dzk".split()
 ADJECTIVE_ENDINGS = "iego iemu imi ich im iej ą a".split()
@@ -82,11 +83,11 @@ class Names:
     def __init__(self, lexicon: Lexicon = DEFAULT):
         self.lexicon = lexicon
         for name in ("is_first_name", "base", "key", "like_surname", "of_a_place"):
-            setattr(self, name, lru_cache(50_000)(getattr(self, "_" + name)))
+            setattr(self, name, lru_cache(100_000)(getattr(self, "_" + name)))
 
     def _is_first_name(self, word: str) -> bool:
-        w = word.lower()
-        return w in self.lexicon.first_names or any(len(w) - len(e) >= 2 and w.endswith(e) and w[: -len(e)] in self.lexicon.name_stems for e in NAME_ENDINGS)
+        w, stems = word.lower(), self.lexicon.name_stems
+        return w in self.lexicon.first_names or any(w[-k:] in _NAME_ENDINGS and w[:-k] in stems for k in range(1, min(_NAME_LONGEST, len(w) - 2) + 1))
 
     def _base(self, word: str) -> str | None:
         """A surname of the lexicon of which the word is a form."""
