@@ -768,6 +768,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     model = Model(spelling(summed(rest.mapInArrow(sliced(_tabulate(sizes), _AT_ONCE), places), 2 * sum(sizes)), sizes))
     fit(model, rest)
     model.tables = []
+    stash.drop(rest)
+    stash.drop(seen_units)
     shared = spark.sparkContext.broadcast((common, path_model, model))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, phrases array<struct<h: bigint, nats: double>>, rare array<struct<word: binary, m: bigint>>"

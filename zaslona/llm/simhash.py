@@ -416,10 +416,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     stash.free()
     # The sets of a chain of candidates are brought together once, not for every pair.
     chains = components(pairs.unionAll(near), stash)
+    for table in (met, pairs, near):
+        stash.drop(table)
     group = stash(chains.select(F.col("root").alias("key"), F.col("u").alias("node")).unionAll(chains.select("root", "root").distinct()))
     sets = marked.select("node", "tokens").join(group, "node").dropDuplicates(["node"]).select("key", "node", "tokens")
     found = stash(dealt(sets, run_max).mapInArrow(gathered, "kind int, a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")))
     stash.free()
+    stash.drop(group)
     roots = components(found, stash)
     owned = nodes.join(roots, nodes.node == roots.u, "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("id").alias("component_id"))
