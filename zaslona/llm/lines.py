@@ -81,7 +81,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     parsed = stash(src.where("text is not null and id is not null").mapInArrow(sliced(_parse(depth, min_tokens)), "id long, text_hash long, line_no int, key long"))
     recurring = parsed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
-    dropped = parsed.join(recurring, "key").where("id > low").groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("__gone"))
+    # The result needs only which lines go; the keys of all lines leave the disk.
+    dropped = stash(parsed.join(recurring, "key").where("id > low").groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("__gone")))
+    stash.drop(parsed)
+    stash.free()
 
     @F.pandas_udf("string")
     def without(texts, gone):

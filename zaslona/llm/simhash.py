@@ -427,7 +427,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     owned = nodes.join(roots, nodes.node == roots.u, "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     lowest = owned.groupBy("root").agg(F.min("id").alias("component_id"))
     named = owned.join(lowest, "root").select("node", "component_id")
-    return marked.join(named, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    out = stash(marked.select("id", "text_hash", "node").join(named, "node", "left").select(F.col("id").alias(id_col), "text_hash", "component_id"))
+    stash.drop(marked)
+    stash.drop(nodes)
+    stash.free()
+    return out
 
 
 def dealt(rows: DataFrame, run_max: int) -> DataFrame:
