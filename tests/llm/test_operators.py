@@ -468,6 +468,7 @@ def test_units_are_cut_alike():
         assert [cut.unit(i) for i in range(len(cut.end))] == every and cut.count.tolist() == [len(mixing.units(raw)) for _, raw, _ in group]
         names = {}
         assert all(names.setdefault(u, h) == h for u, h in zip(every, cut.hash.tolist())) and len(set(names.values())) == len(names)
+        assert np.array_equal(mixing.unit_hashes(every), cut.hash)
 
 
 def test_paths_are_a_distribution_after_any_context():

@@ -8,8 +8,8 @@ such a byte alone. A unit is coded as bits in two steps.
   (which tells the language and the construction). Each gives a logit; the logits are added with weights from a set
   that a gate chooses, by how often the context was seen at the node and how deep it is. The weights come from a
   Newton step over all training units, each without its own count.
-* The spelling of what is not frequent, in the same way over the bits of a fixed prefix code of bytes, with the last 1,
-  2, 3 and 5 bytes of the unit and all of it so far as hashed contexts.
+* The spelling of what is not frequent, in the same way over the bits of a fixed prefix code of bytes, with the last 2,
+  3 and 5 bytes of the unit and all of it so far as hashed contexts.
 
 While a text is read the mixture is refined online: the mixed path and each predictor's own path are experts whose
 logistic weights take a step down the gradient of the coding cost after every block of the text's units.
@@ -45,18 +45,20 @@ from .common import Stash, sliced
 from .runs import _powers, mixed
 
 #: Slots of each spelling predictor's table, at most; powers of two.
-SLOTS = (1 << 14, 1 << 17, 1 << 20, 1 << 21, 1 << 22)
-ORDERS = (1, 2, 3, 5, 0)  # bytes of context; 0: the unit so far
+SLOTS = (1 << 17, 1 << 20, 1 << 21, 1 << 22)
+ORDERS = (2, 3, 5, 0)  # bytes of context; 0: the unit so far
 GATES = 12
 #: Words whose counts are carried to the texts; all others are joined.
 FREQUENT = 50_000
 #: Units that the path codes, and the commonest of them that serve as a context.
-PATHS, COMMONEST = 32_768, 128
+PATHS, COMMONEST = 32_768, 64
 PATH_GATES, EXPERTS = 12, 3
 #: Units between two steps of a text's weights, the step, and the bytes of texts that are taken together.
 BLOCK, RATE, TOGETHER = 64, 0.02, 1 << 19
+#: Spelled units whose costs are worked out once and sent to all tasks, at most (24 bytes each); the rest are worked out where they are met.
+SENT = 1_000_000
 #: One unit in so many ends a phrase; shares of remembered phrases.
-PHRASE = 12
+PHRASE = 24
 SHARES = (0.001, 0.05, 0.5, 0.95)
 _SEGMENTS, _SALTS = 64, 16
 _END = 256
@@ -326,6 +328,17 @@ class Cut:
         return self.raw[self.start[i] : self.end[i]]
 
 
+def unit_hashes(some: list[bytes]) -> np.ndarray:
+    """The hashes of units, as ``Cut`` has them."""
+    buf = np.frombuffer(b"".join(some), np.uint8)
+    end = np.cumsum([len(u) for u in some], dtype=np.int64)
+    start = np.concatenate([[0], end])[:-1].astype(np.int64)
+    up, down = _powers(len(buf) + 1)
+    c = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=c[1:])
+    return mixed((c[end] - c[start]) * down[start])
+
+
 class Path:
     """The code of the frequent units, and how often each stood after each context."""
 
@@ -333,8 +346,7 @@ class Path:
         self.units = frequent
         self.escape = len(frequent)
         self.code = Code([*map(float, counts), float(max(others, 1))]) if frequent else None
-        group = [(i, u, False) if u[-1:] in _WHITE_BYTES else (i, u, True) for i, u in enumerate(frequent)]
-        h = np.array([Cut([g]).hash[0] for g in group], np.uint64)
+        h = unit_hashes(frequent)
         self.order = np.argsort(h)
         self.sorted = h[self.order]
         self.width = self.escape + 1
@@ -443,8 +455,7 @@ def add_units(count: dict[bytes, int], tables: list[np.ndarray]) -> None:
         unit, bit, slots, _ = bits(some, tuple(t.shape[1] for t in tables))
         times = n[unit]
         for t, s in zip(tables, slots):
-            np.add.at(t[1], s[bit], times[bit])
-            np.add.at(t[0], s[~bit], times[~bit])
+            np.add.at(t.reshape(-1), s + bit * t.shape[1], times)
 
 
 def _count(batches):
@@ -584,8 +595,10 @@ _memory: dict = {}  # what this process has worked out for units of the model it
 class Reader:
     """Scores texts; remembers what it has worked out for units that are spelled."""
 
-    def __init__(self, common: dict[bytes, int], path_model: PathModel, model: Model):
+    def __init__(self, common: dict[bytes, int], path_model: PathModel, model: Model, sent: tuple | None = None):
         self.path, self.paths, self.model = path_model.path, path_model, model
+        #: Sorted hashes of spelled units with their costs, logarithms of word counts, and whether they are words.
+        self.sent = sent if sent is not None else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, bool))
         self.logs = {w: math.log10(c + 0.1) for w, c in common.items()}
         part, worded = self._facts(self.path.units)
         # The place behind the frequent units stands for all that are spelled.
@@ -633,6 +646,12 @@ class Reader:
             context, after = self.path.contexts(symbol, cut, start)
             at = np.flatnonzero(symbol == self.path.escape)
             part, worded, extra = self.own[0][symbol], self.own[1][symbol], np.zeros(len(symbol))
+            if len(at) and len(self.sent[0]):
+                place = np.minimum(np.searchsorted(self.sent[0], cut.hash[at]), len(self.sent[0]) - 1)
+                met = self.sent[0][place] == cut.hash[at]
+                place, met_at = place[met], at[met]
+                extra[met_at], part[met_at], worded[met_at] = self.sent[1][place], self.sent[2][place], self.sent[3][place]
+                at = at[~met]
             if len(at):
                 some = list(map(cut.raw.__getitem__, map(slice, cut.start[at].tolist(), cut.end[at].tolist())))
                 row = self.spelled(some) if len(at) <= _KNOWN // 2 else None
@@ -768,9 +787,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     model = Model(spelling(summed(rest.mapInArrow(sliced(_tabulate(sizes), _AT_ONCE), places), 2 * sum(sizes)), sizes))
     fit(model, rest)
     model.tables = []
+    # How many units stand at least so often tells from which count on their costs are sent.
+    often = rest.groupBy("n").agg(F.count("*").alias("c")).where("n > 1").orderBy(F.desc("n")).toLocalIterator()
+    least, units_sent = 1 << 62, 0
+    for r in often:
+        units_sent += r["c"]
+        if units_sent > SENT:
+            break
+        least = r["n"]
+    shared = spark.sparkContext.broadcast((common, path_model, model))
+
+    def costs(batches):
+        known = Reader(*shared.value)
+        for batch in batches:
+            some = batch.column(0).to_pylist()
+            h = unit_hashes(some)
+            part, worded = known._facts(some)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(known.model.costs(some)), pa.array(part), pa.array(worded)], names=["h", "cost", "part", "worded"])
+
+    t = rest.where(F.col("n") >= least).select("unit").mapInArrow(sliced(costs, _AT_ONCE), "h long, cost double, part double, worded boolean").toArrow()
+    h = t.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    shared = spark.sparkContext.broadcast((common, path_model, model, (h[order], *(t.column(c).to_numpy()[order] for c in ("cost", "part", "worded")))))
     stash.drop(rest)
     stash.drop(seen_units)
-    shared = spark.sparkContext.broadcast((common, path_model, model))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, phrases array<struct<h: bigint, nats: double>>, rare array<struct<word: binary, m: bigint>>"
     done = stash(src.mapInArrow(sliced(_reader(shared, uuid.uuid4().hex)), schema).withColumn("row", F.monotonically_increasing_id()))
