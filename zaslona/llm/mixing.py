@@ -713,11 +713,11 @@ class Reader:
 _RARE = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
 
 
-def _reader(shared, model_name: str):
+def _reader(shared, ready, model_name: str):
     def read(batches):
         if _memory.get("model") != model_name:
             _memory.clear()
-            _memory.update(model=model_name, reader=Reader(*shared.value))
+            _memory.update(model=model_name, reader=Reader(*shared.value, ready.value))
         reader = _memory["reader"]
         for batch in batches:
             rows = reader.read([folded(t) for t in batch.column(2).to_pylist()])
@@ -808,12 +808,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     t = rest.where(F.col("n") >= least).select("unit").mapInArrow(sliced(costs, _AT_ONCE), "h long, cost double, part double, worded boolean").toArrow()
     h = t.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((common, path_model, model, (h[order], *(t.column(c).to_numpy()[order] for c in ("cost", "part", "worded")))))
+    ready = spark.sparkContext.broadcast((h[order], *(t.column(c).to_numpy()[order] for c in ("cost", "part", "worded"))))
     stash.drop(rest)
     stash.drop(seen_units)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_common long, common_part double, n_bytes long, phrases array<struct<h: bigint, nats: double>>, rare array<struct<word: binary, m: bigint>>"
-    done = stash(src.mapInArrow(sliced(_reader(shared, uuid.uuid4().hex)), schema).withColumn("row", F.monotonically_increasing_id()))
+    done = stash(src.mapInArrow(sliced(_reader(shared, ready, uuid.uuid4().hex)), schema).withColumn("row", F.monotonically_increasing_id()))
     stash.free()
     asked = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m")
     met = asked.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_rare"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("rare_part"))
