@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lines, mixing, pieces, quality, simhash, substrings, topk, wrappers
+from . import decontaminate, licences, lines, mixing, phrases, pieces, quality, resample, simhash, substrings, token_files, topk, wrappers
 from .common import table
 
 
@@ -53,6 +53,20 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return resample.draw(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_mining(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 _OPERATORS = (
     op1_line_dedup,
     op2_html_extraction,
@@ -64,6 +78,9 @@ _OPERATORS = (
     op8_license_scan,
     op9_sentencepiece,
     op10_exact_top_k,
+    op11_token_files,
+    op12_importance_resampling,
+    op13_phrase_mining,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
@@ -97,3 +114,45 @@ s as (select q.vec_id as query_id, e.vec_id, cast(sum(q.x * e.x) as bigint) as s
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
+
+# crc32 by a table of 256 remainders, made by rule; bytes are read from the text's hexadecimal form.
+SQL["op12_importance_resampling"] = f"""
+with recursive bits as (select i as b, i as c, 0 as k from range(256) t(i)
+  union all select b, xor(c >> 1, 3988292384 * (c & 1)), k + 1 from bits where k < 8),
+tab as (select list(c order by b) as t from bits where k = 8),
+d as (select row_number() over () as row_no, doc_id, regexp_extract_all({_FOLD}, {_WORDS}) as w from documents),
+b as (select regexp_extract_all({_FOLD}, {_WORDS}) as w from benchmark),
+df as (select row_no, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from d),
+bf as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from b),
+dn as (select f, count(*) as n from df group by f), bn as (select f, count(*) as n from bf group by f),
+feats as (select f, hex(encode(f)) as h from (select f from dn union select f from bn)),
+coded as (select f, list_transform(range(1, len(h), 2), lambda i: cast('0x' || h[i : i + 1] as bigint)) as x from feats),
+crcs as (select f, xor(list_reduce(x, lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]), cast(4294967295 as bigint)), 4294967295) % 10000 as bucket from coded, tab),
+s as (select bucket, sum(n) as s from dn join crcs using (f) group by bucket),
+t as (select bucket, sum(n) as t from bn join crcs using (f) group by bucket),
+tot as (select (select coalesce(sum(s), 0) from s) as s_all, (select coalesce(sum(t), 0) from t) as t_all),
+gains as (select i as bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000)::double / ((coalesce(s, 0) + 1)::double * (t_all + 10000)::double))) as bigint) as g
+  from range(10000) r(i) left join s on s.bucket = i left join t on t.bucket = i, tot),
+w as (select row_no, count(*) as n_features, cast(floor(cast(sum(g) as double) / count(*)) as bigint) as weight from df join crcs using (f) join gains using (bucket) group by row_no),
+h as (select row_no, doc_id, len(w) as n_words, cast('0x' || sha256('7:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) as h from d),
+sc as (select row_no, h.doc_id, n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from h left join w using (row_no)),
+r as (select row_no, row_number() over (order by score desc, doc_id) as rank from sc where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * (select count(*) from r) // 100 then rank end as rank from sc left join r using (row_no)
+"""
+
+SQL["op13_phrase_mining"] = """
+with d as (select row_number() over () as row_no, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+p as (select lang, regexp_extract_all(unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from d),
+tot as (select lang, cast(sum(len(w)) as hugeint) as n from p group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) as g from p, range(1, 6) t(k) where len(w) >= k),
+f as (select lang, k, g, cast(count(*) as hugeint) as a from g group by lang, k, g having count(*) >= 100),
+cut as (select c.lang, c.k, c.g, c.a, j, l.a as l, r.a as r, n, 1000 * c.a * n // (l.a * r.a) as score
+  from f as c, range(1, 5) t(j), f as l, f as r, tot where c.k >= 2 and j < c.k and l.lang = c.lang and l.k = j and l.g = c.g[1 : j] and r.lang = c.lang and r.k = c.k - j and r.g = c.g[j + 1 :] and tot.lang = c.lang),
+best as (select *, row_number() over (partition by lang, g order by score, j) as o from cut),
+sub as (select distinct lang, unnest(list_transform(range(1, k - m + 2), lambda i: g[i : i + m - 1])) as g, a as above from f, range(2, 5) t(m) where m < k),
+gone as (select f.lang, f.g from f join sub using (lang, g) where 100 * above >= 100 * f.a),
+ok as (select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score from best where o = 1 and not exists (select 1 from gone where gone.lang = best.lang and gone.g = best.g)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ok)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000
+"""

@@ -45,10 +45,14 @@ class Stash:
         self.n = 0
         atexit.register(_remove, spark, self.root)
 
+    def path(self) -> str:
+        """A folder of its own for a table that the caller writes."""
+        self.n += 1
+        return f"{self.root}/{self.n}"
+
     def __call__(self, df: DataFrame, partition_by: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
         """The table as written. Python steps on the way get small batches, for the time of the write only."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = self.path()
         conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = conf.get(key)
         conf.set(key, str(batch_rows))
