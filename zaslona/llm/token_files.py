@@ -7,8 +7,8 @@ entry. A small second table has a row per part with the number of ids before it.
 side, and what asks for some documents or for a stretch of ids (``read``, ``stretch``) skips parts, stripes and index
 entries that cannot hold them.
 
-A text is encoded by the library in units: no piece of its pattern goes beyond a single space between two visible
-characters, so texts are cut there, and each process asks the library for a repeated unit once.
+A text is encoded by the library in units: no piece of its pattern goes on from a visible character to white space, so
+texts are cut there, and each process asks the library for a repeated unit once, for all new ones of a batch together.
 
 Defined results: a null or empty text has the end id only; rows without an id come first; of rows with one id the
 order is that of their texts' hashes; repeated rows each get a row; no documents give no rows. The end id is no id of
@@ -31,7 +31,7 @@ from .common import Stash, sliced
 #: Bytes of text that a part gets on average.
 PART_BYTES = 64 << 20
 #: Rows an index entry covers, and units whose ids a process remembers.
-STRIDE, REMEMBERED = 1000, 400_000
+STRIDE, REMEMBERED = 1000, 1_200_000
 #: Characters of a unit that is remembered.
 LONGEST = 64
 _SCHEMA = "part int, doc_id bigint, before bigint, n_tokens bigint, ids array<int>"
@@ -47,49 +47,96 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        # A unit that may stand apart has its ids (with the space before it), any other None.
-        self.known: dict[str, bytes | None] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # A byte of text is one character of a token's name.
+        vocabulary = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        # Units with the white space before them, first units of texts, and what was known before the last clearing.
+        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that end in a visible character, read as one text.
+
+        Each begins with white space, or gets a line end before it, so that it is cut off from the one before. Ids are dealt
+        out by the bytes that their tokens stand for.
+        """
+        parts = [x for t in texts for x in (("", t) if t[:1].isspace() else ("\n", t))]
+        ids = self.whole(["".join(parts)])[0]
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])) + 1
+        ends[0] = len(parts[0])
+        return [ids[a:b].tobytes() for a, b in zip(ends[::2].tolist(), ends[1::2].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(new) + len(self.known) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split)
-        apart = [u for u in new if u and _visible(u[0]) and _visible(u[-1])]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(apart, self.whole([" " + u for u in apart])))
-        # First units, and stretches around units that may not stand apart, are encoded as they stand.
-        out: list[list[bytes | int]] = []
-        rest: list[str] = []
-        for units in split:
-            ids: list[bytes | int] = list(map(self.known.get, units))
-            ids[0] = None
-            parts, done = [], 0
-            for i in [i for i, x in enumerate(ids) if x is None]:
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        rows: list[list] = [list(map(self.known.get, units)) for units in split]
+        new: dict[str, None] = {}
+        first: dict[str, None] = {}
+        rest, places = [], []  # stretches that are read as they stand, and where
+        for row, units in zip(rows, split):
+            row[0] = self.first.get(units[0])
+            done = 0
+            for i in [i for i, x in enumerate(row) if x is None]:
                 if i < done:
                     continue
-                j = i  # to the next unit that begins a piece of its own after a visible character
-                while j + 1 < len(units) and (ids[j + 1] is None or self.known[units[j]] is None):
+                if i and _apart(units[i]):
+                    if (known := self.older.get(units[i])) is not None:
+                        row[i] = self.known[units[i]] = known
+                    else:
+                        new[units[i]] = None
+                    done = i + 1
+                    continue
+                j = i
+                while j + 1 < len(units) and not (units[j] and _visible(units[j][-1]) and (row[j + 1] is not None or _apart(units[j + 1]))):
                     j += 1
-                parts += [*ids[done:i], len(rest)]
-                rest.append((" " if i else "") + " ".join(units[i : j + 1]))
+                if i == j == 0 and _apart(units[0]):
+                    first[units[0]] = None
+                else:
+                    rest.append((" " if i and units[i][:1] != "\n" else "") + "".join(u if k == 0 or u[:1] == "\n" else " " + u for k, u in enumerate(units[i : j + 1])))
+                    places.append((row, i))
+                    row[i : j + 1] = [b""] * (j + 1 - i)
                 done = j + 1
-            out.append(parts + ids[done:])
-        found = self.whole(rest)
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        if len(self.first) > REMEMBERED // 4:
+            self.first.clear()
+        self.known.update(zip(new, self.joined([u if u[0] == "\n" else " " + u for u in new]) if new else ()))
+        self.first.update(zip(first, self.joined(list(first)) if first else ()))
+        safe = [k for k, t in enumerate(rest) if t and _visible(t[-1])]
+        for k, ids in zip(safe, self.joined([rest[k] for k in safe]) if safe else ()):
+            places[k][0][places[k][1]] = ids
+        odd = sorted(set(range(len(rest))).difference(safe))
+        for k, ids in zip(odd, self.whole([rest[k] for k in odd])):
+            places[k][0][places[k][1]] = ids.tobytes()
+        for row, units in zip(rows, split):
+            if row[0] is None:
+                row[0] = self.first[units[0]]
+            for i in [i for i, x in enumerate(row) if x is None]:
+                row[i] = self.known[units[i]]
+        out = [b"".join(row) for row in rows]
         for u in new:
             if len(u) > LONGEST:
                 del self.known[u]
-        return [b"".join(found[x] if isinstance(x, int) else x for x in parts) for parts in out]
+        for u in first:
+            if len(u) > LONGEST:
+                del self.first[u]
+        return out
 
 
 def _visible(c: str) -> bool:
     return c.isprintable() and not c.isspace()
 
 
+def _apart(unit: str) -> bool:
+    """Whether a unit's pieces are the same after any visible character: it begins (after a line end) and ends visibly."""
+    bare = unit[1:] if unit[:1] == "\n" else unit
+    return bare != "" and _visible(bare[0]) and _visible(bare[-1])
+
+
 _loaded: dict[str, Encoder] = {}
 
 
