@@ -47,9 +47,14 @@ def translated(pattern: str) -> str:
     return "".join(out)
 
 
+def once(pattern: str, ignore_case: bool = False) -> regex.Pattern:
+    """A pattern made from a text's own words, which is not kept."""
+    return regex.compile(translated(pattern), regex.V0 | (regex.IGNORECASE if ignore_case else 0), cache_pattern=False)
+
+
 @cache
 def rx(pattern: str, ignore_case: bool = False) -> regex.Pattern:
-    return regex.compile(translated(pattern), regex.V0 | (regex.IGNORECASE if ignore_case else 0))
+    return once(pattern, ignore_case)
 
 
 UP = "A-ZĄĆĘŁŃÓŚŹŻ"

@@ -6,13 +6,16 @@ chain of columns; ``redact`` runs the fold once for each Arrow batch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
-from ..functions.dialect import rx
+from ..functions.dialect import once, rx
 from ..functions.lexicon import DEFAULT, EMPTY_VALUES, LABEL_WORDS, Lexicon
 from ..functions.morphology import Names, index_of, letters
 from . import rules as R
-from .persons import Persons, Places
+from .ledger import Edit, Ledger, rewritten
+from .persons import Persons, Places, tags_of
+from .prefilter import Facts, Need, need
 
 _OPEN, _CLOSE = chr(0xE000), chr(0xE001)
 _PARTICLE = r"^(m|lok|ul|al|os|pl|nr|im|św|gen|ks)\.?$"
@@ -20,24 +23,28 @@ _NAME = r"\p{L}[\p{L}'’.‑-]*"
 
 
 class State:
-    def __init__(self, text: str, types: frozenset | None, masks: Mapping[str, str], names: Names, pseudonyms: bool):
+    """A text while rules change it. ``ledger`` follows where its masks stood, if asked for."""
+
+    def __init__(self, text: str, types: frozenset | None, masks: Mapping[str, str], names: Names, pseudonyms: bool, ledger: Ledger | None = None):
         self.text = self.raw = text
-        self.types, self.masks, self.names = types, masks, names
+        self.types, self.masks, self.names, self.ledger = types, masks, names, ledger
         self.counts: dict[str, int] = {}
         self.labels: dict[str, str] | None = {} if pseudonyms else None
-        self.urls: list[str] = []
-        self._seen, self._low, self._digit = None, "", False
-
-    def may_match(self, gate: tuple[str, ...], text: str | None = None) -> bool:
-        """A cheap test before a rule's pattern: whether the text holds what each of its matches holds."""
-        text = self.text if text is None else text
-        if text is not self._seen:
-            self._seen, self._low, self._digit = text, text.lower(), bool(rx(r"\d").search(text))
-        if gate[:1] == ("#",):
-            gate = gate[1:]
-            if not self._digit:
-                return False
-        return not gate or any(g in self._low for g in gate)
+        self.urls: list[tuple[str, int, list[Edit]]] = []
+        self._facts = None
+
+    def may(self, need: Need | None) -> bool:
+        """Whether the text holds what each match of a rule holds."""
+        if self._facts is None or self._facts.text is not self.text:
+            self._facts = Facts(self.text, tags_of(self.names).known)
+        return need is None or need.met(self._facts)
+
+    def edit(self, edits: list[Edit]) -> None:
+        """Changes the text; edits are in order and do not overlap."""
+        if edits := [e for e in edits if self.text[e[0] : e[1]] != e[2]]:
+            self.text = rewritten(self.text, edits)
+            if self.ledger is not None:
+                self.ledger.record(edits)
 
     def on(self, kind: str) -> bool:
         return self.types is None or kind in self.types
@@ -54,52 +61,64 @@ class State:
             return self.masks["IMIE"]
         return f"[OSOBA-{self.labels.setdefault(self.names.key(surname), letters(len(self.labels)))}]"
 
-    def apply(self, rule: R.Rule, text: str | None = None) -> str:
-        """The text (by default the state's) after a rule."""
-        before = self.text if text is None else text
-        if not self.on(rule.type) or not self.may_match(rule.gate, before) or (rule.needs and not rule.needs(self.raw)):
-            return before
-
-        def one(m):
+    def found(self, rule: R.Rule, before: str) -> list[Edit]:
+        """What a rule changes in a text."""
+        out = []
+        for m in rule.regex.finditer(before):
             if rule.not_after_reference and R.after_reference(before, m.start()):
-                return m.group()
+                continue
             if rule.allow and not rule.allow(m, before):
-                return m.group()
-            mask = self.mask(rule.type)
-            return "".join(m[int(c)] or "" if c.isdigit() else mask if c == "*" else c for c in rule.keep)
-
-        after = rule.regex.sub(one, before)
-        if text is None:
-            self.text = after
-        return after
+                continue
+            mask, at, new = self.mask(rule.type), m.start(), ""
+            for c in rule.keep:
+                if not c.isdigit():
+                    new += mask if c == "*" else c
+                elif m.start(int(c)) >= 0:
+                    out.append((at, m.start(int(c)), new))
+                    at, new = m.end(int(c)), ""
+            out.append((at, m.end(), new))
+        return out
+
+    def apply(self, rule: R.Rule) -> None:
+        if self.on(rule.type) and self.may(rule.need) and (not rule.needs or rule.needs(self.raw)):
+            self.edit(self.found(rule, self.text))
 
 
 # Links
 
+_IN_URLS = (
+    R.Rule("EMAIL", R.EMAIL, always=True),
+    R.Rule("EMAIL", R.EMAIL.replace("@", "%40"), always=True),
+    R.Rule("TOKEN", R.JWT, always=True),
+    R.Rule("KSEF", R.KSEF, allow=R.is_ksef, needs=R.ksef_named, always=True),
+    *(R.Rule(kind, pattern, "1*", True, always=True) for kind, pattern in R.URL_PARAMETERS),
+)
+_URL, _STAND_IN = need(R.URL), f"{_OPEN}([A-Z]+){_CLOSE}"
+
 
 def hide_urls(s: State) -> None:
     """Masks within links, then puts a stand-in for each, which no rule touches."""
-    ksef = s.on("KSEF") and R.ksef_named(s.raw)
-
-    def one(m):
+    if not s.may(_URL):
+        return
+    edits = []
+    for m in rx(R.URL).finditer(s.text):
         url = rx(r"[.,;:!?\]]+$").sub("", m.group())
-        tail = m.group()[len(url) :]
-        for rule in (R.Rule("EMAIL", R.EMAIL), R.Rule("EMAIL", R.EMAIL.replace("@", "%40")), R.Rule("TOKEN", R.JWT)):
-            url = s.apply(rule, url)
-        if ksef:
-            url = s.apply(R.Rule("KSEF", R.KSEF, allow=R.is_ksef), url)
-        for kind, pattern in R.URL_PARAMETERS:
-            url = s.apply(R.Rule(kind, pattern, "1*", True), url)
-        s.urls.append(url)
-        return f"{_OPEN}{letters(len(s.urls) - 1)}{_CLOSE}{tail}"
-
-    if s.may_match(("http", "www.")):
-        s.text = rx(R.URL).sub(one, s.text)
+        inner = State(url, s.types, s.masks, s.names, False, Ledger())
+        inner.raw, inner.counts = s.raw, s.counts
+        for rule in _IN_URLS:
+            inner.apply(rule)
+        s.urls.append((inner.text, m.start(), inner.ledger.stretches))
+        edits.append((m.start(), m.start() + len(url), f"{_OPEN}{letters(len(s.urls) - 1)}{_CLOSE}"))
+    s.edit(edits)
 
 
 def show_urls(s: State) -> None:
     if s.urls:
-        s.text = rx(f"{_OPEN}([A-Z]+){_CLOSE}").sub(lambda m: s.urls[i] if (i := index_of(m[1])) < len(s.urls) else m.group(), s.text)
+        known = ((m, index_of(m[1])) for m in rx(_STAND_IN).finditer(s.text))
+        places = [(m.start(), m.end(), i) for m, i in known if i < len(s.urls)]
+        s.edit([(a, b, s.urls[i][0]) for a, b, i in places])
+        if s.ledger is not None:
+            s.ledger.open([(a, b, *s.urls[i]) for a, b, i in places])
 
 
 # Forms
@@ -140,33 +159,47 @@ def is_label(line: str) -> bool:
     return len(words) <= 3 and words[0].lower() in LABEL_WORDS
 
 
+_FIELDS = tuple((kind, need(pattern)) for pattern, kind, _ in R.FORM_FIELDS)
+
+
 def forms(s: State) -> None:
     """Values beside or below the labels of form fields. Their masks are the standard ones."""
-    lines = s.text.split("\n")
+    if not any(s.on(kind) and s.may(asked) for kind, asked in _FIELDS):
+        return
+    lines, known = s.text.split("\n"), tags_of(s.names).known
     for i, line in enumerate(lines):
+        facts = Facts(line, known)
+        if not any(asked.met(facts) for _, asked in _FIELDS):
+            continue
         bare = _label(line)
         found = _field(rx(r"\s*\([^)]*\)\s*$").sub("", rx(r"\s*:.*$").sub("", bare, count=1), count=1))
         if not found or not s.on(found[0]):
             continue
         kind, sort = found
-        mask = R.MASKS[kind]
         if m := rx(r":\s*(.+)$").search(bare):
             value = m[1].strip()
             if sort != "date" and fits(value, sort):
-                lines[i] = rx(rf"{R.escaped(value)}\s*$").sub(lambda _: mask, lines[i])
-                s.hit(kind)
+                place = once(rf"{R.escaped(value)}\s*$").search(lines[i])
+                _in_line(s, lines, i, place and place.span(), kind)
             continue
         j = next((j for j in range(i + 1, len(lines)) if lines[j].strip() and not rx(r"^\(.*\)$").search(lines[j].strip())), None)
         if j is None or is_label(lines[j]) or not fits(lines[j], sort):
             continue
         if sort != "date":
             body = lines[j].strip()
-            lines[j] = lines[j].replace(body, mask, 1)
-            s.hit(kind)
-        elif rx(R.DATE, True).search(lines[j]):
-            lines[j] = rx(R.DATE, True).sub(lambda _: mask, lines[j], count=1)
-            s.hit(kind)
-    s.text = "\n".join(lines)
+            at = lines[j].index(body)
+            _in_line(s, lines, j, (at, at + len(body)), kind)
+        elif date := rx(R.DATE, True).search(lines[j]):
+            _in_line(s, lines, j, date.span(), kind)
+
+
+def _in_line(s: State, lines: list[str], i: int, span: tuple[int, int] | None, kind: str) -> None:
+    """Masks a part of a line, which takes the standard mask."""
+    s.hit(kind)
+    if span:
+        at, edit = sum(len(x) + 1 for x in lines[:i]), (*span, R.MASKS[kind])
+        s.edit([(at + span[0], at + span[1], R.MASKS[kind])])
+        lines[i] = rewritten(lines[i], [edit])
 
 
 # Fields of XML and JSON, which need not be well formed
@@ -203,48 +236,55 @@ def struct_mask(s: State, kind: str, value: str) -> str | None:
     return s.masks[R.STRUCT_TYPES[kind]]
 
 
+_XML = r"(<([A-Za-z_][\w.-]{0,40})(?:\s[^<>]*)?>)([^<>\r\n]{1,70})(</\s*\2\s*>)"
+_JSON = r'("([A-Za-z_][\w.-]{0,40})"\s*:\s*")([^"\r\n]{1,70})(")'
+_STRUCTURED = ((_XML, Need(signs=("</",))), (_JSON, Need(hint=re.compile(r'"\s*:\s*"'))))
+
+
 def structured(s: State) -> None:
-    def one(m):
-        kind = R.KIND_OF_KEY.get(R.struct_key(m[2]))
-        mask = kind and struct_mask(s, kind, m[3])
-        return f"{m[1]}{mask}{m[4]}" if mask else m.group()
+    for pattern, asked in _STRUCTURED:
+        if not s.may(asked):
+            continue
+        edits = []
+        for m in rx(pattern).finditer(s.text):
+            kind = R.KIND_OF_KEY.get(R.struct_key(m[2]))
+            if mask := kind and struct_mask(s, kind, m[3]):
+                edits.append((*m.span(3), mask))
+        s.edit(edits)
 
-    if not s.may_match(("</", '"')):
-        return
-    s.text = rx(r"(<([A-Za-z_][\w.-]{0,40})(?:\s[^<>]*)?>)([^<>\r\n]{1,70})(</\s*\2\s*>)").sub(one, s.text)
-    s.text = rx(r'("([A-Za-z_][\w.-]{0,40})"\s*:\s*")([^"\r\n]{1,70})(")').sub(one, s.text)
+
+_LOGIN = (
+    r"((?:\b[Ll]ogin\w{0,3}|\b[Uu]ser(?:name)?|\b[Nn]azwa\s+użytkownika|\b[Ii]dentyfikator\s+użytkownika)(?:\s+(?:użytkownika|administratora|operatora|serwisow\w+|techniczn\w+|w\s+systemie|systemow\w+|domenow\w+|sieciow\w+))?[ \t]*[:=][ \t]*\n?[ \t]*)"
+    r"""(["„'«]?)([A-Za-z][A-Za-z0-9._-]{1,62}[A-Za-z0-9])(?!\.?[\p{L}\p{N}_-])(["”'»]?)"""
+)
+_LOGIN_QUOTED = r"""\b([Uu]żytkownik\w*|[Ll]ogin\w*|[Kk]onto[ \t]+użytkownika)([ \t]+["„'«])([A-Za-z][A-Za-z0-9._-]{2,63})(["”'»])"""
+_LOGIN_WORDS = need(r"(?:[Ll]ogin|[Uu]ser|[Uu]żytkownik)")
+
+
+def _is_login(m, text: str) -> bool:
+    if (m[2] and not m[4]) or (not m[4] and text[m.end() : m.end() + 1] == ":"):
+        return False
+    if "\n" in m[1]:
+        stop = text.find("\n", m.start() + len(m[1]))
+        if not rx(r"^[\s.,;]*$").search(text[m.end() : len(text) if stop < 0 else stop]):
+            return False
+    return m[3].lower() not in EMPTY_VALUES and m[3].lower() not in LABEL_WORDS
 
 
 def logins(s: State) -> None:
     """Values after a login's label, then the same values wherever else they stand."""
-    if not s.on("LOGIN") or not s.may_match(("login", "user", "użytkownik")):
+    if not s.on("LOGIN") or not s.may(_LOGIN_WORDS):
         return
     seen: dict[str, None] = {}
-    before = s.text
-
-    def masked(m, value):
-        if len(value) >= 4:
-            seen[value] = None
-        return f"{m[1]}{m[2]}{s.mask('LOGIN')}{m[4]}"
-
-    def labelled(m):
-        if (m[2] and not m[4]) or (not m[4] and before[m.end() : m.end() + 1] == ":"):
-            return m.group()
-        if "\n" in m[1]:
-            stop = before.find("\n", m.start() + len(m[1]))
-            if not rx(r"^[\s.,;]*$").search(before[m.end() : len(before) if stop < 0 else stop]):
-                return m.group()
-        if m[3].lower() in EMPTY_VALUES or m[3].lower() in LABEL_WORDS:
-            return m.group()
-        return masked(m, m[3])
-
-    s.text = rx(
-        r"((?:\b[Ll]ogin\w{0,3}|\b[Uu]ser(?:name)?|\b[Nn]azwa\s+użytkownika|\b[Ii]dentyfikator\s+użytkownika)(?:\s+(?:użytkownika|administratora|operatora|serwisow\w+|techniczn\w+|w\s+systemie|systemow\w+|domenow\w+|sieciow\w+))?[ \t]*[:=][ \t]*\n?[ \t]*)"
-        r"""(["„'«]?)([A-Za-z][A-Za-z0-9._-]{1,62}[A-Za-z0-9])(?!\.?[\p{L}\p{N}_-])(["”'»]?)"""
-    ).sub(labelled, before)
-    s.text = rx(r"""\b([Uu]żytkownik\w*|[Ll]ogin\w*|[Kk]onto[ \t]+użytkownika)([ \t]+["„'«])([A-Za-z][A-Za-z0-9._-]{2,63})(["”'»])""").sub(lambda m: masked(m, m[3]), s.text)
+    for pattern, fit in ((_LOGIN, _is_login), (_LOGIN_QUOTED, lambda m, text: True)):
+        hits = [m for m in rx(pattern).finditer(s.text) if fit(m, s.text)]
+        seen.update(dict.fromkeys(m[3] for m in hits if len(m[3]) >= 4))
+        s.edit([(*m.span(3), s.mask("LOGIN")) for m in hits])
     for value in seen:
-        s.apply(R.Rule("LOGIN", rf"(?<![\w.-]){R.escaped(value)}(?![\w.-])"))
+        s.edit([(*m.span(), s.mask("LOGIN")) for m in once(rf"(?<![\w.-]){R.escaped(value)}(?![\w.-])").finditer(s.text)])
+
+
+_PHONES = need(R.PHONE_LISTS, chain=9)
 
 
 def phone_lists(s: State) -> None:
@@ -254,39 +294,36 @@ def phone_lists(s: State) -> None:
         d = rx(r"\D").sub("", part)
         return len(d) == 9 or (len(d) == 11 and d.startswith("48"))
 
-    def one(m):
-        if not all(map(valid, rx(R.PHONE_JOIN, True).split(m[3]))):
-            return m.group()
-        spaced = lambda n: n.group()[: len(n.group()) - len(n.group().lstrip())] + s.mask("TELEFON")
-        return m[1] + m[2] + rx(R.PHONE_DIGITS).sub(spaced, m[3])
-
-    if s.on("TELEFON") and s.may_match(("#",)):
-        s.text = rx(R.PHONE_LISTS, True).sub(one, s.text)
+    if not s.on("TELEFON") or not s.may(_PHONES):
+        return
+    edits = []
+    for m in rx(R.PHONE_LISTS, True).finditer(s.text):
+        if all(map(valid, rx(R.PHONE_JOIN, True).split(m[3]))):
+            for n in rx(R.PHONE_DIGITS).finditer(m[3]):
+                lead = len(n.group()) - len(n.group().lstrip())
+                edits.append((m.start(3) + n.start() + lead, m.start(3) + n.end(), s.mask("TELEFON")))
+    s.edit(edits)
 
 
 def plate_lists(s: State) -> None:
     """Number plates listed after a masked one."""
-    if not s.on("NR-REJESTRACYJNY") or s.masks["NR-REJESTRACYJNY"] not in s.text:
-        return
     mask = s.masks["NR-REJESTRACYJNY"]
-
-    def one(m):
-        return m[1] + rx(R.PLATE).sub(lambda p: s.mask("NR-REJESTRACYJNY") if p.group()[0] in R.PLATE_LETTERS else p.group(), m[2])
-
-    s.text = rx(rf"({R.escaped(mask)})((?:(?:\s*,\s*|\s+oraz\s+|\s+i\s+){R.PLATE}(?![\w-]))+)").sub(one, s.text)
+    if not s.on("NR-REJESTRACYJNY") or mask not in s.text:
+        return
+    lists = rx(rf"({R.escaped(mask)})((?:(?:\s*,\s*|\s+oraz\s+|\s+i\s+){R.PLATE}(?![\w-]))+)").finditer(s.text)
+    plates = [(m.start(2) + p.start(), m.start(2) + p.end()) for m in lists for p in rx(R.PLATE).finditer(m[2]) if p.group()[0] in R.PLATE_LETTERS]
+    s.edit([(*p, s.mask("NR-REJESTRACYJNY")) for p in plates])
 
 
 def renumber(s: State) -> None:
     """Persons' labels in the order in which they stand."""
     order: dict[str, str] = {}
-    s.text = rx(r"\[OSOBA-([A-Z]+)\]").sub(lambda m: f"[OSOBA-{order.setdefault(m[1], letters(len(order)))}]", s.text)
+    if "[OSOBA-" in s.text:
+        s.edit([(*m.span(), f"[OSOBA-{order.setdefault(m[1], letters(len(order)))}]") for m in rx(r"\[OSOBA-([A-Z]+)\]").finditer(s.text)])
 
 
-def redact_text(text, types: Iterable[str] | None = None, masks: Mapping[str, str] | None = None, pseudonyms: bool = False, names: Names | None = None) -> tuple[str, list[tuple[str, int]]]:
-    """A text without personal data, and how many of each kind it held, in the order in which kinds were first met."""
-    if not text:
-        return "", []
-    s = State(text, None if types is None else frozenset(types), {**R.MASKS, **(masks or {})}, names or _names(DEFAULT), pseudonyms)
+def _folded(s: State) -> State:
+    """A state after all rules."""
     hide_urls(s)
     for rule in R.IDENTITY:
         s.apply(rule)
@@ -313,9 +350,34 @@ def redact_text(text, types: Iterable[str] | None = None, masks: Mapping[str, st
     persons.close()
     renumber(s)
     show_urls(s)
+    return s
+
+
+def _state(text, types, masks, pseudonyms, names, ledger=None) -> State:
+    return _folded(State(text, None if types is None else frozenset(types), {**R.MASKS, **(masks or {})}, names or _names(DEFAULT), pseudonyms, ledger))
+
+
+def redact_text(text, types: Iterable[str] | None = None, masks: Mapping[str, str] | None = None, pseudonyms: bool = False, names: Names | None = None) -> tuple[str, list[tuple[str, int]]]:
+    """A text without personal data, and how many of each kind it held, in the order in which kinds were first met."""
+    if not text:
+        return "", []
+    s = _state(text, types, masks, pseudonyms, names)
     return s.text, list(s.counts.items())
 
 
+def masked_places(text, types: Iterable[str] | None = None, masks: Mapping[str, str] | None = None, pseudonyms: bool = False, names: Names | None = None) -> list[tuple[str, str, int, int]]:
+    """Each mask that redaction puts in: mask, what it takes the place of, and where that stands in the text.
+
+    The places are those of the rules' own edits. A mask that took in words beside it stands for them as well; masks
+    of which one replaced another's surroundings stand for the same stretch. Masks given as empty texts are left out.
+    """
+    if not text:
+        return []
+    s = _state(text, types, masks, pseudonyms, names, Ledger())
+    known = rx("|".join([r"\[OSOBA-[A-Z]+\]", *sorted({R.escaped(m) for m in (*s.masks.values(), *R.MASKS.values()) if m}, key=len, reverse=True)]))
+    return [(m.group(), text[x.first_start : x.first_end], x.first_start, x.first_end) for x in s.ledger.stretches for m in known.finditer(s.text, x.start, x.end)]
+
+
 _known: dict[Lexicon, Names] = {}
 
 

@@ -8,16 +8,17 @@ gated by a cheap test, for when only they are wanted.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.morphology import Names
 from . import rules as R
-from .fold import redact_text
+from .fold import _names, masked_places, redact_text
 
 FINDING = T.StructType([T.StructField("type", T.StringType(), False), T.StructField("count", T.IntegerType(), False)])
 RESULT = T.StructType([T.StructField("redacted", T.StringType()), T.StructField("found", T.ArrayType(FINDING, False))])
@@ -32,8 +33,7 @@ def redaction(types: Iterable[str] | None = None, masks: Mapping[str, str] | Non
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        names = Names(lexicon) if lexicon is not DEFAULT else None
-        rows = [redact_text(t, kinds, given, pseudonyms, names) for t in texts]
+        rows = [redact_text(t, kinds, given, pseudonyms, _names(lexicon)) for t in texts]
         return pd.DataFrame({"redacted": [r[0] for r in rows], "found": [[{"type": k, "count": n} for k, n in r[1]] for r in rows]})
 
     return run
@@ -86,9 +86,65 @@ def native(text: Column, kind: str, mask: str | None = None) -> tuple[Column, Co
     return out, F.when(gate, F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
 
 
+PLACE = T.StructType([T.StructField("mask", T.StringType()), T.StructField("original", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+def places(types: Iterable[str] | None = None, masks: Mapping[str, str] | None = None, pseudonyms: bool = False, lexicon: Lexicon = DEFAULT):
+    """A column function: text to array<struct<mask, original, start, end>>, as the rules' edits have it."""
+    kinds = None if types is None else tuple(types)
+    given = dict(masks or {})
+    if unknown := set(kinds or ()) - set(R.MASKS):
+        raise ValueError(f"unknown kinds: {sorted(unknown)}")
+
+    @F.pandas_udf(T.ArrayType(PLACE))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(PLACE.names, p)) for p in masked_places(t, kinds, given, pseudonyms, _names(lexicon))] for t in texts], dtype=object)
+
+    return run
+
+
 def spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per masked place: the id, ord, mask, original, start and end in the text, found by laying both texts side by side."""
-    from .views import compare
+    """One row per masked place: the id, ord, mask, original, start and end (code points of the text)."""
+    found = df.select(id_col, F.posexplode(places(**options)(F.col(text_col))).alias("ord", "p"))
+    return found.select(id_col, "ord", "p.mask", "p.original", "p.start", "p.end")
+
+
+class PiiSpans:
+    """The table function pii_spans(text, types, pseudonyms): rows (ord, mask, start, end, original), as ``spans`` gives them.
+
+    types is a constant, kinds apart by commas (null for all); pseudonyms a constant truth value. Null and empty texts
+    give no rows.
+    """
+
+    def __init__(self, asked: Asked):
+        self.asked = asked
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, types: AnalyzeArgument | None = None, pseudonyms: AnalyzeArgument | None = None) -> Asked:
+        if not isinstance(text.dataType, T.StringType):
+            raise ValueError("pii_spans: the text must be a string")
+        for name, given in (("types", types), ("pseudonyms", pseudonyms)):
+            if given is not None and not given.isConstantExpression:
+                raise ValueError(f"pii_spans: {name} must be a constant")
+        kinds = None if types is None or types.value is None else tuple(k.strip() for k in types.value.split(",") if k.strip())
+        if unknown := set(kinds or ()) - set(R.MASKS):
+            raise ValueError(f"pii_spans: unknown kinds: {sorted(unknown)}")
+        fields = [T.StructField("ord", T.IntegerType()), *(PLACE[c] for c in ("mask", "start", "end", "original"))]
+        return Asked(T.StructType(fields), kinds=kinds, pseudonyms=bool(pseudonyms and pseudonyms.value))
+
+    def eval(self, text, types=None, pseudonyms=None):
+        for i, (mask, original, start, end) in enumerate(masked_places(text, self.asked.kinds, None, self.asked.pseudonyms)):
+            yield i, mask, start, end, original
+
+
+@dataclass
+class Asked(AnalyzeResult):
+    """What a call of pii_spans asks for, worked out once while the query is planned."""
+
+    kinds: tuple[str, ...] | None = None
+    pseudonyms: bool = False
+
 
-    r = redact(df.select(id_col, text_col), text_col, **options)
-    return compare(r, id_col, text_col, "redacted")
+def register(spark: SparkSession) -> None:
+    """Makes pii_spans known to the session's SQL."""
+    spark.udtf.register("pii_spans", F.udtf(PiiSpans, useArrow=True))

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from ..functions import checksums as check
 from ..functions.dialect import CAP_PLACE, LO, UP, rx
 from ..functions.lexicon import CURRENCIES, PLATE_LETTERS
+from .prefilter import Need, need
 
 # Kinds of personal data, their masks and their names for people.
 MASKS = {
@@ -167,12 +169,19 @@ class Rule:
     allow: Callable | None = None  # (match, text) -> bool
     not_after_reference: bool = False
     needs: Callable | None = None  # (raw text) -> bool, once for each text
-    gate: tuple[str, ...] = ()  # lower-case strings of which every match holds one; a leading # asks for a digit as well
+    chain: int = 0  # digits that every match has with at most three other signs between
+    mixed: bool = False  # every match has a capital beside a digit
+    hint: str | None = None  # a quick pattern that every match holds
+    always: bool = False  # tried on every text: patterns made while a text is read
 
     @property
     def regex(self):
         return rx(self.pattern, self.ignore_case)
 
+    @cached_property
+    def need(self) -> Need | None:
+        return None if self.always else need(self.pattern, self.chain, self.mixed, self.hint)
+
 
 def after_reference(text: str, at: int) -> bool:
     return bool(rx(LEGAL_REFERENCE, True).search(text[max(0, at - 24) : at]))
@@ -204,84 +213,80 @@ def _dowod(m, text: str) -> bool:
 
 
 IDENTITY = (
-    Rule("EMAIL", EMAIL, gate=("@",)),
-    Rule("TOKEN", rf"\b{JWT}", gate=("eyj",)),
-    Rule("TOKEN", KEYS, gate=("sk_", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox")),
-    Rule("MAC", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", gate=(":", "-")),
-    Rule("MAC", r"\b(?=[0-9A-Fa-f.]*[A-Fa-f])(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}(?![:\w-]|\.\w)"),
-    Rule("MAC", r"\b((?:adres\w*\s+)?MAC[\s:.=-]+)((?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4})(?![:\w-]|\.\w)", "1*", True, gate=("mac",)),
-    Rule("IP", rf"(?<![:.\w])(?:{IPV6})(?![:\w]|\.\w)", gate=(":",)),
-    Rule("IP", IPV4, allow=_no_version, not_after_reference=True, gate=("#",)),
-    Rule("VIN", r"\b((?:vin|nr\s+vin|numer\s+vin|nr\s+nadwozia|numer\s+nadwozia)[\s:.=-]*)([A-HJ-NPR-Za-hj-npr-z0-9]{17})\b", "1*", True, gate=("vin", "nadwozia")),
-    Rule("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", allow=_vin, gate=("#",)),
+    Rule("EMAIL", EMAIL),
+    Rule("TOKEN", rf"\b{JWT}"),
+    Rule("TOKEN", KEYS, hint="sk_|gh[posur]_|github_pat_|xox[baprs]-"),
+    Rule("MAC", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", hint="[:-][0-9A-Fa-f]{2}[:-]"),
+    Rule("MAC", r"\b(?=[0-9A-Fa-f.]*[A-Fa-f])(?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4}(?![:\w-]|\.\w)", hint=r"\.[0-9A-Fa-f]{4}\."),
+    Rule("MAC", r"\b((?:adres\w*\s+)?MAC[\s:.=-]+)((?:[0-9A-Fa-f]{4}\.){2}[0-9A-Fa-f]{4})(?![:\w-]|\.\w)", "1*", True),
+    Rule("IP", rf"(?<![:.\w])(?:{IPV6})(?![:\w]|\.\w)", hint="::|(?:[0-9A-Fa-f]{1,4}:){7}"),
+    Rule("IP", IPV4, allow=_no_version, not_after_reference=True, hint=r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
+    Rule("VIN", r"\b((?:vin|nr\s+vin|numer\s+vin|nr\s+nadwozia|numer\s+nadwozia)[\s:.=-]*)([A-HJ-NPR-Za-hj-npr-z0-9]{17})\b", "1*", True),
+    Rule("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", allow=_vin, mixed=True),
 )
 REFERENCES = (
-    Rule("KSEF", KSEF, allow=is_ksef, needs=ksef_named, gate=("#",)),
-    Rule("ZNAK-SPRAWY", rf"(?<![A-Za-z0-9./-]){CASE_MARK}(?!\d)", gate=("#",)),
-    Rule("ZNAK-SPRAWY", rf"\b(znak sprawy|znak pisma|nasz znak|wasz znak|sygn\.?[ \t]*akt|sygnatura akt|sygn\.|znak(?=[ \t]*:))([ \t]*:?[ \t]*)({CASE_VALUE})", "12*", True, gate=("znak", "sygn")),
+    Rule("KSEF", KSEF, allow=is_ksef, needs=ksef_named),
+    Rule("ZNAK-SPRAWY", rf"(?<![A-Za-z0-9./-]){CASE_MARK}(?!\d)"),
+    Rule("ZNAK-SPRAWY", rf"\b(znak sprawy|znak pisma|nasz znak|wasz znak|sygn\.?[ \t]*akt|sygnatura akt|sygn\.|znak(?=[ \t]*:))([ \t]*:?[ \t]*)({CASE_VALUE})", "12*", True),
 )
 NUMBERS_1 = (
-    Rule("IBAN", rf"\b{IBAN_SHAPE}\b", allow=lambda m, t: check.is_iban(m.group()), gate=("#",)),
-    Rule("NR-KONTA", rf"\b(konto|konta|rachunek|rachunku|rachunek bankowy|nr konta|numer konta|iban)\b([\s:.-]*)({NRB})(?![ ]?\d)", "12*", True, gate=("#", "kont", "rachun", "iban")),
-    Rule("NR-KONTA", rf"\b((?:konto|Konto|KONTO|konta|Konta|rachunek|Rachunek|RACHUNEK|rachunku|Rachunku|nr konta|Nr konta|numer konta|Numer konta|iban|Iban|IBAN){FILLERS})([\s:=.-]+)({IBAN_SHAPE})(?![A-Za-z0-9])", "12*", gate=("#", "kont", "rachun", "iban")),
-    Rule("NR-KONTA", rf"(?<!\d[ ]?){NRB}(?![ ]?\d)", allow=lambda m, t: check.is_iban("PL" + m.group().replace(" ", "")), gate=("#",)),
-    Rule("PESEL", r"(?<![\dA-Za-z])\d{11}(?![\d])", allow=lambda m, t: check.is_pesel(m.group()), not_after_reference=True, gate=("#",)),
-    Rule("PESEL", rf"\b(pesel{FILLERS})([\s:=.-]+)(\d{{11}})(?![\d])", "12*", True, gate=("#", "pesel")),
-    Rule("NIP", rf"(?<![\d])(?:PL[- ]?)?{NIP}(?![\d])", allow=lambda m, t: check.is_nip(m.group()), not_after_reference=True, gate=("#",)),
-    Rule("NIP", rf"\b(nip{FILLERS})([\s:=.-]+)((?:PL[- ]?)?{NIP})(?![\d])", "12*", True, gate=("#", "nip")),
+    Rule("IBAN", rf"\b{IBAN_SHAPE}\b", allow=lambda m, t: check.is_iban(m.group()), mixed=True),
+    Rule("NR-KONTA", rf"\b(konto|konta|rachunek|rachunku|rachunek bankowy|nr konta|numer konta|iban)\b([\s:.-]*)({NRB})(?![ ]?\d)", "12*", True),
+    Rule("NR-KONTA", rf"\b((?:konto|Konto|KONTO|konta|Konta|rachunek|Rachunek|RACHUNEK|rachunku|Rachunku|nr konta|Nr konta|numer konta|Numer konta|iban|Iban|IBAN){FILLERS})([\s:=.-]+)({IBAN_SHAPE})(?![A-Za-z0-9])", "12*"),
+    Rule("NR-KONTA", rf"(?<!\d[ ]?){NRB}(?![ ]?\d)", allow=lambda m, t: check.is_iban("PL" + m.group().replace(" ", "")), chain=26),
+    Rule("PESEL", r"(?<![\dA-Za-z])\d{11}(?![\d])", allow=lambda m, t: check.is_pesel(m.group()), not_after_reference=True),
+    Rule("PESEL", rf"\b(pesel{FILLERS})([\s:=.-]+)(\d{{11}})(?![\d])", "12*", True),
+    Rule("NIP", rf"(?<![\d])(?:PL[- ]?)?{NIP}(?![\d])", allow=lambda m, t: check.is_nip(m.group()), not_after_reference=True, chain=10),
+    Rule("NIP", rf"\b(nip{FILLERS})([\s:=.-]+)((?:PL[- ]?)?{NIP})(?![\d])", "12*", True),
     Rule(
         "KARTA",
         rf"""\b((?:kart[{LO}]*|card|visa|mastercard|maestro|amex|american\s+express|diners(?:\s+club)?|discover|jcb|płatnicz[{LO}]*|kredytow[{LO}]*|debetow[{LO}]*)(?:[ \t]+(?:nr|numer|no)\.?)?)([\s:="'()<>|.-]+)((?:\d[ -]?){{12,18}}\d)(?![\d])""",
         "12*",
         True,
         allow=lambda m, t: check.is_card(m.group(3)),
-        gate=("#", "kart", "card", "visa", "maestro", "amex", "american", "diners", "discover", "jcb", "płatnicz", "kredytow", "debetow"),
     ),
-    Rule("REGON", r"(?<![\d])\d{14}(?![\d])", allow=lambda m, t: check.is_regon14(m.group()), gate=("#",)),
-    Rule("REGON", rf"\b(regon{FILLERS})([\s:=.-]+)(\d{{14}}|\d{{9}})(?![\d])", "12*", True, gate=("#", "regon")),
+    Rule("REGON", r"(?<![\d])\d{14}(?![\d])", allow=lambda m, t: check.is_regon14(m.group())),
+    Rule("REGON", rf"\b(regon{FILLERS})([\s:=.-]+)(\d{{14}}|\d{{9}})(?![\d])", "12*", True),
 )
 PHONE_LISTS = (
     rf"\b(te[li]\.?|telefon\w{{0,4}}|kom\.?|komórk[aiwy]|fax|faks|nr te[li]\.?|kontakt\w{{0,4}})((?:\s+(?:kontaktow\w+|stacjonarn\w+|służbow\w+|komórkow\w+|domow\w+|telefoniczn\w+|pod|numer\w*))*[\s:.=-]*)"
     rf"({PHONE_DIGITS}(?:{PHONE_JOIN}(?:(?:kontaktow\w+|stacjonarn\w+|służbow\w+|komórkow\w+|domow\w+|kom\.?|tel\.?)\s+)?{PHONE_DIGITS})*)(?!\.?\d)"
 )
 NUMBERS_2 = (
-    Rule("TELEFON", r"(?<![\d])(?:\+|00)[\s]?48(?:[\s\-().]{0,3}\d){9}(?!\.?\d)", not_after_reference=True, gate=("#",)),
+    Rule("TELEFON", r"(?<![\d])(?:\+|00)[\s]?48(?:[\s\-().]{0,3}\d){9}(?!\.?\d)", not_after_reference=True, chain=11),
     Rule(
         "TELEFON",
         r"(?<![\d.])(?:\(\d{2}\)[ \t]?\d{3}[ \t-]?\d{2}[ \t-]?\d{2}|\d{3}[\s-]?\d{3}[\s-]?\d{3})(?!\.?\d)(?![ \t]*(?:,\d{2})?[ \t]*(?:zł|PLN|EUR|USD|gr\b))",
         allow=lambda m, t: check.digits(m.group())[0] != 0,
         not_after_reference=True,
-        gate=("#",),
+        chain=9,
     ),
-    Rule("DOWOD", r"\b((?:dow[oó]d\w*|dow\.|legitymacj\w*|dokument\w*\s+tożsamości|seria i numer|nr dowodu)(?:\s+(?:osobist\w+|służbow\w+|nr|numer|seria|i))*[\s:.=-]*)([A-Za-z]{3}[\s-]?\d{6})(?!\d)", "1*", True, gate=("#", "dow", "legitymacj", "dokument", "seria")),
-    Rule("DOWOD", r"\b([A-Z]{3})[\s-]?\d{6}\b", allow=_dowod, gate=("#",)),
-    Rule("DOWOD", r"\b[A-Za-z]{3}[\s-]?\d{6}\b", allow=lambda m, t: check.is_dowod(m.group()), gate=("#",)),
-    Rule("PASZPORT", r"\b((?:paszport\w*|dokument\w*\s+podróży|nr\s+paszportu|numer\s+paszportu)(?:\s+(?:nr\.?|numer|seria|i))*)([\s:.=-]*)([A-Za-z]{2}[\s-]?\d{7})(?!\d)", "12*", True, gate=("#", "paszport", "dokument")),
-    Rule("KRS", r"\bKRS((?:\s+(?:pod\s+)?(?:nr\.?|numer(?:em)?))?[\s:.=-]*)(\d{10})(?!\d)", "KRS1*", True, gate=("#", "krs")),
+    Rule("DOWOD", r"\b((?:dow[oó]d\w*|dow\.|legitymacj\w*|dokument\w*\s+tożsamości|seria i numer|nr dowodu)(?:\s+(?:osobist\w+|służbow\w+|nr|numer|seria|i))*[\s:.=-]*)([A-Za-z]{3}[\s-]?\d{6})(?!\d)", "1*", True),
+    Rule("DOWOD", r"\b([A-Z]{3})[\s-]?\d{6}\b", allow=_dowod),
+    Rule("DOWOD", r"\b[A-Za-z]{3}[\s-]?\d{6}\b", allow=lambda m, t: check.is_dowod(m.group())),
+    Rule("PASZPORT", r"\b((?:paszport\w*|dokument\w*\s+podróży|nr\s+paszportu|numer\s+paszportu)(?:\s+(?:nr\.?|numer|seria|i))*)([\s:.=-]*)([A-Za-z]{2}[\s-]?\d{7})(?!\d)", "12*", True),
+    Rule("KRS", r"\bKRS((?:\s+(?:pod\s+)?(?:nr\.?|numer(?:em)?))?[\s:.=-]*)(\d{10})(?!\d)", "KRS1*", True),
     Rule(
         "PRAWO-JAZDY",
         r"\b((?:(?:nr|numer)\s+)?praw(?:o|a|em|ie)\s+jazdy(?:\s+(?:nr\.?|numer(?:u|ze|em)?|seri[ai]|kat\.?|kategori[ai]|o|[ABCDEMT]{1,2}\d?))*[\s:=.-]*)((?=[A-Za-z0-9/-]*\d)[A-Za-z0-9]{4,15}(?:[/-][A-Za-z0-9]{1,6}){0,3})",
         "1*",
         True,
-        gate=("#", "jazdy"),
     ),
-    Rule("NR-REJESTRACYJNY", r"\b((?:nr\s+rej\w*|numer\s+rej\w*|rejestracyjn\w*|tablic\w*)(?:\s+(?:nr\.?|numer|pojazdu|rej\w*))*[\s:=.-]*)((?=[A-Z0-9\s-]{0,5}\d)[A-Z]{2,3}[\s-]?[A-Z0-9]{4,5})\b", "1*", True, gate=("#", "rej", "tablic")),
+    Rule("NR-REJESTRACYJNY", r"\b((?:nr\s+rej\w*|numer\s+rej\w*|rejestracyjn\w*|tablic\w*)(?:\s+(?:nr\.?|numer|pojazdu|rej\w*))*[\s:=.-]*)((?=[A-Z0-9\s-]{0,5}\d)[A-Z]{2,3}[\s-]?[A-Z0-9]{4,5})\b", "1*", True),
     Rule(
         "NR-REJESTRACYJNY",
         rf"\b([Pp]ojazd\w*|[Ss]amoch[oó]d\w*|[Mm]otocykl\w*|[Mm]otorower\w*|[Cc]iągnik\w*|[Pp]rzyczep\w*|[Aa]uto|[Pp]arking\w*|[Zz]aparkowan\w*)((?:\s+(?:o|nr\.?|numerze|siodłow\w+|ciężarow\w+|osobow\w+|dostawcz\w+|specjaln\w+|wolnobieżn\w+))*(?:\s+(?:marki|typu)\s+[{UP}][\w-]*(?=[\s:=.-]))?(?:\s+[{LO}]{{1,15}}){{0,3}}[\s:=.-]*)({PLATE})\b",
         "12*",
         allow=lambda m, t: m.group(3)[0] in PLATE_LETTERS,
-        gate=("#", "pojazd", "samoch", "motocykl", "motorower", "ciągnik", "przyczep", "auto", "parking", "zaparkowan"),
     ),
 )
-POSTAL = (Rule("KOD-POCZTOWY", r"(?<![\d-])\d{2}-\d{3}(?![\d-])", not_after_reference=True, gate=("#",)),)
+POSTAL = (Rule("KOD-POCZTOWY", r"(?<![\d-])\d{2}-\d{3}(?![\d-])", not_after_reference=True),)
 DATES = (
     Rule(
         "DATA-UR",
         rf"\b(ur\.|urodzony|urodzona|urodzeni[ae]|data urodzenia)((?:\s+dnia)?[\s:.,-]*)(\d{{1,2}}[.\-/]\d{{1,2}}[.\-/]\d{{2,4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\s+(?:[IVX]{{1,4}}|{MONTHS})\s+\d{{4}})",
         "12*",
         True,
-        gate=("#", "ur.", "urodz"),
     ),
 )
 _FLAT = r"(?:\s*(?:m\.?|lok\.?|/)\s*\d+[A-Za-z]?)?"
@@ -290,17 +295,16 @@ ADDRESSES = (
         "ADRES",
         rf"\b({STREET})\s+(?:(?:\d+|{RANKS})\.?\s+|[{UP}]\.\s+){{0,2}}[{UP}][{LO}{UP}01.-]*(?:[ \t]+[{UP}0-9][{LO}{UP}0-9.-]*){{0,3}}[ \t]+\d+[A-Za-z]?(?:\s*(?:/|m\.?|lok\.?)\s*\d+[A-Za-z]?)?",
         allow=lambda m, t: not (rx("^(?:rond|most|skwer|bulwar)", True).search(m.group(1)) and rx(r"[^0-9](?:19|20)\d{2}$").search(m.group())),
-        gate=("#",),
     ),
 )
 
 
 def untyped_address(postal_mask: str) -> Rule:
-    return Rule("ADRES", rf"\b([{UP}][{LO}]+(?:\s+[{UP}][{LO}]+){{0,2}})\s+\d+[A-Za-z]?{_FLAT}(\s*,?\s*)({escaped(postal_mask)})", "*23")
+    return Rule("ADRES", rf"\b([{UP}][{LO}]+(?:\s+[{UP}][{LO}]+){{0,2}})\s+\d+[A-Za-z]?{_FLAT}(\s*,?\s*)({escaped(postal_mask)})", "*23", always=True)
 
 
 def bare_postal(address_mask: str) -> Rule:
-    return Rule("KOD-POCZTOWY", rf"({escaped(address_mask)}\s*,?\s*)(?<!\d)\d{{5}}(?!\d)(?=[ \t]+{CAP_PLACE})", "1*")
+    return Rule("KOD-POCZTOWY", rf"({escaped(address_mask)}\s*,?\s*)(?<!\d)\d{{5}}(?!\d)(?=[ \t]+{CAP_PLACE})", "1*", always=True)
 
 
 def escaped(text: str) -> str:

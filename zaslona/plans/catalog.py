@@ -376,7 +376,7 @@ def x_tokens_dim(spark, sf_dir):
     return findings.mask_tokens(spark).drop("category")
 
 
-from . import more  # noqa: E402
+from . import more, places  # noqa: E402, F401
 
 QUERIES.update(more.QUERIES)
 SQL.update(more.SQL)
