@@ -34,22 +34,28 @@ class Ledger:
 
     def record(self, edits: list[Edit]) -> None:
         """Edits of the present text, in order. One that overlaps stretches forms one with them."""
-        old, new, i, shift = self.stretches, [], 0, 0
+        old, new, i, shift, reach = self.stretches, [], 0, 0, -1
         for start, end, text in edits:
-            while i < len(old) and old[i].end <= start:
+            grown = len(text) - (end - start)
+            joins = start < reach  # within what the edit before has become part of
+            while not joins and i < len(old) and old[i].end <= start:
                 new.append(old[i]._replace(start=old[i].start + shift, end=old[i].end + shift))
                 i += 1
             behind = old[i - 1].first_end - old[i - 1].end if i else 0
-            low, high, first, last = start, end, start + behind, end + behind
-            if i < len(old) and old[i].start < start:
-                low, first = old[i].start, old[i].first_start
+            low, first = start + shift, start + behind
+            high, last = end, end + behind
+            if joins:
+                low, _, first, last = new.pop()
+                high = max(end, reach)
+                last += high - reach
+            elif i < len(old) and old[i].start < start:
+                low, first = old[i].start + shift, old[i].first_start
             while i < len(old) and old[i].start < end:
-                high = max(end, old[i].end)
+                high = max(high, old[i].end)
                 last = old[i].first_end + high - old[i].end
                 i += 1
-            grown = len(text) - (end - start)
-            new.append(Stretch(low + shift, high + shift + grown, first, last))
-            shift += grown
+            shift, reach = shift + grown, high
+            new.append(Stretch(low, high + shift, first, last))
         self.stretches = new + [s._replace(start=s.start + shift, end=s.end + shift) for s in old[i:]]
 
     def open(self, places: list[tuple[int, int, str, int, list[Stretch]]]) -> None:
