@@ -167,6 +167,35 @@ def test_extraction(spark):
     assert [wrappers.host(u) for u in ("https://u@A.b:8/x", "//c/d", "e", None)] == ["a.b", "c", "", ""]
 
 
+def _articles(spark, inner, n=5):
+    """n pages of one host with an article that holds the part, extracted together, and each on its own."""
+    rows = [(i, f"http://one.example/{i}", f"<html><body><article><h1>Title {i}</h1><p>First words of page {i * 37}.</p>{inner.format(i=i)}<p>Last words {i * 91}.</p></article></body></html>") for i in range(n)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in out}, {i: wrappers.main_text(wrappers.parse(h)) for i, _, h in rows}
+
+
+@pytest.mark.parametrize("name", ["discussion", "related", "notice", "tags"])
+def test_changing_parts_of_an_article_stay(spark, name):
+    """Whatever a part is called, an article's own changing text is its text."""
+    found, alone = _articles(spark, f'<section class="{name}"><h2>Discussion</h2><p>our result {{i}} differs</p></section>')
+    assert all(t == f"Title {i}\nFirst words of page {i * 37}.\nDiscussion\nour result {i} differs\nLast words {i * 91}." for i, t in found.items())
+    assert found == alone
+
+
+@pytest.mark.parametrize("inner", ['<div class="notice">All rights of this text are reserved.</div>', '<div class="related">See <a href="/x">one long linked title here</a> <a href="/y">another {i}</a></div>'])
+def test_the_wrapper_tells_the_designs_parts_of_an_article(spark, inner):
+    found, alone = _articles(spark, inner)
+    assert all(t == f"Title {i}\nFirst words of page {i * 37}.\nLast words {i * 91}." for i, t in found.items())
+    if "rights" in inner:
+        assert all("All rights" in t for t in alone.values())  # a page by itself does not show it
+
+
+@pytest.mark.parametrize("name", ["comments", "ad", "sidebar"])
+def test_sure_names_go_on_any_page(spark, name):
+    found, alone = _articles(spark, f'<div class="{name}"><p>somebody wrote {{i}}</p></div>')
+    assert found == alone and all("somebody" not in t for t in found.values())
+
+
 # 3
 
 

@@ -14,9 +14,10 @@ not the article:
 
 * The article is the page's ``article`` or ``main`` elements. Where a host has none, it is the smallest part of the
   wrapper that holds most of the host's changing text outside links.
-* A part whose class or id is a usual name of adverts, notices, menus, sidebars or comments goes if the wrapper shows
-  it as a piece of the design: it stands on several distinct pages, or always says the same, or is mostly links. The
-  name alone decides only on hosts with too few distinct pages to tell.
+* Parts whose class or id is a sure name of adverts, sidebars, reader comments and the like go. Of names that a part of
+  an article may also have (discussion, related, notice, tags), the name is a hint: such a part of a marked article
+  goes only if the wrapper shows that it always says the same or that it is mostly links; where no article is marked,
+  also if it stands on several distinct pages, or if the host has too few pages to tell.
 * On hosts without ``article`` and ``main``, text that is the same on several distinct pages goes, and so do recurring
   parts that are mostly links.
 
@@ -61,14 +62,17 @@ _SCOPE = frozenset("article section div main body html table td th ul ol dl asid
 _WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Usual names (whole classes or ids) of parts that are not the article. A name is one hint among others.
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising ad-box adbox ad-slot adslot ad-container adsbygoogle sponsor sponsored sponsored-content promo promo-box banner "
-    "nav navbar navigation menu main-menu breadcrumb breadcrumbs pagination pager toolbar masthead header site-header page-header footer site-footer page-footer "
-    "sidebar side-bar aside widget widgets cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice alert popup modal overlay disclaimer "
-    "newsletter newsletter-signup subscribe subscription signup login search search-form searchbox "
-    "comment comments comment-list commentlist comments-area respond replies discussion disqus disqus_thread "
-    "share sharing share-buttons social social-share social-links related related-posts related-articles recommended tags copyright".split()
+# Usual names (whole classes or ids) of parts that are not the article: those that say so surely, and those that a part
+# of an article may also have.
+_FIRM = frozenset(
+    "ad ads advert adverts advertisement advertising ad-box adbox ad-slot adslot ad-container adsbygoogle sponsor sponsored sponsored-content promo-box "
+    "navbar main-menu breadcrumb breadcrumbs pagination site-header page-header site-footer page-footer sidebar side-bar "
+    "cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr popup newsletter newsletter-signup subscribe search-form searchbox "
+    "comment comments comment-list commentlist comments-area disqus disqus_thread share sharing share-buttons social-share social-links related-posts related-articles".split()
+)
+_NAMES = _FIRM | frozenset(
+    "promo banner nav navigation menu pager toolbar masthead header footer aside widget widgets notice alert modal overlay disclaimer "
+    "subscription signup login search respond replies discussion social related recommended tags copyright".split()
 )
 # Names of parts that hold the article, on hosts too small for a wrapper to tell.
 _CONTENT = frozenset("main article article-body article-content post post-body post-content entry entry-content story story-body content content-main main-content".split())
@@ -79,10 +83,10 @@ _OWN = frozenset("body html main article h1 h2 h3 h4 h5 h6 a b i em strong code
 
 
 class Node:
-    __slots__ = ("tag", "label", "skip", "kids", "main", "named", "content")
+    __slots__ = ("tag", "label", "skip", "kids", "main", "named", "firm", "content")
 
-    def __init__(self, tag: str, label: str = "", skip: bool = False, main: bool = False, named: bool = False, content: bool = False):
-        self.tag, self.label, self.skip, self.main, self.named, self.content, self.kids = tag, label or tag, skip, main, named, content, []
+    def __init__(self, tag: str, label: str = "", skip: bool = False, main: bool = False, named: bool = False, firm: bool = False, content: bool = False):
+        self.tag, self.label, self.skip, self.main, self.named, self.firm, self.content, self.kids = tag, label or tag, skip, main, named, firm, content, []
 
 
 def _opened(tag: str, rest: str) -> Node:
@@ -96,7 +100,7 @@ def _opened(tag: str, rest: str) -> Node:
     key = re.sub(r"\d+", "0", " ".join(x for x in (tag, *attrs.get("class", "").split()[:2], attrs.get("id", ""), role and f"role={role}") if x))
     main = (tag in ("article", "main") or role in ("main", "article")) and not skip
     named = tag not in _OWN and not _NAMES.isdisjoint(names)
-    return Node(tag, key, skip, main, named, tag in ("div", "section", "td") and not named and not _CONTENT.isdisjoint(names))
+    return Node(tag, key, skip, main, named, named and not _FIRM.isdisjoint(names), tag in ("div", "section", "td") and not named and not _CONTENT.isdisjoint(names))
 
 
 def parse(html: str | None) -> Node:
@@ -386,8 +390,10 @@ def main_text(root: Node, design: Design | None = None) -> str:
         return a, b
 
     def furniture(node: Node, part: list | None, article: bool) -> bool:
+        if node.firm:
+            return True
         if node.named:
-            if known is None or known.recurs(part) or known.same(part):
+            if known is not None and (known.same(part) or known.links(part)) or not marked and (known is None or known.recurs(part)):
                 return True
             signs, in_links = linked(node)
             return in_links > LINKS * signs
