@@ -29,8 +29,8 @@ from .common import Stash, sliced
 
 #: Positions of a segment, distinct entries that a task holds before it passes them on, and names that are sent to all tasks.
 SEGMENT, HELD, BROADCAST = 1 << 16, 300_000, 500_000
-#: Bytes of a text whose words are taken at once.
-BLOCK = 1 << 20
+#: Bytes of a text whose words are taken at once, and of the texts of a batch.
+BLOCK, TEXT = 1 << 20, 2 << 20
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x0A if c in _BREAKS else 0x20 if c in b" \t" else c for c in range(256))
 _SEQUENCE = "seg bigint, at binary, id binary"
@@ -78,7 +78,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from rows()
         yield from rows()
 
-    return docs.mapInArrow(sliced(count), "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(sliced(count, size=TEXT), "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
 def _named(stash: Stash, rows: DataFrame) -> tuple[DataFrame, int]:
@@ -196,7 +196,7 @@ def word_sequences(docs: DataFrame, names: DataFrame, small: bool, reach: int) -
                 yield _packed(list(range(seg, seg + len(parts))), parts)
                 seg += len(parts)
 
-        return docs.mapInArrow(sliced(name), _SEQUENCE)
+        return docs.mapInArrow(sliced(name, size=TEXT), _SEQUENCE)
 
     def places(batches):
         seg = TaskContext.get().partitionId() << 33
@@ -212,7 +212,7 @@ def word_sequences(docs: DataFrame, names: DataFrame, small: bool, reach: int) -
                     yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(at, pa.int32()), pa.array([lang] * len(rows), pa.string()), pa.array([w.decode("utf-8", "surrogatepass") for w in word], pa.string())], names=["seg", "at", "lang", "phrase"])
                 seg += place // SEGMENT + 1
 
-    words = docs.mapInArrow(sliced(places), "seg bigint, at int, lang string, phrase string")
+    words = docs.mapInArrow(sliced(places, size=TEXT), "seg bigint, at int, lang string, phrase string")
     return _gathered(words.join(names.select("id", "lang", "phrase"), ["lang", "phrase"]).select("seg", "at", "id"))
 
 
