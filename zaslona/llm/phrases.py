@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Stash, sliced
 
 #: Positions of a segment, distinct entries that a task holds before it passes them on, and names that are sent to all tasks.
-SEGMENT, HELD, BROADCAST = 1 << 16, 300_000, 500_000
+SEGMENT, HELD, BROADCAST = 1 << 15, 100_000, 500_000
 #: Bytes of a text whose words are taken at once, and of the texts of a batch.
 BLOCK, TEXT = 1 << 20, 2 << 20
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -156,7 +156,7 @@ def pair_counts(sequences: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*map(np.concatenate, zip(*held)))], names=["left", "right", "f"])
 
-    return sequences.mapInArrow(sliced(count), "left bigint, right bigint, f bigint").groupBy("left", "right").agg(F.sum("f").alias("f"))
+    return sequences.mapInArrow(sliced(count, size=TEXT), "left bigint, right bigint, f bigint").groupBy("left", "right").agg(F.sum("f").alias("f"))
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -238,14 +238,14 @@ def pair_sequences(sequences: DataFrame, names: DataFrame, small: bool) -> DataF
                 ends = np.searchsorted(seg, np.arange(b.num_rows + 1))
                 yield _packed(b.column(0).to_pylist(), [(at[x:y], found[x:y]) for x, y in zip(ends, ends[1:])])
 
-        return sequences.mapInArrow(sliced(name), _SEQUENCE)
+        return sequences.mapInArrow(sliced(name, size=TEXT), _SEQUENCE)
 
     def places(batches):
         for b in batches:
             seg, at, left, right = _pairs(b)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(seg)), pa.array(at.astype(np.int32)), pa.array(left), pa.array(right)], names=["seg", "at", "left", "right"])
 
-    pairs = sequences.mapInArrow(sliced(places), "seg bigint, at int, left bigint, right bigint")
+    pairs = sequences.mapInArrow(sliced(places, size=TEXT), "seg bigint, at int, left bigint, right bigint")
     return _gathered(pairs.join(names.select("left", "right", "id"), ["left", "right"]).select("seg", "at", "id"))
 
 

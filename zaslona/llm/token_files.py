@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,90 +52,101 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
-        # Units with the white space before them, first units of texts, and what was known before the last clearing.
+        # Units with the white space before them, and what was known before the last clearing.
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def joined(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts that end in a visible character, read as one text.
+        """The ids of texts that begin with white space and end in a visible character, read as one text.
 
-        Each begins with white space, or gets a line end before it, so that it is cut off from the one before. Ids are dealt
-        out by the bytes that their tokens stand for.
+        Ids are dealt out by the bytes that their tokens stand for.
         """
-        parts = [x for t in texts for x in (("", t) if t[:1].isspace() else ("\n", t))]
-        ids = self.whole(["".join(parts)])[0]
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])) + 1
-        ends[0] = len(parts[0])
-        return [ids[a:b].tobytes() for a, b in zip(ends[::2].tolist(), ends[1::2].tolist())]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        rows: list[list] = [list(map(self.known.get, units)) for units in split]
-        new: dict[str, None] = {}
-        first: dict[str, None] = {}
-        rest, places = [], []  # stretches that are read as they stand, and where
-        for row, units in zip(rows, split):
-            row[0] = self.first.get(units[0])
-            done = 0
-            for i in [i for i, x in enumerate(row) if x is None]:
-                if i < done:
-                    continue
-                if i and _apart(units[i]):
-                    if (known := self.older.get(units[i])) is not None:
-                        row[i] = self.known[units[i]] = known
-                    else:
-                        new[units[i]] = None
-                    done = i + 1
-                    continue
-                j = i
-                while j + 1 < len(units) and not (units[j] and _visible(units[j][-1]) and (row[j + 1] is not None or _apart(units[j + 1]))):
-                    j += 1
-                if i == j == 0 and _apart(units[0]):
-                    first[units[0]] = None
-                else:
-                    rest.append((" " if i and units[i][:1] != "\n" else "") + "".join(u if k == 0 or u[:1] == "\n" else " " + u for k, u in enumerate(units[i : j + 1])))
-                    places.append((row, i))
-                    row[i : j + 1] = [b""] * (j + 1 - i)
-                done = j + 1
+        if not texts:
+            return []
+        ids = self.whole(["".join(texts)])[0]
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))
+        cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _units(self, units: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Of different units the ids, which may stand apart, and which end in a visible character."""
+        ids = list(map(self.known.get, units))
+        apart = np.ones(len(units), bool)
+        ends = np.ones(len(units), bool)
+        new = []
+        for k in [k for k, x in enumerate(ids) if x is None]:
+            unit = units[k]
+            if not _apart(unit):
+                apart[k], ends[k], ids[k] = False, unit != "" and _visible(unit[-1]), b""
+            elif (known := self.older.get(unit)) is not None:
+                ids[k] = self.known[unit] = known
+            else:
+                new.append(k)
         if len(self.known) + len(new) > REMEMBERED // 2:
             self.older, self.known = self.known, {}
-        if len(self.first) > REMEMBERED // 4:
-            self.first.clear()
-        self.known.update(zip(new, self.joined([u if u[0] == "\n" else " " + u for u in new]) if new else ()))
-        self.first.update(zip(first, self.joined(list(first)) if first else ()))
-        safe = [k for k, t in enumerate(rest) if t and _visible(t[-1])]
-        for k, ids in zip(safe, self.joined([rest[k] for k in safe]) if safe else ()):
-            places[k][0][places[k][1]] = ids
-        odd = sorted(set(range(len(rest))).difference(safe))
-        for k, ids in zip(odd, self.whole([rest[k] for k in odd])):
-            places[k][0][places[k][1]] = ids.tobytes()
-        for row, units in zip(rows, split):
-            if row[0] is None:
-                row[0] = self.first[units[0]]
-            for i in [i for i, x in enumerate(row) if x is None]:
-                row[i] = self.known[units[i]]
-        out = [b"".join(row) for row in rows]
-        for u in new:
-            if len(u) > LONGEST:
-                del self.known[u]
-        for u in first:
-            if len(u) > LONGEST:
-                del self.first[u]
-        return out
+        for k, found in zip(new, self.joined([units[k] if units[k][0] == "\n" else " " + units[k] for k in new])):
+            ids[k] = found
+            if len(units[k]) <= LONGEST:
+                self.known[units[k]] = found
+        return ids, apart, ends
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has, with ``end_id`` after each."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = np.asarray(split.offsets).astype(np.int64)
+        flat = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        which, units = np.asarray(flat.indices).astype(np.int64), flat.dictionary.to_pylist()
+        ids, apart, ends = self._units(units)
+        # A unit is read apart if it may and the character before it is visible; all others form stretches.
+        ok = apart[which]
+        ok[1:] &= ends[which[:-1]]
+        ok[offsets[:-1][offsets[:-1] < len(ok)]] = False
+        begins = ~ok
+        begins[1:] &= ok[:-1] | np.isin(np.arange(1, len(ok)), offsets)
+        starts = np.flatnonzero(begins)
+        stops = np.append(ok, True)
+        stops[offsets] = True
+        marks = np.flatnonzero(stops)
+        last = marks[np.searchsorted(marks, starts, side="right")]
+        first = set(offsets[:-1].tolist())
+        rest = []
+        for i, j in zip(starts.tolist(), last.tolist()):
+            row = [units[k] for k in which[i:j].tolist()]
+            lead = "" if i in first or row[0][:1] == "\n" else " "
+            rest.append(lead + "".join(u if k == 0 or u[:1] == "\n" else " " + u for k, u in enumerate(row)))
+        # Every place takes an entry of a pool: its unit's, its stretch's at the first place of one, or the empty one.
+        entries = [*ids, *(x.tobytes() for x in self.whole(rest)), b"", b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+        which[~ok] = len(entries) - 2
+        which[starts] = len(ids) + np.arange(len(starts))
+        which = np.insert(which, offsets[1:], len(entries) - 1)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        pool, begin = np.frombuffer(b"".join(entries), "<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        to = np.cumsum(lengths)
+        out = pool[np.repeat(begin[which] - to + lengths, lengths) + np.arange(to[-1] if len(to) else 0)]
+        places = np.concatenate([[0], to])
+        bounds = places[offsets + np.arange(len(offsets))]
+        return out, np.diff(bounds)
+
+
+_PRINTED = frozenset(map(chr, range(33, 127)))
 
 
 def _visible(c: str) -> bool:
-    return c.isprintable() and not c.isspace()
+    return c in _PRINTED or c.isprintable() and not c.isspace()
 
 
 def _apart(unit: str) -> bool:
     """Whether a unit's pieces are the same after any visible character: it begins (after a line end) and ends visibly."""
-    bare = unit[1:] if unit[:1] == "\n" else unit
-    return bare != "" and _visible(bare[0]) and _visible(bare[-1])
+    first = unit[:1]
+    if first == "\n":
+        first = unit[1:2]
+    return first != "" and _visible(first) and _visible(unit[-1])
 
 
 _loaded: dict[str, Encoder] = {}
@@ -162,17 +174,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
     def encode(batches):
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [x + end for x in enc.encode(b.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(ids))])
+            ids, sizes = enc.encode(b.column(1), end_id)
+            flat = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids.tobytes())])
             rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), b.column(0), pa.array(starts), pa.array(sizes), rows], names=["part", "doc_id", "before", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(starts), pa.array(sizes), rows], names=["part", "doc_id", "before", "n_tokens", "ids"])
 
-    out = dealt.mapInArrow(sliced(encode, size=2 << 20), _SCHEMA).write.option("compression", "zstd").option("orc.create.index", "true")
+    out = dealt.mapInArrow(sliced(encode, rows=4096, size=8 << 20), _SCHEMA).write.option("compression", "zstd").option("orc.create.index", "true")
     out = out.option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     out.orc(f"{path}/ids")
     sums = spark.read.schema(_SCHEMA).orc(f"{path}/ids").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).orderBy("part").collect()
