@@ -30,6 +30,7 @@ class State:
         self.types, self.masks, self.names, self.ledger = types, masks, names, ledger
         self.counts: dict[str, int] = {}
         self.labels: dict[str, str] | None = {} if pseudonyms else None
+        self.given = False  # labels that other texts have as well
         self.urls: list[tuple[str, int, list[Edit]]] = []
         self._facts = None
 
@@ -348,7 +349,8 @@ def _folded(s: State) -> State:
     if s.on("IMIE"):
         persons.run()
     persons.close()
-    renumber(s)
+    if not s.given:
+        renumber(s)
     show_urls(s)
     return s
 
@@ -365,6 +367,25 @@ def redact_text(text, types: Iterable[str] | None = None, masks: Mapping[str, st
     return s.text, list(s.counts.items())
 
 
+def redact_with_labels(text, labels: dict[str, str], types: Iterable[str] | None = None, names: Names | None = None) -> tuple[str, list[tuple[str, int]]]:
+    """As ``redact_text`` with persons told apart, by labels that are shared with other texts.
+
+    ``labels`` (a person's key to letters) gains those who are new, in the order in which they stand.
+    """
+    if not text:
+        return "", []
+    s = State(text, None if types is None else frozenset(types), R.MASKS, names or _names(DEFAULT), True)
+    s.given, s.labels = True, dict(labels)
+    _folded(s)
+    new = {s.labels[k]: k for k in s.labels.keys() - labels.keys()}
+    order = [m[1] for m in rx(r"\[OSOBA-([A-Z]+)\]").finditer(s.text) if m[1] in new]
+    order += sorted(new.keys() - set(order), key=index_of)  # named, but taken into another mask since
+    named = {old: letters(len(labels) + i) for i, old in enumerate(dict.fromkeys(order))}
+    s.edit([(*m.span(1), named[m[1]]) for m in rx(r"\[OSOBA-([A-Z]+)\]").finditer(s.text) if m[1] in named])
+    labels.update({new[old]: label for old, label in named.items()})
+    return s.text, list(s.counts.items())
+
+
 def masked_places(text, types: Iterable[str] | None = None, masks: Mapping[str, str] | None = None, pseudonyms: bool = False, names: Names | None = None) -> list[tuple[str, str, int, int]]:
     """Each mask that redaction puts in: mask, what it takes the place of, and where that stands in the text.
 

@@ -376,7 +376,7 @@ def x_tokens_dim(spark, sf_dir):
     return findings.mask_tokens(spark).drop("category")
 
 
-from . import deeper, more, places  # noqa: E402, F401
+from . import deeper, more, places, streams  # noqa: E402, F401
 
 QUERIES.update(more.QUERIES)
 SQL.update(more.SQL)

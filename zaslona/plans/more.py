@@ -17,7 +17,6 @@ from ..operators.redact import redact
 from ..operators.redact import spans as masked_spans
 from ..operators.rules import escaped
 from ..sources import documents, remote, synthetic
-from ..streaming import redaction as streams
 from . import recall
 from .cases import CASES, _literal, dealt
 
@@ -366,49 +365,6 @@ def u_sql_text(spark, sf_dir):
     return spark.sql("select o_orderpriority, count(*) as n from {o} where o_orderkey % 2 = 0 group by 1", o=table(spark, sf_dir, "orders"))
 
 
-# Streams, run to their end over a table
-
-
-def _streamed(spark, sf_dir, name: str, build, mode: str = "complete") -> DataFrame:
-    """All that a stream over the table's files has given when they are read."""
-    import os
-    import uuid
-
-    at = f"{sf_dir}/{name}.parquet"
-    schema = table(spark, sf_dir, name).schema
-    folder, base = os.path.split(at)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", base if not base.startswith("part-") else "*").parquet(folder) if _is_file(spark, at) else spark.readStream.schema(schema).parquet(at)
-    name = f"s{uuid.uuid4().hex}"
-    build(source).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
-def _is_file(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
-
-
-@query("st_redacted", "select c_custkey, 'PESEL [PESEL] ' || c_custkey as redacted from customer")
-def st_redacted(spark, sf_dir):
-    build = lambda s: streams.redact_stream(s.selectExpr("c_custkey", "'PESEL 44051401458 ' || c_custkey as text"), types=["PESEL"]).select("c_custkey", "redacted")
-    return _streamed(spark, sf_dir, "customer", build, "append")
-
-
-@query("st_windows", "select date_trunc('hour', ts) as start, 'PESEL' as type, count(*) as total from events group by 1")
-def st_windows(spark, sf_dir):
-    build = lambda s: streams.windowed_findings(s.selectExpr("cast(ts as timestamp) as ts", "'PESEL 44051401458' as text"), window="1 hour", late="10000 days", types=["PESEL"])
-    out = _streamed(spark, sf_dir, "events", build)
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "type", F.col("total").cast("long").alias("total"))
-
-
-@query("st_sessions", """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 5 minutes then 0 else 1 end as fresh from events),
-s as (select user_id, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from e)
-select user_id, count(*) as events from s group by user_id, n""")
-def st_sessions(spark, sf_dir):
-    build = lambda s: streams.sessions(s.selectExpr("user_id", "cast(ts as timestamp) as ts"), "user_id", late="10000 days")
-    return _streamed(spark, sf_dir, "events", build).select("user_id", "events")
-
-
 @query("e_recall")
 def e_recall(spark, sf_dir):
     """What redaction finds of labelled sentences, by category."""
