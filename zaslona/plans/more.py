@@ -258,21 +258,39 @@ def s_numbers(spark, sf_dir):
     """Made-up numbers and the same with another last digit."""
     from ..functions.checksums import weighted_column
 
-    flip = F.udf(synthetic.flip_last_digit)
     made = synthetic.numbers(table(spark, sf_dir, "orders"), "o_orderkey", "pesel")
-    return made.select("o_orderkey", flip("value").alias("flipped"), weighted_column("pesel", F.col("value")).alias("valid"))
+    return made.select("o_orderkey", synthetic.flip_last_digit(F.col("value")).alias("flipped"), weighted_column("pesel", F.col("value")).alias("valid"))
 
 
-@query("s_fours", "select o_orderkey, trim(regexp_replace(value, '(.{4})', '\\1 ', 'g')) as spaced from (" + synthetic.VALUES["nrb"] + ") v where o_orderkey <= 4000")
+@query("s_fours", "select o_orderkey, trim(regexp_replace(value, '(.{4})', '\\1 ', 'g')) as spaced from (" + synthetic.VALUES["nrb"] + ") v")
 def s_fours(spark, sf_dir):
-    spaced = F.udf(synthetic.in_fours)
-    return synthetic.numbers(table(spark, sf_dir, "orders").where("o_orderkey <= 4000"), "o_orderkey", "nrb").select("o_orderkey", spaced("value").alias("spaced"))
+    return synthetic.numbers(table(spark, sf_dir, "orders"), "o_orderkey", "nrb").select("o_orderkey", synthetic.in_fours(F.col("value")).alias("spaced"))
 
 
-@query("s_generator", "select unnest([0, 1, 2, 3]) as i, true as in_range")
+# The generator in 128-bit whole numbers, as its definition has it.
+def _drawn(i: str) -> str:
+    word, times = "4294967295", lambda a, b: f"((({a})::hugeint * ({b})::hugeint) % 4294967296)::bigint"
+    a = f"(({synthetic.SEED} + ({i} + 1)::hugeint * 1831565813) % 4294967296)::bigint"
+    return f"(with g as (select {a} as a), t as (select {times('xor(a, a >> 15)', 'a | 1')} as t from g), u as (select xor(t, (t + {times('xor(t, t >> 7)', 't | 61')}) & {word}) as u from t) select xor(u, u >> 14) & {word} from u)"
+
+
+@query("s_generator", f"select l_orderkey, l_linenumber, b as bits, b / 4294967296.0::double as number from (select l_orderkey, l_linenumber, {_drawn('(l_orderkey * 8 + l_linenumber)')} as b from lineitem) x")
 def s_generator(spark, sf_dir):
-    g = synthetic.mulberry32()
-    return spark.createDataFrame([(i, 0 <= next(g) < 1) for i in range(4)], "i int, in_range boolean")
+    """A number of the seeded generator for each row, by the row's place alone."""
+    place = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", synthetic.random_bits(place).alias("bits"), synthetic.random_number(place).alias("number"))
+
+
+@query("s_redrawn", f"""with k as (select o_orderkey, unnest(range(64)) as k from orders),
+d as (select o_orderkey, k, lpad(cast({_drawn('(o_orderkey * 64 + k)')} % 1000000000 as varchar), 9, '0') as v from k),
+s as (select *, ({" + ".join(f"cast(substr(v, {n}, 1) as bigint) * {w}" for n, w in enumerate((6, 5, 7, 2, 3, 4, 5, 6, 7), 1))}) % 11 as c from d)
+select o_orderkey, arg_min(v || c, k) as nip, true as valid from s where c <> 10 group by o_orderkey""")
+def s_redrawn(spark, sf_dir):
+    """A valid number for each row, drawn again where the control digit would be 10."""
+    from ..functions.checksums import weighted_column
+
+    made = table(spark, sf_dir, "orders").select("o_orderkey", synthetic.nip(F.col("o_orderkey")).alias("nip"))
+    return made.select("o_orderkey", "nip", weighted_column("nip", F.col("nip")).alias("valid"))
 
 
 # Views
