@@ -91,19 +91,61 @@ def test_sources(spark, tmp_path):
 
 
 def test_breaker_and_layers(spark):
+    from zaslona.sources import remote
+
     now = [0.0]
     b = remote.Breaker(clock=lambda: now[0])
-    fail = lambda: 1 / 0
     for _ in range(3):
-        assert remote.guarded("u", fail, b) is None
+        assert b.allows("u")
+        b.failed("u")
     assert not b.allows("u")
     now[0] = 31
-    assert b.allows("u") and remote.guarded("u", fail, b) is None and not b.allows("u")
-    now[0] = 70
-    assert remote.guarded("u", lambda: 5, b) == 5 and b.allows("u")
-    df = spark.createDataFrame([("abc",), (None,)], "redacted string")
-    assert [r["ner"] for r in remote.ner_layer(df, "http://x", send=lambda *a: {"redacted": "X"}).collect()] == ["X", None]
-    assert remote.llm_layer(df, lambda t: [t, 1]).first()["candidates"] == ["abc"]
+    assert b.allows("u")
+    b.failed("u")
+    assert not b.allows("u")
+    now[0] = 62
+    assert b.allows("u")
+    b.succeeded("u")
+    assert b.allows("u")
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, redacted string")
+    got = {r["id"]: (r["ner"], r["ner_note"]) for r in remote.ner_layer(df, "http://x", send=lambda *a: {"redacted": "X"}).collect()}
+    assert got == {1: ("X", None), 2: (None, None), 3: ("", None)}
+    assert remote.llm_layer(df, lambda t: [t, 1]).where("id = 1").first()["candidates"] == ["abc"]
+    assert remote.llm_layer(df.limit(0), lambda t: [t]).count() == 0
+
+
+def test_course_of_requests():
+    import time
+    from threading import Lock
+
+    from zaslona.sources import remote
+
+    now, most, lock = [0], [0], Lock()
+
+    def call(text):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.03 - 0.001 * int(text))
+        with lock:
+            now[0] -= 1
+        return text
+
+    texts = [str(i) for i in range(25)] + [None, ""]
+    got = list(remote.Course("u", call, at_once=5).answers(texts))
+    assert [g[0] for g in got] == [*map(str, range(25)), None, None] and 2 <= most[0] <= 5
+    asked = []
+
+    def fail(text):
+        asked.append(text)
+        raise OSError
+
+    got = list(remote.Course("u", fail, at_once=1, tries=1, wait=0).answers("abcdefgh"))
+    assert [g[1] for g in got] == ["failed: OSError"] * 3 + ["breaker open"] * 5 and asked == list("abc")
+    asked.clear()
+    assert [g[1] for g in remote.Course("u", fail, probe=lambda: False).answers(["a", None])] == ["skipped: no answer to the probe", None] and not asked
+    list(remote.Course("u", lambda t: asked.append(t), probe=lambda: True, warm_up="warm").answers(["a"]))
+    assert asked == ["warm", "a"]
 
 
 def test_masks_are_located():

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicon import DEFAULT
 from ..functions.morphology import Names
@@ -154,35 +156,72 @@ def l_layer_lost(spark, sf_dir):
     return redact_layers(df, ner_url="http://lost", send=_lost, ask=_lost).select("c_custkey", "redacted")
 
 
-@query("l_long_text", f"select c_custkey, repeat('a', {remote.NER_CHARS - 5}) || 'Smith' || 'Smith' as redacted from (select c_custkey from customer where c_custkey <= 3) c".replace("'Smith' || 'Smith'", "'[IMIĘ I NAZWISKO]' || 'Smith'"))
+@query("l_long_text", f"select c_custkey, {remote.NER_CHARS + 10} - 5 + 17 - 5 as n, repeat('a', 5) || '[IMIĘ I NAZWISKO]' || c_custkey % 10 || 'Smith' as tail from customer".replace(f"{remote.NER_CHARS + 10} - 5 + 17 - 5", str(remote.NER_CHARS - 5 + 17 + 1 + 5)))
 def l_long_text(spark, sf_dir):
     """The service sees the first characters only; the rest stays behind them."""
-    df = table(spark, sf_dir, "customer").where("c_custkey <= 3").selectExpr("c_custkey", f"repeat('a', {remote.NER_CHARS - 5}) || 'SmithSmith' as text")
-    return remote.ner_layer(df, "http://ner", "text", send=_send).select("c_custkey", F.col("ner").alias("redacted"))
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"repeat('a', {remote.NER_CHARS - 6}) || 'aSmith' || c_custkey % 10 || 'Smith' as text")
+    done = remote.ner_layer(df, "http://ner", "text", send=_send)
+    return done.select("c_custkey", F.length("ner").alias("n"), F.right("ner", F.lit(28)).alias("tail"))
 
 
-@query("l_breaker", "select c_custkey, 'ok,ok,open,open,trial,open' as course from customer where c_custkey <= 10")
+_WAITED, _AGAIN = "c_custkey % 60", "c_custkey % 7 * 10"
+
+
+@query("l_breaker", f"select c_custkey, 'ok,ok,open,' || case when {_WAITED} < 30 then 'open' else 'trial,' || case when {_AGAIN} < 30 then 'open' else 'trial' end end as course from customer")
 def l_breaker(spark, sf_dir):
-    """Failures one after another, a wait within the time, one after it, and a failure of the trial."""
+    """Three failures one after another, a wait that each row has of its own, and if it was long enough a failed trial and another wait."""
 
     @F.pandas_udf("string")
-    def course(keys: pd.Series) -> pd.Series:
-        now = [0.0]
-        b, out = remote.Breaker(clock=lambda: now[0]), []
-        for _ in range(2):
-            b.failed("u")
-            out.append("ok" if b.allows("u") else "open")
-        b.failed("u")
-        out.append("ok" if b.allows("u") else "open")
-        now[0] = remote.OPEN_SECONDS - 1
-        out.append("ok" if b.allows("u") else "open")
-        now[0] = remote.OPEN_SECONDS + 1
-        out.append("trial" if b.allows("u") else "open")
-        b.failed("u")
-        out.append("ok" if b.allows("u") else "open")
-        return pd.Series([",".join(out)] * len(keys))
-
-    return table(spark, sf_dir, "customer").where("c_custkey <= 10").select("c_custkey", course("c_custkey").alias("course"))
+    def course(waited: pd.Series, again: pd.Series) -> pd.Series:
+        def one(first, second):
+            now, out = [0.0], []
+            b = remote.Breaker(clock=lambda: now[0])
+            for _ in range(3):
+                b.failed("u")
+                out.append("ok" if b.allows("u") else "open")
+            now[0] = float(first)
+            out.append("trial" if b.allows("u") else "open")
+            if out[-1] == "trial":
+                b.failed("u")
+                now[0] += float(second)
+                out.append("trial" if b.allows("u") else "open")
+            return ",".join(out)
+
+        return pd.Series([one(a, b) for a, b in zip(waited, again)])
+
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_WAITED} as waited", f"{_AGAIN} as again")
+    return df.select("c_custkey", course("waited", "again").alias("course"))
+
+
+_seen: set = set()
+
+
+def _slow(text: str) -> str:
+    """A service that takes longer for some, fails always for others, and once for a third kind."""
+    key = int(text.split()[-1])
+    if key % 7 == 0:
+        raise OSError("lost")
+    if key % 5 == 0 and text not in _seen:
+        _seen.add(text)
+        raise OSError("lost once")
+    time.sleep(key % 3 / 1000)
+    return text.upper()
+
+
+@query("l_at_once", """select c_custkey, case when c_custkey % 7 = 0 then null else 'NR ' || c_custkey end as answer, case when c_custkey % 7 = 0 then 'failed: OSError' end as answer_note,
+    cast(case when c_custkey % 7 = 0 or c_custkey % 5 = 0 then 2 else 1 end as integer) as answer_tries from customer""")
+def l_at_once(spark, sf_dir):
+    """Several requests of a task under way: answers stay with their rows, failures are asked again."""
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'nr ' || c_custkey as text")
+    done = remote.asked(df, "text", "answer", T.StringType(), "http://slow", _slow, at_once=6, wait=0.0, breaker=remote.Breaker(clock=lambda: float("inf")))
+    return done.select("c_custkey", "answer", "answer_note", "answer_tries")
+
+
+@query("l_skipped", "select 'skipped: no answer to the probe' as note, count(*) as rows, cast(0 as bigint) as tries from customer")
+def l_skipped(spark, sf_dir):
+    """A service that does not answer the probe is left out, and the rows say so."""
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'nr ' || c_custkey as text")
+    return remote.notes(remote.asked(df, "text", "answer", T.StringType(), "http://gone", _slow, probe=lambda: False), "answer")
 
 
 # Evaluation
@@ -222,7 +261,7 @@ def e_first_seen(spark, sf_dir):
 # Sources
 
 
-@query("s_docx", "select c_custkey, 'Pan ' || c_name || chr(10) || 'tab' || chr(9) || 'a & b' as text from customer where c_custkey <= 200")
+@query("s_docx", "select c_custkey, 'Pan ' || c_name || chr(10) || 'tab' || chr(9) || 'a & b' as text from customer")
 def s_docx(spark, sf_dir):
     """Word files, made here, as text."""
 
@@ -236,14 +275,14 @@ def s_docx(spark, sf_dir):
 
         return pd.Series([one(n) for n in names], dtype=object)
 
-    files = table(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_custkey", F.lit("a.DOCX").alias("path"), made("c_name").alias("content"))
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.lit("a.DOCX").alias("path"), made("c_name").alias("content"))
     return documents.extracted(files).select("c_custkey", "text")
 
 
-@query("s_dispatch", "select c_custkey, case c_custkey % 3 when 0 then 'tekst ' || c_custkey end as text, case c_custkey % 3 when 1 then 'not a .docx file' when 2 then 'unreadable PDF' end as error from customer where c_custkey <= 200")
+@query("s_dispatch", "select c_custkey, case c_custkey % 3 when 0 then 'tekst ' || c_custkey end as text, case c_custkey % 3 when 1 then 'not a .docx file' when 2 then 'unreadable PDF' end as error from customer")
 def s_dispatch(spark, sf_dir):
     """Files by extension; what is no document of its kind has an error and no text."""
-    files = table(spark, sf_dir, "customer").where("c_custkey <= 200").selectExpr("c_custkey", "case c_custkey % 3 when 0 then 'a.txt' when 1 then 'b.docx' else 'c.pdf' end as path", "unhex('EFBBBF') || cast('tekst ' || c_custkey as binary) as content")
+    files = table(spark, sf_dir, "customer").selectExpr("c_custkey", "case c_custkey % 3 when 0 then 'a.txt' when 1 then 'b.docx' else 'c.pdf' end as path", "unhex('EFBBBF') || cast('tekst ' || c_custkey as binary) as content")
     return documents.extracted(files).select("c_custkey", "text", F.when(F.col("error").contains("PDF"), "unreadable PDF").otherwise(F.col("error")).alias("error"))
 
 
@@ -296,11 +335,12 @@ def s_redrawn(spark, sf_dir):
 # Views
 
 _LONG = views.MARK_LIMIT - 6
+_MARKED = "c_custkey % 97 = 5"  # texts beyond the limit are long, so few of the rows have one
 
 
-@query("x_marked", f"select c_custkey, case when c_custkey % 2 = 0 then '<mark>[PESEL]</mark> &lt;' else '[PESEL]' || repeat('a', {_LONG}) end as html from customer where c_custkey <= 20")
+@query("x_marked", f"select c_custkey, case when {_MARKED} then '[PESEL]' || repeat('a', {_LONG}) else '<mark>[PESEL]</mark> &lt;' || c_custkey end as html from customer")
 def x_marked(spark, sf_dir):
-    df = table(spark, sf_dir, "customer").where("c_custkey <= 20").selectExpr("c_custkey", f"case when c_custkey % 2 = 0 then '[PESEL] <' else '[PESEL]' || repeat('a', {_LONG}) end as t")
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"case when {_MARKED} then '[PESEL]' || repeat('a', {_LONG}) else '[PESEL] <' || c_custkey end as t")
     return df.select("c_custkey", views.marked_html(F.col("t")).alias("html"))
 
 
