@@ -63,16 +63,18 @@ def category_order(cases: DataFrame, order_col: str) -> DataFrame:
     return first.select("category", before.alias("place"))
 
 
+def gate_faults(rates: DataFrame) -> DataFrame:
+    """What falls short of the gate, a row each (fault). The metric table has a row per category."""
+    said = lambda what, value: F.format_string(f"{what} %.3f", value)
+    over_all = F.col("category").isNull() & (F.col("precision") < LEAST_PRECISION)
+    one = F.col("category").isin(*FULL_RECALL) & (F.col("recall") < 1)
+    fault = F.when(over_all, said("precision", F.col("precision"))).when(one, F.concat(F.lit("recall of "), "category", F.format_string(" %.3f", F.col("recall"))))
+    return rates.select(fault.alias("fault")).where("fault is not null")
+
+
 def gate(rates: DataFrame) -> list[str]:
-    """What falls short of the gate; empty if all is well. The metric table has a row per category."""
-    out = []
-    for r in rates.where(F.col("category").isNull() | F.col("category").isin(*FULL_RECALL)).collect():
-        if r["category"] is None:
-            if r["precision"] is not None and r["precision"] < LEAST_PRECISION:
-                out.append(f"precision {r['precision']:.3f}")
-        elif r["recall"] is not None and r["recall"] < 1:
-            out.append(f"recall of {r['category']} {r['recall']:.3f}")
-    return out
+    """The same as a list; empty if all is well."""
+    return sorted(r["fault"] for r in gate_faults(rates).collect())
 
 
 def report(rates: DataFrame, order: list[str] | None = None) -> str:

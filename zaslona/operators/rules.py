@@ -10,6 +10,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..functions import checksums as check
 from ..functions.dialect import CAP_PLACE, LO, UP, rx
 from ..functions.lexicon import CURRENCIES, PLATE_LETTERS
@@ -309,3 +312,8 @@ def bare_postal(address_mask: str) -> Rule:
 
 def escaped(text: str) -> str:
     return "".join("\\" + c if c in r".*+?^${}()|[]\/-" else c for c in text)
+
+
+def escaped_column(text: Column) -> Column:
+    """A text column as ``escaped`` has it."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\/-])", r"\\$1")

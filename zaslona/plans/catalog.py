@@ -371,9 +371,24 @@ def x_nbsp(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", tie_words(F.expr("""'<p title="a b">Ala i kot z o domu ' || c_custkey || '</p>'""")).alias("html"))
 
 
-@query("x_tokens_dim", "select * from (values " + ", ".join(f"('{m}', '{t}', '{LABELS[t]}')" for t, m in MASKS.items()) + ") as t(token, type, label)")
+# Visible text with its tags as a sign each; a letter before a sign has nothing to be tied to.
+_TAGS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
+_TIED = "regexp_replace(%s, '(^|[^\\pL\\pN])([AaIiOoUuWwZz]) +([^\\s\\x01\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}])', '\\1\\2' || chr(160) || '\\3', 'g')"
+
+
+@query("x_nbsp_pages", f"select page_id, {_TIED % (_TIED % (_TIED % 'seen'))} as seen from (select page_id, regexp_replace(coalesce(html, ''), '{_TAGS}', chr(1), 'g') as seen from pages) p")
+def x_nbsp_pages(spark, sf_dir):
+    """All pages with one-letter words tied to what follows; tags, scripts and styles as they were."""
+    tied = table(spark, sf_dir, "pages").select("page_id", tie_words(F.coalesce("html", F.lit(""))).alias("html"))
+    return tied.select("page_id", F.regexp_replace("html", _TAGS, "\x01").alias("seen"))
+
+
+@query("x_tokens_dim", f"select '[' || type || ']' as token, type, case type when 'EMAIL' then 'adres e-mail' else 'adres IP' end as label, cast(sum(n) as bigint) as total from {_FOUND_SQL} where n > 0 group by type")
 def x_tokens_dim(spark, sf_dir):
-    return findings.mask_tokens(spark).drop("category")
+    """Masks in the redacted documents, joined with what is known of masks."""
+    done = redact(table(spark, sf_dir, "documents").select("text"), types=["EMAIL", "IP"])
+    masks = done.select(F.explode(views.masks_in(F.col("redacted"))).alias("token")).groupBy("token").agg(F.count("*").alias("total"))
+    return masks.join(F.broadcast(findings.mask_tokens(spark)), "token").select("token", "type", "label", "total")
 
 
 from . import deeper, more, places, streams  # noqa: E402, F401
