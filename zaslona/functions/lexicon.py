@@ -173,18 +173,33 @@ def families() -> frozenset[str]:
     return frozenset(stem + ending for stem in _FAMILY_STEMS.split() for ending in _FAMILY_ENDINGS.split())
 
 
-# Stems of adjectives of countries, regions, towns and peoples; with -ski, -cki and -dzki they are no surnames.
-_PLACE_ADJECTIVES = """
-polski niemiecki francuski rosyjski angielski brytyjski amerykański włoski hiszpański czeski słowacki ukraiński
-białoruski litewski łotewski estoński fiński węgierski rumuński bułgarski grecki turecki chiński japoński arabski
-żydowski europejski azjatycki afrykański unijny śląski mazowiecki małopolski wielkopolski pomorski podlaski lubelski
-lubuski łódzki opolski podkarpacki świętokrzyski warmiński mazurski kujawski zachodniopomorski dolnośląski
-warszawski krakowski poznański wrocławski gdański szczeciński bydgoski toruński kielecki rzeszowski katowicki
-białostocki olsztyński częstochowski radomski sosnowiecki gliwicki tarnowski kaliski legnicki płocki elbląski
-pruszkowski piaseczyński legionowski wołomiński miński otwocki żyrardowski sochaczewski grodziski nowosądecki
-miejski wiejski morski lekarski pielęgniarski adwokacki sędziowski szlachecki królewski książęcy boski ludzki męski
-damski dziecięcy wojskowy lotniczy górniczy rycerski gospodarski rolniczy akademicki studencki
+# Endings of towns' names and what makes adjectives of them, the longest that fits first.
+_TOWN_ENDINGS = """
+awek awski|szcz ski|ielce ielecki|dlce dlecki|ańsk ański|ica icki|ice icki|iec iecki|awa awski|owa owski|nia ński|ław ławski|dź dzki|dz dzki|sk ski|ck cki|ów owski
+ań ański|uń uński|in iński|yn yński|om omski|ąg ąski|ch ski|sz ski|ik icki|ok ocki|le lski
 """
+# Adjectives of countries and peoples, of regions, and of estates and trades, by letter.
+_COUNTRY_ADJECTIVES = """
+afrykański amerykański angielski arabski australijski austriacki azjatycki belgijski białoruski brazylijski brytyjski bułgarski chiński chorwacki czeski
+duński egipski estoński europejski fiński francuski grecki hiszpański holenderski indyjski irlandzki izraelski japoński kanadyjski koreański litewski
+łotewski meksykański niemiecki norweski polski portugalski rosyjski rumuński serbski słowacki słoweński szkocki szwajcarski szwedzki turecki ukraiński
+węgierski wietnamski włoski żydowski
+"""
+_REGION_ADJECTIVES = """
+białostocki dolnośląski kujawski lubelski lubuski łódzki małopolski mazowiecki mazurski nowosądecki opolski otwocki podhalański podkarpacki podlaski
+pomorski śląski świętokrzyski warmiński wielkopolski wołomiński zachodniopomorski
+"""
+_OTHER_ADJECTIVES = """
+adwokacki akademicki boski damski gospodarski górniczy królewski książęcy lekarski lotniczy ludzki męski miejski morski pielęgniarski rolniczy rycerski
+studencki szlachecki unijny wiejski wojskowy
+"""
+
+
+def of_towns(places: frozenset[str]) -> frozenset[str]:
+    """Adjectives made of towns' names by their endings."""
+    rules = sorted((tuple(rule.split()) for line in _TOWN_ENDINGS.strip().split("\n") for rule in line.split("|")), key=lambda r: -len(r[0]))
+    made = (next((p[: -len(end)] + to for end, to in rules if p.endswith(end)), None) for p in places if " " not in p)
+    return frozenset(m for m in made if m)
 
 
 def _feminine() -> frozenset[str]:
@@ -197,7 +212,7 @@ class Lexicon:
     first_names: frozenset[str] = field(default_factory=lambda: _words(_MALE_NAMES + _FEMALE_NAMES + _MORE_MALE_NAMES + _MORE_FEMALE_NAMES) | _feminine())
     surnames: frozenset[str] = field(default_factory=lambda: (_words(_SURNAMES + _MORE_SURNAMES) | families()) - HOMOGRAPHS - _words(_MALE_NAMES + _MORE_MALE_NAMES))
     places: frozenset[str] = field(default_factory=lambda: _words(_PLACES) | LONG_PLACES)
-    place_adjectives: frozenset[str] = field(default_factory=lambda: _words(_PLACE_ADJECTIVES))
+    place_adjectives: frozenset[str] = field(default_factory=lambda: of_towns(_words(_PLACES)) | _words(_COUNTRY_ADJECTIVES + _REGION_ADJECTIVES + _OTHER_ADJECTIVES))
 
     def with_words(self, **more) -> Lexicon:
         """This lexicon with words added to its lists; a list is given as words or as the path of a file."""
