@@ -426,9 +426,15 @@ def u_rules(spark, sf_dir):
     return relations.matching(table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("t")), "t", rules).select("p_partkey", "rule")
 
 
-@query("u_estimates")
+@query("u_estimates", "select o_orderpriority, true as distinct_close, true as median_close from orders group by o_orderpriority")
 def u_estimates(spark, sf_dir):
-    return relations.estimates(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
+    """Estimates by group beside what they stand for: within a twentieth, and between the ranks beside the median."""
+    orders = table(spark, sf_dir, "orders")
+    about = relations.estimates(orders, "o_orderpriority", "o_custkey")
+    ranks = F.percentile("o_custkey", F.array(F.lit(0.49), F.lit(0.51))).alias("around")
+    exact = orders.groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("exact"), ranks)
+    near = F.abs(F.col("about_distinct") - F.col("exact")) <= 0.08 * F.col("exact")
+    return about.join(exact, "o_orderpriority").select("o_orderpriority", near.alias("distinct_close"), F.col("about_median").between(F.col("around")[0], F.col("around")[1]).alias("median_close"))
 
 
 @query("u_sql_text", "select o_orderpriority, count(*) as n from orders where o_orderkey % 2 = 0 group by 1")
