@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import lru_cache
 
 from ..functions.dialect import once, rx
 from ..functions.lexicon import DEFAULT, EMPTY_VALUES, LABEL_WORDS, Lexicon
@@ -22,6 +23,10 @@ _PARTICLE = r"^(m|lok|ul|al|os|pl|nr|im|św|gen|ks)\.?$"
 _NAME = r"\p{L}[\p{L}'’.‑-]*"
 
 
+#: Kinds up to which a text's words are not looked up for the rules' strings.
+FEW = 4
+
+
 class State:
     """A text while rules change it. ``ledger`` follows where its masks stood, if asked for."""
 
@@ -30,6 +35,7 @@ class State:
         self.types, self.masks, self.names, self.ledger = types, masks, names, ledger
         self.counts: dict[str, int] = {}
         self.labels: dict[str, str] | None = {} if pseudonyms else None
+        self.few = types is not None and len(types) <= FEW
         self.given = False  # labels that other texts have as well
         self.urls: list[tuple[str, int, list[Edit]]] = []
         self._facts = None
@@ -37,7 +43,7 @@ class State:
     def may(self, need: Need | None) -> bool:
         """Whether the text holds what each match of a rule holds."""
         if self._facts is None or self._facts.text is not self.text:
-            self._facts = Facts(self.text, tags_of(self.names).known)
+            self._facts = Facts(self.text, tags_of(self.names).known, self.few)
         return need is None or need.met(self._facts)
 
     def edit(self, edits: list[Edit]) -> None:
@@ -94,7 +100,7 @@ _IN_URLS = (
     R.Rule("KSEF", R.KSEF, allow=R.is_ksef, needs=R.ksef_named, always=True),
     *(R.Rule(kind, pattern, "1*", True, always=True) for kind, pattern in R.URL_PARAMETERS),
 )
-_URL, _STAND_IN = need(R.URL), f"{_OPEN}([A-Z]+){_CLOSE}"
+_URL, _STAND_IN = Need(signs=("http", "www."), strings=("http", "www.")), f"{_OPEN}([A-Z]+){_CLOSE}"
 
 
 def hide_urls(s: State) -> None:
@@ -323,21 +329,31 @@ def renumber(s: State) -> None:
         s.edit([(*m.span(), f"[OSOBA-{order.setdefault(m[1], letters(len(order)))}]") for m in rx(r"\[OSOBA-([A-Z]+)\]").finditer(s.text)])
 
 
+_STAGES = tuple(map(tuple, (R.IDENTITY, (*R.REFERENCES, *R.NUMBERS_1), R.NUMBERS_2, (*R.POSTAL, *R.DATES, *R.ADDRESSES))))
+
+
+@lru_cache(1000)
+def _stages(types: frozenset | None) -> tuple[tuple[R.Rule, ...], ...]:
+    """The rules of the kinds that are wanted."""
+    return tuple(tuple(r for r in rules if types is None or r.type in types) for rules in _STAGES)
+
+
 def _folded(s: State) -> State:
     """A state after all rules."""
+    identity, numbers_1, numbers_2, rest = _stages(s.types)
     hide_urls(s)
-    for rule in R.IDENTITY:
+    for rule in identity:
         s.apply(rule)
     forms(s)
     structured(s)
     logins(s)
-    for rule in (*R.REFERENCES, *R.NUMBERS_1):
+    for rule in numbers_1:
         s.apply(rule)
     phone_lists(s)
-    for rule in R.NUMBERS_2:
+    for rule in numbers_2:
         s.apply(rule)
     plate_lists(s)
-    for rule in (*R.POSTAL, *R.DATES, *R.ADDRESSES):
+    for rule in rest:
         s.apply(rule)
     if s.masks["KOD-POCZTOWY"] in s.text:
         s.apply(R.untyped_address(s.masks["KOD-POCZTOWY"]))

@@ -147,6 +147,7 @@ class Need:
 
     words: int = 0
     signs: tuple[str, ...] = ()
+    strings: tuple[str, ...] = ()  # what the words' bits and the signs stand for
     names: tuple[int, ...] = ()
     digits: int = 0
     chain: int = 0
@@ -156,7 +157,10 @@ class Need:
     def met(self, facts: Facts) -> bool:
         if self.digits > facts.run or self.chain > facts.chain or (self.mixed and not facts.mixed):
             return False
-        if self.words or self.signs:
+        if facts.direct and self.strings:
+            if not any(s in facts.low for s in self.strings):
+                return False
+        elif self.words or self.signs:
             bits = facts.bits_of(self.words)
             if not (bits & self.words or bits < 0 or any(s in facts.low for s in self.signs)):
                 return False
@@ -169,14 +173,15 @@ class Need:
 def need(pattern: str, chain: int = 0, mixed: bool = False, hint: str | None = None, names: tuple[int, ...] = ()) -> Need:
     found = held(pattern)
     words, signs = STRINGS.of(_best(found.exact, found.one_of) or frozenset())
-    return Need(words, signs, names, found.digits, chain, mixed, re.compile(hint) if hint else None)
+    strings = tuple(dict.fromkeys(max(_LETTERS.findall(s), key=len, default="") if words and s not in signs else s for s in sorted(_best(found.exact, found.one_of) or ())))
+    return Need(words, signs, strings, names, found.digits, chain, mixed, re.compile(hint) if hint else None)
 
 
 class Facts:
-    """A text's facts, each worked out when it is first asked for."""
+    """A text's facts, each worked out when it is first asked for. ``direct``: strings are looked for one by one, as for few rules."""
 
-    def __init__(self, text: str, known: Known):
-        self.text, self._known = text, known
+    def __init__(self, text: str, known: Known, direct: bool = False):
+        self.text, self._known, self.direct = text, known, direct and not any(c in text for c in _FOLDED)
 
     def __getattr__(self, name):
         if name in ("bits", "words_names", "seen"):
