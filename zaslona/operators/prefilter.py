@@ -161,8 +161,8 @@ class Need:
             if not any(s in facts.low for s in self.strings):
                 return False
         elif self.words or self.signs:
-            bits = facts.bits_of(self.words)
-            if not (bits & self.words or bits < 0 or any(s in facts.low for s in self.signs)):
+            bits = facts.bits_of(self.words) if self.words else 0
+            if not (bits & self.words or bits < 0 or any(s in facts.low for s in self.signs) or any(c in facts.text for c in _FOLDED)):
                 return False
         if self.names and not any(facts.names & n == n for n in self.names):
             return False
