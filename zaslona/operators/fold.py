@@ -24,7 +24,7 @@ _NAME = r"\p{L}[\p{L}'’.‑-]*"
 
 
 #: Kinds up to which a text's words are not looked up for the rules' strings.
-FEW = 4
+FEW = 8
 
 
 class State:
