@@ -700,3 +700,21 @@ def test_pipeline(spark, tmp_path):
     ids = [r["doc_id"] for r in docs.collect()]
     assert 500 not in ids and len(ids) == len(set(ids)) and {0, 1} <= set(ids)
     assert cp.run(spark, str(tmp_path)).count() == len(ids)
+
+
+def test_pipeline_groups_by_fingerprints_and_by_similarity(spark, tmp_path):
+    """A text that fingerprints link at a similarity below 0.8, and one that only similarity links, chain into one group."""
+    import corpus_pipeline as cp
+
+    near = lambda a, b: bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") <= 4
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    like = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b)) >= 0.8
+    rng = random.Random(25)
+    once, other, often = prose(rng, 120, 5000), prose(rng, 120, 5000), " ".join(["again"] * 600)
+    by_print = [f"{often} {once}", f"{often} {other}"]  # one shingle repeats, so that sets say little of it
+    by_set = by_print[0] + " other words stand here now" * 400
+    assert near(*by_print) and not like(*by_print) and like(by_print[0], by_set) and not near(by_print[0], by_set) and not near(by_print[1], by_set)
+    assert not like(by_print[1], by_set)
+    rows = [(1, by_print[1]), (2, by_print[0]), (3, by_set), (4, prose(rng, 50, 5000)), (4, by_set), (5, None), (6, " "), (None, by_set), (None, "a text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in cp.keep_first_of_group(spark, docs, str(tmp_path)).collect() if r["text"]) == [(0, "a text of its own"), (1, by_print[1]), (4, rows[3][1])]
