@@ -71,3 +71,12 @@ def test_redaction_is_written_once(spark):
     parts = [rows(spark, (i, at(i), 1, f"x{i}@y.pl")) for i in range(3)]
     got = files.replayed(parts, lambda s: redaction.redact_stream(s, types=["EMAIL"]).select("conv", "redacted")).collect()
     assert sorted(map(tuple, got)) == [(0, "[EMAIL]"), (1, "[EMAIL]"), (2, "[EMAIL]")]
+
+
+def test_sessions_that_are_open_when_rows_end_are_given(spark, tmp_path):
+    from zaslona.plans import catalog
+
+    seen = [(1, at(0), 7), (2, at(3), 7), (3, at(60), 7), (4, at(598), 7), (5, at(600), None), (6, at(600), 8)]
+    spark.createDataFrame(seen, "event_id long, ts timestamp, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["st_sessions"](spark, str(tmp_path)).collect()
+    assert sorted((r["user_id"] or 0, r["events"]) for r in got) == [(0, 1), (7, 1), (7, 1), (7, 2), (8, 1)]

@@ -23,6 +23,6 @@ def windowed_findings(stream: DataFrame, ts_col: str = "ts", text_col: str = "te
     return found.select(at.alias("window"), F.explode("found").alias("f")).groupBy("window", F.col("f.type").alias("type")).agg(F.sum("f.count").alias("total"))
 
 
-def sessions(stream: DataFrame, key: str, ts_col: str = "ts", gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Rows of a key by session."""
-    return stream.withWatermark(ts_col, late).groupBy(F.session_window(ts_col, gap).alias("session"), key).agg(F.count("*").alias("events"))
+def sessions(stream: DataFrame, key: str | list[str], ts_col: str = "ts", gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Rows of a key, which may be of several columns, by session."""
+    return stream.withWatermark(ts_col, late).groupBy(F.session_window(ts_col, gap).alias("session"), *([key] if isinstance(key, str) else key)).agg(F.count("*").alias("events"))
