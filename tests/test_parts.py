@@ -246,3 +246,9 @@ def test_layers(spark):
 
     r = redact_layers(df, ner_url="http://y", ask=broken, send=broken).first()
     assert r["redacted"] == "PESEL [PESEL] Smith i Stone"
+
+
+def test_intervals_given_twice_merge_in_any_order(spark):
+    df = spark.createDataFrame([(1, 10, 20), (1, 0, 5), (1, 10, 20), (1, 20, 25), (2, 3, 4), (2, 3, 4)], "doc_id long, start long, end long")
+    for rows in (df, df.orderBy(F.desc("end")), df.repartition(3)):
+        assert sorted(map(tuple, spans.merge_intervals(rows, "doc_id").collect())) == [(1, 0, 5), (1, 10, 25), (2, 3, 4)]
