@@ -122,3 +122,22 @@ def test_addresses_count_after_words_of_other_languages(spark, tmp_path):
     assert [tuple(r) for r in catalog.QUERIES["r_ipv4"](spark, str(tmp_path)).collect()] == [(1, 3)]
     assert [tuple(r) for r in catalog.QUERIES["f_by_type"](spark, str(tmp_path)).collect()] == [("IP", 3, 1)]
     assert [tuple(r) for r in catalog.QUERIES["x_tokens_dim"](spark, str(tmp_path)).collect()] == [("[IP]", "IP", "adres IP", 3)]
+
+
+def _of_repeated(spark, tmp_path, name):
+    from zaslona.plans import catalog
+
+    rows = [(1, "b@c.pl i d@e.pl"), (1, "10.0.0.1 a@b.pl"), (1, "a@b.pl"), (2, "10.0.0.1"), (3, None), (3, "nic"), (4, "już [EMAIL], [PESEL] oraz x@y.pl")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+
+
+def test_documents_given_twice_count_once(spark, tmp_path):
+    expected = {
+        "f_has_pii": [(1,), (2,), (4,)],
+        "f_describe": [(1, "adres e-mail,adres IP"), (2, "adres IP"), (4, "adres e-mail")],
+        "f_merge": [(1, 9), (2, 1), (4, 2)],
+        "f_summary": [(7, 2, 3)],
+    }
+    for name, rows in expected.items():
+        assert _of_repeated(spark, tmp_path / name, name) == rows

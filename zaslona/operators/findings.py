@@ -31,6 +31,14 @@ def merged(*found: Column) -> Column:
     return F.transform(kinds, lambda k: F.struct(k.alias("type"), total(k).alias("count")))
 
 
+def by_document(df: DataFrame, id_col: str) -> DataFrame:
+    """One row for each id that has findings: the id, found, with those of all its rows added by type, in the order of the kinds."""
+    order = F.create_map(*[x for i, kind in enumerate(LABELS) for x in (F.lit(kind), F.lit(i))])
+    sums = exploded(df, id_col).groupBy(id_col, "type").agg(F.sum("count").cast("int").alias("count"))
+    kinds = F.sort_array(F.collect_list(F.struct(order[F.col("type")].alias("at"), "type", "count")))
+    return sums.groupBy(id_col).agg(F.transform(kinds, lambda k: F.struct(k["type"].alias("type"), k["count"].alias("count"))).alias("found"))
+
+
 def by_type(df: DataFrame) -> DataFrame:
     return exploded(df).groupBy("type").agg(F.sum("count").cast("long").alias("total"), F.count("*").alias("docs"))
 
@@ -49,10 +57,11 @@ def top(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return exploded(df, key).groupBy(key).agg(F.sum("count").cast("long").alias("total")).orderBy(F.desc("total"), key).limit(n)
 
 
-def summary(df: DataFrame) -> DataFrame:
-    """Occurrences, distinct names of what was found, documents with findings."""
+def summary(df: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Occurrences, distinct names of what was found, documents with findings: rows, or distinct ids if ``id_col`` names them."""
     names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    e = df.select(F.monotonically_increasing_id().alias("row"), "found").select("row", F.explode("found").alias("f"))
+    row = F.col(id_col) if id_col else F.monotonically_increasing_id()
+    e = df.select(row.alias("row"), "found").select("row", F.explode("found").alias("f"))
     return e.agg(F.coalesce(F.sum("f.count"), F.lit(0)).cast("long").alias("total"), F.countDistinct(names[F.col("f.type")]).alias("labels"), F.countDistinct("row").alias("docs"))
 
 
