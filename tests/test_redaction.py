@@ -141,3 +141,8 @@ def test_documents_given_twice_count_once(spark, tmp_path):
     }
     for name, rows in expected.items():
         assert _of_repeated(spark, tmp_path / name, name) == rows
+
+
+def test_masks_that_texts_hold_already_are_not_counted(spark, tmp_path):
+    assert _of_repeated(spark, tmp_path / "m", "x_mask_tokens") == [("[EMAIL]", 5), ("[IP]", 2)]
+    assert [r[0] for r in _of_repeated(spark, tmp_path / "d", "x_tokens_dim")] == ["[EMAIL]", "[IP]"]

@@ -72,6 +72,13 @@ def masks_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def masks_put_in(df: DataFrame, original: str = "text", redacted: str = "redacted") -> DataFrame:
+    """Rows (mask, total): how often each mask was put in; those that the original texts hold already are none."""
+    counted = lambda text, n: F.transform(masks_in(F.coalesce(F.col(text), F.lit(""))), lambda m: F.struct(m.alias("mask"), F.lit(n).alias("n")))
+    marks = df.select(F.explode(F.concat(counted(redacted, 1), counted(original, -1))).alias("m"))
+    return marks.groupBy("m.mask").agg(F.sum("m.n").alias("total")).where("total > 0")
+
+
 def escaped_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))
