@@ -718,3 +718,18 @@ def test_pipeline_groups_by_fingerprints_and_by_similarity(spark, tmp_path):
     rows = [(1, by_print[1]), (2, by_print[0]), (3, by_set), (4, prose(rng, 50, 5000)), (4, by_set), (5, None), (6, " "), (None, by_set), (None, "a text of its own")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in cp.keep_first_of_group(spark, docs, str(tmp_path)).collect() if r["text"]) == [(0, "a text of its own"), (1, by_print[1]), (4, rows[3][1])]
+
+
+def test_tables_of_rounds_that_are_over_go(spark):
+    """What the last table of repeated strings was made from leaves the disk, and so do the tables between the rounds."""
+    import os
+
+    from zaslona.llm import common, substrings
+
+    shared = "".join(chr(97 + i * 7 % 26) for i in range(80))
+    docs = spark.createDataFrame([(i, f"{i} begins {shared} ends {i * i}") for i in range(40)], "doc_id long, text string")
+    before = set(os.listdir(common.shared_dir(spark)))
+    found, _ = substrings.spots(docs)
+    (root,) = set(os.listdir(common.shared_dir(spark))) - before
+    assert found.count() == 39
+    assert len(os.listdir(f"{common.shared_dir(spark)}/{root}")) == 2  # found itself and the texts' smallest ids

@@ -188,7 +188,8 @@ def _survivors(batches):
     """Texts with their shared ranks to rows (id, text_hash, at, rank, around, long0, long1), one for each surviving anchor.
 
     around ranks the bytes of its context and how many of them lie in the text; long0 and long1 rank the bytes that the
-    strings of a side share, null where the text does not hold them.
+    strings of a side share, null where the text does not hold them. They only add to the 64 bits of rank, and whole
+    strings are compared later, so 32 bits of each are enough.
     """
     for batch in batches:
         ids, hashes, texts, ranks = (c.to_pylist() for c in batch.columns)
@@ -223,7 +224,7 @@ def _survivors(batches):
                     col.append(x)
                 for k, (first, last) in enumerate(SIDES):
                     value, there = ranked(first, LENGTH - last)
-                    cols[5 + 2 * k].append(value.view(np.int64))
+                    cols[5 + 2 * k].append((value >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     cols[6 + 2 * k].append(~there)
         if cols[0]:
             arrays = [np.concatenate(c) for c in cols]
@@ -347,7 +348,7 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     stash.free()
     first = stash(src.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.max("id").alias("high")))
     wanted = shared.join(first.select(doc), "doc", "left_semi")
-    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_survivors), "id long, text_hash long, at long, rank long, around long, long0 long, long1 long"))
+    found = stash(src.withColumn("doc", doc).join(wanted, "doc").select("id", "text_hash", "text", "ranks").mapInArrow(sliced(_survivors), "id long, text_hash long, at long, rank long, around long, long0 int, long1 int"))
     stash.free()
     stash.drop(shared)
     # Of each pair the smallest id, and a place where it has it.
@@ -357,10 +358,16 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     # Round 2 of the doubling: 34 and 33 bytes, those that the strings of one side of the anchor share.
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.xxhash64("rank", F.lit(i), f"long{i}").alias("longer"), F.col(f"long{i}").isNotNull().alias("there")) for i in range(len(SIDES))])
     longer = pairs.select("rank", "around", "low", "text_hash", "at", F.explode(sides).alias("s")).where("s.there").select("rank", "around", "low", "text_hash", "at", "s.side", "s.longer")
-    again = longer.groupBy("longer").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("longer")
-    left_over = longer.join(again, "longer").groupBy("low", "text_hash", "at", "rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides"))
-    asked = stash(left_over.groupBy(F.col("low").alias("id"), "text_hash").agg(F.collect_list(F.struct("at", "rank", "around", "sides")).alias("places")))
+    # Each shuffle's files go before the next begins, since together they are the most that stands on disk at once.
+    again = stash(longer.groupBy("longer").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most").select("longer"))
     stash.free()
+    left_over = stash(longer.join(again, "longer").select("low", "text_hash", "at", "rank", "around", "side", "longer"))
+    stash.free()
+    stash.drop(again)
+    by_place = left_over.groupBy("low", "text_hash", "at", "rank", "around").agg(F.collect_list(F.struct("side", "longer")).alias("sides"))
+    asked = stash(by_place.groupBy(F.col("low").alias("id"), "text_hash").agg(F.collect_list(F.struct("at", "rank", "around", "sides")).alias("places")))
+    stash.free()
+    stash.drop(left_over)
     # Round 3: all strings, next to those that share the longer rank.
     near = stash(src.join(asked, ["id", "text_hash"]).select("id", "text", "places").mapInArrow(sliced(_contexts), "longer long, side int, low long, rank long, around long, left int, right int, context binary"))
     stash.free()
@@ -378,7 +385,11 @@ def spots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     both = known.join(own, ["rank", "around", "least"], "full_outer").select("rank", "around", "least", F.coalesce("mask", F.lit(0)).alias("mask"))
     hit = found.select("id", "text_hash", "at", "rank", "around").join(both, ["rank", "around"]).select("id", "text_hash", "at", F.when(F.col("id") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     copies = first.where("high > id").select("text_hash", "sha", F.col("id").alias("low"))
-    return stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots"))), copies
+    lost = stash(hit.groupBy("id", "text_hash").agg(F.collect_set(F.struct("at", "mask")).alias("spots")))
+    stash.free()
+    for done in (settled, found, pairs):
+        stash.drop(done)
+    return lost, copies
 
 
 def digest(raw: bytes, at: np.ndarray, mask: np.ndarray) -> tuple[int, int, int, str]:
