@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from zaslona.llm import phrases, resample, token_files
+from pyspark.sql import functions as F
+
+from zaslona.llm import common, phrases, resample, token_files
 
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 CLASHING = "doc_id long, text string, lang string, word string, f long, part int, before long, ids string, score string, rank int, at int, n long, h long, place long, id long"
@@ -261,3 +263,23 @@ def test_scores_beyond_64_bits(spark):
     whole = "decimal(38,0)"
     df = spark.sql(f"select cast(cast(cast({a} as decimal(19,0)) * cast({n} as decimal(19,0)) as {whole}) * 1000 as {whole}) div cast(cast({left} as decimal(19,0)) * cast({right} as decimal(19,0)) as {whole}) as q")
     assert df.head()[0] == 1000 * a * n // (left * right)
+
+
+def test_segments_are_small_rows(spark):
+    """Readers and batches hold hundreds of segments at once, however long the texts are."""
+    docs = spark.createDataFrame([("en", "a b " * 40_000)], "lang string, text string")
+    names = spark.createDataFrame([(1, "en", "a"), (2, "en", "b")], "id long, lang string, phrase string")
+    for small in (True, False):
+        sizes = phrases.word_sequences(docs, names, small, 4).selectExpr("octet_length(at) + octet_length(id) as n").agg(F.max("n"), F.sum("n")).head()
+        assert sizes[0] <= 1 << 16 and sizes[1] >= 12 * 80_000
+
+
+def test_row_groups_of_long_rows(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    long = spark.range(0, 600, 1, 1).selectExpr("array_join(transform(sequence(1, 100), i -> sha2(cast(id * 1000 + i as string), 256)), '') as x")
+    kept = common.Stash(spark)(long, group_bytes=1 << 19)
+    (file,) = glob.glob(f"{kept._zaslona_path}/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1

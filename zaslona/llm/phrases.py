@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from .common import Stash, sliced
 
 #: Positions of a segment, distinct entries that a task holds before it passes them on, and names that are sent to all tasks.
-SEGMENT, HELD, BROADCAST = 1 << 15, 100_000, 500_000
+#: A segment is one row of up to 12 bytes a position, of which readers, Arrow batches and groups hold many at once.
+SEGMENT, HELD, BROADCAST = 1 << 12, 100_000, 500_000
+#: Bytes of segments that a file's reader holds at once.
+GROUP = 8 << 20
 #: Bytes of a text whose words are taken at once, and of the texts of a batch.
 BLOCK, TEXT = 1 << 20, 2 << 20
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -164,11 +167,11 @@ def _gathered(rows: DataFrame) -> DataFrame:
 
     def pack(batches):
         for b in batches:
-            parts = []
-            for places in b.column(1).to_pylist():
-                both = np.array(sorted((p["at"], p["id"]) for p in places), np.int64).reshape(-1, 2)
-                parts.append((both[:, 0], both[:, 1]))
-            yield _packed(b.column(0).to_pylist(), parts)
+            own, many = b.column(1).flatten(), b.column(1).value_lengths().to_numpy()
+            at, ids = own.field("at").to_numpy(), own.field("id").to_numpy()
+            order = np.lexsort((at, np.repeat(np.arange(len(many)), many)))
+            ends = np.concatenate([[0], np.cumsum(many)])
+            yield _packed(b.column(0).to_pylist(), [(at[order[x:y]], ids[order[x:y]]) for x, y in zip(ends, ends[1:])])
 
     return rows.groupBy("seg").agg(F.collect_list(F.struct("at", "id")).alias("places")).mapInArrow(sliced(pack), _SEQUENCE)
 
@@ -268,7 +271,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_wo
         if not n:
             break
         small = n <= broadcast_names and (k > 2 or size <= 64 * broadcast_names)
-        sequences = stash(word_sequences(src, names, small, max_words - 1) if k == 2 else pair_sequences(sequences, names, small))
+        sequences = stash(word_sequences(src, names, small, max_words - 1) if k == 2 else pair_sequences(sequences, names, small), group_bytes=GROUP)
         left = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begun"), "heads")
         right = names.select(F.col("id").alias("right"), "last", "tails")
         found = pair_counts(sequences).where(F.col("f") >= min_count).join(left, "left").join(right, "right")
