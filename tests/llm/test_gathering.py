@@ -91,6 +91,26 @@ def _expected(rows, library):
     return out
 
 
+def test_token_files_library_gets_bounded_stretches():
+    """Many new words and many long stretches at once: ids as of whole texts, no call of the library with all of them."""
+    import pyarrow as pa
+
+    enc, given = token_files.Encoder(public.path("byte_bpe_50k.json")), []
+    library = enc.library
+
+    class Noting:
+        def encode_batch_fast(self, texts, **options):
+            given.append(sum(map(len, texts)))
+            return library.encode_batch_fast(texts, **options)
+
+    enc.library = Noting()
+    texts = [" ".join(f"słowo{i * 7919 + j}x\n" if j % 5 == 0 else f"a{i}b{j}" for j in range(300)) for i in range(500)] + ["\t  \n" * 50 + f"z{i}" for i in range(3000)] + ["", "é" * 300_000]
+    ids, sizes = enc.encode(pa.array(texts), 0)
+    whole = [x for e in library.encode_batch(texts, add_special_tokens=False) for x in [*e.ids, 0]]
+    assert ids.tolist() == whole and sizes.sum() == len(whole) and len(sizes) == len(texts)
+    assert max(given) < 300_000 + (1 << 18) and sum(given) > 3 * (1 << 18)
+
+
 def test_token_files_hold_every_document(docs, library):
     got = [tuple(r) for r in token_files.digest(docs, public.path("byte_bpe_50k.json")).collect()]
     want = _expected(corpus(), library)

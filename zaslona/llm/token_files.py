@@ -33,8 +33,8 @@ from .common import Stash, sliced
 PART_BYTES = 64 << 20
 #: Rows an index entry covers, and units whose ids a process remembers.
 STRIDE, REMEMBERED = 1000, 1_200_000
-#: Characters of a unit that is remembered.
-LONGEST = 64
+#: Characters of a unit that is remembered, and of what the library is given at once.
+LONGEST, AT_ONCE = 64, 1 << 18
 _SCHEMA = "part int, doc_id bigint, before bigint, n_tokens bigint, ids array<int>"
 _PARTS = "part int, n_docs bigint, n_tokens bigint, start bigint"
 
@@ -57,20 +57,22 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text. The library's encodings weigh many times their texts, so it gets a stretch of texts at once."""
+        return [np.array(e.ids, "<u4") for a, b in _stretches(texts) for e in self.library.encode_batch_fast(texts[a:b], add_special_tokens=False)]
 
     def joined(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts that begin with white space and end in a visible character, read as one text.
+        """The ids of texts that begin with white space and end in a visible character, read as one text a stretch.
 
         Ids are dealt out by the bytes that their tokens stand for.
         """
-        if not texts:
-            return []
-        ids = self.whole(["".join(texts)])[0]
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, texts)), np.int64, len(texts)))
-        cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        out = []
+        for i, j in _stretches(texts):
+            ids = self.whole(["".join(texts[i:j])])[0]
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, texts[i:j])), np.int64, j - i))
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
 
     def _units(self, units: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Of different units the ids, which may stand apart, and which end in a visible character."""
@@ -134,6 +136,13 @@ class Encoder:
         return out, np.diff(bounds)
 
 
+def _stretches(texts: list[str]) -> list[tuple[int, int]]:
+    """Places of texts in stretches of about ``AT_ONCE`` characters: each ends with the text that reaches it."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // AT_ONCE
+    cuts = (np.flatnonzero(np.diff(ends)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(texts)])) if texts else []
+
+
 _PRINTED = frozenset(map(chr, range(33, 127)))
 
 
@@ -182,7 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             before += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(starts), pa.array(sizes), rows], names=["part", "doc_id", "before", "n_tokens", "ids"])
 
-    out = dealt.mapInArrow(sliced(encode, rows=4096, size=8 << 20), _SCHEMA).write.option("compression", "zstd").option("orc.create.index", "true")
+    out = dealt.mapInArrow(sliced(encode, rows=4096, size=4 << 20), _SCHEMA).write.option("compression", "zstd").option("orc.create.index", "true")
     out = out.option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     out.orc(f"{path}/ids")
     sums = spark.read.schema(_SCHEMA).orc(f"{path}/ids").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).orderBy("part").collect()
