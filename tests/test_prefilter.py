@@ -83,6 +83,33 @@ def test_strings_that_become_known_later():
     assert prefilter.need("zzqqb").met(facts) and prefilter.need("[Zz]zqqa").met(facts) and not prefilter.need("zzqqd").met(facts)
 
 
+def test_needs_are_worked_out_once_for_texts_of_the_same_facts(monkeypatch):
+    worked_out, plain = [], prefilter.Need._met
+    monkeypatch.setattr(prefilter.Need, "_met", lambda self, facts: worked_out.append(self) or plain(self, facts))
+    monkeypatch.setattr(prefilter, "_verdicts", {})
+    for k in range(50):
+        fold.redact_text(f"Numer 777{'56789'[k % 5]}{'67'[k % 2]} i konto")
+    assert len(worked_out) <= 2 * len(set(worked_out))  # while needs are made, facts are of some of their strings
+
+
+def test_facts_of_digits():
+    """Runs, chains and neighbours of digits, as they are defined sign by sign."""
+    known, rng = persons.tags_of(fold._names(DEFAULT)).known, random.Random(7)
+    letter = lambda c: bool(c) and bool(prefilter._LETTERS.match(c))
+    for _ in range(3000):
+        t = "".join(rng.choice("0123-. \naZłé") for _ in range(rng.randrange(0, 14)))
+        runs = [m.span() for m in prefilter._DIGITS.finditer(t)]
+        chains, last = [], 0
+        for a, b in runs:
+            near = bool(chains) and a - last <= prefilter.NEAR and not any(map(letter, t[last:a]))
+            chains[len(chains) - near :] = [(chains[-1] if near else 0) + b - a]
+            last = b
+        sides = {c for a, b in runs for c in (t[a - 1 : a], t[b : b + 1])}
+        facts = prefilter.Facts(t, known)
+        assert (facts.run, facts.chain) == (max((b - a for a, b in runs), default=0), max(chains, default=0)), t
+        assert (facts.mixed, facts.beside) == (any("A" <= c <= "Z" for c in sides), any(map(letter, sides))), t
+
+
 def test_few_texts_need_many_rules(monkeypatch):
     """Plain prose is tried by few patterns."""
     tried = []

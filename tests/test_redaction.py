@@ -187,3 +187,39 @@ def test_a_repeated_text_is_folded_once_a_batch(monkeypatch):
     assert list(out["redacted"]) == [r[0] for r in expected]
     assert [[(f["type"], f["count"]) for f in found] for found in out["found"]] == [r[1] for r in expected]
     assert len(folded) == 5
+
+
+@pytest.mark.parametrize("pseudonyms", [False, True])
+def test_texts_made_equal_by_a_mask_go_on_once(monkeypatch, pseudonyms):
+    """A batch of forms in which only masked numbers differ is searched for persons a few times, not once for each."""
+    import pandas as pd
+
+    from zaslona.operators import fold
+    from zaslona.operators import redact as module
+
+    texts = [f"PESEL: {44051401359 + k}, Jan Kowalski, ul. Długa 5, 00-950 Warszawa, tel. 600 700 {k % 7}00" for k in range(300)]
+    expected = [redact_text(t, pseudonyms=pseudonyms) for t in texts]
+    runs, plain = [], fold.Persons
+
+    def noting(state):
+        runs.append(state)
+        return plain(state)
+
+    monkeypatch.setattr(fold, "Persons", noting)
+    out = module.redaction(pseudonyms=pseudonyms).func(pd.Series(texts, dtype=object))
+    assert [(a, [(f["type"], f["count"]) for f in b]) for a, b in zip(out["redacted"], out["found"])] == expected
+    assert len(runs) <= 10
+
+
+def test_texts_that_meet_keep_their_own_counts_labels_and_links():
+    texts = [
+        "a@b.pl 44051401359 Jan Nowak", "[EMAIL] 44051401359 Jan Nowak", "[EMAIL] [PESEL] Jan Nowak", "a@b.pl [PESEL] Jan Nowak",
+        "00-950 a@b.pl 44051401359", "[KOD-POCZTOWY] [EMAIL] 44051401359",
+        "<surname>Nowak</surname> 44051401359 Jan Nowak", "<surname>Wilk</surname> 44051401359 Jan Nowak", "<surname>[OSOBA-A]</surname> 44051401359 Jan Nowak",
+        "KSeF 1234563218-20250826-0A1F62900A1F-AF 44051401359", "1234563218-20250826-0A1F62900A1F-AF 44051401359", "ksef 44051401359",
+        "https://x.pl/?user=a1 44051401359", "https://x.pl/?user=a2 44051401359", "https://y.pl/ 44051401359",
+    ]
+    for options in ({}, {"pseudonyms": True}, {"types": ["PESEL", "IMIE"]}, {"types": ["KSEF", "PESEL"]}):
+        onward = {}
+        assert [redact_text(t, **options, onward=onward) for t in texts * 2] == [redact_text(t, **options) for t in texts * 2]
+        assert onward
